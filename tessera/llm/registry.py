@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .licenses import known_licenses, license_scan
 from .mixing import mix
+from .pii import pii_digest
+from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .vector_search import nearest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores from preference pairs, and predictions."""
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix of all sources takes."""
     return mix(_documents(spark, sf_dir))
@@ -31,11 +39,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 20)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of terms that reveal it."""
+    return pii_digest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_mixing": op3_mixing,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
+        "op9_vector_search": op9_vector_search,
+        "op10_pii": op10_pii,
     }
 
 
