@@ -12,6 +12,7 @@ from .mixing import mix
 from .pii import pii_digest
 from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .substring_dedup import remove_repeats
 from .vector_search import nearest
 
 
@@ -24,6 +25,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in each document once repeated windows are removed."""
+    return remove_repeats(_documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix of all sources takes."""
     return mix(_documents(spark, sf_dir))
@@ -52,6 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
