@@ -22,7 +22,7 @@ CAP = 2
 #: Newton steps at most, and the relative error of a source's words at which they end.
 STEPS, CLOSE = 60, 1e-9
 #: Starts that systematic rounding tries; rows of one (source, size) ranked in one task.
-STARTS, RANKED = 64, 50_000
+STARTS, RANKED = 64, 500
 
 
 def targets(sums: DataFrame) -> DataFrame:
