@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .licenses import known_licenses, license_scan
 from .mixing import mix
+from .ngram_join import ngram_classes
 from .pii import pii_digest
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -35,6 +36,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by the Jaccard similarity of their 4-word shingles."""
+    return ngram_classes(_documents(spark, sf_dir), k=4, percent=85)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licences among whole documents and their lines."""
     return license_scan(_documents(spark, sf_dir), known_licenses(spark))
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
+        "op5_ngram_join": op5_ngram_join,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_search": op9_vector_search,
