@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .licenses import known_licenses, license_scan
+from .lm_scoring import in_turn, score
 from .mixing import mix
 from .ngram_join import ngram_classes
 from .pii import pii_digest
@@ -41,6 +43,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(_documents(spark, sf_dir), k=4, percent=85)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under models of those not held out."""
+    held = in_turn(F.col("doc_id"), 1)
+    scored = score(_documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licences among whole documents and their lines."""
     return license_scan(_documents(spark, sf_dir), known_licenses(spark))
@@ -67,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
         "op5_ngram_join": op5_ngram_join,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_license_scan": op7_license_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_search": op9_vector_search,

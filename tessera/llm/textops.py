@@ -54,15 +54,53 @@ def windows_of(h: np.ndarray, k: int) -> np.ndarray:
     return spread(out)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches where their text passes ``CHUNK_BYTES``; a row stays whole."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches where their text passes ``limit`` bytes; a row stays whole."""
     for batch in batches:
-        sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
         start, total = 0, 0
-        for i, n in enumerate(sizes.tolist()):
+        for i, n in enumerate(sizes.to_pylist()):
             total += n
-            if total >= CHUNK_BYTES:
+            if total >= limit:
                 yield batch.slice(start, i + 1 - start)
                 start, total = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+class Tally:
+    """Sums by 64-bit key inside a task; hands them on when it holds too many."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most, self.keys, self.sums, self.held = most, [], [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        keys = np.sort(keys)
+        if len(keys):
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self._put(keys[first], np.diff(np.concatenate([first, [len(keys)]])))
+
+    def _put(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.keys.append(keys), self.sums.append(sums)
+        self.held += len(keys)
+        if self.held > 2 * self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, sums = np.concatenate(self.keys), np.concatenate(self.sums)
+        order = np.argsort(keys, kind="stable")
+        keys, sums = keys[order], sums[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.sums = [keys[first]], [np.add.reduceat(sums, first) if len(first) else sums]
+        self.held = len(first)
+
+    def full(self) -> bool:
+        return self.held > self.most
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._merge()
+        out = self.keys[0], self.sums[0]
+        self.keys, self.sums, self.held = [], [], 0
+        return out
