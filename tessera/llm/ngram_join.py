@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
-from .textops import WordHashes, spread, utf8, windows_of
+from .textops import Tally, chunks, column_bytes, spread, windows_of, word_hashes
 
 #: Groups that shingles are hashed into: the dimensions of a point.
-GROUPS = 32
+GROUPS = 256
+#: Coordinates are kept up to this; sets of more shingles are met by size alone.
+LARGE = 65_535
 #: Points in a leaf, children of a box; blocks up to a leaf are compared flat.
 FANOUT = 32
 #: A shingle counts as often seen from this many documents on, and at most so many do.
@@ -37,28 +39,36 @@ RUN_HELD = 200_000
 BITMAP = 1 << 23
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
-    """The sorted distinct hashes of a document's runs of ``k`` words; all its words, if they are fewer."""
-    h = hashes.of(words)
-    return np.unique(windows_of(h, min(k, len(h)))) if len(h) else h
-
-
-def _words(text: str | None) -> list[bytes]:
-    return utf8(text).lower().split()
+def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of ``k`` words; all its words, if they are fewer."""
+    h, _, _, first = word_hashes(*column_bytes(column), lower=True)
+    runs = windows_of(h, k)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= k:
+            u = np.sort(runs[a : b - k + 1])
+            keep = np.empty(len(u), bool)
+            keep[0] = True
+            np.not_equal(u[1:], u[:-1], out=keep[1:])
+            yield u[keep]
+        else:
+            yield windows_of(h[a:b], b - a) if b > a else h[:0]
 
 
 def _often(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(_words(t), hashes, k) for t in b.column("text").to_pylist()]
-            every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-            if not len(every):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            n = np.diff(np.concatenate([first, [len(every)]]))
+        tally = Tally()
+
+        def out() -> pa.RecordBatch:
+            keys, n = tally.take()
             some = n >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(every[first[some]].view(np.int64)), pa.array(n[some])], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["shingle", "n"])
+
+        for b in chunks(batches):
+            if b.num_rows:
+                tally.add(np.concatenate(list(shingle_sets(b.column("text"), k))))
+            if tally.full():
+                yield out()
+        yield out()
 
     return run
 
@@ -79,11 +89,10 @@ _SKETCH = "doc_id long, n long, node long, check long, point binary, prefix arra
 
 def _sketch(k: int, percent: int, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for b in batches:
+        seen: set[int] = set()
+        for b in chunks(batches):
             rows = []
-            for text in b.column("text").to_pylist():
-                u = shingle_set(_words(text), hashes, k)
+            for u in shingle_sets(b.column("text"), k):
                 n = len(u)
                 if not n:
                     rows.append((0, None, None, None, None))
@@ -103,7 +112,7 @@ def _sketch(k: int, percent: int, often: np.ndarray):
                     else:
                         u2 = u
                     prefix = u2[:length].view(np.int64)
-                point = np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes()
+                point = np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=GROUPS), LARGE).astype(np.uint16).tobytes()
                 rows.append((n, node, check, point, prefix))
             n, node, check, point, prefix = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
@@ -189,8 +198,8 @@ class PointTree:
             lo = np.maximum(low[at], -(-p * size // 100))
             fits = (lo <= high[at]) & (100 * size >= p * low[at])
             at, lo = at[fits], lo[fits]
-            bound = np.minimum(corner[at], point).sum(axis=1)
-            at = at[bound * (100 + p) >= p * (size + lo)]
+            bound = np.minimum(corner[at], point).sum(axis=1, dtype=np.int64)
+            at = at[(bound * (100 + p) >= p * (size + lo)) | (np.maximum(size, lo) > LARGE)]
             if depth and len(at):
                 at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
@@ -219,7 +228,7 @@ def _pairs(percent: int, leaders: bool):
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             block = np.asarray(rows.column("block").combine_chunks())
             node, n, group = (np.asarray(rows.column(c).combine_chunks()) for c in ("rep", "n", "component"))
-            point = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.int32).reshape(len(node), GROUPS)
+            point = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(len(node), GROUPS)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             a, b = [], []
             for s, e in zip(first[:-1], first[1:], strict=True):
@@ -250,16 +259,12 @@ def _pairs(percent: int, leaders: bool):
 
 def _sets(k: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             slot = np.asarray(b.column("slot"))
-            ids, sets = [], []
-            for i in np.flatnonzero((bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).tolist():
-                u = shingle_set(_words(b.column("text")[i].as_py()), hashes, k)
-                if len(u):
-                    ids.append(b.column("doc_id")[i].as_py())
-                    sets.append(u.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            some = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            for c in chunks([b.filter(pa.array(some.astype(bool)))]):
+                sets = [u.tobytes() or None for u in shingle_sets(c.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return run
 
@@ -273,7 +278,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     words = nodes.select(_slot("rep").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
     bitmap[np.asarray(words.column("w").combine_chunks())] = np.asarray(words.column("bits").combine_chunks())
-    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64)), "doc_id long, shingles binary")
+    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64)), "doc_id long, shingles binary").where("shingles is not null")
 
 
 def _verify(percent: int):
@@ -307,11 +312,12 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     tokens = full.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
     blocks = stored(tokens.mapInArrow(_blocks, "block long, node long").distinct().join(classes.select("node", "rep", "n", "point"), "node").select("block", "rep", "n", "point"))
-    sets = stored(whole_sets(read, blocks.select("rep").distinct(), k))
 
     def links(rows: DataFrame, leaders: bool) -> DataFrame:
         dealt = rows.repartition("block").sortWithinPartitions("block", "n", "rep")
-        pairs = dealt.mapInArrow(_pairs(percent, leaders), "a long, b long").where("a <> b").distinct()
+        pairs = stored(dealt.mapInArrow(_pairs(percent, leaders), "a long, b long").where("a <> b").distinct())
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        sets = stored(whole_sets(read, ends, k))
         with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
         return stored(both.mapInArrow(_verify(percent), "a long, b long"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .textops import FACTORS, WordHashes, spread, utf8, windows_of
+from .textops import FACTORS, chunks, column_bytes, joined, single_spaced, spread, utf8, windows_of, word_hashes
 
 WINDOW, RUN = 13, 3
 #: Super-k-mers aimed at for a bucket, windows in one string, strings a task holds before it sends them.
@@ -55,13 +55,12 @@ def _segments(low: np.ndarray) -> np.ndarray:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (low, n): the minimisers a batch has often, and its count of strings under a null."""
-    hashes = WordHashes()
-    for b in batches:
+    for b in chunks(batches):
         lows = []
-        for text in b.column("text").to_pylist():
-            words = utf8(text).split()
-            if len(words) >= WINDOW:
-                low = _minimisers(hashes.of(words))
+        h, _, _, first = word_hashes(*column_bytes(b.column("text")))
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if z - a >= WINDOW:
+                low = _minimisers(h[a:z])
                 lows.append(low[_segments(low)[:-1]])
         every = np.sort(np.concatenate(lows)) if lows else np.empty(0, np.uint64)
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
@@ -78,7 +77,6 @@ def _sender(buckets: int, split: np.ndarray):
     """Documents to blocks: for each bucket the strings of some documents, packed and compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         pack = zstandard.ZstdCompressor(level=1)
         seen: dict[bytes, int] = {}
         sent: list[tuple] = []
@@ -102,12 +100,15 @@ def _sender(buckets: int, split: np.ndarray):
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-        for b in batches:
-            for doc, key, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = utf8(text).split()
-                if doc is None or len(words) < WINDOW:
+        for b in chunks(batches):
+            lines = [single_spaced(x or b"") for x in b.column("text").cast(pa.binary()).to_pylist()]
+            h, word_start, word_end, first = word_hashes(*joined(lines))
+            begin = np.cumsum([0, *map(len, lines)])
+            for i, (doc, key, line) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), lines, strict=True)):
+                own_words = slice(first[i], first[i + 1])
+                if doc is None or first[i + 1] - first[i] < WINDOW:
                     continue
-                low = _minimisers(hashes.of(words))
+                low = _minimisers(h[own_words])
                 edges = _segments(low)
                 starts, ends = edges[:-1], edges[1:]
                 place = low[starts]
@@ -116,22 +117,21 @@ def _sender(buckets: int, split: np.ndarray):
                     hot = split[np.minimum(at, len(split) - 1)] == place
                     if hot.any():
                         alone = np.concatenate([np.arange(a, z) for a, z in zip(starts[hot], ends[hot], strict=True)])
-                        own = windows_of(hashes.of(words), WINDOW)[alone]
+                        own = windows_of(h[own_words], WINDOW)[alone]
                         starts, ends, place = np.concatenate([starts[~hot], alone]), np.concatenate([ends[~hot], alone + 1]), np.concatenate([place[~hot], own])
                 place = (spread(place) % np.uint64(buckets)).astype(np.int64)
-                line = b" ".join(words)
-                off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-                left, right = off[starts].tolist(), (off[ends + WINDOW - 1] - 1).tolist()
+                left = (word_start[own_words][starts] - begin[i]).tolist()
+                right = (word_end[own_words][ends + WINDOW - 2] - begin[i]).tolist()
                 kept = []
-                for i, (a, s, e) in enumerate(zip(starts.tolist(), left, right, strict=True)):
+                for j, (a, s, e) in enumerate(zip(starts.tolist(), left, right, strict=True)):
                     string = line[s:e]
-                    first = seen.get(string)
-                    if first is not None and first < doc:
-                        known.append((doc, key, a, int(ends[i]) + WINDOW - 1))
+                    owner = seen.get(string)
+                    if owner is not None and owner < doc:
+                        known.append((doc, key, a, int(ends[j]) + WINDOW - 1))
                         continue
                     seen[string] = doc
                     sent.append((doc, key, a, string))
-                    kept.append(i)
+                    kept.append(j)
                 places.append(place[kept])
                 if len(sent) + len(known) > HELD:
                     yield from flush()
