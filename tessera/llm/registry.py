@@ -12,6 +12,7 @@ from .licenses import known_licenses, license_scan
 from .lm_scoring import in_turn, score
 from .mixing import mix
 from .ngram_join import ngram_classes
+from .pieces import encode
 from .pii import pii_digest
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -38,6 +39,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled SentencePiece segmentations of each document, digested, and whether they decode to it."""
+    return encode(_documents(spark, sf_dir), digest=True)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by the Jaccard similarity of their 4-word shingles."""
     return ngram_classes(_documents(spark, sf_dir), k=4, percent=85)
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
+        "op4_pieces": op4_pieces,
         "op5_ngram_join": op5_ngram_join,
         "op6_lm_scoring": op6_lm_scoring,
         "op7_license_scan": op7_license_scan,
