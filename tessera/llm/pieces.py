@@ -59,15 +59,35 @@ class Vocabulary:
                 text = piece.replace("▁", " ")
                 self.bytes_of[i] = text.encode()
                 code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                h = int((_values(code) * _powers_of(_STEP, len(code))).sum())
+                h = int(spread((_values(code) * _powers_of(_STEP, len(code))).sum(keepdims=True))[0])
                 by_length.setdefault(len(code), []).append((h, i, -float(np.log(1 + ranked))))
         self.longest = max(by_length)
         self.spell = -ALPHA * float(np.log(size))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length, rows in by_length.items():
-            rows.sort()
-            h, i, w = zip(*rows, strict=True)
-            self.tables[length] = np.array(h, np.uint64), np.array(i, np.int32), ALPHA * np.array(w)
+        rows = [r for some in by_length.values() for r in some]
+        # one table for all pieces, a few places to a slot; most strings fail at the first look
+        self.slots = np.uint64((1 << 20) - 1)
+        self.hash = np.zeros((4, 1 << 20), np.uint64)
+        self.id = np.zeros((4, 1 << 20), np.int32)
+        self.log = np.zeros((4, 1 << 20), np.float32)
+        self.any = np.zeros(1 << 20, np.int8)
+        for h, i, w in rows:
+            slot = h & int(self.slots)
+            side = int(self.any[slot])
+            self.hash[side, slot], self.id[side, slot], self.log[side, slot], self.any[slot] = h, i, ALPHA * w, side + 1
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, their ids and their log weights."""
+        slot = (h & self.slots).astype(np.int64)
+        may = np.flatnonzero(self.any[slot])
+        slot, h = slot[may], h[may]
+        hit = self.hash[0, slot] == h
+        side = np.zeros(len(slot), np.int64)
+        for i in range(1, 4):
+            more = np.flatnonzero(~hit & (self.any[slot] > i))
+            more = more[self.hash[i, slot[more]] == h[more]]
+            side[more], hit[more] = i, True
+        may, side, slot = may[hit], side[hit], slot[hit]
+        return may, self.id[side, slot], self.log[side, slot]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a row of ids, without the leading space."""
@@ -114,13 +134,10 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple
     piece = np.zeros((total, deep), np.int32)
     for n in range(1, deep + 1):
         at = np.flatnonzero(inside >= n - 1)
-        if n in vocab.tables and len(at):
-            s = place[at] - n + 1
-            h = (sums[place[at] + 1] - sums[s]) * back[s]
-            table, ids, w = vocab.tables[n]
-            i = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            hit = table[i] == h
-            weight[at[hit], n - 1], piece[at[hit], n - 1] = w[i[hit]], ids[i[hit]]
+        if len(at):
+            end = place[at] + 1
+            hit, ids, w = vocab.find(spread((sums[end] - sums[end - n]) * back[end - n]))
+            weight[at[hit], n - 1], piece[at[hit], n - 1] = w, ids
     bare = np.flatnonzero(np.isneginf(weight[:, 0]))
     spelled = code[place[bare]]
     weight[bare, 0] = vocab.spell * _utf8_size(spelled)
