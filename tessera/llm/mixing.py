@@ -83,12 +83,12 @@ def multipliers(cells: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken, copies), one for each document.
+    """Rows (doc_id, size, source_size, target, taken, copies, part), one for each document; ``part`` is a hash of its text.
 
     Null and blank texts have size 0 and take nothing; the null source is one source, the last.
     Repeated rows count as documents of their own. Ties in size are ordered by a hash of doc_id.
     """
-    sizes = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size")))
+    sizes = stored(docs.select("doc_id", F.xxhash64("text").alias("part"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size")))
     cells = stored(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = stored(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
     rates = stored(multipliers(cells, goals))
@@ -120,4 +120,4 @@ def mix(docs: DataFrame) -> DataFrame:
     at = F.col("before") + F.col("start") + (F.col("at") - 1 + F.coalesce("shift", F.lit(0))) * F.col("rate") + 1e-9
     copies = F.when(F.col("rate") >= CAP, F.lit(CAP)).otherwise(F.floor(at + F.col("rate")) - F.floor(at)).cast("long")
     copies = F.least(copies, F.lit(CAP).cast("long"))
-    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "part")

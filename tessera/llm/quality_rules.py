@@ -49,13 +49,14 @@ def _same(x: Column, y: Column) -> Column:
 
 
 def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row for each document: doc_id, host, the counts of the base rules and ``base_failed``."""
+    """One row for each document: doc_id, a hash of its text, host, the counts of the base rules and ``base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    read = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text")).withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
+    read = docs.select(F.col("doc_id"), F.xxhash64("text").alias("part"), F.col(host).cast("string").alias("host"), text.alias("text")).withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
     bare = F.translate("text", BLANKS, "")
     counts = read.select(
         "doc_id",
+        "part",
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
@@ -93,7 +94,7 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts and verdicts of each document.
+    """Counts and verdicts of each document; ``part`` is a hash of its text.
 
     ``kept`` is false where the base rules fail, where the document has too many symbols or
     repeated lines, or where its host's shrunk failure rate reaches ``HOST_LIMIT``. Null texts
@@ -106,5 +107,5 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     joined = judged.alias("d").join(hosts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("failed") & F.col("host_kept")).alias("kept"), F.round("host_rate", 6).alias("host_rate"),
+        (~F.col("failed") & F.col("host_kept")).alias("kept"), F.round("host_rate", 6).alias("host_rate"), "part",
     )

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import oracles
 from .licenses import known_licenses, license_scan
 from .lm_scoring import in_turn, score
@@ -36,7 +38,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix of all sources takes."""
-    return mix(_documents(spark, sf_dir))
+    return mix(_documents(spark, sf_dir)).drop("part")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the quality rules and the verdicts of rules and hosts."""
-    return quality_rules(_documents(spark, sf_dir))
+    return quality_rules(_documents(spark, sf_dir)).drop("part")
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_search": op9_vector_search,
         "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
