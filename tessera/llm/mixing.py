@@ -5,7 +5,8 @@ its target of words, entropy balancing takes those nearest to one copy each: the
 exp(multiplier * size), cut at the cap. The multipliers solve a convex dual problem, one
 dimension for each source, by Newton steps whose sums run as grouped aggregates over the
 (source, size) histogram. Rates are rounded into whole copies by systematic rounding in order
-of size, with the start that brings the source's words nearest to its target.
+of size, with the start that brings the source's words nearest to its target; what is then
+missing or too much is made up by a few documents whose sizes fit the gap.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ SHARE = 1.5
 CAP = 2
 #: Newton steps at most, and the relative error of a source's words at which they end.
 STEPS, CLOSE = 60, 1e-9
+#: Times that copies are corrected towards the targets.
+CORRECTIONS = 3
 #: Starts that systematic rounding tries; rows of one (source, size) ranked in one task.
 STARTS, RANKED = 64, 500
 
@@ -82,6 +85,19 @@ def multipliers(cells: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.alias("g").join(small(found).alias("f"), F.col("g.source").eqNullSafe(F.col("f.source")), "left").select("g.source", "source_size", "target", "slope")
 
 
+def _nearer(plan: DataFrame) -> DataFrame:
+    """Bring the words taken nearer to the targets: copies ``k`` of cells are raised or lowered, the largest sizes within the gap first."""
+    every = Window.partitionBy("source")
+    down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.round(F.col("target") - F.sum(F.col("k") * F.col("size")).over(every)).cast("long")
+    rows = plan.withColumn("gap", gap)
+    fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap"))
+    rows = rows.withColumn("room", F.when(fits, F.when(F.col("gap") > 0, CAP * F.col("n") - F.col("k")).otherwise(F.col("k"))).otherwise(0))
+    left = F.abs("gap") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(down), F.lit(0))
+    moved = F.greatest(F.lit(0), F.least("room", F.floor(left / F.greatest("size", F.lit(1)))))
+    return rows.withColumn("k", F.col("k") + F.signum("gap").cast("long") * moved).drop("gap", "room")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, copies, part), one for each document; ``part`` is a hash of its text.
 
@@ -103,9 +119,13 @@ def mix(docs: DataFrame) -> DataFrame:
     best = priced.groupBy("source").agg(*[x.alias(f"o{k}") for k, x in enumerate(off)])
     start = F.array_min(F.array(*[F.struct(F.round(f"o{k}", 3).alias("off"), F.lit(k / STARTS).alias("start")) for k in range(STARTS)]))["start"]
     starts = stored(best.select("source", start.alias("start")))
+    turns = F.floor(ends + F.col("start") + 1e-9) - F.floor(F.col("before") + F.col("start") + 1e-9)
     plan = priced.alias("p").join(small(starts).alias("b"), F.col("p.source").eqNullSafe(F.col("b.source"))).select(
-        F.col("p.source").alias("src"), F.col("size").alias("sz"), "source_size", "target", "rate", "before", "start", F.ceil(F.col("n") / RANKED).cast("int").alias("salts")
+        "p.source", "size", "n", "source_size", "target", F.when(F.col("rate") >= CAP, CAP * F.col("n")).otherwise(F.least(turns, CAP * F.col("n"))).cast("long").alias("k")
     )
+    for _ in range(CORRECTIONS):
+        plan = _nearer(plan)
+    plan = plan.select(F.col("source").alias("src"), F.col("size").alias("sz"), "source_size", "target", "n", "k", F.ceil(F.col("n") / RANKED).cast("int").alias("salts"))
     plan = small(stored(plan))
 
     own = sizes.join(plan, sizes["source"].eqNullSafe(F.col("src")) & (sizes["size"] == F.col("sz")))
@@ -117,7 +137,6 @@ def mix(docs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = small(split.select(F.col("source").alias("s1"), F.col("size").alias("s2"), F.col("salt").alias("s3"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("shift")))
     ranked = ranked.join(shift, F.col("source").eqNullSafe(F.col("s1")) & (F.col("size") == F.col("s2")) & (F.col("salt") == F.col("s3")), "left")
-    at = F.col("before") + F.col("start") + (F.col("at") - 1 + F.coalesce("shift", F.lit(0))) * F.col("rate") + 1e-9
-    copies = F.when(F.col("rate") >= CAP, F.lit(CAP)).otherwise(F.floor(at + F.col("rate")) - F.floor(at)).cast("long")
-    copies = F.least(copies, F.lit(CAP).cast("long"))
+    at = F.col("at") - 1 + F.coalesce("shift", F.lit(0))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("k") / F.col("n")) + (at < F.col("k") % F.col("n")).cast("int")).cast("long")
     return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "part")

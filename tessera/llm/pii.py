@@ -217,20 +217,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
     and digest; documents without spans are passed by.
     """
     found = find_pii(docs)
-    spans = found.select(F.col("doc_id").alias("__id"), F.col("part").alias("__part"), F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("extra", F.lit(""))).alias("__spans")).where("__spans <> ''").dropDuplicates(["__id", "__part"])
+    spans = found.select(F.col("doc_id").alias("__tessera_id"), F.col("part").alias("__tessera_part"), F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("extra", F.lit(""))).alias("__tessera_spans")).where("__tessera_spans <> ''").dropDuplicates(["__tessera_id", "__tessera_part"])
     names = docs.columns
     part = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__id")) & (part == F.col("__part")), "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__spans", T.StringType())])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__tessera_id")) & (part == F.col("__tessera_part")), "left")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__tessera_spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
-            new = [_redact(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            new = [_redact(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("__tessera_spans").to_pylist(), strict=True)]
             yield b.set_column(at, "text", pa.array(new, b.schema.field("text").type))
 
-    out = joined.select(*names, "__spans").mapInArrow(run, schema)
+    out = joined.select(*names, "__tessera_spans").mapInArrow(run, schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__tessera_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)
 
