@@ -7,9 +7,10 @@ of their coordinates bound the overlap of the sets from above.
 Documents meet in blocks: two sets as similar as asked must share a shingle among the first few
 of each, in any order common to all. The order here puts often-seen shingles last, so blocks
 stay small. Within a block a tree of boxes over the points (an R-tree, packed in order of size)
-finds the pairs whose bound allows a link; those pairs are verified on the whole sets. A first
-round links each document of a block to a leader; the second asks only for pairs that the first
-left in different components, so large groups never list all their pairs.
+finds the pairs whose bound allows a link; those are verified on the whole sets. A first round
+links each document of a block to a leader. The second takes the sets of documents that may link
+to another component along and links what is not yet connected, in place: large groups
+never list all their pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FANOUT = 32
 OFTEN, OFTEN_KEPT = 50, 1 << 20
 #: Rows of one shingle held at a time; a longer run is a block of its own and isn't merged with equal ones.
 RUN_HELD = 200_000
+#: Members of a block dealt to one task together.
+PIECE = 1024
 #: Bits of the bitmap that lets most documents without a block skip the second reading.
 BITMAP = 1 << 23
 
@@ -206,57 +209,113 @@ class PointTree:
         return at
 
 
-def _pairs(percent: int, leaders: bool):
-    """Rows of blocks, in order of block and size, to candidate pairs."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole groups of rows that share ``key``, from batches in its order; small groups of a batch come together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        name = np.asarray(b.column(key))
+        last = int(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))[-1])
+        if held and name[0] != held[-1].column(key)[0].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _members(rows: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, rep, n, points) of each group in the rows."""
+    deal, rep, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("deal", "rep", "n"))
+    point = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(len(rep), GROUPS)
+    first = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1], [True]])).tolist()
+    for s, e in zip(first[:-1], first[1:], strict=True):
+        yield s, e, rep[s:e], n[s:e], point[s:e]
+
+
+def _leaders(percent: int):
+    """Each member of a group that isn't a leader, paired with one leader whose bound allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "deal"):
+            pairs = []
+            for _, _, rep, n, point in _members(rows):
+                tree, free = PointTree(n, point, percent), np.ones(len(n), bool)
+                for i in range(len(n) - 1):
+                    if free[i]:
+                        j = tree.search(int(n[i]), point[i], i)
+                        j = j[free[j]]
+                        free[j] = False
+                        pairs.append(np.stack([np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])], axis=1))
+            if pairs:
+                found = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
 
-    def of_block(node: np.ndarray, n: np.ndarray, point: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        tree, found = PointTree(n, point, percent), []
-        free = np.ones(len(n), bool)
-        for i in range(len(n) - 1):
-            if leaders and not free[i]:
-                continue
-            j = tree.search(int(n[i]), point[i], i)
-            j = j[free[j]] if leaders else j[group[j] != group[i]]
-            if len(j):
-                free[j] = False
-                found.append((np.full(len(j), node[i]), node[j]))
-        return found
+def _touched(percent: int):
+    """The members of a group whose bound allows a link with one of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for rows in _groups(batches, "deal"):
+            component = np.asarray(rows.column("component").combine_chunks())
+            keep = np.zeros(rows.num_rows, bool)
+            for s, e, _, n, point in _members(rows):
+                own = component[s:e]
+                if (own == own[0]).all():
+                    continue
+                tree = PointTree(n, point, percent)
+                for i in range(e - s - 1):
+                    j = tree.search(int(n[i]), point[i], i)
+                    j = j[own[j] != own[i]]
+                    if len(j):
+                        keep[s + i] = True
+                        keep[s + j] = True
+            yield from rows.select(["deal", "rep", "n", "point", "component"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            block = np.asarray(rows.column("block").combine_chunks())
-            node, n, group = (np.asarray(rows.column(c).combine_chunks()) for c in ("rep", "n", "component"))
-            point = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint16).reshape(len(node), GROUPS)
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+
+def _joined_up(percent: int):
+    """Links inside groups between members not yet connected, each verified on the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "deal"):
+            component = rows.column("component").to_pylist()
+            shingles = rows.column("shingles").combine_chunks()
             a, b = [], []
-            for s, e in zip(first[:-1], first[1:], strict=True):
-                for x, y in of_block(node[s:e], n[s:e], point[s:e], group[s:e]):
-                    a.append(x), b.append(y)
+            for s, e, rep, n, point in _members(rows):
+                sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in range(s, e)]
+                top = {c: c for c in component[s:e]}
+
+                def find(c: int, top: dict = top) -> int:
+                    while top[c] != c:
+                        top[c] = c = top[top[c]]
+                    return c
+
+                tree = PointTree(n, point, percent)
+                for i in range(e - s - 1):
+                    for j in tree.search(int(n[i]), point[i], i).tolist():
+                        x, y = find(component[s + i]), find(component[s + j])
+                        if x != y and _linked(sets[i], sets[j], percent):
+                            top[x] = y
+                            a.append(min(rep[i], rep[j])), b.append(max(rep[i], rep[j]))
             if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            block = np.asarray(b.column("block"))
-            last = int(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))[-1])
-            if held and block[0] != held[-1].column("block")[0].as_py():
-                yield from flush(pa.Table.from_batches(held))
-                held = []
-            if last:
-                yield from flush(pa.Table.from_batches([*held, b.slice(0, last)]))
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
 def _sets(k: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,11 +343,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+            ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -313,20 +368,29 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tokens = full.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
     blocks = stored(tokens.mapInArrow(_blocks, "block long, node long").distinct().join(classes.select("node", "rep", "n", "point"), "node").select("block", "rep", "n", "point"))
 
-    def links(rows: DataFrame, leaders: bool) -> DataFrame:
-        dealt = rows.repartition("block").sortWithinPartitions("block", "n", "rep")
-        pairs = stored(dealt.mapInArrow(_pairs(percent, leaders), "a long, b long").where("a <> b").distinct())
-        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        sets = stored(whole_sets(read, ends, k))
-        with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_verify(percent), "a long, b long"))
+    # a large block is dealt in pieces
+    pieces = blocks.groupBy("block").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = blocks.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")))
 
-    first = links(blocks.withColumn("component", F.col("rep")), True)
+    def in_groups(rows: DataFrame) -> DataFrame:
+        return rows.repartition("deal").sortWithinPartitions("deal", "n", "rep")
+
+    parts = dealt.select(F.xxhash64("block", "piece").alias("deal"), "rep", "n", "point")
+    pairs = stored(in_groups(parts).mapInArrow(_leaders(percent), "a long, b long").where("a <> b").distinct())
+    sets = stored(whole_sets(read, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k))
+    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    first = stored(both.mapInArrow(_verify(percent), "a long, b long"))
     found = components(first).select(F.col("node").alias("rep"), "component")
-    again = blocks.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # every two pieces of a block meet once; most blocks are one piece of one component by now
+    again = dealt.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = again.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("block")
-    second = links(again.join(mixed, "block"), False)
+    meet = again.join(mixed, "block").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    meet = meet.select(F.xxhash64("block", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), "rep", "n", "point", "component")
+    touched = stored(in_groups(meet).mapInArrow(_touched(percent), "deal long, rep long, n long, point binary, component long").where("rep is not null"))
+    sets = whole_sets(read, touched.select("rep").distinct(), k).withColumnRenamed("doc_id", "rep")
+    second = stored(in_groups(touched.join(sets, "rep")).mapInArrow(_joined_up(percent), "a long, b long").distinct())
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
     of_node = classes.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
