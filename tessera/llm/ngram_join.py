@@ -104,7 +104,7 @@ def _sketch(k: int, percent: int, often: np.ndarray):
                 node, check = (x - (1 << 64) if x >= 1 << 63 else x for x in (digest & (1 << 64) - 1, digest >> 64))
                 prefix = None
                 if node not in seen:  # a copy's prefix has been sent by this task
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
                     length = n + percent * n // -100 + 1
@@ -143,7 +143,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done.add(x)
                     fresh[i] = True
             many = fresh
-            if len(done) > 1_000_000:
+            if len(done) > 300_000:
                 done.clear()
         rows = np.repeat(many, n)
         if not rows.any():

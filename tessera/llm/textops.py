@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 
 #: Bytes of text handled at a time, so that a task's arrays stay small.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def utf8(text: str | None) -> bytes:
@@ -126,7 +126,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
 class Tally:
     """Sums by 64-bit key inside a task; hands them on when it holds too many."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 500_000):
         self.most, self.keys, self.sums, self.held = most, [], [], 0
 
     def add(self, keys: np.ndarray) -> None:
