@@ -29,6 +29,8 @@ SEED = 17
 #: Bytes of text encoded at a time.
 CHUNK = 1 << 20
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: Lengths of pieces looked at first.
+_NEAR = 8
 #: Ids from here on stand for a character spelled in bytes, until the spelling is put in.
 _SPELLED = 1 << 24
 
@@ -59,25 +61,24 @@ class Vocabulary:
                 text = piece.replace("▁", " ")
                 self.bytes_of[i] = text.encode()
                 code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                h = int(spread((_values(code) * _powers_of(_STEP, len(code))).sum(keepdims=True))[0])
+                h = int((_values(code) * _powers_of(_STEP, len(code))).sum())
                 by_length.setdefault(len(code), []).append((h, i, -float(np.log(1 + ranked))))
         self.longest = max(by_length)
         self.spell = -ALPHA * float(np.log(size))
         rows = [r for some in by_length.values() for r in some]
         # one table for all pieces, a few places to a slot; most strings fail at the first look
-        self.slots = np.uint64((1 << 20) - 1)
         self.hash = np.zeros((4, 1 << 20), np.uint64)
         self.id = np.zeros((4, 1 << 20), np.int32)
         self.log = np.zeros((4, 1 << 20), np.float32)
         self.any = np.zeros(1 << 20, np.int8)
         for h, i, w in rows:
-            slot = h & int(self.slots)
+            slot = h >> 44
             side = int(self.any[slot])
             self.hash[side, slot], self.id[side, slot], self.log[side, slot], self.any[slot] = h, i, ALPHA * w, side + 1
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, their ids and their log weights."""
-        slot = (h & self.slots).astype(np.int64)
+        slot = (h >> np.uint64(44)).astype(np.int64)
         may = np.flatnonzero(self.any[slot])
         slot, h = slot[may], h[may]
         hit = self.hash[0, slot] == h
@@ -132,12 +133,15 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple
     deep = min(vocab.longest, int(length.max()))
     weight = np.full((total, deep), -np.inf, np.float32)
     piece = np.zeros((total, deep), np.int32)
+    # ``string`` has the hash of the last n characters at each place, longer by one each turn
+    value = _values(code[place])
+    string = np.zeros(total, np.uint64)
     for n in range(1, deep + 1):
+        string *= np.uint64(_STEP)
+        string[n - 1 :] += value[: total - n + 1]
         at = np.flatnonzero(inside >= n - 1)
-        if len(at):
-            end = place[at] + 1
-            hit, ids, w = vocab.find(spread((sums[end] - sums[end - n]) * back[end - n]))
-            weight[at[hit], n - 1], piece[at[hit], n - 1] = w, ids
+        hit, ids, w = vocab.find(string[at])
+        weight[at[hit], n - 1], piece[at[hit], n - 1] = w, ids
     bare = np.flatnonzero(np.isneginf(weight[:, 0]))
     spelled = code[place[bare]]
     weight[bare, 0] = vocab.spell * _utf8_size(spelled)
@@ -169,11 +173,16 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple
     seed = spread(key + np.uint64(SEED)) + turn.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     left = size.copy()
     live = np.arange(n_units)
+    near = np.ascontiguousarray(weight[:, :_NEAR])
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
         at = base[kind[live]] + left[live] - 1
-        u = (spread(spread(seed[live] + np.uint64(len(steps) + 1))) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
-        n = np.minimum((weight[at] <= u[:, None]).sum(axis=1), np.minimum(deep, left[live]) - 1)
+        u = (spread(seed[live] + np.uint64((len(steps) + 1) * 0x94D049BB133111EB % (1 << 64))) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+        # most places are so near the unit's beginning that the first columns tell
+        n = (near[at] <= u[:, None]).sum(axis=1)
+        far = np.flatnonzero((n >= _NEAR) & (left[live] > _NEAR))
+        n[far] = (weight[at[far]] <= u[far, None]).sum(axis=1)
+        n = np.minimum(n, np.minimum(deep, left[live]) - 1)
         # rounding may point at a length without a piece; the next shorter one with a piece takes its place
         ids = piece[at, n]
         while not ids.all():
