@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import Box, near
+from tessera.functions.geometry import Box, iou, near
 from tessera.model import AnnotationDataset, latest
 
 _FIELDS = ("xmin", "ymin", "xmax", "ymax")
@@ -42,9 +40,9 @@ def by_id(a: AnnotationDataset, b: AnnotationDataset) -> DataFrame:
     An id repeated within an image counts once, as its last row. Annotations of images that only
     one side has are that side's own.
     """
+
     def rows(ds: AnnotationDataset, mark: str) -> DataFrame:
-        last = _named(ds).groupBy("file_name", "id").agg(F.max_by(F.struct("category", *_FIELDS), "_ord").alias(mark))
-        return last
+        return _named(ds).groupBy("file_name", "id").agg(F.max_by(F.struct("category", *_FIELDS), "_ord").alias(mark))
 
     joined = rows(a, "a").join(rows(b, "b"), ["file_name", "id"], "full_outer")
     box_of = lambda s: Box(*[F.col(f"{s}.{f}") for f in _FIELDS])
@@ -54,37 +52,31 @@ def by_id(a: AnnotationDataset, b: AnnotationDataset) -> DataFrame:
     return joined.select("file_name", "id", side.alias("side"), F.when(shared & (change != ""), change).alias("change"))
 
 
-def _greedy(threshold: float):
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("_ord"), right.sort_values("_ord")
-        x, y = left[list(_FIELDS)].to_numpy(float), right[list(_FIELDS)].to_numpy(float)
-        fine = lambda v: np.isfinite(v).all(axis=1) & (v[:, 0] <= v[:, 2]) & (v[:, 1] <= v[:, 3])
-        ok_x, ok_y, free, matched = fine(x), fine(y), np.ones(len(y), bool), 0
-        size = lambda v: (v[..., 2] - v[..., 0]) * (v[..., 3] - v[..., 1])
-        for i in range(len(x)):
-            if not ok_x[i] or not free.any():
-                continue
-            both = np.clip(np.minimum(x[i, 2:], y[:, 2:]) - np.maximum(x[i, :2], y[:, :2]), 0, None).prod(axis=1)
-            union = size(x[i]) + size(y) - both
-            score = np.where(free & ok_y & (union > 0), both / np.where(union > 0, union, 1), 0.0)
-            best = int(score.argmax())
-            if score[best] >= threshold and score[best] > 0:
-                free[best], matched = False, matched + 1
-        return pd.DataFrame({"file_name": [key[0]], "category": [key[1]], "shared": [matched], "only_in_a": [len(x) - matched], "only_in_b": [len(y) - matched]})
-
-    return run
-
-
 def by_overlap(a: AnnotationDataset, b: AnnotationDataset, threshold: float = 0.5) -> DataFrame:
     """Rows (file_name, category, shared, only_in_a, only_in_b): boxes matched greedily in a's order by intersection over union.
 
-    A group is one image and category.
+    Each box of a takes the free box of b with the greatest overlap, the first of equals, if it
+    reaches the threshold. A group is one image and category, so its arrays stay short.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies within 0 (excluded) and 1")
-    place = F.row_number().over(Window.partitionBy("file_name", "category").orderBy("_ord"))
-    left, right = (_named(ds).withColumn("_ord", place).groupBy("file_name", "category") for ds in (a, b))
-    return left.cogroup(right).applyInPandas(_greedy(threshold), "file_name string, category string, shared long, only_in_a long, only_in_b long")
+
+    def boxes(ds: AnnotationDataset, name: str) -> DataFrame:
+        return _named(ds).groupBy("file_name", "category").agg(F.array_sort(F.collect_list(F.struct("_ord", *_FIELDS))).alias(name))
+
+    def of(row) -> Box:
+        return Box(*[row[f] for f in _FIELDS])
+
+    def take(free, x):
+        # (overlap, minus place) of each free box; the largest is the best and, among equals, the first
+        scored = F.transform("b", lambda y, i: F.struct(F.when(F.get(free, i), iou(of(x), of(y))).otherwise(-1.0).alias("s"), (-i).alias("i")))
+        return F.aggregate(F.array(F.array_max(scored)), free, lambda was, best: F.when(best["s"] >= threshold, F.transform(was, lambda f, i: f & (i != -best["i"]))).otherwise(was))
+
+    joined = boxes(a, "a").join(boxes(b, "b"), ["file_name", "category"], "full_outer")
+    free = F.aggregate("a", F.transform("b", lambda y: F.lit(True)), take)
+    matched = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.size(F.filter(free, lambda f: ~f))).otherwise(0).cast("long")
+    sized = joined.select("file_name", "category", matched.alias("shared"), F.when(F.col("a").isNull(), 0).otherwise(F.size("a")).cast("long").alias("n_a"), F.when(F.col("b").isNull(), 0).otherwise(F.size("b")).cast("long").alias("n_b"))
+    return sized.select("file_name", "category", "shared", (F.col("n_a") - F.col("shared")).alias("only_in_a"), (F.col("n_b") - F.col("shared")).alias("only_in_b"))
 
 
 def totals(rows: DataFrame) -> DataFrame:
