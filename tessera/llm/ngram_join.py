@@ -5,8 +5,8 @@ hashed into groups, and the counts of the groups are a point. For two points the
 of their coordinates bound the overlap of the sets from above.
 
 Documents meet in blocks: two sets as similar as asked must share a shingle among the first few
-of each, in any order common to all. The order here puts often-seen shingles last, so blocks
-stay small. Within a block a tree of boxes over the points (an R-tree, packed in order of size)
+of each, in any order common to all. The order here begins with the shingles whose words are
+rarest in the corpus, so blocks stay small. Within a block a tree of boxes over the points (an R-tree, packed in order of size)
 finds the pairs whose bound allows a link; those are verified on the whole sets. A first round
 links each document of a block to a leader. The second takes the sets of documents that may link
 to another component along and links what is not yet connected, in place: large groups
@@ -32,8 +32,8 @@ GROUPS = 256
 LARGE = 65_535
 #: Points in a leaf, children of a box; blocks up to a leaf are compared flat.
 FANOUT = 32
-#: A shingle counts as often seen from this many documents on, and at most so many do.
-OFTEN, OFTEN_KEPT = 50, 1 << 20
+#: A word has a score from this many occurrences on; so many words at most have one, and so high at most.
+OFTEN, OFTEN_KEPT, SCORES = 8, 1 << 20, 50
 #: Rows of one shingle held at a time; a longer run is a block of its own and isn't merged with equal ones.
 RUN_HELD = 200_000
 #: Members of a block dealt to one task together.
@@ -42,10 +42,33 @@ PIECE = 1024
 BITMAP = 1 << 23
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of each text's runs of ``k`` words; all its words, if they are fewer."""
+class Rarity:
+    """Scores of words, 0 for the rarest: the logarithm of their number of occurrences."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.scores = words, np.minimum(np.log2(np.maximum(counts, 1)), SCORES).astype(np.int64)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.scores[at], 0)
+
+
+def shingle_sets(column: pa.Array, k: int, rarity: Rarity) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text: its runs of ``k`` words, or all its words if they are fewer.
+
+    A shingle is a number: in its top byte the summed scores of its words, below them a hash. So
+    rare shingles come first in order.
+    """
     h, _, _, first = word_hashes(*column_bytes(column), lower=True)
+    sums = np.concatenate([[0], np.cumsum(rarity.of(h))])
+
+    def numbers(hashes: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return (np.minimum(score, 255).astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+
     runs = windows_of(h, k)
+    runs = numbers(runs, sums[k:] - sums[:-k]) if len(runs) else runs
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
             u = np.sort(runs[a : b - k + 1])
@@ -54,48 +77,46 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             np.not_equal(u[1:], u[:-1], out=keep[1:])
             yield u[keep]
         else:
-            yield windows_of(h[a:b], b - a) if b > a else h[:0]
-
+            yield numbers(windows_of(h[a:b], b - a), sums[b : b + 1] - sums[a]) if b > a else h[:0]
 
-def _often(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
 
-        def out() -> pa.RecordBatch:
-            keys, n = tally.take()
-            some = n >= 3
-            return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["shingle", "n"])
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tally = Tally()
 
-        for b in chunks(batches):
-            if b.num_rows:
-                tally.add(np.concatenate(list(shingle_sets(b.column("text"), k))))
-            if tally.full():
-                yield out()
-        yield out()
+    def out() -> pa.RecordBatch:
+        keys, n = tally.take()
+        some = n >= 2
+        return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["word", "n"])
 
-    return run
+    for b in chunks(batches):
+        tally.add(word_hashes(*column_bytes(b.column("text")), lower=True)[0])
+        if tally.full():
+            yield out()
+    yield out()
 
 
-def often_seen(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that many documents hold. The choice steers the order only; any choice gives the same links."""
-    counts = docs.select("text").mapInArrow(_often(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+def rarities(docs: DataFrame) -> Rarity:
+    """Scores of the words that occur often. They steer the order of shingles only; any scores give the same links."""
+    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = stored(counts.where(F.col("n") >= OFTEN))
     least = OFTEN
     while often.where(F.col("n") >= least).count() > OFTEN_KEPT:
         least *= 2
-    column = often.where(F.col("n") >= least).select("shingle").toArrow().column("shingle").combine_chunks()
-    return np.sort(np.asarray(column).astype(np.int64).view(np.uint64))
+    got = often.where(F.col("n") >= least).toArrow()
+    words, n = np.asarray(got.column("word").combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(got.column("n").combine_chunks())
+    order = np.argsort(words)
+    return Rarity(words[order], n[order])
 
 
 _SKETCH = "doc_id long, n long, node long, check long, point binary, prefix array<long>"
 
 
-def _sketch(k: int, percent: int, often: np.ndarray):
+def _sketch(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in chunks(batches):
             rows = []
-            for u in shingle_sets(b.column("text"), k):
+            for u in shingle_sets(b.column("text"), k, shared.value):
                 n = len(u)
                 if not n:
                     rows.append((0, None, None, None, None))
@@ -107,15 +128,8 @@ def _sketch(k: int, percent: int, often: np.ndarray):
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
-                    length = n + percent * n // -100 + 1
-                    if len(often):
-                        at = np.searchsorted(often, u)
-                        last = often[np.minimum(at, len(often) - 1)] == u
-                        u2 = np.concatenate([u[~last], u[last]]) if last.any() else u
-                    else:
-                        u2 = u
-                    prefix = u2[:length].view(np.int64)
-                point = np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=GROUPS), LARGE).astype(np.uint16).tobytes()
+                    prefix = u[: n + percent * n // -100 + 1].view(np.int64)
+                point = np.minimum(np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), LARGE).astype(np.uint16).tobytes()
                 rows.append((n, node, check, point, prefix))
             n, node, check, point, prefix = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
@@ -316,13 +330,13 @@ def _linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(u) + len(v) - both)
 
 
-def _sets(k: int, bitmap: np.ndarray):
+def _sets(k: int, bitmap: np.ndarray, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slot = np.asarray(b.column("slot"))
             some = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
             for c in chunks([b.filter(pa.array(some.astype(bool)))]):
-                sets = [u.tobytes() or None for u in shingle_sets(c.column("text"), k)]
+                sets = [u.tobytes() or None for u in shingle_sets(c.column("text"), k, shared.value)]
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return run
@@ -332,12 +346,12 @@ def _slot(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(BITMAP))
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, shared) -> DataFrame:
     """Rows (doc_id, shingles) for the documents in ``nodes`` (rep), and perhaps some others."""
     words = nodes.select(_slot("rep").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
     bitmap[np.asarray(words.column("w").combine_chunks())] = np.asarray(words.column("bits").combine_chunks())
-    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64)), "doc_id long, shingles binary").where("shingles is not null")
+    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64), shared), "doc_id long, shingles binary").where("shingles is not null")
 
 
 def _verify(percent: int):
@@ -358,8 +372,8 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     to nothing and get a null component; rows that share a doc_id are one node.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    often = often_seen(read, k)
-    sketch = stored(read.mapInArrow(_sketch(k, percent, often), _SKETCH))
+    shared = docs.sparkSession.sparkContext.broadcast(rarities(read))
+    sketch = stored(read.mapInArrow(_sketch(k, percent, shared), _SKETCH))
     full = sketch.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("point").alias("point"), (F.min("check") != F.max("check")).alias("clash")))
     if classes.where("clash").limit(1).count():
@@ -377,7 +391,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     parts = dealt.select(F.xxhash64("block", "piece").alias("deal"), "rep", "n", "point")
     pairs = stored(in_groups(parts).mapInArrow(_leaders(percent), "a long, b long").where("a <> b").distinct())
-    sets = stored(whole_sets(read, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k))
+    sets = stored(whole_sets(read, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k, shared))
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     first = stored(both.mapInArrow(_verify(percent), "a long, b long"))
@@ -389,7 +403,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     meet = again.join(mixed, "block").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     meet = meet.select(F.xxhash64("block", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), "rep", "n", "point", "component")
     touched = stored(in_groups(meet).mapInArrow(_touched(percent), "deal long, rep long, n long, point binary, component long").where("rep is not null"))
-    sets = whole_sets(read, touched.select("rep").distinct(), k).withColumnRenamed("doc_id", "rep")
+    sets = whole_sets(read, touched.select("rep").distinct(), k, shared).withColumnRenamed("doc_id", "rep")
     second = stored(in_groups(touched.join(sets, "rep")).mapInArrow(_joined_up(percent), "a long, b long").distinct())
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 

@@ -67,7 +67,7 @@ def classes(rows, k, percent):
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 50)])
 def test_ngram_join(docs, rows, k, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "OFTEN", 4)
+    monkeypatch.setattr(ngram_join, "OFTEN", 2)
     monkeypatch.setattr(ngram_join, "PIECE", 3)
     assert Counter(tuple(r) for r in ngram_join.ngram_classes(docs, k, percent).collect()) == classes(rows, k, percent)
 
