@@ -111,6 +111,12 @@ def rarities(docs: DataFrame) -> Rarity:
 _SKETCH = "doc_id long, n long, node long, check long, point binary, prefix array<long>"
 
 
+def _digest(shingles: bytes) -> tuple[int, int]:
+    """Two whole numbers that name a set."""
+    digest = xxhash.xxh3_128_intdigest(shingles)
+    return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (digest & (1 << 64) - 1, digest >> 64))
+
+
 def _sketch(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -121,8 +127,7 @@ def _sketch(k: int, percent: int, shared):
                 if not n:
                     rows.append((0, None, None, None, None))
                     continue
-                digest = xxhash.xxh3_128_intdigest(u.tobytes())
-                node, check = (x - (1 << 64) if x >= 1 << 63 else x for x in (digest & (1 << 64) - 1, digest >> 64))
+                node, check = _digest(u.tobytes())
                 prefix = None
                 if node not in seen:  # a copy's prefix has been sent by this task
                     if len(seen) > 200_000:
@@ -273,13 +278,14 @@ def _leaders(percent: int):
 
 
 def _touched(percent: int):
-    """The members of a group whose bound allows a link with one of another component."""
+    """The members of a group whose bound allows a link with one of another component, each with the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "deal"):
             component = np.asarray(rows.column("component").combine_chunks())
-            keep = np.zeros(rows.num_rows, bool)
-            for s, e, _, n, point in _members(rows):
+            found = []
+            for s, e, rep, n, point in _members(rows):
+                keep = np.zeros(e - s, bool)
                 own = component[s:e]
                 if (own == own[0]).all():
                     continue
@@ -288,9 +294,14 @@ def _touched(percent: int):
                     j = tree.search(int(n[i]), point[i], i)
                     j = j[own[j] != own[i]]
                     if len(j):
-                        keep[s + i] = True
-                        keep[s + j] = True
-            yield from rows.select(["deal", "rep", "n", "point", "component"]).filter(pa.array(keep)).combine_chunks().to_batches()
+                        keep[i] = True
+                        keep[j] = True
+                if keep.any():
+                    some = np.unique(rep[keep])
+                    found.append(np.stack([some, np.full(len(some), some[0])], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -337,7 +348,8 @@ def _sets(k: int, bitmap: np.ndarray, shared):
             some = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
             for c in chunks([b.filter(pa.array(some.astype(bool)))]):
                 sets = [u.tobytes() or None for u in shingle_sets(c.column("text"), k, shared.value)]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                nodes = [None if x is None else _digest(x)[0] for x in sets]
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "node", "shingles"])
 
     return run
 
@@ -347,11 +359,11 @@ def _slot(doc_id: str) -> Column:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, shared) -> DataFrame:
-    """Rows (doc_id, shingles) for the documents in ``nodes`` (rep), and perhaps some others."""
+    """Rows (doc_id, node, shingles) for the documents in ``nodes`` (rep), and perhaps some others."""
     words = nodes.select(_slot("rep").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
     bitmap[np.asarray(words.column("w").combine_chunks())] = np.asarray(words.column("bits").combine_chunks())
-    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64), shared), "doc_id long, shingles binary").where("shingles is not null")
+    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64), shared), "doc_id long, node long, shingles binary").where("shingles is not null")
 
 
 def _verify(percent: int):
@@ -402,9 +414,17 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     mixed = again.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("block")
     meet = again.join(mixed, "block").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     meet = meet.select(F.xxhash64("block", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), "rep", "n", "point", "component")
-    touched = stored(in_groups(meet).mapInArrow(_touched(percent), "deal long, rep long, n long, point binary, component long").where("rep is not null"))
-    sets = whole_sets(read, touched.select("rep").distinct(), k, shared).withColumnRenamed("doc_id", "rep")
-    second = stored(in_groups(touched.join(sets, "rep")).mapInArrow(_joined_up(percent), "a long, b long").distinct())
+    touched = stored(in_groups(meet).mapInArrow(_touched(percent), "a long, b long").distinct())
+
+    # what may still link, in whichever blocks, comes together once: a set is sent for a cluster, not for each block
+    cluster = stored(components(touched).select(F.col("node").alias("rep"), F.col("component").alias("cluster")))
+    halves = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    own = cluster.join(halves, "cluster").join(classes.select("rep", "node", "n", "point"), "rep").join(found, "rep", "left")
+    sets = whole_sets(read, cluster.select("rep"), k, shared).withColumnRenamed("doc_id", "rep")
+    own = own.withColumn("component", F.coalesce("component", "rep")).join(sets, ["rep", "node"]).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    own = own.select(F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), "rep", "n", "point", "component", "shingles")
+    second = stored(in_groups(own).mapInArrow(_joined_up(percent), "a long, b long").distinct())
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
     of_node = classes.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
