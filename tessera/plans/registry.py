@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators import diff, lossiness, sample, stats, validate
+from tessera.plans import roundtrips
 from tessera.plans.tables import WITH, WITH_CHANGED, derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,7 +211,7 @@ GEOMETRY: dict[str, tuple[Query, str]] = {
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY
+    return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY | roundtrips.queries()
 
 
 def queries() -> dict[str, Query]:
