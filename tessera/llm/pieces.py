@@ -27,7 +27,7 @@ from .textops import _powers_of, chunks, spread
 MODEL, ALPHA = "/opt/tokenizers/piece_bpe_32k.model", 1.0
 SEED = 17
 #: Bytes of text encoded at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Lengths of pieces looked at first.
 _NEAR = 8

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +110,17 @@ def windows_of(h: np.ndarray, k: int) -> np.ndarray:
     return spread(out)
 
 
+def give_back() -> None:
+    """Return what freed arrays leave behind to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches where their text passes ``limit`` bytes; a row stays whole."""
+    give_back()
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
         start, total = 0, 0
@@ -121,6 +131,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
                 start, total = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 class Tally:
