@@ -11,6 +11,7 @@ from tessera.functions import geometry as g
 from tessera.operators import diff, lossiness, sample, stats, validate
 from tessera.plans import roundtrips
 from tessera.plans.tables import WITH, WITH_CHANGED, derived
+from tessera.sources.common import from_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,8 +211,23 @@ GEOMETRY: dict[str, tuple[Query, str]] = {
 }
 
 
+def _raw(ds) -> DataFrame:
+    """What a reader without ids yields: boxes with file names and labels."""
+    i, c = ds.images.select(F.col("id").alias("_i"), "file_name"), ds.categories.select(F.col("id").alias("_c"), F.col("name").alias("label"))
+    rows = ds.annotations.join(i, F.col("image_id") == F.col("_i")).join(c, F.col("category_id") == F.col("_c"))
+    return rows.select("file_name", "label", *g.box()._fields, "_ord")
+
+
+_JOINED = "annotations JOIN images i ON image_id = i.id JOIN categories c ON category_id = c.id"
+IDS: dict[str, tuple[Query, str]] = {
+    "id_assignment_lex": (_on(lambda ds: from_raw(None, _raw(ds)).categories.select("id", "name")), f"{WITH}, n AS (SELECT DISTINCT c.name FROM {_JOINED}) SELECT row_number() OVER (ORDER BY name) AS id, name FROM n"),
+    "dims_inference": (_on(lambda ds: from_raw(None, _raw(ds)).images.select("file_name", "width", "height")), f"""{WITH} SELECT file_name, CAST(greatest(ceil(max(xmax)), 1) AS BIGINT) AS width, CAST(greatest(ceil(max(ymax)), 1) AS BIGINT) AS height
+        FROM {_JOINED} GROUP BY file_name"""),
+}
+
+
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY | roundtrips.queries()
+    return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY | IDS | roundtrips.queries()
 
 
 def queries() -> dict[str, Query]:
