@@ -39,3 +39,48 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate < 0.5 AS kept, round(rate, 6) AS host_rate
 FROM judged JOIN verdicts ON judged.host IS NOT DISTINCT FROM verdicts.host
 """
+
+REMOVED_REPEATS = r"""
+WITH t AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+), windows AS (
+  SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS win, count(*) OVER w AS n
+  FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), judged AS (
+  SELECT doc_id, pos, word, n = 13 AND doc_id > min(doc_id) FILTER (n = 13) OVER (PARTITION BY win) AS bad FROM windows
+), covered AS (
+  SELECT doc_id, pos, word, max(CAST(bad AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM judged
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+NGRAM_CLASSES = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n_words
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)
+), runs AS (
+  SELECT doc_id, pos, n_words, string_agg(word, ' ') OVER w AS run, count(*) OVER w AS n
+  FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)
+), shingles AS (
+  SELECT DISTINCT doc_id, run FROM runs WHERE n = 4 OR n_words < 4 AND pos = 1
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN sizes s ON s.doc_id = a JOIN sizes u ON u.doc_id = b WHERE 100 * c >= 85 * (s.n + u.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM both_ways
+  UNION
+  SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+), low AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
