@@ -217,6 +217,34 @@ def test_trie_is_a_distribution(docs):
             assert abs((10 ** trie.log10(head + np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("most", [1, 50, 1 << 20])
+def test_lm_scores_by_every_run(docs, rows, monkeypatch, most):
+    """Whatever is sent to the tasks, the scores are those of a model of all counted runs."""
+    from pyspark.sql import functions as F
+
+    texts = [b" ".join(split(t)).lower() for _, t, *_ in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
+    symbols = lambda x: [((b"\xff" * 5 + x)[i : i + 5], s) for i, s in enumerate(x + b"\xff")]
+    after = defaultdict(Counter)
+    for h, x in zip(held, texts, strict=True):
+        for c, s in symbols(x) if not h else ():
+            for j in range(6):
+                after[c[5 - j :]][s] += 1
+
+    def log(c, s, shut=frozenset(), j=5):
+        if j < 0:
+            return -math.log10(256 - len(shut))
+        seen = after.get(c[5 - j :])
+        if seen is None:
+            return log(c, s, shut, j - 1)
+        total, escape = sum(n for x, n in seen.items() if x not in shut), max(len(seen) - len(shut), 1)
+        return math.log10(seen[s] / (total + escape)) if s in seen else math.log10(escape / (total + escape)) + log(c, s, frozenset(seen), j - 1)
+
+    monkeypatch.setattr(lm_scoring, "TRIE", most)
+    got = Counter((r.doc_id, round(r.score, 5)) for r in lm_scoring.score(docs, ~lm_scoring.in_turn(F.col("doc_id"), 1)).collect())
+    assert got == Counter((i, round(sum(log(*x) for x in symbols(t)), 5)) for (i, *_), t in zip(rows, texts, strict=True))
+
+
 def test_pieces_are_lossless_and_stable(docs, rows):
     encoded = pieces.encode(docs)
     got = Counter((r.doc_id, r.text) for r in pieces.decode(encoded).collect())
