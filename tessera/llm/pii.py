@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and terms that give away whom a document is about.
 
 Patterns find e-mail, IP, card and phone values; these are the protected entities. Following
-information-theoretic sanitisation, the corpus tells how strongly a term near an entity reveals
-it: the share of the term's documents that hold the entity (its disclosure) and the pointwise
+information-theoretic sanitisation, the corpus tells how strongly a term in an entity's documents
+reveals it: the share of the term's documents that hold the entity (its disclosure) and the pointwise
 mutual information of the two. Terms beyond both thresholds are marked in the documents that
 hold the entity, and sanitising generalises or removes them with the entities.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small, stored
 
 #: The order of kinds, and the patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -30,11 +30,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TERM = re.compile(r"[^\W\d_][\w'-]*[\w]", re.UNICODE)
 
-#: Words on either side of an entity whose terms are weighed.
-NEAR = 12
 #: A term reveals an entity if this share of its documents hold it, with this much mutual information (bits), over this many documents.
 DISCLOSURE, INFORMATION, SUPPORT = 0.5, 6.0, 3
 #: Distinct words that a task counts before it passes the counts on.
@@ -88,34 +85,31 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, list[int]]]:
-    """(entity, term, [start, end, ...]) for terms within ``NEAR`` words of the entity's spans, outside any span."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = [a for a, _ in words]
-    taken = sorted((a, b) for _, a, b in spans)
-    found: dict[tuple[str, str], dict[int, int]] = {}
-    for kind, a, b in spans:
-        entity = f"{kind}:{text[a:b].lower()}"
-        lo, hi = max(0, bisect_right(starts, a) - 1 - NEAR), bisect_left(starts, b) + NEAR
-        for s, e in words[lo:hi]:
-            m = _TERM.search(text, s, e)
-            if not m:
-                continue
-            i = bisect_left(taken, (m.end(), 0)) - 1
-            if i >= 0 and any(x < m.end() and m.start() < y for x, y in taken[max(0, i - 8) : i + 1]):
-                continue
-            found.setdefault((entity, m[0].lower()), {})[m.start()] = m.end()
-    return [(e, t, [x for p in sorted(at.items()) for x in p]) for (e, t), at in found.items()]
-
-
-_NEAR = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+    """The terms of a text outside the spans, in lower case, with the [start, end, ...] of every occurrence."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    found: dict[str, list[int]] = {}
+    for m in _TERM.finditer(text):
+        i = bisect_left(starts, m.end()) - 1
+        if i < 0 or ends[i] <= m.start():
+            found.setdefault(m[0].lower(), []).extend(m.span())
+    return found
+
+
+_TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
 _FOUND = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("base", T.StringType()), T.StructField("near", _NEAR), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("base", T.StringType()), T.StructField("entities", T.ArrayType(T.StringType())), T.StructField("terms", _TERMS), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
 )
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows (term, n): in how many of a task's documents a word stands near nothing in particular."""
+    """A row for each document, with entities and terms if it has spans, and rows (term, n): how many of a task's documents hold a term."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(_FOUND)
@@ -124,47 +118,46 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counts() -> pa.RecordBatch:
         terms, ns = list(seen.keys()), list(seen.values())
         nulls = [None] * len(terms)
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([nulls, nulls, nulls, nulls, terms, ns], schema, strict=True)], schema=schema)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([nulls, nulls, nulls, nulls, nulls, terms, ns], schema, strict=True)], schema=schema)
         seen.clear()
         return batch
 
     for b in batches:
-        base, near = [], []
+        base, entities, held = [], [], []
         for text in b.column("text").to_pylist():
             text = text or ""
-            seen.update(_terms(text))
             spans = base_spans(text)
             base.append(_joined(spans))
-            near.append([{"entity": e, "term": t, "at": at} for e, t, at in _near_terms(text, spans)] if spans else None)
+            if spans:
+                terms = _terms(text, spans)
+                seen.update(terms.keys())
+                entities.append(sorted({f"{kind}:{text[x:y].lower()}" for kind, x, y in spans}))
+                held.append([{"term": t, "at": at} for t, at in terms.items()])
+            else:
+                seen.update({t.lower() for t in set(_TERM.findall(text))})
+                entities.append(None), held.append(None)
             if len(seen) > COUNTED:
                 yield counts()
         nulls = [None] * b.num_rows
         digest = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([b.column("doc_id").to_pylist(), digest, base, near, nulls, nulls], schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([b.column("doc_id").to_pylist(), digest, base, entities, held, nulls, nulls], schema, strict=True)], schema=schema)
     yield counts()
 
 
-_STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
-
-
-def _terms(text: str) -> set[str]:
-    """The distinct terms of a text: its words in lower case without marks at their ends."""
-    return {w.strip(_STRIP) for w in set(text.lower().split())}
-
-
 def reveal(found: DataFrame) -> DataFrame:
     """Rows (entity, term) beyond the thresholds, from ``_find``'s rows."""
     docs = found.where("part is not null")
     total = docs.count()
-    pairs = docs.where("near is not null").select("doc_id", "part", F.inline("near"))
+    each = docs.where("entities is not null").select(F.explode("entities").alias("entity"), F.col("terms.term").alias("terms"))
+    # a term meets an entity in no more documents than hold the entity
+    holds = stored(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).where(F.col("entity_docs") >= SUPPORT))
+    pairs = each.join(small(holds.select("entity")), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    holds = pairs.select("doc_id", "part", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
     strong = together.where(F.col("both") >= SUPPORT).join(holds, "entity")
     of_term = found.where("part is null").groupBy("term").agg(F.sum("n").alias("term_docs"))
     weighed = strong.join(of_term, "term")
-    term_docs = F.greatest("term_docs", "both")
-    information = F.log2(F.col("both") * F.lit(float(max(1, total))) / (F.col("entity_docs") * term_docs))
-    return weighed.where((F.col("both") / term_docs >= DISCLOSURE) & (information >= INFORMATION)).select("entity", "term")
+    information = F.log2(F.col("both") * F.lit(float(max(1, total))) / (F.col("entity_docs") * F.col("term_docs")))
+    return weighed.where((F.col("both") / F.col("term_docs") >= DISCLOSURE) & (information >= INFORMATION)).select("entity", "term")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -174,9 +167,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     count as empty. Documents that are copies count each in the corpus's statistics.
     """
     found = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, _FOUND))
-    marks = reveal(found)
-    near = found.where("near is not null").select("doc_id", "part", F.inline("near")).join(marks, ["entity", "term"])
-    spans = near.select("doc_id", "part", F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", i + 1).alias("b")))).alias("s"))
+    marks = stored(reveal(found))
+    held = found.where("entities is not null").select("doc_id", "part", F.explode("entities").alias("entity"), "terms")
+    held = held.join(small(marks.select("entity").distinct()), "entity", "left_semi").select("doc_id", "part", "entity", F.inline("terms"))
+    spans = held.join(small(marks), ["entity", "term"]).select("doc_id", "part", F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", i + 1).alias("b")))).alias("s"))
     spans = spans.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set("s")).alias("s"))
     extra = spans.select("doc_id", "part", F.array_join(F.transform("s", lambda s: F.concat(F.lit("term:"), s["a"].cast("string"), F.lit(":"), s["b"].cast("string"))), ",").alias("extra"))
     d, e = found.where("part is not null").select("doc_id", "part", "base").alias("d"), extra.alias("e")

@@ -182,6 +182,16 @@ def test_pii_terms_that_reveal(docs, rows, monkeypatch):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    """A revealing name goes wherever it stands: far from the entity, after a colon, after a slash; unrelated words stay."""
+    far = "Dear Zebulon, " + "plain words go here " * 10
+    rows = [(i, f"{far} {i} name:Quux/Jones {far} z@spy.org") for i in range(4)] + [(i, "dear plain words go here name") for i in range(10, 600)]
+    clean = [r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 10").collect()]
+    assert len(clean) == 4
+    for t in clean:
+        assert t.count("<TERM>") == 4 and not re.search("(?i)zebulon|quux|jones|spy", t) and t.count("Dear") == 2 and "name:<TERM>/<TERM>" in t
+
+
 def test_lm_scoring(docs, rows):
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
     words = [[x.lower() for x in split(t)] + [None] for _, t, *_ in rows]
