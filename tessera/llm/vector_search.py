@@ -66,7 +66,7 @@ CODES = "vec_id long, code binary, length double, along double, near double, v a
 
 
 def index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The codes of every row of (vec_id, v), stored, and the centre. Vectors of another length than the most common raise."""
+    """The codes of the distinct rows of (vec_id, v), stored, and the centre. Vectors of another length than the most common raise."""
     dims = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(2).collect()
     if not dims:
         return vectors.sparkSession.createDataFrame([], CODES), np.zeros(1)
@@ -74,11 +74,11 @@ def index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
         raise ValueError("vectors differ in length")
     dim = dims[0]["d"]
     centre = np.array(vectors.select(*[F.avg(F.get("v", i)).alias(f"c{i}") for i in range(dim)]).first())
-    return stored(vectors.mapInArrow(_coder(centre, rotation(dim)), CODES)), centre
+    return stored(vectors.dropDuplicates(["vec_id", "v"]).mapInArrow(_coder(centre, rotation(dim)), CODES)), centre
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int):
-    """Over a task's codes: each query's best ``k`` rows of that task, scored exactly."""
+    """Over a task's codes: each query's best ``k`` ids of that task, scored exactly."""
     dim = queries.shape[1]
     moved = (queries - centre) @ turn
     base = queries @ centre - centre @ centre
@@ -106,6 +106,9 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.nda
                 ones = np.bitwise_count(code).sum(axis=1).astype(np.float64)
                 length, along, near = (np.asarray(b.column(c)) for c in ("length", "along", "near"))
                 along = np.where(along > 0, along, 1)
+                # ids with several vectors count once: where each id's rows begin, in order of the ids
+                by_id = np.argsort(own, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], own[by_id][1:] != own[by_id][:-1]]))
                 for q0 in range(0, len(ids), 256):
                     q = slice(q0, min(q0 + 256, len(ids)))
                     meet = np.zeros((q.stop - q0, len(own)))
@@ -118,8 +121,11 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.nda
                     room = length * np.sqrt(1 - np.minimum(along, 1) ** 2) / along / np.sqrt(max(1, dim - 1)) * EPSILON * span[q, None]
                     room += length / along * (step[q, None] / 2)
                     floor = best_s[q, -1]
-                    if len(own) > k:
-                        floor = np.maximum(floor, np.partition(guess - room, len(own) - k - 1, axis=1)[:, len(own) - k - 1])
+                    if len(begin) > k:
+                        sure = guess - room
+                        if len(begin) < len(own):
+                            sure = np.maximum.reduceat(sure[:, by_id], begin, axis=1)
+                        floor = np.maximum(floor, np.partition(sure, len(begin) - k - 1, axis=1)[:, len(begin) - k - 1])
                     r, c = np.nonzero(guess + room >= floor[:, None])
                     keep = ids[q0 + r] != own[c]
                     r, c = r[keep], c[keep]
@@ -132,6 +138,10 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.nda
                     r_all = np.concatenate([r, np.repeat(rows, k)])
                     s_all = np.concatenate([score, best_s[q0 + rows].ravel()])
                     i_all = np.concatenate([own[c], best_i[q0 + rows].ravel()])
+                    order = np.lexsort((-s_all, i_all, r_all))
+                    r_all, s_all, i_all = r_all[order], s_all[order], i_all[order]
+                    again = np.flatnonzero((r_all[1:] == r_all[:-1]) & (i_all[1:] == i_all[:-1])) + 1
+                    s_all[again], i_all[again] = -np.inf, np.iinfo(np.int64).max
                     order = np.lexsort((i_all, -s_all, r_all))
                     r_all, s_all, i_all = r_all[order], s_all[order], i_all[order]
                     first = np.searchsorted(r_all, rows)

@@ -32,3 +32,19 @@ def test_few_rows_and_none(spark):
     assert vector_search.nearest(df.where("vec_id > 5"), "vec_id", "embedding", 20).count() == 0
     one = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert vector_search.nearest(one, "vec_id", "embedding", 20).count() == 0
+
+
+def test_repeated_ids_take_one_place(spark):
+    """Copies of a near row, and an id with many near vectors, leave the other neighbours in."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((60, 16)) + 2
+    rows = [(i + 1, x.tolist()) for i, x in enumerate(v[1:], 1)] + [(0, v[0].tolist())]
+    rows += [(101, (v[0] * 9).tolist())] * 200 + [(103, (v[0] * (5 + i / 100)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {r.vec_id: r.score for r in vector_search.nearest(df, "vec_id", "embedding", 1000).where("query_id = 0").collect()}
+    best = {}
+    for i, x in rows:
+        best[i] = max(best.get(i, -np.inf), float(np.dot(x, v[0])))
+    want = sorted((i for i in best if i), key=lambda i: -best[i])[:20]
+    assert len(got) == 20 and len(set(got) & set(want)) >= 19 and {101, 103} <= set(got)
+    assert all(abs(s - best[i]) < 1e-9 for i, s in got.items())
