@@ -3,7 +3,7 @@
 A text is brought to a canonical form in which differences of case, punctuation, spacing,
 copyright lines and equivalent spellings vanish. The SHA-256 of the form is looked up among the
 digests of known licence texts with a hash join. The same lookup runs over each line, which
-finds one-line notices inside a longer document.
+finds notices and texts laid out as one line inside a longer document.
 """
 
 from __future__ import annotations
@@ -116,10 +116,6 @@ def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-#: Characters of a line that may be a notice; the longest known one-line notice is far shorter.
-LINE_CHARS = 400
-
-
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (doc_id, canon_sha256, license_id, notices), one for each document.
 
@@ -128,10 +124,8 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     the empty form matches nothing. ``known`` (digest, license_id) is a curated list and is
     broadcast; an id listed for two equal texts counts once.
     """
-    cue = r"(?i)licen[cs]|copyright|permission|redistribut|warrant|public domain"
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) <= LINE_CHARS) & F.rlike(x, F.lit(cue)))
-    lines = F.when(F.rlike("text", F.lit(cue)), lines).otherwise(F.array().cast("array<string>"))
+    lines = F.split("text", "\n")
     forms = read.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canon_sha256"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
     empty = F.sha2(F.lit(""), 256)
     listed = F.broadcast(known.where(F.col("digest") != empty).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("ids")))

@@ -295,6 +295,14 @@ def test_license_scan(spark):
     assert got == [(1, "MIT", ""), (2, "MIT", ""), (2, "MIT", ""), (3, None, ""), (4, None, "MIT"), (5, None, ""), (6, None, "")]
 
 
+def test_license_lines_of_any_length_and_wording(spark):
+    one = licenses.KNOWN[1][1].replace("\n", " ")
+    rows = [(1, "About.\n" + one + "\nEnd."), (2, "About.\nReleased under " + "-" * 500 + " the MIT License."), (3, "About.\nDo as you like!\nEnd."), (4, "About.\nEnd.")]
+    known = licenses.known_licenses(spark, [*licenses.KNOWN, ("Free", "do as you like")])
+    got = sorted((r.doc_id, r.license_id, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect())
+    assert got == [(1, None, "MIT"), (2, None, "MIT"), (3, None, "Free"), (4, None, "")]
+
+
 def test_classifier(spark, docs):
     import random
 
