@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 IMAGES = "id long, file_name string, width long, height long, license_id long, date_captured string, attributes map<string,string>, _ord long"
 CATEGORIES = "id long, name string, supercategory string, _ord long"
 ANNOTATIONS = "id long, image_id long, category_id long, xmin double, ymin double, xmax double, ymax double, confidence double, attributes map<string,string>, _ord long"
@@ -67,13 +69,13 @@ def latest(df: DataFrame, key: str = "id") -> DataFrame:
 def numbered(df: DataFrame, *order, name: str = "_n", start: int = 1) -> DataFrame:
     """Number rows ``start``, ``start`` + 1, ... in order, without gathering them in one task.
 
-    Rows are range-partitioned and sorted; only the partitions' sizes meet.
+    Rows are range-partitioned, sorted and stored with their partition and their place in it, so
+    that every later use sees the same partitions; only the partitions' sizes meet.
     """
-    from pyspark.sql import Window
-
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    sorted_ = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return sorted_.withColumn("_own", own).join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, F.col("_own") + F.col("_before") + (start - 1)).drop("_p", "_q", "_own", "_before")
+    # the low bits of the id count rows within a partition
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_own": place}))
+    sizes = parts.groupBy("_p").agg(F.max("_own").alias("_last"))
+    before = sizes.select(F.col("_p").alias("_q"), (F.sum(F.col("_last") + 1).over(Window.orderBy("_p")) - F.col("_last") - 1).alias("_before"))
+    return parts.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, F.col("_own") + F.col("_before") + start).drop("_p", "_q", "_own", "_before")

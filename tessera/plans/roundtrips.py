@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from tessera.functions.geometry import box, ordered
 from tessera.model import AnnotationDataset
 from tessera.plans.tables import WITH, derived
 from tessera.sources import FORMATS
+from tessera.storage import new_folder
 
 #: Formats of few files whose readers find image sizes in the files themselves. Formats with a file for each image are covered by tests.
 ROW_FORMATS = ("tfod", "udacity", "kaggle-wheat", "retinanet", "vott-csv", "via-csv", "hf", "sagemaker", "labelbox")
@@ -20,14 +19,6 @@ DOCUMENT_FORMATS = (
     "ir-json", "coco", "create-ml", "bdd100k", "v7-darwin", "label-studio", "scale-ai", "datumaro", "edge-impulse", "via", "vott-json", "openlabel", "cvat", "tfrecord", "wider-face",
 )
 TEXT_FORMATS = ("yolo-keras", "yolov4-pytorch")
-#: Documents that a written dataset is cut into.
-SHARDS = 8
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/format-{uuid.uuid4().hex}"
 
 
 def clean(ds: AnnotationDataset) -> AnnotationDataset:
@@ -49,10 +40,9 @@ def boxes_of(ds: AnnotationDataset) -> DataFrame:
 
 def round_trip(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        at = _folder(spark)
+        at = new_folder(spark)
         f = FORMATS[name]
-        sharded = {"shards": SHARDS} if name in DOCUMENT_FORMATS else {}
-        f.write(clean(derived(spark, sf_dir)), at, **sharded)
+        f.write(clean(derived(spark, sf_dir)), at)
         return boxes_of(f.read(spark, at))
 
     return run

@@ -2,21 +2,24 @@
 
 A reader yields images (file_name, width, height, ...) and annotations (file_name, label, box, ...)
 in source order; ``from_raw`` gives them ids. A writer starts from ``per_row`` or ``per_image``.
-Writers make a directory of part files; ``shards`` says in how many documents a format that
-is one JSON or XML document is cut, one by default.
+Writers make a directory of part files. A format that is one JSON or XML document becomes several
+whole documents where the data is large; ``shards`` says how many, if not left to the number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box
 from tessera.model import AnnotationDataset, dataset, latest, numbered
+from tessera.storage import qualified
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -168,41 +171,97 @@ def write_lines(rows: DataFrame, path: str, *order: str, header: str | None = No
     sorted_.write.text(path)
 
 
-def write_documents(parts: DataFrame, path: str, wrap: Callable[[Column], Column], shards: int = 1) -> None:
-    """Write documents from rows (key, part): ``wrap`` makes a document of the array of a shard's parts in order of key.
+#: Rows that a document holds where its number is left open.
+DOCUMENT_ROWS = 50_000
 
-    A shard is one file, read and held as a whole; large data is written in many.
+
+def shards_for(ds: AnnotationDataset) -> int:
+    """Documents that a dataset is cut into: their size stays the same however large it is."""
+    return max(1, -(-(ds.images.count() + ds.annotations.count()) // DOCUMENT_ROWS))
+
+
+def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: str, between: str = ",", middle: str = "") -> None:
+    """Write documents from rows (key, part) and perhaps ``section`` (0 or 1), each document's parts in order of section and key.
+
+    A document is ``head``, its parts with ``between`` before all but the first of a section, and
+    ``tail``; ``middle`` stands before section 1. Documents pass through tasks as streams.
     """
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    docs = parts.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("key", "part"))).alias("_p"))
-    docs = docs.select("shard", wrap(F.transform("_p", lambda x: x["part"])).alias("value"))
-    docs.write.partitionBy("shard").text(path)
+    section = F.col("section") if "section" in parts.columns else F.lit(0)
+    rows = parts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), section.alias("section"), "key", *[c for c in ("place",) if c in parts.columns], "part")
+    order = [c for c in rows.columns if c not in ("shard", "part")]
+    split = bool(middle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = -1
+        for b in batches:
+            out = []
+            for now, part in zip(b.column("section").to_pylist(), b.column("part").to_pylist(), strict=True):
+                lead = between if at == now else ("" if at >= 0 else head) + (middle if now else "")
+                at = now
+                out.append(lead + part)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if at >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([(middle if split and at == 0 else "") + tail], pa.string())], ["value"])
+
+    if parts.isEmpty():
+        docs = parts.sparkSession.createDataFrame([(head + middle + tail,)], "value string")
+    else:
+        docs = rows.repartitionById(shards, "shard").sortWithinPartitions(*order).select("section", "part").mapInArrow(run, "value string")
+    docs.write.text(path)
 
 
-def json_array(parts: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(parts, ",\n"), F.lit("]"))
+def _store(root: str):
+    """The file system of a folder and the folder's path in it."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(root)
 
-def write_files(files: DataFrame, root: str) -> None:
-    """Write rows (name, content) as files below ``root``, from the tasks that hold them; content is text or bytes.
 
-    Each file is written beside its place and renamed, so a task that is run again leaves whole files.
-    """
+def _put(store, at: str, chunks: Iterator[bytes]) -> None:
+    """Write a file beside its place and rename it, so a task that is run again leaves whole files."""
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at + ".part") as out:
+        for chunk in chunks:
+            out.write(chunk)
+    store.move(at + ".part", at)
+
+
+def safe(name: Column) -> Column:
+    """``name``, or an error unless it is a relative path that stays below its folder."""
+    leaves = F.rlike(name, F.lit(r"^\s*$|^\s*[/\\]|^\s*[A-Za-z]:([/\\]|$)|(^|[/\\])\.\.([/\\]|\s*$)"))
+    return require(~leaves, F.concat(F.lit("not a path below the folder: "), F.coalesce(name, F.lit(""))), name)
 
-    def run(batches):
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+def write_files(files: DataFrame, root: str) -> None:
+    """Write rows (name, content) as files below ``root``, from the tasks that hold them; content is text or bytes."""
+    root = qualified(files.sparkSession, root)
+
+    def run(batches):
+        store, base = _store(root)
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
-                at = f"{base}/{name}"
-                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(at + ".part") as out:
-                    out.write(content if isinstance(content, bytes) else content.encode())
-                store.move(at + ".part", at)
+                _put(store, f"{base}/{name}", iter([content if isinstance(content, bytes) else content.encode()]))
             yield b.select(["name"])
 
-    files.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    files.select(safe(F.col("name")).alias("name"), "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def write_partitions(rows: DataFrame, root: str, name: str) -> None:
+    """Write each partition's ``content`` bytes, in its order, as one file; ``name`` is a format with the partition's number."""
+    root = qualified(rows.sparkSession, root)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        store, base = _store(root)
+        at = name % TaskContext.get().partitionId()
+        some = (content for b in batches for content in b.column("content").to_pylist())
+        first = next(some, None)
+        if first is not None:
+            _put(store, f"{base}/{at}", chain([first], some))
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.string())], ["name"])
+
+    rows.select("content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def size_of(data: bytes) -> tuple[int, int] | None:
@@ -230,15 +289,23 @@ def size_of(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+#: Bytes of an image that are looked at first; a size that stands further back takes the whole file.
+_HEAD = 1 << 16
+_PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ("png", "jpg", "jpeg", "bmp", "gif", "webp")) + "}"
+
+
 def image_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (name, width, height) of the image files below ``root``, by path below it."""
+    """Rows (name, width, height) of the image files below ``root``, by path below it. A file without a readable size is an error."""
     @F.pandas_udf("width long, height long")
-    def probe(head: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([size_of(x) or (None, None) for x in head], columns=["width", "height"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,gif,webp,PNG,JPG,JPEG,BMP}").load(root)
-    got = files.select(relative(F.col("path"), root).alias("name"), F.substring("content", 1, 1 << 18).alias("head")).select("name", probe("head").alias("s"))
-    return got.select(F.regexp_replace("name", "^images/", "").alias("name"), "s.width", "s.height")
+    def probe(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None if x is None else size_of(x)) or (None, None) for x in data], columns=["width", "height"], dtype="Int64")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _PICTURES).load(root)
+    got = files.select(relative(F.col("path"), root).alias("name"), "content", probe(F.substring("content", 1, _HEAD)).alias("s"))
+    got = got.select("name", "s", probe(F.when(F.col("s.width").isNull(), F.col("content"))).alias("t"))
+    width = F.coalesce("s.width", "t.width")
+    width = require(width.isNotNull(), F.concat(F.lit("no size found in image "), F.col("name")), width)
+    return got.select(F.regexp_replace("name", "^images/", "").alias("name"), width.alias("width"), F.coalesce("s.height", "t.height").alias("height"))
 
 
 def with_sizes(annotations: DataFrame, images: DataFrame | None, spark: SparkSession, root: str | None) -> DataFrame | None:

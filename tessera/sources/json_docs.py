@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_percent, from_xywh, rotated_envelope, to_cxcywh, to_normalized, to_percent, to_pixel
 from tessera.model import INFO, AnnotationDataset, dataset
 
-from .common import annotations_of, basename, documents, from_raw, json_array, lines, per_image, register, require, stem, with_sizes, write_documents, write_lines
+from .common import annotations_of, basename, documents, from_raw, lines, per_image, register, require, shards_for, stem, with_sizes, write_documents, write_lines
 
 
 def _obj(**fields: Column) -> Column:
@@ -20,10 +20,6 @@ def _xywh(b: Box | None = None) -> dict[str, Column]:
     return dict(zip(("x", "y", "width", "height"), (b.xmin, b.ymin, b.xmax - b.xmin, b.ymax - b.ymin), strict=True))
 
 
-def _items(parts: Column) -> Column:
-    return json_array(parts)
-
-
 def _ord(*places: str) -> Column:
     return F.struct(*[F.col(p) for p in places]).alias("_ord")
 
@@ -55,16 +51,23 @@ class IrJson:
         return dataset(_listed(docs, "images").drop("path"), c, a, _listed(docs, "licenses").drop("path", "_ord").distinct(), info)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         none = lambda m: F.when(F.size(m) > 0, m)
         item = _obj(id=F.col("id"), image_id=F.col("image_id"), category_id=F.col("category_id"), bbox=F.struct(*box().named()), confidence=F.col("confidence"), attributes=none(F.col("attributes")))
         i = per_image(ds, item, "unknown")
         head = _obj(**{c: F.col(c) for c in ("id", "file_name", "width", "height", "license_id", "date_captured")}, attributes=none(F.col("attributes")))
-        parts = i.select(F.col("id").alias("key"), F.struct(head.alias("h"), "items").alias("part"))
-        _model_document(ds, parts, path, shards, lambda d: d)
+        _model_document(ds, i.select(F.col("id").alias("key"), head.alias("h"), "items"), path, shards, lambda d: d)
+
+
+def _two_sections(i: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Rows (section, key, place, part): ``first`` of each image in section 0 and the texts of the array ``second`` in section 1."""
+    return i.select("key", F.inline(F.concat(
+        F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("place"), first.alias("part"))),
+        F.transform(second, lambda x, n: F.struct(F.lit(1).alias("section"), n.alias("place"), x.alias("part"))),
+    )))
 
 
-def _model_document(ds: AnnotationDataset, parts: DataFrame, path: str, shards: int, info_of) -> None:
+def _model_document(ds: AnnotationDataset, images: DataFrame, path: str, shards: int | None, info_of) -> None:
     """A document of lists of images, categories and annotations; every shard lists all categories and licences."""
     c = ds.categories.agg(F.array_sort(F.collect_list(F.struct("id", _obj(id=F.col("id"), name=F.col("name"), supercategory=F.col("supercategory")).alias("j")))).alias("c")).first()["c"]
     n = ds.licenses.agg(F.array_sort(F.collect_list(F.struct("id", _obj(id=F.col("id"), name=F.col("name"), url=F.col("url")).alias("j")))).alias("c")).first()["c"]
@@ -72,8 +75,8 @@ def _model_document(ds: AnnotationDataset, parts: DataFrame, path: str, shards:
 
     info = json.dumps(info_of({k: v for k, v in ds.info.items() if v is not None and v != {}}))
     fixed_part = f'{{"info":{info},"licenses":[{",".join(x["j"] for x in n)}],"categories":[{",".join(x["j"] for x in c)}],'
-    wrap = lambda p: F.concat(F.lit(fixed_part + '"images":'), _items(F.transform(p, lambda x: x["h"])), F.lit(',\n"annotations":'), _items(F.flatten(F.transform(p, lambda x: x["items"]))), F.lit("}"))
-    write_documents(parts, path, wrap, shards)
+    parts = _two_sections(images, F.col("h"), F.col("items"))
+    write_documents(parts, path, shards or shards_for(ds), fixed_part + '"images":[', "]}", middle='],"annotations":[')
 
 
 @register("coco", "one JSON document", "ids", "confidence", "supercategory", "area")
@@ -99,21 +102,20 @@ class Coco:
         return dataset(_listed(docs, "images").withColumnRenamed("license", "license_id").drop("path"), c, a, _listed(docs, "licenses").drop("path", "_ord").distinct(), info)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         b = box()
         at = lambda k: F.try_element_at("attributes", F.lit(k))
         area = F.coalesce(at("area").cast("double"), (b.xmax - b.xmin) * (b.ymax - b.ymin))
         item = _obj(id=F.col("id"), image_id=F.col("image_id"), category_id=F.col("category_id"), bbox=F.array(*_xywh().values()), area=area, iscrowd=F.coalesce(at("iscrowd").cast("int"), F.lit(0)), segmentation=F.array(), score=F.col("confidence"))
         i = per_image(ds, item, "unknown")
         head = _obj(id=F.col("id"), width=F.col("width"), height=F.col("height"), file_name=F.col("file_name"), license=F.col("license_id"), date_captured=F.col("date_captured"))
-        parts = i.select(F.col("id").alias("key"), F.struct(head.alias("h"), "items").alias("part"))
-        _model_document(ds, parts, path, shards, lambda d: {k: v for k, v in d.items() if k in INFO and k != "name"})
+        _model_document(ds, i.select(F.col("id").alias("key"), head.alias("h"), "items"), path, shards, lambda d: {k: v for k, v in d.items() if k in INFO and k != "name"})
 
 
-def _by_image(ds: AnnotationDataset, path: str, item: Column, head, missing: str | None = None, shards: int = 1, **more: Column) -> None:
+def _by_image(ds: AnnotationDataset, path: str, item: Column, head, missing: str | None = None, shards: int | None = None, **more: Column) -> None:
     """An array of one object for each image; ``head`` builds it from the image's columns and ``items`` (JSON texts)."""
     i = per_image(ds, item, missing, **more)
-    write_documents(i.select(F.struct("file_name", "id").alias("key"), head().alias("part")), path, json_array, shards)
+    write_documents(i.select(F.struct("file_name", "id").alias("key"), head().alias("part")), path, shards or shards_for(ds), "[", "]")
 
 
 def _joined(fields: Column, **lists: Column) -> Column:
@@ -135,7 +137,7 @@ class CreateMl:
         return from_raw(with_sizes(a, names, spark, images), a)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         at = F.struct(*[c.alias(n) for c, n in zip(to_cxcywh(box()), ("x", "y", "width", "height"), strict=True)])
         _by_image(ds, path, _obj(label=F.col("label"), coordinates=at), lambda: _joined(_obj(image=F.col("file_name")), annotations=F.col("items")), "unknown", shards)
 
@@ -151,7 +153,7 @@ class Bdd100k:
         return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x.box2d.{k}") for k in ("x1", "y1", "x2", "y2")])))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         item = _obj(category=F.col("label"), score=F.col("confidence"), box2d=F.struct(*[c.alias(n) for c, n in zip(box(), ("x1", "y1", "x2", "y2"), strict=True)]))
         _by_image(ds, path, item, lambda: _joined(_obj(name=F.col("file_name"), width=F.col("width"), height=F.col("height")), labels=F.col("items")), "object", shards)
 
@@ -168,7 +170,7 @@ class V7Darwin:
         return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(*[F.col(f"x.bounding_box.{k}") for k in "xywh"])))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         item = _obj(name=F.col("label"), bounding_box=F.struct(*[c.alias(n) for c, n in zip(_xywh().values(), "xywh", strict=True)]))
         slot = F.array(F.struct(F.lit("0").alias("slot_name"), "width", "height", F.array(F.struct("file_name")).alias("source_files")))
         _by_image(ds, path, item, lambda: _joined(_obj(item=F.struct(F.col("file_name").alias("name"), slot.alias("slots"))), annotations=F.col("items")), "object", shards)
@@ -203,7 +205,7 @@ class LabelStudio:
         return from_raw(i, annotations_of(flat, found))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         p = to_percent(box(), F.col("width").cast("double"), F.col("height").cast("double"))
         value = F.struct(*[c.alias(n) for c, n in zip(p, ("x", "y", "width", "height"), strict=True)], F.array("label").alias("rectanglelabels"))
         item = F.struct(F.col("confidence").isNotNull().alias("guess"), _obj(type=F.lit("rectanglelabels"), from_name=F.lit("label"), to_name=F.lit("image"), original_width=F.col("width"), original_height=F.col("height"), score=F.col("confidence"), value=value).alias("j"))
@@ -232,7 +234,7 @@ class ScaleAi:
         return from_raw(i, annotations_of(a, Box(*[F.when(shape, q).otherwise(p) for p, q in zip(flat, around, strict=True)])))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         v = _xywh()
         item = _obj(type=F.lit("box"), label=F.col("label"), left=v["x"], top=v["y"], width=v["width"], height=v["height"])
         at = lambda k, d: F.coalesce(F.try_element_at("attributes", F.lit(k)), d)
@@ -358,7 +360,7 @@ class CloudAnnotations:
         return from_raw(sizes, annotations_of(sized, to_pixel(Box(*[F.col(f"x.{k}") for k in ("x", "y", "x2", "y2")]), F.col("width"), F.col("height"))), docs.select(F.explode("labels").alias("name")))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         import json
 
         n = to_normalized(box(), F.col("width").cast("double"), F.col("height").cast("double"))
@@ -366,7 +368,7 @@ class CloudAnnotations:
         i = per_image(ds, item, "skip")
         parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(F.to_json(F.array("file_name")).substr(F.lit(2), F.length(F.to_json(F.array("file_name"))) - 2), F.lit(":["), F.array_join("items", ","), F.lit("]")).alias("part"))
         labels = json.dumps([r["name"] for r in ds.categories.orderBy("id").select("name").collect()])
-        write_documents(parts, path, lambda p: F.concat(F.lit('{"version":"1.0","type":"localization","labels":' + labels + ',"annotations":{'), F.array_join(p, ",\n"), F.lit("}}")), shards)
+        write_documents(parts, path, shards or shards_for(ds), '{"version":"1.0","type":"localization","labels":' + labels + ',"annotations":{', "}}")
 
 
 @register("datumaro", "one JSON document")
@@ -383,7 +385,7 @@ class Datumaro:
         return from_raw(rows.select("file_name", size(1).alias("width"), size(0).alias("height"), F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(*[F.get("x.bbox", F.lit(i)) for i in range(4)])), c)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         import json
 
         rows = ds.categories.orderBy("id").collect()
@@ -393,7 +395,7 @@ class Datumaro:
         i = per_image(ds, item, "object")
         head = _joined(_obj(id=stem(F.col("file_name")), image=F.struct(F.col("file_name").alias("path"), F.array("height", "width").alias("size"))), annotations=F.col("items"))
         labels = json.dumps([{"name": r["name"], "parent": r["supercategory"] or ""} for r in rows])
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), head.alias("part")), path, lambda p: F.concat(F.lit('{"info":{},"categories":{"label":{"labels":' + labels + '}},"items":'), json_array(p), F.lit("}")), shards)
+        write_documents(i.select(F.struct("file_name", "id").alias("key"), head.alias("part")), path, shards or shards_for(ds), '{"info":{},"categories":{"label":{"labels":' + labels + '}},"items":[', "]}")
 
 
 @register("edge-impulse", "one JSON document")
@@ -411,10 +413,10 @@ class EdgeImpulse:
         return from_raw(with_sizes(a, names, spark, images), a)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         i = per_image(ds, _obj(label=F.col("label"), **_xywh()), "object")
         head = _joined(_obj(path=F.col("file_name"), category=F.lit("training")), boundingBoxes=F.col("items"))
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), head.alias("part")), path, lambda p: F.concat(F.lit('{"version":1,"files":'), json_array(p), F.lit("}")), shards)
+        write_documents(i.select(F.struct("file_name", "id").alias("key"), head.alias("part")), path, shards or shards_for(ds), '{"version":1,"files":[', "]}")
 
 
 @register("via", "one JSON document")
@@ -433,14 +435,14 @@ class Via:
         return from_raw(with_sizes(a, names, spark, images), a)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         item = _obj(shape_attributes=F.struct(F.lit("rect").alias("name"), *[c.alias(n) for n, c in _xywh().items()]), region_attributes=F.struct("label"))
         i = per_image(ds, item, "unknown")
         size = F.coalesce(F.try_element_at("attributes", F.lit("via_size_bytes")).cast("long"), F.lit(0))
         head = _joined(_obj(filename=F.col("file_name"), size=size, file_attributes=F.create_map().cast("map<string,string>")), regions=F.col("items"))
         key = F.to_json(F.array(F.concat("file_name", size.cast("string"))))
         parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(key.substr(F.lit(2), F.length(key) - 2), F.lit(":"), head).alias("part"))
-        write_documents(parts, path, lambda p: F.concat(F.lit("{"), F.array_join(p, ",\n"), F.lit("}")), shards)
+        write_documents(parts, path, shards or shards_for(ds), "{", "}")
 
 
 @register("vott-json", "one JSON document")
@@ -456,7 +458,7 @@ class VottJson:
         return from_raw(rows.select("file_name", "width", "height", F.col("key").alias("_ord")), annotations_of(a, found), docs.select(F.explode("tags").alias("t")).select(F.col("t.name").alias("name")))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         import json
 
         b, v = box(), _xywh()
@@ -467,7 +469,7 @@ class VottJson:
         head = _joined(_obj(asset=F.struct(F.col("id").cast("string").alias("id"), F.col("file_name").alias("name"), F.struct("width", "height").alias("size"))), regions=F.col("items"))
         parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(F.lit('"asset-'), F.col("id").cast("string"), F.lit('":'), head).alias("part"))
         tags = json.dumps([{"name": r["name"]} for r in ds.categories.orderBy("id").select("name").collect()])
-        write_documents(parts, path, lambda p: F.concat(F.lit('{"name":"dataset","version":"2.2.0","tags":' + tags + ',"assets":{'), F.array_join(p, ",\n"), F.lit("}}")), shards)
+        write_documents(parts, path, shards or shards_for(ds), '{"name":"dataset","version":"2.2.0","tags":' + tags + ',"assets":{', "}}")
 
 
 @register("openlabel", "one JSON document, centres in pixels")
@@ -483,14 +485,14 @@ class OpenLabel:
         return from_raw(rows.select("file_name", "f.frame_properties.width", "f.frame_properties.height", F.struct("path", "at").alias("_ord")), annotations_of(a, from_cxcywh(*[F.get("x.val", F.lit(i)) for i in range(4)])))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
-        key = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'))
-        shape = F.concat(key, _obj(object_data=F.struct(F.array(F.struct(F.lit("shape").alias("name"), F.array(*to_cxcywh(box())).alias("val"))).alias("bbox"))))
-        i = per_image(ds, shape, "object", types=F.concat(key, _obj(name=F.concat(F.lit("object-"), F.col("id").cast("string")), type=F.col("label"))))
-        head = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.regexp_replace(_obj(frame_properties=F.struct("file_name", "width", "height")), r"\}$", ""), F.lit(',"objects":{'), F.array_join("items", ","), F.lit("}}"))
-        parts = i.select(F.col("id").alias("key"), F.struct(head.alias("f"), "types").alias("part"))
-        wrap = lambda p: F.concat(F.lit('{"openlabel":{"metadata":{"schema_version":"1.0.0"},"objects":{'), F.array_join(F.flatten(F.transform(p, lambda x: x["types"])), ",\n"), F.lit('},"frames":{'), F.array_join(F.transform(p, lambda x: x["f"]), ",\n"), F.lit("}}}"))
-        write_documents(parts, path, wrap, shards)
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
+        # objects are named by image and place: annotation ids may repeat, and equal names would hide one another
+        shape = _obj(object_data=F.struct(F.array(F.struct(F.lit("shape").alias("name"), F.array(*to_cxcywh(box())).alias("val"))).alias("bbox")))
+        i = per_image(ds, shape, "object", types=_obj(name=F.concat(F.lit("object-"), F.col("id").cast("string")), type=F.col("label")))
+        keyed = lambda items: F.transform(items, lambda x, n: F.concat(F.lit('"'), F.col("id").cast("string"), F.lit("_"), n.cast("string"), F.lit('":'), x))
+        head = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.regexp_replace(_obj(frame_properties=F.struct("file_name", "width", "height")), r"\}$", ""), F.lit(',"objects":{'), F.array_join(keyed("items"), ","), F.lit("}}"))
+        parts = _two_sections(i.select(F.col("id").alias("key"), head.alias("f"), keyed("types").alias("types")), F.col("f"), F.col("types"))
+        write_documents(parts, path, shards or shards_for(ds), '{"openlabel":{"metadata":{"schema_version":"1.0.0"},"frames":{', "}}}", middle='},"objects":{')
 
 
 @register("unity-perception", "JSON documents with captures")

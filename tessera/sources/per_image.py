@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_xywh, to_cxcywh, to_normalized
 from tessera.model import AnnotationDataset
 
-from .common import annotations_of, basename, documents, fixed, from_raw, image_sizes, json_array, lines, number, per_image, register, relative, require, stem, with_sizes, write_documents, write_files, write_lines
+from .common import annotations_of, basename, documents, fixed, from_raw, image_sizes, lines, number, per_image, register, relative, require, shards_for, stem, with_sizes, write_documents, write_files, write_lines
 from .json_docs import _joined, _obj, _ord, _xywh
 
 _NO_ATTRIBUTES = "map<string,string>"
@@ -188,7 +188,7 @@ class Cvat:
         return from_raw(rows.select("file_name", F.col("_width").alias("width"), F.col("_height").alias("height"), F.col("at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x._{k}") for k in ("xtl", "ytl", "xbr", "ybr")])), c)
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         at = lambda k, d: F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit(d))
         attr = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
         item = F.concat(F.lit("<box"), attr("label", _xml(F.col("label"))), attr("source", _xml(at("source", "manual"))), attr("occluded", at("occluded", "0")), *[attr(n, number(c)) for n, c in zip(("xtl", "ytl", "xbr", "ybr"), box(), strict=True)], attr("z_order", at("z_order", "0")), F.lit("></box>"))
@@ -196,8 +196,8 @@ class Cvat:
         part = F.concat(F.lit("<image"), attr("id", F.col("id").cast("string")), attr("name", _xml(F.col("file_name"))), attr("width", F.col("width").cast("string")), attr("height", F.col("height").cast("string")), F.lit(">"), F.array_join("items", ""), F.lit("</image>"))
         used = ds.categories.join(ds.annotations.select(F.col("category_id").alias("_c")).distinct(), F.col("id") == F.col("_c"), "left_semi").select("name").distinct()
         labels = used.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<label><name>"), _xml(F.col("name")), F.lit("</name><type>bbox</type></label>")))), "").alias("l")).first()["l"]
-        wrap = lambda p: F.concat(F.lit(f'<?xml version="1.0" encoding="utf-8"?>\n<annotations><version>1.1</version><meta><task><labels>{labels}</labels></task></meta>'), F.array_join(p, "\n"), F.lit("</annotations>"))
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), part.alias("part")), path, wrap, shards)
+        head = f'<?xml version="1.0" encoding="utf-8"?>\n<annotations><version>1.1</version><meta><task><labels>{labels}</labels></task></meta>'
+        write_documents(i.select(F.struct("file_name", "id").alias("key"), part.alias("part")), path, shards or shards_for(ds), head, "</annotations>", between="")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -423,9 +423,14 @@ class WiderFace:
         return from_raw(with_sizes(a, i, spark, images), annotations_of(a, from_xywh(*[_num(i) for i in range(4)])), spark.createDataFrame([("face",)], "name string"))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         v = _xywh()
         more = [F.coalesce(F.try_element_at("attributes", F.lit(f"wider_face_{k}")), F.lit("0")) for k in WiderFace.FIELDS]
         i = per_image(ds, F.concat_ws(" ", *[number(v[k]) for k in ("x", "y", "width", "height")], *more), "face")
         part = F.concat_ws("\n", F.col("file_name"), F.size("items").cast("string"), F.when(F.size("items") > 0, F.array_join("items", "\n")))
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), part.alias("part")), path, lambda p: F.concat_ws("\n", F.size(p).cast("string"), F.array_join(p, "\n")), shards)
+        shards = shards or shards_for(ds)
+        shard = F.pmod(F.xxhash64(F.struct("file_name", "id")), F.lit(shards)).cast("int")
+        rows = i.select(shard.alias("shard"), F.struct("file_name", "id").alias("key"), part.alias("value"))
+        # a document begins with its number of images: a row without a key, which sorts first
+        counts = rows.groupBy("shard").agg(F.count("*").cast("string").alias("value")).select("shard", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "value")
+        rows.union(counts).repartitionById(shards, "shard").sortWithinPartitions(F.asc_nulls_first("key")).select("value").write.text(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import box, to_normalized, to_pixel
 from tessera.model import AnnotationDataset
 
-from .common import annotations_of, from_raw, per_image, register, require, write_files
+from .common import annotations_of, from_raw, per_image, register, require, shards_for, write_partitions
 
 
 def _crc_table() -> list[int]:
@@ -168,7 +168,7 @@ class TfRecord:
         return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, to_pixel(box(), F.col("width"), F.col("height"))))
 
     @staticmethod
-    def write(ds: AnnotationDataset, path: str, shards: int = 1) -> None:
+    def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         n = to_normalized(box(), F.col("width").cast("double"), F.col("height").cast("double"))
         i: DataFrame = per_image(ds, F.struct("label", F.col("category_id").alias("c"), *n.named()))
         i = i.withColumn("file_name", require((F.col("width") > 0) & (F.col("height") > 0), "an image has no size", F.col("file_name")))
@@ -184,7 +184,5 @@ class TfRecord:
                     out.append(frame(encode_example(f)))
                 yield pa.RecordBatch.from_arrays([b.column("file_name"), pa.array(out, pa.binary())], ["file_name", "content"])
 
-        parts = i.select("id", "file_name", "width", "height", "items").mapInArrow(examples, "file_name string, content binary")
-        whole = parts.groupBy(F.pmod(F.xxhash64("file_name"), F.lit(shards)).alias("s")).agg(F.array_sort(F.collect_list(F.struct("file_name", "content"))).alias("p"))
-        joined = F.aggregate(F.transform("p", lambda x: x["content"]), F.lit(b""), lambda a, b: F.concat(a, b))
-        write_files(whole.select(F.format_string("data-%05d.tfrecord", "s").alias("name"), joined.alias("content")), path)
+        dealt = i.select("id", "file_name", "width", "height", "items").repartition(shards or shards_for(ds), "file_name").sortWithinPartitions("file_name", "id")
+        write_partitions(dealt.mapInArrow(examples, "file_name string, content binary"), path, "data-%05d.tfrecord")

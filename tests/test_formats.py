@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.model import dataset
 from tessera.operators.lossiness import TARGETS
 from tessera.sources import ALIASES, FORMATS, format_named
+from tessera.sources.common import image_sizes, write_files
 
 IMAGES = [(1, "b one.jpg", 200, 100), (2, "a.png", 64, 48), (3, "c.jpg", 30, 20), (5, "empty.png", 10, 12)]
 BOXES = [(1, 1, 1, 10.0, 20.0, 110.5, 60.25, None), (2, 1, 2, 0.0, 0.0, 200.0, 100.0, 0.5), (3, 2, 1, 1.0, 2.0, 3.0, 4.0, 0.25), (4, 3, 2, 3.0, 3.0, 27.0, 18.0, None), (7, 2, 3, 8.0, 8.0, 32.0, 24.0, None)]
@@ -105,3 +106,41 @@ def test_sharded_documents(spark, tmp_path):
     FORMATS["coco"].write(ds, str(tmp_path / "c"), shards=3)
     back = FORMATS["coco"].read(spark, str(tmp_path / "c"))
     assert rows(back) == rows(ds) and back.categories.count() == 3
+
+
+def test_repeated_annotation_ids_keep_their_labels(spark, tmp_path):
+    ds = make(spark)
+    ds = ds.changed(annotations=ds.annotations.withColumn("id", F.lit(1).cast("long")))
+    for name in ("openlabel", "datumaro", "edge-impulse", "via", "vott-json", "cvat", "coco"):
+        FORMATS[name].write(ds, str(tmp_path / name))
+        assert [r[:6] for r in rows(FORMATS[name].read(spark, str(tmp_path / name)))] == [r[:6] for r in rows(ds)], name
+
+
+@pytest.mark.parametrize("name", ["ir-json", "coco", "openlabel", "cvat", "create-ml", "via", "wider-face", "tfrecord"])
+def test_documents_of_nothing_and_of_many_shards(spark, tmp_path, name):
+    f = FORMATS[name]
+    ds = make(spark, True)
+    f.write(ds, str(tmp_path / "many"), shards=7)
+    assert len(rows(f.read(spark, str(tmp_path / "many")))) == len(BOXES)
+    none = ds.changed(images=ds.images.limit(0), annotations=ds.annotations.limit(0))
+    f.write(none, str(tmp_path / "none"))
+    if name != "tfrecord":  # a file without records is no file
+        assert f.read(spark, str(tmp_path / "none")).annotations.count() == 0
+
+
+@pytest.mark.parametrize("bad", ["../x.jpg", "/etc/x.jpg", "a/../../x.jpg", "C:\\x.jpg", "\\x.jpg"])
+def test_files_stay_below_their_folder(spark, tmp_path, bad):
+    ds = make(spark)
+    with pytest.raises(Exception, match="not a path below the folder"):
+        write_files(ds.images.limit(1).select(F.lit(bad).alias("name"), F.lit("x").alias("content")), str(tmp_path / "out"))
+
+
+def test_sizes_far_into_a_file(spark, tmp_path):
+    segment = b"\xff\xe2" + (65533).to_bytes(2, "big") + b"\0" * 65531
+    size = b"\xff\xc0" + (17).to_bytes(2, "big") + b"\x08" + (33).to_bytes(2, "big") + (44).to_bytes(2, "big") + b"\0" * 12
+    (tmp_path / "far.JPG").write_bytes(b"\xff\xd8" + segment * 6 + size)
+    (tmp_path / "near.Gif").write_bytes(b"GIF89a" + (7).to_bytes(2, "little") + (9).to_bytes(2, "little"))
+    assert {tuple(r) for r in image_sizes(spark, str(tmp_path)).collect()} == {("far.JPG", 44, 33), ("near.Gif", 7, 9)}
+    (tmp_path / "broken.png").write_bytes(b"nothing")
+    with pytest.raises(Exception, match="no size found"):
+        image_sizes(spark, str(tmp_path)).collect()

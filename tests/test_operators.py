@@ -131,6 +131,18 @@ def test_numbering(spark):
     assert all(r._n == r.v + 1 for r in got) and len(got) == 1000
 
 
+def test_numbering_holds_in_many_branches(spark):
+    """Adaptive execution deals each branch of a plan as it likes: numbers must not depend on that."""
+    rows = spark.range(150_000).selectExpr("(id * 7919) % 150000 AS v", "id % 97 AS g").repartition(13)
+    for _ in range(3):
+        got = numbered(rows, "v")
+        totals = rows.groupBy("g").count().withColumnRenamed("g", "h")
+        joined = got.join(got.select(F.col("_n").alias("_m"), F.col("v").alias("w")), F.col("_n") == F.col("_m")).join(totals, F.col("g") == F.col("h")).cache()
+        assert joined.count() == 150_000 and joined.where("_n <> v + 1 or v <> w").count() == 0
+        assert got.select("_n").distinct().count() == 150_000
+        joined.unpersist()
+
+
 def test_lossiness(spark, odd):
     ds = odd.changed(annotations=odd.annotations.withColumn("attributes", F.when(F.col("id") == 1, F.create_map(F.lit("area"), F.lit("1"), F.lit("via_region_attr_x"), F.lit("2"))).otherwise(F.col("attributes"))), info={"name": "n", "attributes": {}})
     found = lambda t: {r["code"]: r["count"] for r in lossiness.lossiness(ds, t).collect()}
