@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import discard, stored
+
+__all__ = ["BLANKS", "BLANK_CLASS", "BROADCAST_ROWS", "components", "discard", "let", "small", "stored", "words_of"]
+
 #: The characters that separate words, as in ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
@@ -16,23 +17,6 @@ BLANK_CLASS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later jobs start from the files, not from its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``rows`` rows; else unchanged, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -55,17 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a grouped minimum and a join; a hub's
     neighbours are never gathered. Nodes without edges don't appear.
     """
-    spark = edges.sparkSession
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = None
     while True:
+        before = now
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         now = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = now.groupBy("u").agg(F.min("v").alias("m"))
         star = now.join(low, "u")
-        now = stored(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        last, now = before, stored(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(last)
         if mark == was:
             break
         was = mark

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, small, stored
 from .textops import Tally, chunks, column_bytes, spread, windows_of, word_hashes
 
 #: Groups that shingles are hashed into: the dimensions of a point.
@@ -36,8 +36,8 @@ FANOUT = 32
 OFTEN, OFTEN_KEPT, SCORES = 8, 1 << 20, 50
 #: Rows of one shingle held at a time; a longer run is a block of its own and isn't merged with equal ones.
 RUN_HELD = 200_000
-#: Members of a block dealt to one task together.
-PIECE = 1024
+#: Members of a block, and shingles of a cluster's sets, dealt to one task together.
+PIECE, PIECE_SHINGLES = 512, 1 << 20
 #: Bits of the bitmap that lets most documents without a block skip the second reading.
 BITMAP = 1 << 23
 
@@ -119,7 +119,7 @@ def _digest(shingles: bytes) -> tuple[int, int]:
 
 def _sketch(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in chunks(batches):
             rows = []
             for u in shingle_sets(b.column("text"), k, shared.value):
@@ -129,10 +129,10 @@ def _sketch(k: int, percent: int, shared):
                     continue
                 node, check = _digest(u.tobytes())
                 prefix = None
-                if node not in seen:  # a copy's prefix has been sent by this task
+                if (node, check) not in seen:  # a copy's prefix has been sent by this task
                     if len(seen) > 200_000:
                         seen.clear()
-                    seen.add(node)
+                    seen.add((node, check))
                     prefix = u[: n + percent * n // -100 + 1].view(np.int64)
                 point = np.minimum(np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), LARGE).astype(np.uint16).tobytes()
                 rows.append((n, node, check, point, prefix))
@@ -348,8 +348,9 @@ def _sets(k: int, bitmap: np.ndarray, shared):
             some = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
             for c in chunks([b.filter(pa.array(some.astype(bool)))]):
                 sets = [u.tobytes() or None for u in shingle_sets(c.column("text"), k, shared.value)]
-                nodes = [None if x is None else _digest(x)[0] for x in sets]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "node", "shingles"])
+                names = [(None, None) if x is None else _digest(x) for x in sets]
+                node, check = ([x[i] for x in names] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "node", "check", "shingles"])
 
     return run
 
@@ -359,11 +360,11 @@ def _slot(doc_id: str) -> Column:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, shared) -> DataFrame:
-    """Rows (doc_id, node, shingles) for the documents in ``nodes`` (rep), and perhaps some others."""
+    """Rows (doc_id, node, check, shingles) for the documents in ``nodes`` (rep), and perhaps some others."""
     words = nodes.select(_slot("rep").alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
     bitmap[np.asarray(words.column("w").combine_chunks())] = np.asarray(words.column("bits").combine_chunks())
-    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64), shared), "doc_id long, node long, shingles binary").where("shingles is not null")
+    return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(_sets(k, bitmap.view(np.uint64), shared), "doc_id long, node long, check long, shingles binary").where("shingles is not null")
 
 
 def _verify(percent: int):
@@ -387,47 +388,70 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarities(read))
     sketch = stored(read.mapInArrow(_sketch(k, percent, shared), _SKETCH))
     full = sketch.where("n > 0 and doc_id is not null")
-    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("point").alias("point"), (F.min("check") != F.max("check")).alias("clash")))
-    if classes.where("clash").limit(1).count():
-        raise ValueError("two shingle sets share a 64-bit digest; change the factors in textops")
+    # a set is named by two 64-bit digests; blocks know the first only
+    classes = stored(full.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("point").alias("point")))
 
     tokens = full.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
     blocks = stored(tokens.mapInArrow(_blocks, "block long, node long").distinct().join(classes.select("node", "rep", "n", "point"), "node").select("block", "rep", "n", "point"))
 
-    # a large block is dealt in pieces
-    pieces = blocks.groupBy("block").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
-    dealt = blocks.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")))
+    # a large block is dealt by size first: linked sets are in the same or in neighbouring bands
+    large = small(blocks.groupBy("block").count().where(F.col("count") > PIECE).select("block", F.lit(True).alias("large")))
+    # a hair wider than the ratio of sizes that may link, so rounding can't part neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100.0 / percent)) * 1.0001)) if percent < 100 else F.col("n")
+    dealt = blocks.join(large, "block", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band - 1, band)).otherwise(F.array(F.lit(0).cast("long"))))).drop("large")
 
     def in_groups(rows: DataFrame) -> DataFrame:
         return rows.repartition("deal").sortWithinPartitions("deal", "n", "rep")
 
+    # then in pieces
+    pieces = dealt.groupBy("block", "band").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = stored(dealt.join(pieces, ["block", "band"]).select(F.xxhash64("block", "band").alias("block"), F.pmod(F.xxhash64("rep"), F.col("pieces")).alias("piece"), "pieces", "rep", "n", "point"))
     parts = dealt.select(F.xxhash64("block", "piece").alias("deal"), "rep", "n", "point")
-    pairs = stored(in_groups(parts).mapInArrow(_leaders(percent), "a long, b long").where("a <> b").distinct())
+    pairs = in_groups(parts).mapInArrow(_leaders(percent), "a long, b long").where("a <> b")
+    same = stored(classes.groupBy("node").count().where("count > 1").select("node"))
+    if same.limit(1).count():  # sets whose first digests are equal, one in some 10^19 pairs, are candidates of each other
+        few = classes.join(small(same), "node").select("node", "rep")
+        pairs = pairs.union(few.join(few.withColumnRenamed("rep", "b"), "node").where("rep < b").select(F.col("rep").alias("a"), "b"))
+    pairs = stored(pairs.distinct())
     sets = stored(whole_sets(read, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k, shared))
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     first = stored(both.mapInArrow(_verify(percent), "a long, b long"))
     found = components(first).select(F.col("node").alias("rep"), "component")
 
-    # every two pieces of a block meet once; most blocks are one piece of one component by now
-    again = dealt.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = again.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("block")
-    meet = again.join(mixed, "block").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    meet = meet.select(F.xxhash64("block", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), "rep", "n", "point", "component")
-    touched = stored(in_groups(meet).mapInArrow(_touched(percent), "a long, b long").distinct())
+    # every two members of different components meet once more; most blocks are one component by now
+    again = stored(dealt.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    touched = stored(in_groups(_meeting(again, "block").select("deal", "rep", "n", "point", "component")).mapInArrow(_touched(percent), "a long, b long").distinct())
 
     # what may still link, in whichever blocks, comes together once: a set is sent for a cluster, not for each block
     cluster = stored(components(touched).select(F.col("node").alias("rep"), F.col("component").alias("cluster")))
-    halves = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
-    own = cluster.join(halves, "cluster").join(classes.select("rep", "node", "n", "point"), "rep").join(found, "rep", "left")
+    sized = cluster.join(classes.select("rep", "node", "check", "n", "point"), "rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    pieces = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("n") / PIECE_SHINGLES)).alias("pieces"))
+    own = stored(sized.join(pieces, "cluster").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces"))))
     sets = whole_sets(read, cluster.select("rep"), k, shared).withColumnRenamed("doc_id", "rep")
-    own = own.withColumn("component", F.coalesce("component", "rep")).join(sets, ["rep", "node"]).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    own = own.select(F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other")).alias("deal"), "rep", "n", "point", "component", "shingles")
-    second = stored(in_groups(own).mapInArrow(_joined_up(percent), "a long, b long").distinct())
+    met = _meeting(own, "cluster").join(sets, ["rep", "node", "check"]).select("deal", "rep", "n", "point", "component", "shingles")
+    second = stored(in_groups(met).mapInArrow(_joined_up(percent), "a long, b long").distinct())
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
-    of_node = classes.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    linked = full.select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of_node = classes.join(found, "rep", "left").select("node", "check", F.coalesce("component", "rep").alias("component_id"))
+    linked = full.select("doc_id", "n", "node", "check").join(of_node, ["node", "check"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
+
+
+def _meeting(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (``group``, piece, pieces, component, ...) to the deals in which any two of a group that differ in component meet.
+
+    The members of a group's largest component stay in their piece, where all others come to
+    them; those are with each other in the deal of their two pieces. Groups of one component have none.
+    """
+    tally = rows.groupBy(group, "component").count()
+    lead = tally.groupBy(group).agg(F.max_by("component", F.struct("count", "component")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    rows = rows.join(lead, group)
+    every = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+    to_lead = lambda p: F.struct(p.alias("p"), F.lit(-1).cast("long").alias("q"))
+    own = F.array(to_lead(F.col("piece")))
+    others = F.concat(F.transform(every, to_lead), F.transform(every, lambda p: F.struct(F.least("piece", p).alias("p"), F.greatest("piece", p).alias("q"))))
+    # in one piece the lead's deal holds all pairs
+    dealt = F.when((F.col("component") == F.col("lead")) | (F.col("pieces") == 1), own).otherwise(others)
+    return rows.withColumn("d", F.explode(dealt)).withColumn("deal", F.xxhash64(group, "d.p", "d.q")).drop("d", "lead")

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import oracles
 from .licenses import known_licenses, license_scan
 from .lm_scoring import in_turn, score
@@ -90,7 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_search": op9_vector_search,
         "op10_pii": op10_pii,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import licenses, lm_scoring, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, substring_dedup
@@ -72,6 +74,25 @@ def test_ngram_join(docs, rows, k, percent, monkeypatch):
     assert Counter(tuple(r) for r in ngram_join.ngram_classes(docs, k, percent).collect()) == classes(rows, k, percent)
 
 
+def test_ngram_join_survives_equal_digests(docs, rows, monkeypatch):
+    whole = ngram_join._digest
+    monkeypatch.setattr(ngram_join, "_digest", lambda shingles: (7, whole(shingles)[1]))
+    assert Counter(tuple(r) for r in ngram_join.ngram_classes(docs, 4, 85).collect()) == classes(rows, 4, 85)
+
+
+def test_ngram_join_of_a_hot_block(spark, monkeypatch):
+    """Sets of many sizes around one shared passage, in more pieces and bands than one."""
+    monkeypatch.setattr(ngram_join, "PIECE", 16)
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(40)]
+    table = []
+    for i in range(160):
+        own = [f"d{i if i % 3 else 0}x{j}" for j in range(rng.choice([2, 4, 6, 30, 200]))]
+        table.append((i, " ".join(shared + own), "en", "a", 0))
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(tuple(r) for r in ngram_join.ngram_classes(docs, 4, 85).collect()) == classes(table, 4, 85)
+
+
 def test_point_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(3)
     points = rng.poisson(4, (900, 16)).astype(np.uint16)
@@ -347,4 +368,15 @@ def test_pipeline_stages(spark, docs, empty):
 def test_pipeline_keeps_one_of_a_group(spark, docs, rows):
     left = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, None).collect())
     want = {c for (_, n, c) in classes(rows, 5, 80) if c is not None}
-    assert {i for i in left if i is not None} == want and all(n == 1 for i, n in left.items() if i is not None) and left[None] == 2
+    # of the rows without an id one is a copy of another document, the other has no words
+    assert {i for i in left if i is not None} == want and all(n == 1 for i, n in left.items() if i is not None) and left[None] == 1
+
+
+def test_pipeline_tells_texts_of_one_id_apart(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(30))
+    table = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("c")), (3, text("b") + " x"), (4, text("c") + " y"), (4, text("d"))]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumn("source", F.lit("s"))
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect())
+    assert left == [(1, text("a")), (2, text("c")), (3, text("b") + " x"), (4, text("d"))]
+    mixed = corpus_pipeline.mixture(spark, docs, None)
+    assert mixed.columns == docs.columns and mixed.count() > 0
