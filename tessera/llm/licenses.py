@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, small, stored
 
 # Words that count as one another, as in the public licence matching guidelines.
 SPELLINGS = {
@@ -93,27 +93,56 @@ KNOWN = [
 ]
 
 
+# Digests of the canonical forms of whole licences, as published and as Linux distributions carry them.
+WHOLE = [
+    ("Apache-2.0", "98d1daef46ab1ed2ff297cc712d8cdb3e6f2d49bf60699ed6549287155ed6dda"),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "093bb37bff6533bc1f91f57d671e3e2cc9e4e27afc1293808fddc861a6d15329"),
+    ("LGPL-2.0", "148f4708fdb34267f108b3467504e464cf0c00e2c6b6ebafc1a45e2e5c4506b9"),
+    ("LGPL-2.1", "c3acda00b8ee9c98becbe30fce8f159cc6a985b3b9dc521e37d9ab2f241463b2"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
+#: What stands for the copyright notice of a line, at its beginning.
+_OWNED = r"(?md)^[^\p{L}\p{N}\n]*(copyright(?! (holder|owner|notice))(?![\p{L}\p{N}])|\(c\)|©)[^\n]*$"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form: lower case, no copyright lines, words of letters and digits, one spelling, single spaces."""
     low = F.lower(text)
-    owned = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b(?! (holder|owner|notice))|\(c\)|©)[^\n]*$|\ball rights reserved\b"
-    kept = let(low, lambda x: F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("reserved")), F.regexp_replace(x, owned, " ")).otherwise(x))
+    kept = let(low, lambda x: F.when(F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")), F.regexp_replace(x, _OWNED, " ")).otherwise(x))
     bare = F.btrim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " "))
-    either = r"\b(" + "|".join(SPELLINGS) + r")\b"
+    any_ = "(^| )(" + "|".join([*SPELLINGS, "all rights reserved"]) + ")( |$)"
 
     def spelt(x: Column) -> Column:
-        for a, b in SPELLINGS.items():
-            x = F.regexp_replace(x, rf"\b{a}\b", b)
-        return x
+        # each word has its own two blanks, so neighbours can both be replaced
+        x = F.concat(F.lit(" "), F.replace(x, F.lit(" "), F.lit("  ")), F.lit(" "))
+        for a, b in {**SPELLINGS, "all rights reserved": ""}.items():
+            x = F.replace(x, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} "))
+        return F.btrim(F.regexp_replace(x, " +", " "))
+
+    return let(bare, lambda x: F.when(F.rlike(x, F.lit(any_)), spelt(x)).otherwise(x))
+
 
-    return let(bare, lambda x: F.when(F.rlike(x, F.lit(either)), spelt(x)).otherwise(x))
+def digests_of(texts: DataFrame) -> DataFrame:
+    """Rows (digest, license_id), a digest once, from a table (license_id, text); empty forms name nothing."""
+    form = texts.select("license_id", canonical(F.coalesce("text", F.lit(""))).alias("form")).where("form <> ''")
+    return form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Rows (digest, license_id), a digest once: the table of known texts, as long as its list."""
-    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known])
-    table = spark.range(1).select(F.inline(rows))
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """The digests of ``KNOWN`` and of the whole licences in ``WHOLE``."""
+    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
+    whole = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id")) for i, d in WHOLE])
+    one = spark.range(1)
+    return digests_of(one.select(F.inline(rows))).unionByName(one.select(F.inline(whole))).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -121,15 +150,17 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     ``license_id`` names the known text equal to the whole document, else null; ``notices`` the
     known texts equal to one of its lines, sorted and comma-joined. Null texts count as empty;
-    the empty form matches nothing. ``known`` (digest, license_id) is a curated list and is
-    broadcast; an id listed for two equal texts counts once.
+    the empty form matches nothing. ``known`` (digest, license_id) may have any length: it is
+    broadcast only after a count, and an id listed for two equal texts counts once. Repeated rows
+    each have their row, equal ones alike; an empty table gives none.
     """
+    known = small(known.where(F.col("digest") != F.sha2(F.lit(""), 256)).select(F.col("digest").alias("known"), "license_id"))
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    forms = read.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canon_sha256"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
-    empty = F.sha2(F.lit(""), 256)
-    listed = F.broadcast(known.where(F.col("digest") != empty).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("ids")))
-    hit = F.broadcast(known.where(F.col("digest") != empty))
-    found = forms.join(hit, F.col("canon_sha256") == F.col("digest"), "left").crossJoin(listed)
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda d: F.try_element_at("ids", d)), lambda x: x.isNotNull())))
-    return found.select("doc_id", "canon_sha256", "license_id", F.array_join(notices, ",").alias("notices"))
+    part = F.xxhash64("text").alias("part")
+    lines = read.select("doc_id", part, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
+    hits = lines.join(known, F.sha2(canonical(F.col("line")), 256) == F.col("known")).groupBy("doc_id", "part").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("found"))
+    hits = small(stored(hits)).withColumnsRenamed({"doc_id": "at", "part": "own"})
+    whole = read.select("doc_id", part, F.sha2(canonical(F.col("text")), 256).alias("canon_sha256"))
+    named = whole.join(known, F.col("canon_sha256") == F.col("known"), "left")
+    joined = named.join(hits, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("part") == F.col("own")), "left")
+    return joined.select("doc_id", "canon_sha256", "license_id", F.coalesce("found", F.lit("")).alias("notices"))

@@ -1,5 +1,7 @@
 """DuckDB SQL with the rows of the queries that SQL can express."""
 
+from .licenses import KNOWN, SPELLINGS, WHOLE
+
 QUALITY_RULES = r"""
 WITH w AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS text,
@@ -84,3 +86,44 @@ WITH RECURSIVE t AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spelt(column: str) -> str:
+    """``column``, words apart by two blanks, with each listed spelling replaced."""
+    for a, b in {**SPELLINGS, "all rights reserved": ""}.items():
+        column = f"replace({column}, ' {a.replace(' ', '  ')} ', ' {b} ')"
+    return column
+
+
+LICENSES = rf"""
+WITH given(license_id, text) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN)}),
+texts AS (
+  SELECT 'doc' AS kind, CAST(doc_id AS VARCHAR) AS name, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'line', CAST(doc_id AS VARCHAR), unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) FROM documents
+  UNION ALL SELECT 'known', license_id, text FROM given
+), plain AS (
+  SELECT kind, name, trim(regexp_replace(array_to_string(list_transform(string_split(lower(text), chr(10)), lambda x:
+    CASE WHEN regexp_matches(x, '^[^\p{{L}}\p{{N}}]*(\(c\)|©)')
+           OR (regexp_matches(x, '^[^\p{{L}}\p{{N}}]*copyright([^\p{{L}}\p{{N}}]|$)') AND NOT regexp_matches(x, '^[^\p{{L}}\p{{N}}]*copyright (holder|owner|notice)'))
+         THEN ' ' ELSE x END), chr(10)), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS form
+  FROM texts
+), forms AS (
+  SELECT kind, name, CASE WHEN regexp_matches(form, '(^| )({"|".join([*SPELLINGS, "all rights reserved"])})( |$)')
+    THEN trim(regexp_replace({_spelt("concat(' ', replace(form, ' ', '  '), ' ')")}, ' +', ' ', 'g'), ' ') ELSE form END AS form
+  FROM plain
+), digests AS (
+  SELECT kind, name, sha256(form) AS digest FROM forms WHERE form <> '' OR kind = 'doc'
+), known AS (
+  SELECT digest, min(name) AS license_id FROM (
+    SELECT digest, name FROM digests WHERE kind = 'known'
+    UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{i}')" for i, d in WHOLE)})) GROUP BY digest
+), found AS (
+  SELECT name, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM digests JOIN known USING (digest) WHERE kind = 'line' GROUP BY name
+)
+SELECT CAST(d.name AS BIGINT) AS doc_id, d.digest AS canon_sha256, license_id, coalesce(notices, '') AS notices
+FROM digests d LEFT JOIN known ON known.digest = d.digest AND d.digest <> sha256('') LEFT JOIN found ON found.name = d.name WHERE d.kind = 'doc'
+"""

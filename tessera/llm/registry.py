@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracles.REMOVED_REPEATS, "op5_ngram_join": oracles.NGRAM_CLASSES, "op8_quality_rules": oracles.QUALITY_RULES}
+    return {"op2_substring_dedup": oracles.REMOVED_REPEATS, "op5_ngram_join": oracles.NGRAM_CLASSES, "op7_license_scan": oracles.LICENSES, "op8_quality_rules": oracles.QUALITY_RULES}
