@@ -2,9 +2,10 @@
 
 Patterns find e-mail, IP, card and phone values; these are the protected entities. Following
 information-theoretic sanitisation, the corpus tells how strongly a term in an entity's documents
-reveals it: the share of the term's documents that hold the entity (its disclosure) and the pointwise
-mutual information of the two. Terms beyond both thresholds are marked in the documents that
-hold the entity, and sanitising generalises or removes them with the entities.
+reveals it: the pointwise mutual information of the two as a share of the entity's own information,
+and the share of the term's documents that hold the entity (its disclosure). Terms beyond both
+thresholds are marked wherever they stand in the documents that hold the entity, and sanitising
+generalises or removes them with the entities.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_][\w'-]*[\w]", re.UNICODE)
 
-#: A term reveals an entity if this share of its documents hold it, with this much mutual information (bits), over this many documents.
-DISCLOSURE, INFORMATION, SUPPORT = 0.5, 6.0, 3
+#: A term reveals an entity if it gives this share of the information that naming the entity would give, and if
+#: this share of its documents hold the entity. The latter counts one document more without the entity, so that
+#: a term and an entity that met once, by chance or not, stay at a half: an entity of one document marks no terms.
+INFORMATION, DISCLOSURE = 0.75, 0.6
 #: Distinct words that a task counts before it passes the counts on.
 COUNTED = 300_000
 
@@ -81,6 +84,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _name(kind: str, value: str) -> str:
+    """An entity's name in the corpus's statistics: a digest, so no value is written in clear beside the documents."""
+    return hashlib.blake2b(f"{kind}:{value.lower()}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -131,7 +139,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 terms = _terms(text, spans)
                 seen.update(terms.keys())
-                entities.append(sorted({f"{kind}:{text[x:y].lower()}" for kind, x, y in spans}))
+                entities.append(sorted({_name(kind, text[x:y]) for kind, x, y in spans}))
                 held.append([{"term": t, "at": at} for t, at in terms.items()])
             else:
                 seen.update({t.lower() for t in set(_TERM.findall(text))})
@@ -150,21 +158,23 @@ def reveal(found: DataFrame) -> DataFrame:
     total = docs.count()
     each = docs.where("entities is not null").select(F.explode("entities").alias("entity"), F.col("terms.term").alias("terms"))
     # a term meets an entity in no more documents than hold the entity
-    holds = stored(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).where(F.col("entity_docs") >= SUPPORT))
+    holds = stored(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).where(F.col("entity_docs") / (F.col("entity_docs") + 1) >= DISCLOSURE))
     pairs = each.join(small(holds.select("entity")), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    strong = together.where(F.col("both") >= SUPPORT).join(holds, "entity")
+    strong = together.where(F.col("both") / (F.col("both") + 1) >= DISCLOSURE).join(holds, "entity")
     of_term = found.where("part is null").groupBy("term").agg(F.sum("n").alias("term_docs"))
     weighed = strong.join(of_term, "term")
-    information = F.log2(F.col("both") * F.lit(float(max(1, total))) / (F.col("entity_docs") * F.col("term_docs")))
-    return weighed.where((F.col("both") / F.col("term_docs") >= DISCLOSURE) & (information >= INFORMATION)).select("entity", "term")
+    own = F.log2(F.lit(float(max(1, total))) / F.col("entity_docs"))
+    information = own + F.log2(F.col("both") / F.col("term_docs"))
+    return weighed.where((F.col("both") / (F.col("term_docs") + 1) >= DISCLOSURE) & (own > 0) & (information >= INFORMATION * own)).select("entity", "term")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, part, base, extra): the patterns' spans and those of revealing terms, as text.
 
     ``part`` is the MD5 of the text, so rows that share a doc_id keep their own spans. Null texts
-    count as empty. Documents that are copies count each in the corpus's statistics.
+    count as empty. Documents that are copies, and repeated rows, count each in the corpus's statistics;
+    a term at a threshold exactly is marked. An empty table has no spans.
     """
     found = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, _FOUND))
     marks = stored(reveal(found))
@@ -185,8 +195,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[n("base", k).alias(f"n_{k}") for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("extra", F.lit(""))).alias("spans"), n("extra", "term").alias("n_term"))
 
 
-#: What stands in for each kind.
-STAND_INS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
+#: What stands in for each kind. A revealing term written as a name is generalised to that, others are removed.
+STAND_INS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "name": "<NAME>", "term": "<REMOVED>"}
 
 
 def _redact(text: str | None, spans: str) -> str | None:
@@ -196,10 +206,9 @@ def _redact(text: str | None, spans: str) -> str | None:
     for a, b, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))):
         b = -b
         if a < done:  # overlapped by one before: what is left of it goes with that one
-            if b > done:
-                done = b
+            done = max(done, b)
             continue
-        out += [text[done:a], STAND_INS[kind]]
+        out += [text[done:a], STAND_INS["name" if kind == "term" and text[a].isupper() else kind]]
         done = b
     return "".join([*out, text[done:]])
 
