@@ -1,14 +1,15 @@
 """SentencePiece encoding with sampled segmentations, and decoding.
 
 A text, after the customary leading space, is cut into units: a run of spaces with the characters up to
-the next space or line break, or a line break. No piece of the vocabulary crosses a unit. The
+the next space or line break, or a line break; what is longer than ``UNIT`` characters is cut
+there. No piece of the vocabulary crosses the other bounds, and in unbroken text none is drawn across a cut. The
 pieces that match inside a unit form a lattice. Forward filtering sums the weights of all paths
 to each place; backward sampling then draws a path from the end, one piece at a time, with its
 exact share. Draws come from a hash of the row's key, the unit's place and the step, so a row is
 always cut alike. Characters without a piece are spelled in byte pieces; decoding gives back
 every text exactly.
 
-The lattices of all distinct units of a chunk of text are filled at once as arrays.
+The lattices of all distinct units of a block are filled at once as arrays, however long the text they are from.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .textops import _powers_of, chunks, spread
 #: Where the vocabulary is, and the exponent of piece weights: less than 1 samples more evenly.
 MODEL, ALPHA = "/opt/tokenizers/piece_bpe_32k.model", 1.0
 SEED = 17
-#: Bytes of text encoded at a time.
-CHUNK = 1 << 19
+#: Bytes of text encoded at a time, characters of a block of units, and of a unit at most.
+CHUNK, BLOCK, UNIT = 1 << 19, 1 << 19, 512
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Lengths of pieces looked at first.
 _NEAR = 8
@@ -66,10 +67,11 @@ class Vocabulary:
         self.longest = max(by_length)
         self.spell = -ALPHA * float(np.log(size))
         rows = [r for some in by_length.values() for r in some]
-        # one table for all pieces, a few places to a slot; most strings fail at the first look
-        self.hash = np.zeros((4, 1 << 20), np.uint64)
-        self.id = np.zeros((4, 1 << 20), np.int32)
-        self.log = np.zeros((4, 1 << 20), np.float32)
+        # one table for all pieces, as many places to a slot as the fullest needs; most strings fail at the first look
+        sides = int(np.bincount(np.fromiter((r[0] >> 44 for r in rows), np.int64, len(rows))).max())
+        self.hash = np.zeros((sides, 1 << 20), np.uint64)
+        self.id = np.zeros((sides, 1 << 20), np.int32)
+        self.log = np.zeros((sides, 1 << 20), np.float32)
         self.any = np.zeros(1 << 20, np.int8)
         for h, i, w in rows:
             slot = h >> 44
@@ -83,7 +85,7 @@ class Vocabulary:
         slot, h = slot[may], h[may]
         hit = self.hash[0, slot] == h
         side = np.zeros(len(slot), np.int64)
-        for i in range(1, 4):
+        for i in range(1, len(self.hash)):
             more = np.flatnonzero(~hit & (self.any[slot] > i))
             more = more[self.hash[i, slot[more]] == h[more]]
             side[more], hit[more] = i, True
@@ -105,7 +107,13 @@ def _units(code: np.ndarray, edges: np.ndarray) -> np.ndarray:
     new = np.zeros(len(code), bool)
     new[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
     new[edges[:-1]] = True
-    return np.append(np.flatnonzero(new), len(code))
+    begin = np.append(np.flatnonzero(new), len(code))
+    size = np.diff(begin)
+    cuts = -(-size // UNIT)
+    if cuts.max() == 1:
+        return begin
+    inner = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    return np.append(np.repeat(begin[:-1], cuts) + inner * UNIT, len(code))
 
 
 def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +130,28 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple
     back = _powers_of(_BACK, len(code))
     size = np.diff(begin)
     name = spread((sums[begin[1:]] - sums[begin[:-1]]) * back[begin[:-1]] + size.astype(np.uint64))
+    text_of = np.searchsorted(full, begin[:-1], "right") - 1
+    key = keys[np.flatnonzero(np.diff(edges) > 0)][text_of]
+    turn = np.arange(n_units) - np.searchsorted(begin[:-1], full)[text_of]
+    seed = spread(key + np.uint64(SEED)) + turn.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+
+    ids, count = [], []
+    a = 0
+    while a < n_units:
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + BLOCK, "right")) - 1)
+        got = _sampled(code, begin[a:b], size[a:b], name[a:b], seed[a:b], vocab)
+        ids.append(got[0]), count.append(got[1])
+        a = b
+    out = np.concatenate(ids)
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(count))])[np.searchsorted(begin[:-1], edges)]
+    if (out >= _SPELLED).any():
+        out, bounds = _spell(out, bounds, vocab)
+    return out, bounds
+
+
+def _sampled(code: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndarray, seed: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of units in a row and the number of each, from their beginnings in ``code``, sizes, names and seeds."""
+    n_units = len(begin)
     _, first, kind = np.unique(name, return_index=True, return_inverse=True)
 
     # lattice: a row for each character of a distinct unit, a column for the length of a piece that ends there
@@ -167,10 +197,6 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple
         weight[live, near:] = 1.0
 
     # backward sampling: all units step back together
-    text_of = np.searchsorted(full, begin[:-1], "right") - 1
-    key = keys[np.flatnonzero(np.diff(edges) > 0)][text_of]
-    turn = np.arange(n_units) - np.searchsorted(begin[:-1], full)[text_of]
-    seed = spread(key + np.uint64(SEED)) + turn.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     left = size.copy()
     live = np.arange(n_units)
     near = np.ascontiguousarray(weight[:, :_NEAR])
@@ -199,10 +225,7 @@ def encode_texts(texts: list[str], keys: np.ndarray, vocab: Vocabulary) -> tuple
     out = np.empty(int(after[-1]), np.int32)
     for i, (units, ids) in enumerate(steps):
         out[after[units] - 1 - i] = ids
-    bounds = np.concatenate([[0], after])[np.searchsorted(begin[:-1], edges)]
-    if (out >= _SPELLED).any():
-        out, bounds = _spell(out, bounds, vocab)
-    return out, bounds
+    return out, count
 
 
 def _utf8_size(code: np.ndarray) -> np.ndarray:
@@ -256,22 +279,28 @@ def _encoder(vocab, digest: bool):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, digest: bool = False) -> DataFrame:
     """Rows (doc_id, n_pieces, n_spelled, lossless, ids), one for each document.
 
     ``ids`` is an array of piece ids, or with ``digest`` the SHA-256 of its little-endian 32-bit
     values as ``ids_sha256``; ``n_spelled`` counts byte pieces; ``lossless`` tells that decoding
     gave the text back. Null and empty texts have no ids and decode to the empty text. The
-    segmentation depends on doc_id and the text alone; rows with a null doc_id share one seed.
+    segmentation depends on doc_id and the text alone; rows with a null doc_id share one seed, so
+    repeated rows are cut alike. An empty table gives no rows. ``model`` is a vocabulary's path,
+    else the session's ``spark.tessera.pieces.model``, else ``MODEL``.
     """
-    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(_model(docs, model)))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("key"), "text")
     return read.mapInArrow(_encoder(vocab, digest), _ENCODED + (", ids_sha256 string" if digest else ", ids array<int>"))
 
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def _model(df: DataFrame, model: str | None) -> str:
+    return model or df.sparkSession.conf.get("spark.tessera.pieces.model", MODEL)
+
+
+def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """Rows (doc_id, text) from rows (doc_id, ids); ids outside the vocabulary raise, null ids give a null text."""
-    vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary(_model(encoded, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

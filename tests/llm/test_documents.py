@@ -313,12 +313,14 @@ def test_pieces_are_lossless_and_stable(docs, rows):
     assert all(r.lossless for r in encoded.collect())
 
 
-def test_pieces_follow_the_lattice():
+@pytest.mark.parametrize("text", ["hello", "a cat sat", "the\nthe  x", "naïve 日", "ooooo"])
+def test_pieces_follow_the_lattice(text):
+    """Whole texts against all segmentations, listed one by one; characters without a piece are spelled."""
     v = pieces.Vocabulary()
-    n = 4000
-    ids, bounds = pieces.encode_texts(["hello"] * n, np.arange(n, dtype=np.uint64), v)
+    n = 6000
+    ids, bounds = pieces.encode_texts([text] * n, np.arange(n, dtype=np.uint64), v)
     drawn = Counter(tuple(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-    known = {v.bytes_of[v.id[k, s]].decode(): (int(v.id[k, s]), float(v.log[k, s])) for k in range(4) for s in np.flatnonzero(v.hash[k])}
+    known = {v.bytes_of[v.id[k, s]].decode(): (int(v.id[k, s]), float(v.log[k, s])) for k in range(len(v.hash)) for s in np.flatnonzero(v.hash[k])}
 
     def paths(s):
         if not s:
@@ -328,14 +330,29 @@ def test_pieces_follow_the_lattice():
                 i, w = known[s[:m]]
                 for p, q in paths(s[m:]):
                     yield (i, *p), w + q
+            elif m == 1:
+                raw = s[0].encode()
+                for p, q in paths(s[1:]):
+                    yield (*[int(v.byte_id[x]) for x in raw], *p), len(raw) * v.spell + q
 
-    weights = {p: math.exp(q) for p, q in paths(" hello")}
+    weights = {p: math.exp(q) for p, q in paths(" " + text)}
     total = sum(weights.values())
     assert set(drawn) <= set(weights)
     for p, w in weights.items():
         assert abs(drawn[p] / n - w / total) < 0.03
 
 
+def test_pieces_of_long_and_unbroken_texts(monkeypatch):
+    rng = random.Random(2)
+    texts = ["", "x" * 3000, "".join(rng.choice("abc日é") for _ in range(5000)), words(rng, 2000, 500), " " * 2000, "\n" * 700]
+    v, keys = pieces.Vocabulary(), np.arange(6, dtype=np.uint64)
+    ids, bounds = pieces.encode_texts(texts, keys, v)
+    assert [v.decode(ids[a:b].tolist()).decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == texts
+    monkeypatch.setattr(pieces, "BLOCK", 700)  # blocks only bound memory
+    again, where = pieces.encode_texts(texts, keys, v)
+    assert (again == ids).all() and (where == bounds).all()
+
+
 def test_license_scan(spark):
     mit = licenses.KNOWN[1][1]
     changed = "Copyright (c) 2020 Some One\n" + mit.upper().replace(",", " ;").replace("SUBLICENSE", "sub-licence")
