@@ -403,6 +403,21 @@ def test_classifier(spark, docs):
     assert none.select("score").distinct().count() == 1
 
 
+def test_newton_steps_find_the_least_loss(spark):
+    """The weights against plain gradient descent over the same pairs; every document of both sides is in some pair."""
+    rng = np.random.default_rng(8)
+    side = lambda n, shift, first: spark.createDataFrame([(first + i, [float(v) for v in rng.normal(shift, 1, 3)]) for i in range(n)], "mark long, x array<float>")
+    good, bad = side(60, 0.5, 0), side(25, 0.0, 1000)
+    table = quality_classifier.preference_pairs(good, bad, 25)
+    found = [(r.g, r.h) for r in table.collect()]
+    assert {tuple(g) for g, _ in found} == {tuple(r.x) for r in good.collect()} and {tuple(h) for _, h in found} == {tuple(r.x) for r in bad.collect()}
+    d = np.array([np.subtract(g, h) for g, h in found])
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w -= 0.1 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + quality_classifier.RIDGE * w)
+    assert quality_classifier.newton(table, 3) == pytest.approx(w, abs=1e-4)
+
+
 def test_empty_tables(spark, empty):
     assert quality_classifier.classify(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
