@@ -31,7 +31,8 @@ STARTS, RANKED = 64, 500
 def targets(sums: DataFrame) -> DataFrame:
     """Rows (source, source_size, target) from rows (source, source_size).
 
-    One row for each source is all that is ordered here. The excess of sources at their cap is
+    Turns go by the order of all sources, so one task orders a row of four numbers for each source,
+    never documents: ten million sources are some hundred megabytes. The excess of sources at their cap is
     shared again by weight until none is above: the final level of words for each weight is
     found from the sources in order of cap per weight.
     """

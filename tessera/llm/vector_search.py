@@ -66,13 +66,16 @@ CODES = "vec_id long, code binary, length double, along double, near double, v a
 
 
 def index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The codes of the distinct rows of (vec_id, v), stored, and the centre. Vectors of another length than the most common raise."""
-    dims = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(2).collect()
+    """The codes of the distinct rows of (vec_id, v), stored, and the centre.
+
+    A product needs vectors of one length: those of another than the most common, of two such the
+    greater, take no part.
+    """
+    dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not dims:
         return vectors.sparkSession.createDataFrame([], CODES), np.zeros(1)
-    if len(dims) > 1:
-        raise ValueError("vectors differ in length")
     dim = dims[0]["d"]
+    vectors = vectors.where(F.size("v") == dim)
     centre = np.array(vectors.select(*[F.avg(F.get("v", i)).alias(f"c{i}") for i in range(dim)]).first())
     return stored(vectors.dropDuplicates(["vec_id", "v"]).mapInArrow(_coder(centre, rotation(dim)), CODES)), centre
 
@@ -158,8 +161,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, every: int, k: int =
 
     All rows but the query's own id are candidates. Queries are met in passes of
     ``PASS_QUERIES``, a bounded array sent to the tasks; each pass reads the codes once and keeps
-    at most ``k`` rows for each query and task. Null, zero and non-finite vectors take no part;
-    an id repeated with other vectors keeps its best. Ties go to the smaller id.
+    at most ``k`` rows for each query and task. Null, zero and non-finite vectors and those of
+    another length take no part; an empty table gives no rows; an id repeated with other vectors keeps its best. Ties go to the smaller id.
     """
     spark: SparkSession = vectors.sparkSession
     clean = usable(vectors, id_col, vec_col)

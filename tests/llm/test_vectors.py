@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
 
 from tessera.llm import vector_search
 
@@ -48,3 +51,30 @@ def test_repeated_ids_take_one_place(spark):
     want = sorted((i for i in best if i), key=lambda i: -best[i])[:20]
     assert len(got) == 20 and len(set(got) & set(want)) >= 19 and {101, 103} <= set(got)
     assert all(abs(s - best[i]) < 1e-9 for i, s in got.items())
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5]), (20, [1.0]), (3, [1.0, 2.0, 3.0]), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in vector_search.nearest(df, "vec_id", "embedding", 20).collect()} == {(0, 1), (0, 2)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_whole_tables(spark, sf):
+    """Recall of the 20 nearest against brute force over every row of the driver's tables."""
+    at = Path(f"/root/testdata/{sf}/embeddings.parquet")
+    if not at.exists():
+        pytest.skip("no tables on this machine")
+    table = spark.read.parquet(str(at))
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
+    found = {}
+    for r in vector_search.nearest(table, "vec_id", "embedding", 20).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hits = 0
+    for q in found:
+        s = v @ v[ids == q][0]
+        s[ids == q] = -np.inf
+        top = ids[np.lexsort((ids, -s))[:20]]
+        hits += len({i for _, i in found[q]} & set(top.tolist()))
+    assert set(found) == {i for i in ids.tolist() if i % 20 == 0} and hits >= 0.9 * 20 * len(found)
