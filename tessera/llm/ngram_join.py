@@ -15,7 +15,7 @@ never list all their pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ FANOUT = 32
 OFTEN, OFTEN_KEPT, SCORES = 8, 1 << 20, 50
 #: Rows of one shingle held at a time; a longer run is a block of its own and isn't merged with equal ones.
 RUN_HELD = 200_000
-#: Members of a block, and shingles of a cluster's sets, dealt to one task together.
-PIECE, PIECE_SHINGLES = 512, 1 << 20
+#: Members of a group, and shingles of a cluster's sets, in one piece of it.
+PIECE, PIECE_SHINGLES = 512, 1 << 22
 #: Bits of the bitmap that lets most documents without a block skip the second reading.
 BITMAP = 1 << 23
 
@@ -420,16 +420,15 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = components(first).select(F.col("node").alias("rep"), "component")
 
     # every two members of different components meet once more; most blocks are one component by now
-    again = stored(dealt.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    touched = stored(in_groups(_meeting(again, "block").select("deal", "rep", "n", "point", "component")).mapInArrow(_touched(percent), "a long, b long").distinct())
+    again = dealt.join(found, "rep", "left").select("block", "rep", "n", "point", F.coalesce("component", "rep").alias("component"))
+    touched = stored(in_groups(_meeting(again, "block", lambda side: F.ceil(F.count_if(side) / PIECE))).mapInArrow(_touched(percent), "a long, b long").distinct())
 
     # what may still link, in whichever blocks, comes together once: a set is sent for a cluster, not for each block
     cluster = stored(components(touched).select(F.col("node").alias("rep"), F.col("component").alias("cluster")))
     sized = cluster.join(classes.select("rep", "node", "check", "n", "point"), "rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    pieces = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("n") / PIECE_SHINGLES)).alias("pieces"))
-    own = stored(sized.join(pieces, "cluster").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces"))))
     sets = whole_sets(read, cluster.select("rep"), k, shared).withColumnRenamed("doc_id", "rep")
-    met = _meeting(own, "cluster").join(sets, ["rep", "node", "check"]).select("deal", "rep", "n", "point", "component", "shingles")
+    size = lambda side: F.greatest(F.ceil(F.count_if(side) / (2 * PIECE)), F.ceil(F.sum(F.when(side, F.col("n"))) / PIECE_SHINGLES))
+    met = _meeting(sized.join(sets, ["rep", "node", "check"]).select("cluster", "rep", "n", "point", "component", "shingles"), "cluster", size)
     second = stored(in_groups(met).mapInArrow(_joined_up(percent), "a long, b long").distinct())
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
@@ -439,19 +438,29 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return linked.union(alone)
 
 
-def _meeting(rows: DataFrame, group: str) -> DataFrame:
-    """Rows (``group``, piece, pieces, component, ...) to the deals in which any two of a group that differ in component meet.
+def _meeting(rows: DataFrame, group: str, pieces: Callable[[Column], Column]) -> DataFrame:
+    """Rows (``group``, rep, component, ...) with the deals in which any two of a group that differ in component meet.
 
-    The members of a group's largest component stay in their piece, where all others come to
-    them; those are with each other in the deal of their two pieces. Groups of one component have none.
+    The members of a group's largest component, its lead, needn't meet each other. They and the
+    others are cut into pieces of their own, as many as ``pieces`` says for a side, so a piece of the lead meets each piece of the
+    others, and those meet each other: where nearly all belong to the lead, nearly all are sent
+    once. Groups of one component have no deals.
     """
+    rows = stored(rows)
     tally = rows.groupBy(group, "component").count()
-    lead = tally.groupBy(group).agg(F.max_by("component", F.struct("count", "component")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    rows = rows.join(lead, group)
-    every = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
-    to_lead = lambda p: F.struct(p.alias("p"), F.lit(-1).cast("long").alias("q"))
-    own = F.array(to_lead(F.col("piece")))
-    others = F.concat(F.transform(every, to_lead), F.transform(every, lambda p: F.struct(F.least("piece", p).alias("p"), F.greatest("piece", p).alias("q"))))
-    # in one piece the lead's deal holds all pairs
-    dealt = F.when((F.col("component") == F.col("lead")) | (F.col("pieces") == 1), own).otherwise(others)
-    return rows.withColumn("d", F.explode(dealt)).withColumn("deal", F.xxhash64(group, "d.p", "d.q")).drop("d", "lead")
+    lead = tally.groupBy(group).agg(F.max_by("component", F.struct("count", "component")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").select(group, "lead")
+    rows = rows.join(small(lead), group).withColumn("led", F.col("component") == F.col("lead")).drop("lead")
+    sides = rows.groupBy(F.col(group).alias("_group")).agg(pieces(F.col("led")).alias("leads"), pieces(~F.col("led")).alias("others"))
+    sides = small(stored(sides))
+    rows = rows.join(sides, F.col(group) == F.col("_group"))
+    piece = F.pmod(F.xxhash64("rep"), F.when(F.col("led"), F.col("leads")).otherwise(F.col("others")))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    deal = lambda a, b: F.struct(a.alias("p"), b.alias("q"))
+    with_lead = F.transform(each("leads"), lambda p: deal(p, F.col("piece")))
+    # with one piece of each, the others meet in the lead's deal
+    among = F.when((F.col("leads") == 1) & (F.col("others") == 1), F.array().cast("array<struct<p:bigint,q:bigint>>")).otherwise(
+        F.transform(each("others"), lambda p: deal(-1 - F.least("piece", p), F.greatest("piece", p)))
+    )
+    dealt = F.when(F.col("led"), F.transform(each("others"), lambda q: deal(F.col("piece"), q))).otherwise(F.concat(with_lead, among))
+    out = rows.withColumn("piece", piece).withColumn("d", F.explode(dealt))
+    return out.withColumn("deal", F.xxhash64(group, "d.p", "d.q")).drop("d", "piece", "led", "leads", "others", "_group", group)
