@@ -8,6 +8,7 @@ whole documents where the data is large; ``shards`` says how many, if not left t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -63,8 +64,9 @@ def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame
 
 def relative(path: Column, root: str) -> Column:
     """A file's path below ``root``."""
-    tail = root.rstrip("/").split("/")[-1]
-    return F.regexp_replace(path, f"^.*?/{tail}/", "")
+    whole = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/")
+    exact, tail = (f"^(?:.*?/)?{re.escape(x)}/" for x in (whole, whole.split("/")[-1]))
+    return F.when(F.rlike(path, F.lit(exact)), F.regexp_replace(path, exact, "")).otherwise(F.regexp_replace(path, tail, ""))
 
 
 def stem(name: Column) -> Column:
@@ -81,6 +83,33 @@ def require(ok: Column, message: str | Column, value: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(message if isinstance(message, Column) else F.lit(message)))
 
 
+def prefixed(attributes: Column, prefix: str) -> Column:
+    """A map's entries that have a value, with ``prefix`` before their keys; no entries for a null map."""
+    named = F.transform_keys(F.map_filter(attributes, lambda k, v: v.isNotNull()), lambda k, v: F.concat(F.lit(prefix), k))
+    return F.coalesce(named, F.create_map().cast("map<string,string>"))
+
+
+def carried(prefix: str, attributes: Column | None = None) -> Column:
+    """The attributes whose keys begin with ``prefix``, without it."""
+    attributes = F.col("attributes") if attributes is None else attributes
+    own = F.map_filter(attributes, lambda k, v: k.startswith(prefix) & (F.length(k) > len(prefix)) & v.isNotNull())
+    bare = F.transform_keys(own, lambda k, v: k.substr(F.lit(len(prefix) + 1), F.length(k)))
+    return F.coalesce(bare, F.create_map().cast("map<string,string>"))
+
+
+def attribute(key: str, default: Column | str | None = None) -> Column:
+    """One of a row's attributes, or ``default``."""
+    return F.coalesce(F.try_element_at("attributes", F.lit(key)), default if isinstance(default, Column) else F.lit(default).cast("string"))
+
+
+def last_of_each(entries: Column) -> Column:
+    """A map from an array of (key, value); of equal keys the last counts, entries without a key don't."""
+    def stands(x: Column, n: Column) -> Column:
+        return x["key"].isNotNull() & ~F.exists(F.slice(entries, n + 2, F.size(entries)), lambda y: y["key"] == x["key"])
+
+    return F.coalesce(F.map_from_entries(F.filter(entries, stands)), F.create_map().cast("map<string,string>"))
+
+
 def _filled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({k: v for k, v in columns.items() if k not in df.columns})
 
@@ -294,7 +323,7 @@ _HEAD = 1 << 16
 _PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ("png", "jpg", "jpeg", "bmp", "gif", "webp")) + "}"
 
 
-def image_sizes(spark: SparkSession, root: str) -> DataFrame:
+def image_sizes(spark: SparkSession, root: str, without: str = "^images/") -> DataFrame:
     """Rows (name, width, height) of the image files below ``root``, by path below it. A file without a readable size is an error."""
     @F.pandas_udf("width long, height long")
     def probe(data: pd.Series) -> pd.DataFrame:
@@ -305,7 +334,7 @@ def image_sizes(spark: SparkSession, root: str) -> DataFrame:
     got = got.select("name", "s", probe(F.when(F.col("s.width").isNull(), F.col("content"))).alias("t"))
     width = F.coalesce("s.width", "t.width")
     width = require(width.isNotNull(), F.concat(F.lit("no size found in image "), F.col("name")), width)
-    return got.select(F.regexp_replace("name", "^images/", "").alias("name"), width.alias("width"), F.coalesce("s.height", "t.height").alias("height"))
+    return got.select(F.regexp_replace("name", without, "").alias("name"), width.alias("width"), F.coalesce("s.height", "t.height").alias("height"))
 
 
 def with_sizes(annotations: DataFrame, images: DataFrame | None, spark: SparkSession, root: str | None) -> DataFrame | None:

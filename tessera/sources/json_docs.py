@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_percent, from_xywh, rotated_envelope, to_cxcywh, to_normalized, to_percent, to_pixel
 from tessera.model import INFO, AnnotationDataset, dataset
 
-from .common import annotations_of, basename, documents, from_raw, lines, per_image, register, require, shards_for, stem, with_sizes, write_documents, write_lines
+from .common import annotations_of, attribute, basename, carried, documents, from_raw, lines, per_image, prefixed, register, require, shards_for, stem, with_sizes, write_documents, write_lines
 
 
 def _obj(**fields: Column) -> Column:
@@ -425,21 +425,24 @@ class Via:
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         region = "struct<shape_attributes:struct<name:string,x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>"
         docs = documents(spark, path, "*").select("path", F.explode(F.from_json("text", f"map<string,struct<filename:string,size:bigint,regions:array<{region}>,file_attributes:map<string,string>>>")).alias("key", "v"))
-        rows = docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions")
+        rows = docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions", "v.file_attributes")
         a = rows.select("key", "file_name", F.posexplode("regions").alias("k", "x")).where("x.shape_attributes.name = 'rect'")
         named = F.map_filter("x.region_attributes", lambda k, v: v.isNotNull() & (F.btrim(v) != ""))
-        label = F.coalesce(F.try_element_at(named, F.lit("label")), F.try_element_at(named, F.lit("class")), F.when(F.size(named) == 1, F.get(F.map_values(named), F.lit(0))))
-        a = a.withColumns({"label": label, "_ord": _ord("file_name", "key", "k")}).where("label is not null")
+        has = lambda k: F.coalesce(F.map_contains_key(named, k), F.lit(False))
+        said = F.when(has("label"), "label").when(has("class"), "class").when(F.size(named) == 1, F.get(F.map_keys(named), F.lit(0)))
+        a = a.withColumn("said", said).where("said is not null")
+        others = prefixed(F.map_filter("x.region_attributes", lambda k, v: k != F.col("said")), "via_region_attr_")
+        a = a.withColumns({"label": F.try_element_at(named, F.col("said")), "attributes": others, "_ord": _ord("file_name", "key", "k")})
         a = annotations_of(a, from_xywh(*[F.col(f"x.shape_attributes.{k}") for k in ("x", "y", "width", "height")]))
-        names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.map_filter(F.create_map(F.lit("via_size_bytes"), F.col("size").cast("string")), lambda k, v: v.isNotNull()).alias("attributes"))
+        names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.map_concat(prefixed(F.create_map(F.lit("size_bytes"), F.col("size").cast("string")), "via_"), prefixed(F.col("file_attributes"), "via_file_attr_")).alias("attributes"))
         return from_raw(with_sizes(a, names, spark, images), a)
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        item = _obj(shape_attributes=F.struct(F.lit("rect").alias("name"), *[c.alias(n) for n, c in _xywh().items()]), region_attributes=F.struct("label"))
+        item = _obj(shape_attributes=F.struct(F.lit("rect").alias("name"), *[c.alias(n) for n, c in _xywh().items()]), region_attributes=F.map_concat(F.create_map(F.lit("label"), F.col("label")), F.map_filter(carried("via_region_attr_"), lambda k, v: k != "label")))
         i = per_image(ds, item, "unknown")
         size = F.coalesce(F.try_element_at("attributes", F.lit("via_size_bytes")).cast("long"), F.lit(0))
-        head = _joined(_obj(filename=F.col("file_name"), size=size, file_attributes=F.create_map().cast("map<string,string>")), regions=F.col("items"))
+        head = _joined(_obj(filename=F.col("file_name"), size=size, file_attributes=carried("via_file_attr_")), regions=F.col("items"))
         key = F.to_json(F.array(F.concat("file_name", size.cast("string"))))
         parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(key.substr(F.lit(2), F.length(key) - 2), F.lit(":"), head).alias("part"))
         write_documents(parts, path, shards or shards_for(ds), "{", "}")
@@ -500,15 +503,19 @@ class UnityPerception:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         value = "struct<instanceId:bigint,labelId:bigint,labelName:string,label_id:bigint,label_name:string,origin:array<double>,dimension:array<double>,x:double,y:double,width:double,height:double>"
-        schema = f"frame bigint, sequence bigint, step bigint, captures array<struct<id:string,filename:string,dimension:array<double>,annotations:array<struct<`@type`:string,values:array<{value}>>>>>"
-        docs = documents(spark, path).select("path", F.from_json("text", schema).alias("d")).select("path", F.posexplode("d.captures").alias("at", "c"))
-        rows = docs.withColumn("file_name", F.col("c.filename"))
+        named = "sequence_id:string,sequenceId:string,sequence:string,step:string,frame:string,timestamp:string"
+        schema = f"{named.replace(':', ' ')}, captures array<struct<id:string,capture_id:string,captureId:string,sensor_id:string,sensorId:string,{named},filename:string,dimension:array<double>,annotations:array<struct<`@type`:string,values:array<{value}>>>>>"
+        docs = documents(spark, path).select("path", F.from_json("text", schema).alias("d")).select("path", "d", F.posexplode("d.captures").alias("at", "c"))
+        either = lambda *names: F.coalesce(*[F.col(f"{at}.{n}") for at in ("d", "c") for n in names])
+        facts = {"capture_id": F.coalesce("c.id", "c.capture_id", "c.captureId"), "sequence_id": either("sequence_id", "sequenceId"), **{k: either(k) for k in ("sequence", "step", "frame", "timestamp")}, "sensor_id": F.coalesce("c.sensor_id", "c.sensorId", "c.id")}
+        kept = prefixed(F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]), "unity_perception_")
+        rows = docs.withColumn("file_name", F.col("c.filename")).withColumn("attributes", kept)
         size = lambda k: F.round(F.get("c.dimension", F.lit(k))).cast("long")
         a = rows.select("path", "at", "file_name", F.posexplode("c.annotations").alias("n", "b")).where(F.lower("b.@type").contains("box2d") | F.lower("b.@type").contains("boundingbox2d"))
         a = a.select("file_name", "path", "at", "n", F.posexplode("b.values").alias("k", "x"))
         a = a.withColumns({"label": F.coalesce("x.labelName", "x.label_name", F.concat(F.lit("label_"), F.coalesce("x.labelId", "x.label_id").cast("string"))), "_ord": _ord("file_name", "path", "at", "n", "k")})
         part = lambda name, array, k: F.coalesce(F.col(f"x.{name}"), F.get(f"x.{array}", F.lit(k)))
-        return from_raw(rows.select("file_name", size(0).alias("width"), size(1).alias("height"), F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(part("x", "origin", 0), part("y", "origin", 1), part("width", "dimension", 0), part("height", "dimension", 1))))
+        return from_raw(rows.select("file_name", size(0).alias("width"), size(1).alias("height"), "attributes", F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(part("x", "origin", 0), part("y", "origin", 1), part("width", "dimension", 0), part("height", "dimension", 1))))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
@@ -517,6 +524,10 @@ class UnityPerception:
         v = _xywh()
         item = F.to_json(F.struct(F.col("id").alias("instanceId"), F.col("category_id").alias("labelId"), F.col("label").alias("labelName"), F.array(v["x"], v["y"]).alias("origin"), F.array(v["width"], v["height"]).alias("dimension")))
         i = per_image(ds, item)
-        capture = F.concat(F.regexp_replace(_obj(id=F.lit("camera"), filename=F.col("file_name"), dimension=F.array("width", "height")), r"\}$", ""), F.lit(',"annotations":[{"@type":"type.unity.com/unity.solo.BoundingBox2DAnnotation","id":"bounding box","values":['), F.array_join("items", ","), F.lit("]}]}"))
-        text = F.concat(F.lit('{"frame":'), F.col("id").cast("string"), F.lit(',"sequence":0,"step":'), F.col("id").cast("string"), F.lit(',"captures":['), capture, F.lit("]}"))
+        said = lambda k, default: attribute(f"unity_perception_{k}", default)
+        # numbers stand as numbers, all else as text
+        plain = lambda c: F.when(F.rlike(c, F.lit(r"^-?(0|[1-9]\d*)(\.\d+)?$")), c).otherwise(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
+        number_of = F.col("id").cast("string")
+        capture = F.concat(F.regexp_replace(_obj(id=said("capture_id", said("sensor_id", "camera")), sensor_id=said("sensor_id", "camera"), sequence_id=said("sequence_id", None), filename=F.col("file_name"), dimension=F.array("width", "height")), r"\}$", ""), F.lit(',"annotations":[{"@type":"type.unity.com/unity.solo.BoundingBox2DAnnotation","id":"bounding box","values":['), F.array_join("items", ","), F.lit("]}]}"))
+        text = F.concat(F.lit('{"frame":'), plain(said("frame", number_of)), F.lit(',"sequence":'), plain(said("sequence", "0")), F.lit(',"step":'), plain(said("step", number_of)), F.lit(',"timestamp":'), plain(said("timestamp", number_of)), F.lit(',"captures":['), capture, F.lit("]}"))
         write_files(i.select(F.concat(F.lit("sequence.0/step"), F.col("id").cast("string"), F.lit(".frame_data.json")).alias("name"), text.alias("content")), path)

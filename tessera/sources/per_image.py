@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -13,8 +15,9 @@ from pyspark.sql import types as T
 
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_xywh, to_cxcywh, to_normalized
 from tessera.model import AnnotationDataset
+from tessera.storage import exists
 
-from .common import annotations_of, basename, documents, fixed, from_raw, image_sizes, lines, number, per_image, register, relative, require, shards_for, stem, with_sizes, write_documents, write_files, write_lines
+from .common import annotations_of, basename, carried, documents, fixed, from_raw, image_sizes, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, with_sizes, write_documents, write_files, write_lines
 from .json_docs import _joined, _obj, _ord, _xywh
 
 _NO_ATTRIBUTES = "map<string,string>"
@@ -177,13 +180,14 @@ class Voc:
 class Cvat:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        b = "array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double,_occluded:string,_z_order:string,_source:string>>"
+        b = "array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double,_occluded:string,_z_order:string,_source:string,attribute:array<struct<_name:string,_VALUE:string>>>>"
         schema = f"meta struct<task:struct<labels:struct<label:array<struct<name:string,type:string>>>>>, image array<struct<_id:bigint,_name:string,_width:bigint,_height:bigint,box:{b},polygon:array<string>,points:array<string>>>"
         docs = documents(spark, path, "*").select(F.from_xml("text", schema, {"attributePrefix": "_"}).alias("d")).select("d.*")
         rows = docs.select(F.posexplode("image").alias("at", "i")).select("at", "i.*").withColumn("file_name", require(F.col("polygon").isNull() & F.col("points").isNull(), "an image has shapes that aren't boxes", F.col("_name")))
         a = rows.select("file_name", F.posexplode("box").alias("k", "x"))
         kept = F.map_filter(F.create_map(*[x for k in ("occluded", "z_order", "source") for x in (F.lit(k), F.col(f"x._{k}"))]), lambda k, v: v.isNotNull())
-        a = a.withColumns({"label": F.col("x._label"), "attributes": kept, "_ord": _ord("file_name", "k")})
+        own = last_of_each(F.transform("x.attribute", lambda t: F.struct(F.concat(F.lit("cvat_attr_"), require(F.btrim(t["_name"]) != "", "an attribute has no name", F.btrim(t["_name"]))).alias("key"), F.coalesce(F.btrim(t["_VALUE"]), F.lit("")).alias("value"))))
+        a = a.withColumns({"label": F.col("x._label"), "attributes": F.map_concat(kept, own), "_ord": _ord("file_name", "k")})
         c = docs.select(F.explode("meta.task.labels.label").alias("l")).where("l.type is null or l.type in ('bbox', 'rectangle', 'any')").select(F.col("l.name").alias("name"))
         return from_raw(rows.select("file_name", F.col("_width").alias("width"), F.col("_height").alias("height"), F.col("at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x._{k}") for k in ("xtl", "ytl", "xbr", "ybr")])), c)
 
@@ -191,7 +195,8 @@ class Cvat:
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         at = lambda k, d: F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit(d))
         attr = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
-        item = F.concat(F.lit("<box"), attr("label", _xml(F.col("label"))), attr("source", _xml(at("source", "manual"))), attr("occluded", at("occluded", "0")), *[attr(n, number(c)) for n, c in zip(("xtl", "ytl", "xbr", "ybr"), box(), strict=True)], attr("z_order", at("z_order", "0")), F.lit("></box>"))
+        own = F.transform(F.array_sort(F.map_entries(carried("cvat_attr_"))), lambda e: F.concat(F.lit("<attribute"), attr("name", _xml(F.btrim(e["key"]))), F.lit(">"), _xml(e["value"]), F.lit("</attribute>")))
+        item = F.concat(F.lit("<box"), attr("label", _xml(F.col("label"))), attr("source", _xml(at("source", "manual"))), attr("occluded", at("occluded", "0")), *[attr(n, number(c)) for n, c in zip(("xtl", "ytl", "xbr", "ybr"), box(), strict=True)], attr("z_order", at("z_order", "0")), F.lit(">"), F.array_join(own, ""), F.lit("</box>"))
         i = per_image(ds, item)
         part = F.concat(F.lit("<image"), attr("id", F.col("id").cast("string")), attr("name", _xml(F.col("file_name"))), attr("width", F.col("width").cast("string")), attr("height", F.col("height").cast("string")), F.lit(">"), F.array_join("items", ""), F.lit("</image>"))
         used = ds.categories.join(ds.annotations.select(F.col("category_id").alias("_c")).distinct(), F.col("id") == F.col("_c"), "left_semi").select("name").distinct()
@@ -262,28 +267,55 @@ def _sized_by_stem(spark: SparkSession, images: str) -> DataFrame:
 @register("yolo", "text for each image, centres as shares", "confidence", "images")
 class Yolo:
     @staticmethod
-    def read(spark: SparkSession, path: str, images: str | None = None, names: list[str] | None = None) -> AnnotationDataset:
-        """``images`` is where the image files are, ``path``/images if not given; ``names`` the classes, read from data.yaml or classes.txt if not given."""
+    def read(spark: SparkSession, path: str, images: str | None = None, names: list[str] | None = None, split: str | None = None) -> AnnotationDataset:
+        """``images`` is where the image files are, ``path``/images if not given; ``names`` the classes, read from data.yaml or classes.txt if not given.
+
+        Where data.yaml names train, val or test, all of them are read, or the one that ``split``
+        names; images get the split's name before theirs. A split is a folder of images, a folder
+        with images and labels in it, or a text file that lists images. A label file without its
+        image, a listed image that isn't there and two images of one name are errors.
+        """
         root = path.rstrip("/")
-        names = names or Yolo.names(spark, root)
-        sizes = _sized_by_stem(spark, images or f"{root}/images")
-        rows = _text_rows(spark, f"{root}/labels").withColumn("stem", F.regexp_replace("rel", r"\.txt$", ""))
+        config = Yolo.config(spark, root)
+        names = names or Yolo.names(spark, root, config)
+        places = {} if images else _yaml_splits(config.get("data.yaml", ""))
+        if split is not None and split not in places:
+            raise ValueError(f"no split {split!r} here; there are: {', '.join(places) or 'none'}")
+        info = None
+        if places:
+            wanted = [split] if split else list(places)
+            info = {"attributes": {"yolo_layout_mode": "split_aware", "yolo_splits_found": ",".join(places), "yolo_splits_read": ",".join(wanted)}}
+            base = _below(root, _yaml_value(config["data.yaml"], "path") or ".")
+            parts = [_split(spark, base, s, places[s]) for s in wanted]
+            sizes, rows = (reduce(DataFrame.unionByName, some) for some in zip(*parts, strict=True))
+            sizes = sizes.groupBy("file_name").agg(F.first("stem").alias("stem"), F.first("width").alias("width"), F.first("height").alias("height"), F.count("*").alias("n"))
+            sizes = sizes.select(require(F.col("n") == 1, F.concat(F.lit("two images are named "), F.col("file_name")), F.col("file_name")).alias("file_name"), "stem", "width", "height")
+        else:
+            sizes = _sized_by_stem(spark, images or f"{root}/images")
+            rows = _labels(spark, f"{root}/labels")
         n = F.size("t")
         k = require((n == 5) | (n == 6), F.concat(F.lit("a line hasn't five or six fields: "), F.col("line")), F.get("t", F.lit(0)).cast("int"))
         known = F.array(*[F.lit(x) for x in names]) if names else F.lit(None).cast("array<string>")
         label = F.coalesce(F.get(known, k), F.concat(F.lit("class_"), k.cast("string"))) if not names else require(k < len(names), "a class isn't in the list of names", F.get(known, k))
-        rows = rows.withColumns({"label": label, "confidence": F.when(n == 6, _num(5))}).join(sizes, "stem")
+        # images that differ in their extension only: labels go to the first by name
+        by_stem = sizes.groupBy("stem").agg(F.min(F.struct("file_name", "width", "height")).alias("i")).select("stem", "i.*")
+        rows = rows.withColumns({"label": label, "confidence": F.when(n == 6, _num(5))}).join(by_stem, "stem", "left")
+        rows = rows.withColumn("file_name", require(F.col("file_name").isNotNull(), F.concat(F.lit("labels without an image: "), F.col("stem")), F.col("file_name")))
         w, h = F.col("width"), F.col("height")
         a = annotations_of(rows.withColumn("_ord", F.struct("file_name", "_ord")), from_cxcywh(_num(1) * w, _num(2) * h, _num(3) * w, _num(4) * h))
         listed = spark.createDataFrame([(x,) for x in names], "name string") if names else None
-        return from_raw(sizes.drop("stem"), a, listed)
+        return from_raw(sizes.drop("stem"), a, listed, info)
+
+    @staticmethod
+    def config(spark: SparkSession, root: str) -> dict[str, str]:
+        """The texts of data.yaml and classes.txt, where they are."""
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "{data.yaml,classes.txt}").load(root).select("path", F.decode("content", "UTF-8").alias("text"))
+        return {r["path"].rsplit("/", 1)[-1]: r["text"] for r in found.collect()}
 
     @staticmethod
-    def names(spark: SparkSession, root: str) -> list[str]:
-        found = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "{data.yaml,classes.txt}").load(root).select("path", F.decode("content", "UTF-8").alias("text")).collect()}
-        if "data.yaml" in found:
-            return _yaml_names(found["data.yaml"])
-        return [x.strip() for x in found.get("classes.txt", "").splitlines() if x.strip()]
+    def names(spark: SparkSession, root: str, config: dict[str, str] | None = None) -> list[str]:
+        found = Yolo.config(spark, root) if config is None else config
+        return _yaml_names(found.get("data.yaml", "")) or [x.strip() for x in found.get("classes.txt", "").splitlines() if x.strip()]
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
@@ -296,14 +328,85 @@ class Yolo:
         text = F.concat(F.array_join("items", "\n"), F.when(F.size("items") > 0, "\n").otherwise(""))
         files = i.select(F.concat(F.lit("labels/"), F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(".txt")).alias("name"), text.alias("content"))
         quoted = "".join(f"  {n}: '" + r["name"].replace("'", "''") + "'\n" for n, r in enumerate(c))
-        yaml = ds.images.sparkSession.range(1).select(F.lit("data.yaml").alias("name"), F.lit(f"path: .\ntrain: images\nval: images\nnc: {len(c)}\nnames:\n{quoted}").alias("content"))
+        yaml = ds.images.sparkSession.range(1).select(F.lit("data.yaml").alias("name"), F.lit(f"nc: {len(c)}\nnames:\n{quoted}").alias("content"))
         write_files(files.union(yaml), path)
 
 
+def _labels(spark: SparkSession, root: str) -> DataFrame:
+    return _text_rows(spark, root).withColumn("stem", F.regexp_replace("rel", r"\.txt$", ""))
+
+
+def _below(root: str, place: str) -> str:
+    """A path in a configuration, seen from ``root`` unless it is absolute."""
+    place = re.sub(r"^(\./)+|/(\.)?$", "", place.replace("\\", "/"))
+    if place.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", place):
+        return place
+    at = root if place in ("", ".") else f"{root}/{place}"
+    while (shorter := re.sub(r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "", at, count=1)) != at:
+        at = shorter
+    return at
+
+
+def _split(spark: SparkSession, base: str, split: str, place: str) -> tuple[DataFrame, DataFrame]:
+    """A split's images (file_name, stem, width, height) and label lines with the stem of their image."""
+    at = _below(base, place)
+    if at.lower().endswith(".txt"):
+        return _listed_split(spark, base, split, at)
+    if exists(spark, f"{at}/images") and exists(spark, f"{at}/labels"):
+        pictures, labels = f"{at}/images", f"{at}/labels"
+    else:
+        pictures, labels = at, _below(base, re.sub(r"(?i)^(.*(?:^|/))images(?=/|$)", r"\1labels", place.replace("\\", "/")))
+        if labels == at or not exists(spark, labels):
+            raise ValueError(f"split {split!r}: {at} isn't a folder of images with a folder of labels")
+    put = lambda name: F.concat(F.lit(f"{split}/"), F.col(name)).alias(name)
+    sizes = _sized_by_stem(spark, pictures).select(put("file_name"), put("stem"), "width", "height")
+    rows = _labels(spark, labels)
+    return sizes, rows.select(*[c for c in rows.columns if c != "stem"], put("stem"))
+
+
+def _listed_split(spark: SparkSession, base: str, split: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """As ``_split``, for a text file with an image's path in each line; images and labels are looked up below ``base``."""
+    own = at.rsplit("/", 1)[0]
+    line = F.regexp_replace(F.replace(F.btrim("value"), F.lit("\\"), F.lit("/")), r"^(\./)+|(?<=/)(\./)+", "")
+    listed = spark.read.text(at).select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    image = F.rlike("line", F.lit(r"(?i)\.(png|jpe?g|bmp|gif|webp|tiff?)$"))
+    listed = listed.withColumn("line", require(image, F.concat(F.lit("not an image in the list: "), F.col("line")), F.col("line")))
+    whole = F.when(F.col("line").startswith("/"), F.col("line")).otherwise(F.concat(F.lit(f"{own}/"), F.col("line")))
+    tails = [F.regexp_extract("line", pattern, 1) for pattern in (rf"^(?:.*/)?images/{split}/(.+)$", r"^(?:.*/)?images/(.+)$", rf"^{split}/(.+)$")]
+    tail = F.coalesce(*[F.when(t != "", t) for t in tails], F.when(F.col("line").startswith("/"), F.regexp_extract("line", r"[^/]+$", 0)).otherwise(F.col("line")))
+    bare = F.regexp_replace("at", r"\.[^./]*$", "")
+    listed = listed.select(F.concat(F.lit(f"{split}/"), tail).alias("file_name"), relative(whole, base).alias("at"))
+    listed = listed.select("file_name", "at", F.concat(F.regexp_replace(bare, r"(?i)^(.*/|)images/", "$1labels/"), F.lit(".txt")).alias("apart"), F.concat(bare, F.lit(".txt")).alias("beside"))
+    found = image_sizes(spark, base, "^$").select(F.col("name").alias("at"), "width", "height")
+    sizes = listed.join(found, "at", "left").select("file_name", F.col("file_name").alias("stem"), require(F.col("width").isNotNull(), F.concat(F.lit("a listed image isn't there: "), F.col("at")), F.col("width")).alias("width"), "height")
+    rows = _text_rows(spark, base)
+    there = rows.select(F.col("rel").alias("apart")).distinct().withColumn("there", F.lit(True))
+    places = listed.join(there, "apart", "left").select(F.col("file_name").alias("stem"), F.when(F.col("there"), F.col("apart")).otherwise(F.col("beside")).alias("rel"))
+    # words are bound to the join's other side, so that no check of a line is made before it, on texts that aren't labels
+    return sizes, rows.join(places, "rel").withColumn("t", F.when(F.col("stem").isNotNull(), F.col("t"))).select(*rows.columns, "stem")
+
+
+def _plain_yaml(x: str) -> str:
+    """A scalar without its quotes, or without a comment."""
+    x = x.strip()
+    if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"":
+        return x[1:-1].replace("''", "'")
+    return re.split(r"\s#|^#", x)[0].strip()
+
+
+def _yaml_value(text: str, key: str) -> str | None:
+    m = re.search(rf"^{key}[ \t]*:[ \t]*(.*?)[ \t\r]*$", text, re.M)
+    return (_plain_yaml(m[1]) or None) if m else None
+
+
+def _yaml_splits(text: str) -> dict[str, str]:
+    """The splits that a data.yaml names, with their places."""
+    found = {k: _yaml_value(text, k) for k in ("train", "val", "test")}
+    return {k: v for k, v in found.items() if v}
+
+
 def _yaml_names(text: str) -> list[str]:
     """The names in a data.yaml: an inline list, or lines with a dash or a number."""
-    import re
-
     m = re.search(r"^names\s*:(.*)((?:\n[ \t-].*|\n\s*)*)", text, re.M)
     if not m:
         return []

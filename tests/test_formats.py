@@ -144,3 +144,94 @@ def test_sizes_far_into_a_file(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"nothing")
     with pytest.raises(Exception, match="no size found"):
         image_sizes(spark, str(tmp_path)).collect()
+
+
+def _kept(ds):
+    return [dict(r.attributes) for r in ds.annotations.orderBy("id").collect()], [dict(r.attributes) for r in ds.images.orderBy("id").collect()]
+
+
+def _again(spark, tmp_path, name, ds):
+    """What a dataset's attributes are when it is written and read once more."""
+    out = str(tmp_path / "again")
+    FORMATS[name].write(ds, out)
+    return _kept(FORMATS[name].read(spark, out))
+
+
+def test_cvat_attributes(spark, tmp_path):
+    box = '<box label="cat" occluded="1" xtl="1" ytl="2" xbr="3" ybr="4">'
+    own = '<attribute name="color">red &amp; blue</attribute><attribute name=" side ">left</attribute><attribute name="color"> green </attribute><attribute name="none"></attribute>'
+    (tmp_path / "a.xml").write_text(f'<annotations><image id="0" name="a.png" width="9" height="9">{box}{own}</box>{box}</box></image></annotations>')
+    ds = FORMATS["cvat"].read(spark, str(tmp_path / "a.xml"))
+    want = {"occluded": "1", "cvat_attr_color": "green", "cvat_attr_side": "left", "cvat_attr_none": ""}
+    assert _kept(ds)[0] == [want, {"occluded": "1"}]
+    got = _again(spark, tmp_path, "cvat", ds)[0]
+    assert [{k: v for k, v in g.items() if k not in ("z_order", "source")} for g in got] == [want, {"occluded": "1"}]
+
+
+def test_via_attributes(spark, tmp_path):
+    shape = '"shape_attributes":{"name":"rect","x":1,"y":2,"width":3,"height":4}'
+    regions = ",".join(f'{{{shape},"region_attributes":{r}}}' for r in ('{"label":"cat","class":"x","n":2}', '{"label":"","class":"dog","age":"3"}', '{"kind":"bird"}', '{"a":"1","b":"2"}'))
+    (tmp_path / "a.json").write_text(f'{{"a.png7":{{"filename":"a.png","size":7,"regions":[{regions}],"file_attributes":{{"place":"sea","gone":null}}}}}}')
+    ds = FORMATS["via"].read(spark, str(tmp_path / "a.json"))
+    want = [{"via_region_attr_class": "x", "via_region_attr_n": "2"}, {"via_region_attr_label": "", "via_region_attr_age": "3"}, {}]
+    image = [{"via_size_bytes": "7", "via_file_attr_place": "sea"}]
+    assert _kept(ds) == (want, image)
+    assert [r[1] for r in rows(ds)] == ["bird", "cat", "dog"]
+    # a blank label beside the one in use isn't written
+    assert _again(spark, tmp_path, "via", ds) == ([want[0], {"via_region_attr_age": "3"}, {}], image)
+
+
+def test_unity_attributes(spark, tmp_path):
+    text = '{"frame":3,"sequence":1,"step":2,"timestamp":0.5,"captures":[{"id":"cam","sequence_id":"s 1","filename":"a.png","dimension":[9,9],"annotations":[]}]}'
+    (tmp_path / "step0.frame_data.json").write_text(text)
+    ds = FORMATS["unity-perception"].read(spark, str(tmp_path))
+    want = {"capture_id": "cam", "sequence_id": "s 1", "sequence": "1", "step": "2", "frame": "3", "timestamp": "0.5", "sensor_id": "cam"}
+    want = [{f"unity_perception_{k}": v for k, v in want.items()}]
+    assert _kept(ds)[1] == want
+    assert _again(spark, tmp_path, "unity-perception", ds)[1] == want
+
+
+def _yolo(root, yaml, images, labels):
+    for at, (w, h) in images.items():
+        (root / at).parent.mkdir(parents=True, exist_ok=True)
+        (root / at).write_bytes(png(w, h))
+    for at, text in labels.items():
+        (root / at).parent.mkdir(parents=True, exist_ok=True)
+        (root / at).write_text(text)
+    (root / "data.yaml").write_text(yaml)
+
+
+def test_yolo_splits(spark, tmp_path):
+    labels = {"labels/train/a.txt": "0 0.5 0.5 0.2 0.4\n", "labels/train/deep/b.txt": "1 0.5 0.5 1 1\n", "val/labels/a.txt": "1 0.5 0.5 0.5 0.5 0.25\n"}
+    images = {"images/train/a.png": (100, 50), "images/train/deep/b.png": (10, 10), "val/images/a.png": (20, 20), "val/images/c.png": (5, 6)}
+    _yolo(tmp_path, "path: .\ntrain: images/train  # most\nval: './val'\nnames: [cat, dog]\n", images, labels)
+    f = FORMATS["yolo"]
+    ds = f.read(spark, str(tmp_path))
+    train = [("train/a.png", "cat", 40.0, 15.0, 60.0, 35.0, None), ("train/deep/b.png", "dog", 0.0, 0.0, 10.0, 10.0, None)]
+    val = [("val/a.png", "dog", 5.0, 5.0, 15.0, 15.0, 0.25)]
+    assert rows(ds) == train + val
+    assert ds.info["attributes"] == {"yolo_layout_mode": "split_aware", "yolo_splits_found": "train,val", "yolo_splits_read": "train,val"}
+    one = f.read(spark, str(tmp_path), split="val")
+    assert rows(one) == val
+    assert sorted((r.file_name, r.width) for r in one.images.collect()) == [("val/a.png", 20), ("val/c.png", 5)]
+    with pytest.raises(ValueError, match="train, val"):
+        f.read(spark, str(tmp_path), split="test")
+
+
+def test_yolo_image_lists(spark, tmp_path):
+    images = {"images/train/a.png": (10, 10), "other/b.png": (10, 10), "images/c.png": (10, 10), "images/train/unlisted.png": (10, 10)}
+    labels = {"labels/train/a.txt": "0 0.5 0.5 1 1\n", "other/b.txt": "1 0.5 0.5 1 1\n", "labels/train/unlisted.txt": "0 0.5 0.5 1 1\n"}
+    _yolo(tmp_path, "train: train.txt\nnames:\n  0: cat\n  1: dog\n", images, labels)
+    (tmp_path / "train.txt").write_text(f"# all\n./images/train/a.png\nother/b.png\n\n{tmp_path}/images/c.png\n")
+    ds = FORMATS["yolo"].read(spark, str(tmp_path))
+    assert rows(ds) == [("train/a.png", "cat", 0.0, 0.0, 10.0, 10.0, None), ("train/other/b.png", "dog", 0.0, 0.0, 10.0, 10.0, None)]
+    assert sorted(r.file_name for r in ds.images.collect()) == ["train/a.png", "train/c.png", "train/other/b.png"]
+    (tmp_path / "train.txt").write_text("images/missing.png\n")
+    with pytest.raises(Exception, match="isn't there"):
+        FORMATS["yolo"].read(spark, str(tmp_path)).images.collect()
+
+
+def test_yolo_labels_without_an_image(spark, tmp_path):
+    _yolo(tmp_path, "names: [cat]\n", {"images/a.png": (10, 10)}, {"labels/a.txt": "0 0.5 0.5 1 1\n", "labels/b.txt": "0 0.5 0.5 1 1\n"})
+    with pytest.raises(Exception, match="labels without an image: b"):
+        FORMATS["yolo"].read(spark, str(tmp_path)).annotations.collect()
