@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     writes(c)
     c.add_argument("--strict", action="store_true", help="warnings count as errors")
     c.add_argument("--no-validate", action="store_true")
+    c.add_argument("--split", help="one of the source's splits; all of them if not given (yolo)")
     v = verb("validate", "Check a dataset.")
     v.add_argument("input")
     v.add_argument("--format", default="auto")
@@ -67,7 +68,7 @@ def run(a: argparse.Namespace, spark: SparkSession | None) -> tuple[str, int]:
     if a.verb == "list-formats":
         return (reports.to_json(catalog()) if plain else reports.catalog_text(catalog())), 0
     if a.verb == "convert":
-        c = verbs.convert(spark, a.input, a.output, a.to, a.source_format, allow_lossy=a.allow_lossy, check=not a.no_validate, strict=a.strict, dry_run=a.dry_run)
+        c = verbs.convert(spark, a.input, a.output, a.to, a.source_format, allow_lossy=a.allow_lossy, check=not a.no_validate, strict=a.strict, dry_run=a.dry_run, split=a.split)
         return (reports.to_json(c) if plain else reports.conversion_text(c)), 0
     if a.verb == "sample":
         c = verbs.sample_to(

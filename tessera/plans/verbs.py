@@ -64,9 +64,9 @@ def _written(ds: AnnotationDataset, source: str, path: str, target: str, allow_l
     return report
 
 
-def convert(spark: SparkSession, source: str, target: str, to: str, name: str = "auto", *, allow_lossy: bool = False, check: bool = True, strict: bool = False, dry_run: bool = False, **options) -> Conversion:
-    """Read ``source``, check it, and write it as format ``to`` at ``target``; ``options`` go to the writer."""
-    ds, found = load(spark, source, name)
+def convert(spark: SparkSession, source: str, target: str, to: str, name: str = "auto", *, allow_lossy: bool = False, check: bool = True, strict: bool = False, dry_run: bool = False, split: str | None = None, **options) -> Conversion:
+    """Read ``source`` or one split of it, check it, and write it as format ``to`` at ``target``; ``options`` go to the writer."""
+    ds, found = load(spark, source, name, **({} if split is None else {"split": split}))
     if check and not validate.passes(validate.validate(ds), strict):
         raise Refused(f"{source} doesn't pass validation; see its report")
     return _written(ds, found, target, to, allow_lossy, dry_run, **options)
