@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     writes(c)
     c.add_argument("--strict", action="store_true", help="warnings count as errors")
     c.add_argument("--no-validate", action="store_true")
-    c.add_argument("--split", help="one of the source's splits; all of them if not given (yolo)")
+    c.add_argument("--split", help="one of the source's splits; all of them if not given (yolo, hf)")
     v = verb("validate", "Check a dataset.")
     v.add_argument("input")
     v.add_argument("--format", default="auto")

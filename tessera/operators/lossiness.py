@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,8 +155,7 @@ def _facts(ds: AnnotationDataset, t: Target) -> DataFrame:
         has = lambda k: F.coalesce(F.map_contains_key("attributes", k), F.lit(False))
         by_image = ds.annotations.groupBy("image_id").agg(*[n(has(k)).alias(f"_h{i}") for i, k in enumerate(t.sparse)], F.count("*").alias("_n"))
         some = [(F.col(f"_h{i}") > 0) & (F.col(f"_h{i}") < F.col("_n")) for i in range(len(t.sparse))]
-        total = sum((s.cast("long") for s in some), F.lit(0))
-        facts = facts.join(by_image.agg(F.coalesce(F.sum(total), F.lit(0)).alias("drop_sparse_attributes")))
+        facts = facts.join(by_image.agg(n(reduce(lambda x, y: x | y, some)).alias("drop_sparse_attributes")))
     else:
         facts = facts.withColumn("drop_sparse_attributes", F.lit(0))
     return facts

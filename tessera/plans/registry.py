@@ -87,6 +87,13 @@ def _coded(*codes: str) -> tuple[Query, str]:
     return run, f"{_ISSUES} SELECT severity, code, context, id FROM issues{where}"
 
 
+def _faulty(ds):
+    """The derived dataset with repeated ids, empty names and a coordinate that is no number."""
+    i = ds.images.union(ds.images.where("id % 307 = 0").withColumns({"file_name": F.lit(""), "_ord": F.col("_ord") + 0.5}).select(*ds.images.columns))
+    c = ds.categories.union(ds.categories.where("id % 23 = 0").withColumns({"name": F.lit(""), "_ord": F.col("_ord") + 0.5}).select(*ds.categories.columns))
+    return ds.changed(images=i, categories=c, annotations=ds.annotations.withColumn("xmin", F.when(F.col("id") % 113 == 0, float("nan")).otherwise(F.col("xmin"))))
+
+
 VALIDATE: dict[str, tuple[Query, str]] = {
     "validate_duplicate_ids": _coded("DuplicateImageId", "DuplicateCategoryId", "DuplicateAnnotationId"),
     "validate_refs": _coded("MissingImageRef", "MissingCategoryRef"),
@@ -94,6 +101,11 @@ VALIDATE: dict[str, tuple[Query, str]] = {
     "validate_dup_category_name": _coded("DuplicateCategoryName", "EmptyCategoryName"),
     "validate_bbox_rules": _coded("BBoxNotFinite", "InvalidBBoxOrdering", "InvalidBBoxArea", "BBoxOutOfBounds"),
     "validate_all_issues": _coded(),
+    "validate_faulty": (lambda s, d: validate.validate(_faulty(derived(s, d))).where(F.col("code").isin("DuplicateImageId", "EmptyFileName", "DuplicateCategoryId", "EmptyCategoryName", "BBoxNotFinite")).drop("message"), f"""{WITH},
+        i AS (SELECT id FROM images WHERE id % 307 = 0), c AS (SELECT id FROM categories WHERE id % 23 = 0)
+        SELECT 'error' AS severity, 'DuplicateImageId' AS code, 'image' AS context, id FROM i UNION ALL SELECT 'warning', 'EmptyFileName', 'image', id FROM i
+        UNION ALL SELECT 'error', 'DuplicateCategoryId', 'category', id FROM c UNION ALL SELECT 'warning', 'EmptyCategoryName', 'category', id FROM c
+        UNION ALL SELECT 'error', 'BBoxNotFinite', 'annotation', id FROM annotations WHERE id % 113 = 0"""),
     "validate_counts": (lambda s, d: validate.counts(validate.validate(derived(s, d))), f"{_ISSUES} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM issues"),
 }
 
@@ -105,14 +117,30 @@ d AS (SELECT file_name, id, CASE WHEN a.category IS NULL THEN 'only_in_b' WHEN b
   CASE WHEN a.category IS NOT NULL AND b.category IS NOT NULL THEN nullif(concat_ws(', ', CASE WHEN a.category <> b.category THEN 'category changed' END,
     CASE WHEN NOT (abs(a.xmin - b.xmin) <= 1e-6 AND abs(a.ymin - b.ymin) <= 1e-6 AND abs(a.xmax - b.xmax) <= 1e-6 AND abs(a.ymax - b.ymax) <= 1e-6) THEN 'bbox changed' END), '') END AS change
   FROM na a FULL JOIN nb b USING (file_name, id))"""
+# Greedy matching as recursion over a's boxes: ``p`` holds the pairs that overlap enough, ``s`` the places of b taken so far.
+_BY_OVERLAP = f"""{WITH_CHANGED.replace("WITH ", "WITH RECURSIVE ", 1)}, na AS (SELECT file_name, coalesce(c.name, concat('<missing cat ', category_id, '>')) AS category, xmin, ymin, xmax, ymax,
+  row_number() OVER (PARTITION BY file_name, category ORDER BY ord) AS k FROM annotations a JOIN images i ON image_id = i.id LEFT JOIN categories c ON category_id = c.id),
+nb AS (SELECT file_name, coalesce(c.name, concat('<missing cat ', category_id, '>')) AS category, xmin, ymin, xmax, ymax,
+  row_number() OVER (PARTITION BY file_name, category ORDER BY ord) AS k FROM annotations_b a JOIN images_b i ON image_id = i.id LEFT JOIN categories c ON category_id = c.id),
+o AS (SELECT a.file_name, a.category, a.k AS i, b.k AS j, (a.xmax - a.xmin) * (a.ymax - a.ymin) AS x, (b.xmax - b.xmin) * (b.ymax - b.ymin) AS y,
+  greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS lap
+  FROM na a JOIN nb b USING (file_name, category) WHERE a.xmin <= a.xmax AND a.ymin <= a.ymax AND b.xmin <= b.xmax AND b.ymin <= b.ymax),
+p AS (SELECT file_name, category, i, j, lap / (x + y - lap) AS iou FROM o WHERE x + y - lap > 0 AND lap / (x + y - lap) >= 0.5),
+ta AS (SELECT file_name, category, count(*) AS n FROM na GROUP BY ALL), tb AS (SELECT file_name, category, count(*) AS n FROM nb GROUP BY ALL),
+s AS (SELECT file_name, category, 0 AS i, CAST([] AS BIGINT[]) AS taken FROM ta JOIN tb USING (file_name, category)
+  UNION ALL SELECT s.file_name, s.category, s.i + 1, list_concat(any_value(s.taken), coalesce(list_slice(list(p.j ORDER BY p.iou DESC, p.j) FILTER (p.j IS NOT NULL AND NOT list_contains(s.taken, p.j)), 1, 1), []))
+  FROM s JOIN ta ON ta.file_name = s.file_name AND ta.category = s.category AND s.i < ta.n LEFT JOIN p ON p.file_name = s.file_name AND p.category = s.category AND p.i = s.i + 1
+  GROUP BY s.file_name, s.category, s.i),
+m AS (SELECT file_name, category, max(len(taken)) AS shared FROM s GROUP BY ALL)"""
 _SIDE = "CASE WHEN a.{0} IS NULL THEN 'only_in_b' WHEN b.{0} IS NULL THEN 'only_in_a' ELSE 'shared' END AS side"
-DIFF: dict[str, tuple[Query, str | None]] = {
+DIFF: dict[str, tuple[Query, str]] = {
     "diff_images": (_both(diff.image_names), f"{WITH_CHANGED} SELECT coalesce(a.file_name, b.file_name) AS file_name, {_SIDE.format('file_name')} FROM (SELECT DISTINCT file_name FROM images) a FULL JOIN (SELECT DISTINCT file_name FROM images_b) b ON a.file_name = b.file_name"),
     "diff_categories": (_both(diff.category_names), f"{WITH} SELECT DISTINCT name, 'shared' AS side FROM categories"),
     "diff_annotations_id": (lambda s, d: diff.totals(_both(diff.by_id)(s, d)), f"""{_BY_ID} SELECT count(*) FILTER (side = 'shared') AS shared, count(*) FILTER (side = 'only_in_a') AS only_in_a,
         count(*) FILTER (side = 'only_in_b') AS only_in_b, count(change) AS modified FROM d"""),
     "diff_modified_detail": (lambda s, d: _both(diff.by_id)(s, d).where("change is not null"), f"{_BY_ID} SELECT * FROM d WHERE change IS NOT NULL"),
-    "diff_iou": (_both(diff.by_overlap), None),
+    "diff_iou": (_both(diff.by_overlap), f"""{_BY_OVERLAP} SELECT file_name, category, coalesce(shared, 0) AS shared, coalesce(ta.n, 0) - coalesce(shared, 0) AS only_in_a, coalesce(tb.n, 0) - coalesce(shared, 0) AS only_in_b
+        FROM ta FULL JOIN tb USING (file_name, category) LEFT JOIN m USING (file_name, category)"""),
 }
 
 _WANTED = ["cls_003", " cls_017 ", "cls_040"]
@@ -148,31 +176,70 @@ SAMPLE: dict[str, tuple[Query, str]] = {
 }
 
 _COUNTS = {
-    "drop_image_metadata": "(SELECT count(*) FROM images WHERE date_captured IS NOT NULL)",
-    "drop_category_supercategory": "(SELECT count(supercategory) FROM categories)",
-    "drop_annotation_confidence": "(SELECT count(confidence) FROM annotations)",
-    "drop_images_without_annotations": "(SELECT count(*) FROM images WHERE id NOT IN (SELECT image_id FROM annotations))",
-    "drop_unused_categories": "(SELECT count(*) FROM categories WHERE id NOT IN (SELECT category_id FROM annotations))",
-    "collapse_multiple_categories_to_single_class": "(SELECT count(*) FROM categories)",
-    "drop_sparse_attributes": "(SELECT count(*) FROM (SELECT image_id FROM annotations GROUP BY image_id HAVING count(*) FILTER (coalesce(attribute, '') = 'iscrowd') BETWEEN 1 AND count(*) - 1))",
+    "dated": "(SELECT count(*) FROM images WHERE date_captured IS NOT NULL)",
+    "super": "(SELECT count(supercategory) FROM categories)",
+    "confidence": "(SELECT count(confidence) FROM annotations)",
+    "attributes": "(SELECT count(attribute) FROM annotations)",
+    "but_occluded": "(SELECT count(*) FROM annotations WHERE attribute <> 'occluded')",
+    "but_iscrowd": "(SELECT count(*) FROM annotations WHERE attribute <> 'iscrowd')",
+    "bare": "(SELECT count(*) FROM images WHERE id NOT IN (SELECT image_id FROM annotations))",
+    "unused": "(SELECT count(*) FROM categories WHERE id NOT IN (SELECT category_id FROM annotations))",
+    "classes": "(SELECT count(*) FROM categories)",
+    "sparse": "(SELECT count(*) FROM (SELECT image_id FROM annotations GROUP BY image_id HAVING count(*) FILTER (coalesce(attribute, '') = 'iscrowd') BETWEEN 1 AND count(*) - 1))",
+}
+_I, _S, _C, _A = "drop_image_metadata=dated", "drop_category_supercategory=super", "drop_annotation_confidence=confidence", "drop_annotation_attributes=attributes"
+_PLAIN, _BARE, _ONE = f"{_I} {_S} {_C} {_A}", "drop_images_without_annotations=bare", "collapse_multiple_categories_to_single_class=classes"
+# What each target drops of the derived tables, written down apart from the rules under test. A ! after a
+# count: the target only tells that there are some.
+_DROPS = {
+    "ir-json": "",
+    "coco": "coco_attributes_may_not_be_preserved=but_iscrowd",
+    "ibm-cloud-annotations": f"{_I} {_S}",
+    "cvat": f"{_I} {_S} {_C} drop_annotation_attributes=but_occluded cvat_writer_drop_unused_categories=unused",
+    "label-studio": f"{_I} {_S} {_A}",
+    "labelbox": _PLAIN,
+    "scale-ai": _PLAIN,
+    "unity-perception": _PLAIN,
+    "tfod": f"{_PLAIN} {_BARE}",
+    "tfrecord": f"{_I} {_S} {_C} drop_annotation_attributes=but_iscrowd drop_sparse_attributes=sparse drop_unused_categories=unused",
+    "vott-csv": f"{_PLAIN} {_BARE}",
+    "vott-json": _PLAIN,
+    "yolo": f"{_I} {_S} {_A}",
+    "yolo-keras": _PLAIN,
+    "yolov4-pytorch": _PLAIN,
+    "voc": f"{_I} {_S} {_C} drop_annotation_attributes=but_occluded",
+    "hf": "hf_attributes_lost=dated hf_metadata_lost=super hf_confidence_lost=confidence hf_attributes_lost=attributes",
+    "sagemaker": f"{_I} {_S} {_A}",
+    "labelme": "drop_image_metadata=dated! drop_category_supercategory=super! drop_annotation_confidence=confidence! drop_annotation_attributes=attributes!",
+    "superannotate": f"{_I} {_S} {_A}",
+    "supervisely": _PLAIN,
+    "cityscapes": _PLAIN,
+    "marmot": _PLAIN,
+    "create-ml": "drop_image_metadata=dated! drop_category_supercategory=super! drop_annotation_confidence=confidence! drop_annotation_attributes=attributes!",
+    "kitti": f"{_I} {_S} {_A}",
+    "via": _PLAIN,
+    "retinanet": _PLAIN,
+    "openimages": f"{_I} {_S} {_A} {_BARE}",
+    "kaggle-wheat": f"{_PLAIN} {_ONE} {_BARE}",
+    "automl-vision": f"{_PLAIN} {_BARE}",
+    "udacity": f"{_PLAIN} {_BARE}",
+    "datumaro": f"{_I} {_S} {_A}",
+    "wider-face": f"{_PLAIN} {_ONE}",
+    "oidv4": _PLAIN,
+    "bdd100k": f"{_I} {_S} {_A}",
+    "v7-darwin": _PLAIN,
+    "edge-impulse": _PLAIN,
+    "openlabel": f"{_I} {_S} {_A}",
+    "via-csv": _PLAIN,
 }
 
 
 def _loss_sql(name: str) -> str:
-    t = lossiness.TARGETS[name]
-    held = [k for k in ("occluded", "iscrowd") if t.attributes is not None and k in t.attributes]
-    rules = {
-        "drop_image_metadata": t.image_fields, "drop_category_supercategory": t.supercategory, "drop_annotation_confidence": t.confidence,
-        "drop_annotation_attributes": t.attributes is not None, "drop_images_without_annotations": t.unannotated, "drop_unused_categories": t.unused,
-        "collapse_multiple_categories_to_single_class": t.collapse, "drop_sparse_attributes": bool(t.sparse),
-    }
-    attributes = f"(SELECT count(*) FROM annotations WHERE attribute IS NOT NULL AND attribute NOT IN ({', '.join(repr(k) for k in [*held, '-'])}))"
-    names = lossiness.RENAMED.get(name, {})
     rows = []
-    for code, use in rules.items():
-        if use:
-            n = attributes if code == "drop_annotation_attributes" else _COUNTS[code]
-            rows.append(f"SELECT '{names.get(code, code)}' AS code, {f'least({n}, 1)' if t.flags_only else n} AS n")
+    for drop in _DROPS[name].split():
+        code, count = drop.split("=")
+        n = _COUNTS[count.rstrip("!")]
+        rows.append(f"SELECT '{code}' AS code, {f'least({n}, 1)' if count.endswith('!') else n} AS n")
     body = " UNION ALL ".join(rows) or "SELECT '' AS code, 0 AS n"
     return f"""{WITH} SELECT code, CAST(sum(n) AS BIGINT) AS "count" FROM ({body}) WHERE n > 0 GROUP BY code"""
 
@@ -226,7 +293,7 @@ IDS: dict[str, tuple[Query, str]] = {
 }
 
 
-def _all() -> dict[str, tuple[Query, str | None]]:
+def _all() -> dict[str, tuple[Query, str]]:
     return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY | IDS | roundtrips.queries()
 
 
@@ -235,4 +302,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _all().items() if sql}
+    return {name: sql for name, (_, sql) in _all().items()}

@@ -14,7 +14,7 @@ BAR = 20
 
 def to_json(report, pretty: bool = True) -> str:
     if isinstance(report, Conversion):
-        report = {"from": report.source, "to": report.target, "input": report.before, "output": report.after, "lossy": report.lossy, "dropped": report.dropped}
+        report = {"from": report.source, "to": report.target, "input": report.before, "output": report.after, "lossy": report.lossy, "dropped": report.dropped, "notes": report.notes}
     return json.dumps(report, indent=2 if pretty else None, ensure_ascii=False)
 
 
@@ -83,7 +83,7 @@ def validation_text(r: dict) -> str:
 
 def conversion_text(c: Conversion) -> str:
     counts = [{"rows": k, "input": c.before[k], "output": c.after[k]} for k in c.before]
-    return _text([(f"{c.source} to {c.target}", list(_table(counts))), ("Dropped", list(_table(c.dropped)) if c.dropped else ["  nothing"])])
+    return _text([(f"{c.source} to {c.target}", list(_table(counts))), ("Dropped", list(_table(c.dropped)) if c.dropped else ["  nothing"]), *([("Changed by reading", list(_table(c.notes)))] if c.notes else [])])
 
 
 def diff_text(r: dict) -> str:

@@ -5,13 +5,14 @@ The work runs as Spark jobs; what comes back are a report's few rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import AnnotationDataset
 from tessera.operators import diff, lossiness, sample, stats, validate
+from tessera.operators.notes import source_notes
 from tessera.sources import format_named
 from tessera.sources.detect import UnknownFormat, detect
 
@@ -25,17 +26,22 @@ class Refused(ValueError):
 
 @dataclass(frozen=True)
 class Conversion:
-    """What a conversion does to the numbers of rows, and what it drops."""
+    """What a conversion does to the numbers of rows, what it drops, and what reading the source has changed or left out."""
 
     source: str
     target: str
     before: dict
     after: dict
     dropped: list[dict]
+    notes: list[dict] = field(default_factory=list)
+
+    @property
+    def warnings(self) -> list[str]:
+        return [d["code"] for d in self.dropped] + [n["code"] for n in self.notes if n["severity"] == "warning"]
 
     @property
     def lossy(self) -> bool:
-        return bool(self.dropped)
+        return bool(self.warnings)
 
 
 def load(spark: SparkSession, path: str, name: str = "auto", **options) -> tuple[AnnotationDataset, str]:
@@ -52,13 +58,13 @@ def _rows(df: DataFrame) -> list[dict]:
 def conversion_report(ds: AnnotationDataset, source: str, target: str) -> Conversion:
     name = format_named(target).name
     before = _rows(ds.images.agg(F.count("*").alias("images")).join(ds.categories.agg(F.count("*").alias("categories"))).join(ds.annotations.agg(F.count("*").alias("annotations"))))[0]
-    return Conversion(source, name, before, _rows(lossiness.output_counts(ds, name))[0], _rows(lossiness.lossiness(ds, name).orderBy("code")))
+    return Conversion(source, name, before, _rows(lossiness.output_counts(ds, name))[0], _rows(lossiness.lossiness(ds, name).orderBy("code")), source_notes(ds, source))
 
 
 def _written(ds: AnnotationDataset, source: str, path: str, target: str, allow_lossy: bool, dry_run: bool, **options) -> Conversion:
     report = conversion_report(ds, source, target)
     if report.lossy and not allow_lossy:
-        raise Refused(f"{report.target} would drop {', '.join(d['code'] for d in report.dropped)}; allow it to go on")
+        raise Refused(f"{report.source} to {report.target} isn't without loss: {', '.join(report.warnings)}; allow it to go on")
     if not dry_run:
         format_named(target).write(ds, path, **options)
     return report

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_percent, from_xywh, rotated_envelope, to_cxcywh, to_normalized, to_percent, to_pixel
 from tessera.model import INFO, AnnotationDataset, dataset
+from tessera.storage import exists, paths_like
 
-from .common import annotations_of, attribute, basename, carried, documents, from_raw, lines, per_image, prefixed, register, require, shards_for, stem, with_sizes, write_documents, write_lines
+from .common import annotations_of, attribute, basename, carried, documents, from_raw, lines, per_image, prefixed, register, relative, require, shards_for, stem, with_sizes, write_documents, write_lines
 
 
 def _obj(**fields: Column) -> Column:
@@ -29,6 +30,16 @@ def _array_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return documents(spark, path, "*").select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d"))
 
 
+def _enveloped(shape: Column, key: str) -> Column:
+    """Attributes that tell which boxes stand for polygons."""
+    return F.when(shape, F.create_map(F.lit(key), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def _skipped(key: str, n: int) -> dict:
+    """What to note in a dataset's info of ``n`` objects that were left out."""
+    return {"attributes": {key: str(n)}} if n else {}
+
+
 def _listed(df: DataFrame, column: str) -> DataFrame:
     return df.select("path", F.posexplode(column).alias("_ord", "x")).select("path", "_ord", "x.*")
 
@@ -228,6 +239,7 @@ class ScaleAi:
         rows = rows.select("path", "at", F.coalesce("d.params.metadata.filename", basename(F.col("d.params.attachment")), "d.task_id").alias("file_name"), F.col("d.params.metadata.width").alias("width"), F.col("d.params.metadata.height").alias("height"), "d.task_id", "d.params.attachment", F.col("d.response.annotations").alias("notes"))
         a = rows.select("path", "at", "file_name", F.posexplode("notes").alias("k", "x")).withColumns({"label": F.col("x.label"), "_ord": _ord("path", "at", "k")})
         shape = F.size("x.vertices") >= 3
+        a = a.withColumn("attributes", _enveloped(shape, "scale_ai_enveloped"))
         a = a.where(require(F.coalesce(shape, F.lit(False)) | F.col("x.left").isNotNull(), "a geometry is neither a box nor a polygon", F.lit(True)))
         flat, around = from_xywh(F.col("x.left"), F.col("x.top"), F.col("x.width"), F.col("x.height")), envelope(F.col("x.vertices"))
         i = rows.select("file_name", "width", "height", F.map_filter(F.create_map(F.lit("scale_ai_task_id"), "task_id", F.lit("scale_ai_attachment"), "attachment"), lambda k, v: v.isNotNull()).alias("attributes"), F.struct("path", "at").alias("_ord"))
@@ -256,11 +268,13 @@ class Labelbox:
         rows = rows.withColumn("file_name", F.coalesce("data_row.external_id", basename(F.col("data_row.row_data")), "data_row.global_key"))
         a = rows.select("file_name", F.explode("projects").alias("project", "p")).select("file_name", "project", F.posexplode("p.labels").alias("n", "l")).select("file_name", "project", "n", F.posexplode("l.annotations.objects").alias("k", "x"))
         shape = F.coalesce(F.size("x.polygon") >= 3, F.lit(False))
+        skipped = a.where(F.col("x.bounding_box").isNull() & ~shape).count()
+        a = a.withColumn("attributes", _enveloped(F.col("x.bounding_box").isNull(), "labelbox_polygon_enveloped"))
         a = a.where(F.col("x.bounding_box").isNotNull() | shape).withColumns({"label": F.col("x.name"), "_ord": _ord("file_name", "project", "n", "k")})
         flat, around = from_xywh(*[F.col(f"x.bounding_box.{k}") for k in ("left", "top", "width", "height")]), envelope(F.col("x.polygon"))
         kept = F.create_map(F.lit("labelbox_data_row_id"), "data_row.id", F.lit("labelbox_row_data"), "data_row.row_data", F.lit("labelbox_global_key"), "data_row.global_key")
         i = rows.select("file_name", "media_attributes.width", "media_attributes.height", F.map_filter(kept, lambda k, v: v.isNotNull()).alias("attributes"), F.col("at").alias("_ord"))
-        return from_raw(i, annotations_of(a, Box(*[F.when(F.col("x.bounding_box").isNotNull(), p).otherwise(q) for p, q in zip(flat, around, strict=True)])))
+        return from_raw(i, annotations_of(a, Box(*[F.when(F.col("x.bounding_box").isNotNull(), p).otherwise(q) for p, q in zip(flat, around, strict=True)])), info=_skipped("labelbox_skipped_objects", skipped))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
@@ -312,6 +326,20 @@ class Sagemaker:
         write_lines(i.withColumn("line", line), path, "file_name", "id")
 
 
+#: Names of splits in paths of Parquet files.
+SPLIT_NAMES = {"train": "train", "test": "test", "validation": "validation", "valid": "validation", "val": "validation", "dev": "dev"}
+
+
+def _split_of(path: Column) -> Column:
+    """The split of a Parquet file: by its name up to a dash, else by the nearest folder that names one."""
+    known = F.create_map(*[F.lit(x) for pair in SPLIT_NAMES.items() for x in pair])
+    parts = F.reverse(F.split(F.lower(path), "/"))
+    name = F.get(parts, F.lit(0))
+    by_folder = F.transform(F.slice(parts, 2, 1 << 10), lambda p: F.try_element_at(known, p))
+    own = F.try_element_at(known, F.regexp_extract(name, r"^([a-z]+)(-.*|\.parquet)$", 1))
+    return F.coalesce(own, F.get(F.filter(by_folder, lambda s: s.isNotNull()), F.lit(0)))
+
+
 @register("hf", "JSON lines (metadata.jsonl), or Parquet for reading")
 class HfImageFolder:
     SCHEMA = "file_name string, width bigint, height bigint, objects struct<bbox:array<array<double>>,categories:array<string>,category:array<string>>"
@@ -325,14 +353,32 @@ class HfImageFolder:
         return from_raw(rows.select("file_name", "width", "height", "_ord"), annotations_of(a, Box(*four) if corners else from_xywh(*four)), info={"attributes": {"hf_bbox_format": "xyxy" if corners else "xywh"}})
 
     @staticmethod
-    def read(spark: SparkSession, path: str, corners: bool = False, parquet: bool = False) -> AnnotationDataset:
+    def read(spark: SparkSession, path: str, corners: bool = False, parquet: bool = False, split: str | None = None) -> AnnotationDataset:
+        """Metadata as lines or, with ``parquet``, as Parquet files.
+
+        ``split`` reads one split: a folder with its own metadata.jsonl or, of Parquet files, those
+        whose name or folder says so (val, valid and validation are one). Without it all are read.
+        """
         if parquet:
-            p = spark.read.parquet(path)
+            p = spark.read.option("recursiveFileLookup", "true").parquet(path)
+            if split is not None:
+                p = p.where(_split_of(relative(F.col("_metadata.file_path"), path)) == SPLIT_NAMES.get(split.lower(), split))
+                if p.isEmpty():
+                    raise ValueError(f"no Parquet files of split {split!r} here")
             rows = p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("long").alias(c) for c in ("file_name", "width", "height")], "objects", F.lit(0).alias("_ord"))
             fields = rows.schema["objects"].dataType.names
             have = lambda n: F.col(f"objects.{n}").cast("array<string>").alias(n) if n in fields else F.lit(None).cast("array<string>").alias(n)
             return HfImageFolder._rows(rows.withColumn("objects", F.struct(F.col("objects.bbox").cast("array<array<double>>").alias("bbox"), have("categories"), have("category"))), corners)
-        rows = lines(spark, path).where(F.btrim("line") != "").select(F.from_json("line", HfImageFolder.SCHEMA).alias("d"), "_ord").select("d.*", "_ord")
+        if split is not None:
+            if exists(spark, f"{path}/metadata.jsonl"):
+                raise ValueError(f"no split {split!r} here: metadata.jsonl stands at the root")
+            path = f"{path}/{split}/metadata.jsonl"
+            if not exists(spark, path):
+                raise ValueError(f"no split {split!r} with metadata.jsonl here")
+        elif exists(spark, f"{path}/metadata.jsonl"):
+            path = f"{path}/metadata.jsonl"
+        in_splits = split is None and bool(paths_like(spark, f"{path}/*/metadata.jsonl"))
+        rows = lines(spark, path, "metadata.jsonl" if in_splits else "*").where(F.btrim("line") != "").select(F.from_json("line", HfImageFolder.SCHEMA).alias("d"), "_ord").select("d.*", "_ord")
         return HfImageFolder._rows(rows, corners)
 
     @staticmethod
@@ -511,11 +557,14 @@ class UnityPerception:
         kept = prefixed(F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]), "unity_perception_")
         rows = docs.withColumn("file_name", F.col("c.filename")).withColumn("attributes", kept)
         size = lambda k: F.round(F.get("c.dimension", F.lit(k))).cast("long")
-        a = rows.select("path", "at", "file_name", F.posexplode("c.annotations").alias("n", "b")).where(F.lower("b.@type").contains("box2d") | F.lower("b.@type").contains("boundingbox2d"))
+        blocks = rows.select("path", "at", "file_name", F.posexplode("c.annotations").alias("n", "b"))
+        boxes = F.coalesce(F.lower("b.@type").contains("box2d") | F.lower("b.@type").contains("boundingbox2d"), F.lit(False))
+        skipped = blocks.where(~boxes).count()
+        a = blocks.where(boxes)
         a = a.select("file_name", "path", "at", "n", F.posexplode("b.values").alias("k", "x"))
         a = a.withColumns({"label": F.coalesce("x.labelName", "x.label_name", F.concat(F.lit("label_"), F.coalesce("x.labelId", "x.label_id").cast("string"))), "_ord": _ord("file_name", "path", "at", "n", "k")})
         part = lambda name, array, k: F.coalesce(F.col(f"x.{name}"), F.get(f"x.{array}", F.lit(k)))
-        return from_raw(rows.select("file_name", size(0).alias("width"), size(1).alias("height"), "attributes", F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(part("x", "origin", 0), part("y", "origin", 1), part("width", "dimension", 0), part("height", "dimension", 1))))
+        return from_raw(rows.select("file_name", size(0).alias("width"), size(1).alias("height"), "attributes", F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(part("x", "origin", 0), part("y", "origin", 1), part("width", "dimension", 0), part("height", "dimension", 1))), info=_skipped("unity_perception_skipped_annotations", skipped))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:

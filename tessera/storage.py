@@ -48,6 +48,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """The existing paths that a glob pattern names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later jobs start from the files, not from its lineage."""
     at = new_folder(df.sparkSession)

@@ -2,9 +2,13 @@
 
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.cli import main
+from tessera.operators.notes import source_notes
 from tessera.plans import reports, verbs
 from tessera.sources import FORMATS
 from tessera.sources.catalog import catalog, catalog_frame
@@ -91,3 +95,58 @@ def test_catalog(spark):
     assert len(catalog()) == 39 and {e["lossiness"] for e in catalog()} == {"lossless", "conditional", "lossy"}
     assert catalog_frame(spark).count() == 39
     assert "ir-json" in reports.catalog_text(catalog())
+
+
+def test_what_reading_changed(spark, tmp_path):
+    at, out = tmp_path / "in.ndjson", str(tmp_path / "out")
+    box, shape = {"left": 1, "top": 1, "width": 4, "height": 4}, [{"x": 0, "y": 0}, {"x": 9, "y": 0}, {"x": 9, "y": 5}]
+    objects = [{"name": "c", "bounding_box": box}, {"name": "c", "polygon": shape}, {"name": "c", "point": {"x": 1, "y": 1}}, {"name": "d"}]
+    row = {"data_row": {"id": "r", "external_id": "a.jpg"}, "media_attributes": {"width": 20, "height": 20}, "projects": {"p": {"labels": [{"annotations": {"objects": objects}}]}}}
+    at.write_text(json.dumps(row) + "\n")
+    with pytest.raises(verbs.Refused, match="labelbox_polygon_envelope_applied, labelbox_unsupported_objects_skipped"):
+        verbs.convert(spark, str(at), out, "ir-json", "labelbox")
+    c = verbs.convert(spark, str(at), out, "ir-json", "labelbox", allow_lossy=True)
+    assert not c.dropped and [(n["code"], n["severity"], n["count"]) for n in c.notes] == [("labelbox_polygon_envelope_applied", "warning", 1), ("labelbox_unsupported_objects_skipped", "warning", 2)]
+    assert c.after["annotations"] == 2 and "Changed by reading" in reports.conversion_text(c) and json.loads(reports.to_json(c))["notes"] == c.notes
+
+
+def test_notes_that_only_inform(spark, tmp_path):
+    ds = make(spark)
+    grey = ds.changed(images=ds.images.withColumn("attributes", F.create_map(F.lit("depth"), F.when(F.col("id") == 1, "1").when(F.col("id") == 2, "x").otherwise("3"))))
+    assert source_notes(grey, "voc") == [{"code": "voc_reader_depth_handling", "severity": "info", "count": 1}]
+    assert source_notes(ds, "voc") == [] and source_notes(grey, "coco") == []
+    c = verbs.Conversion("voc", "coco", {}, {}, [], source_notes(grey, "voc"))
+    assert not c.lossy and verbs.Conversion("voc", "coco", {}, {}, [], [{"code": "x", "severity": "warning", "count": 1}]).lossy
+
+
+def test_splits_of_image_folders(spark, tmp_path):
+    line = lambda n: json.dumps({"file_name": n, "width": 9, "height": 9, "objects": {"bbox": [[1, 1, 2, 2]], "categories": ["c"]}}) + "\n"
+    for split, name in (("train", "a.jpg"), ("test", "b.jpg")):
+        (tmp_path / "hf" / split).mkdir(parents=True)
+        (tmp_path / "hf" / split / "metadata.jsonl").write_text(line(name))
+        (tmp_path / "hf" / split / name).write_bytes(b"\xff\xd8 no text")
+    read = FORMATS["hf"].read
+    names = lambda ds: sorted(r.file_name for r in ds.images.collect())
+    at = str(tmp_path / "hf")
+    assert names(read(spark, at)) == ["a.jpg", "b.jpg"] and names(read(spark, at, split="test")) == ["b.jpg"]
+    assert names(verbs.load(spark, at, "hf", split="train")[0]) == ["a.jpg"]
+    with pytest.raises(ValueError, match="no split 'dev'"):
+        read(spark, at, split="dev")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "metadata.jsonl").write_text(line("c.jpg"))
+    assert names(read(spark, str(tmp_path / "one"))) == ["c.jpg"]
+    with pytest.raises(ValueError, match="at the root"):
+        read(spark, str(tmp_path / "one"), split="train")
+
+
+def test_splits_of_parquet_files(spark, tmp_path):
+    at = tmp_path / "p"
+    for place, name in (("data/train-00000-of-00001.parquet", "a.jpg"), ("data/val-00000-of-00001.parquet", "b.jpg"), ("valid/x.parquet", "c.jpg"), ("data/dev.parquet", "d.jpg")):
+        (at / place).parent.mkdir(parents=True, exist_ok=True)
+        objects = {"bbox": [[1.0, 1.0, 2.0, 2.0]], "categories": ["c"]}
+        pq.write_table(pa.Table.from_pylist([{"file_name": name, "width": 9, "height": 9, "objects": objects}]), at / place)
+    read = lambda split=None: sorted(r.file_name for r in FORMATS["hf"].read(spark, str(at), parquet=True, split=split).images.collect())
+    assert read() == ["a.jpg", "b.jpg", "c.jpg", "d.jpg"]
+    assert read("train") == ["a.jpg"] and read("val") == read("validation") == ["b.jpg", "c.jpg"] and read("dev") == ["d.jpg"]
+    with pytest.raises(ValueError, match="no Parquet files"):
+        read("test")
