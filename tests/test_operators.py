@@ -154,3 +154,11 @@ def test_lossiness(spark, odd):
     assert lossiness.output_counts(ds, "kaggle-wheat").first().asDict() == {"images": 2, "categories": 1, "annotations": 7}
     for t in lossiness.TARGETS:
         lossiness.is_lossy(ds, t)
+
+
+def test_partial_attribute_lists_count_by_image(spark):
+    ds = make(spark, [(1, "a", 9, 9, 0), (2, "b", 9, 9, 1)], [(1, "c", None, 0)], [(n, 1 + n // 2, 1, 1.0, 1.0, 2.0, 2.0, None) for n in range(4)])
+    both = F.create_map(F.lit("area"), F.lit("1"), F.lit("difficult"), F.lit("1"))
+    # one image has two attributes on one of its boxes, the other both on all
+    marked = ds.changed(annotations=ds.annotations.withColumn("attributes", F.when(F.col("id") > 0, both).otherwise(F.create_map().cast("map<string,string>"))))
+    assert [(r.code, r["count"]) for r in lossiness.lossiness(marked, "tfrecord").collect()] == [("drop_sparse_attributes", 1)]
