@@ -127,3 +127,38 @@ texts AS (
 SELECT CAST(d.name AS BIGINT) AS doc_id, d.digest AS canon_sha256, license_id, coalesce(notices, '') AS notices
 FROM digests d LEFT JOIN known ON known.digest = d.digest AND d.digest <> sha256('') LEFT JOIN found ON found.name = d.name WHERE d.kind = 'doc'
 """
+
+FILTER_AUDIT = r"""
+WITH letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, (SELECT bit FROM letters WHERE letter = filter_order[i]) AS own,
+         (SELECT CAST(coalesce(sum(bit), 0) AS INTEGER) FROM letters WHERE contains(left(filter_order, i - 1), letter)) AS earlier
+  FROM orders, range(1, 6) r(i)
+), t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), low AS (
+  SELECT text, min(doc_id) AS first_id FROM t GROUP BY text
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 10 * length(t.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN t.doc_id > first_id THEN 16 ELSE 0 END AS failed
+  FROM t LEFT JOIN low ON low.text = t.text LEFT JOIN marks ON marks.doc_id = t.doc_id
+), masks AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM judged GROUP BY part, failed
+), at_step AS (
+  SELECT part, filter_order, step, n, n_good, n_toxic, failed = own AS only_own, failed & own <> 0 AS fails, failed & earlier <> 0 AS gone, bit_count(failed) AS m
+  FROM masks, steps
+)
+SELECT part, filter_order, step,
+  CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (only_own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(n_good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n_toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // nullif(m, 0)) FILTER (fails), 0) AS BIGINT) AS shapley
+FROM at_step GROUP BY part, filter_order, step
+"""
