@@ -162,3 +162,32 @@ SELECT part, filter_order, step,
   CAST(coalesce(sum(n * 120 // nullif(m, 0)) FILTER (fails), 0) AS BIGINT) AS shapley
 FROM at_step GROUP BY part, filter_order, step
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, words FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces) WHERE len(words) > 0
+), grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 6) t(k))
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE k > 1 AND f >= 100
+), inner_parts AS (
+  SELECT lang, array_to_string(words[i:j], ' ') AS phrase, max(a) AS most
+  FROM candidates, range(1, 5) x(i), range(2, 6) y(j) WHERE i < j AND j <= k AND j - i + 1 < k GROUP BY ALL
+), free AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_parts p USING (lang, phrase) WHERE p.most IS NULL OR 100 * p.most < 100 * c.a
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, u.c AS cut, l.f AS l, r.f AS r, n, 1000::HUGEINT * c.a * n // (l.f::HUGEINT * r.f) AS score
+  FROM free c, range(1, 5) u(c) JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:u.c], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[u.c + 1:], ' ') JOIN totals t ON t.lang = c.lang WHERE u.c < c.k
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM weakest QUALIFY rank <= 2000
+"""

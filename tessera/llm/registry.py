@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .collocations import collocations
 from .filter_audit import audit
 from .licenses import known_licenses, license_scan
 from .lm_scoring import in_turn, score
@@ -77,6 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases that hold together most."""
+    return collocations(_documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove, in every order and at each step."""
     return audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -94,9 +100,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_search": op9_vector_search,
         "op10_pii": op10_pii,
+        "op12_collocations": op12_collocations,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracles.REMOVED_REPEATS, "op5_ngram_join": oracles.NGRAM_CLASSES, "op7_license_scan": oracles.LICENSES, "op8_quality_rules": oracles.QUALITY_RULES, "op13_filter_audit": oracles.FILTER_AUDIT}
+    return {"op2_substring_dedup": oracles.REMOVED_REPEATS, "op5_ngram_join": oracles.NGRAM_CLASSES, "op7_license_scan": oracles.LICENSES, "op8_quality_rules": oracles.QUALITY_RULES, "op12_collocations": oracles.COLLOCATIONS, "op13_filter_audit": oracles.FILTER_AUDIT}
