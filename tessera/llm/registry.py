@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .collocations import collocations
 from .filter_audit import audit
+from .language_id import identify
 from .licenses import known_licenses, license_scan
 from .lm_scoring import in_turn, score
 from .mixing import mix
@@ -78,6 +79,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_documents(spark, sf_dir))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, by compression with dictionaries of documents not held out."""
+    return identify(_documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's phrases that hold together most."""
     return collocations(_documents(spark, sf_dir))
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_vector_search": op9_vector_search,
         "op10_pii": op10_pii,
+        "op11_language_id": op11_language_id,
         "op12_collocations": op12_collocations,
         "op13_filter_audit": op13_filter_audit,
     }
