@@ -2,7 +2,8 @@
 
 Each n-gram belongs to its rarest word, the pivot. A text is rewritten for the pivot of each place:
 its neighbours as far as they are more frequent, four words at most to each side. These fragments go
-to the pivot's group, which counts the n-grams that the pivot owns and nothing else. How rare a word is
+to the pivot's group, which counts the n-grams that the pivot owns and nothing else; frequent pivots
+have a group for each word beside them, which owns the n-grams that hold both. How rare a word is
 comes from a table of fixed size (``BUCKETS`` sums of counts by hash), so that what tasks share doesn't
 grow with the vocabulary; any order of words gives the same counts, and all counts are exact.
 """
@@ -22,11 +23,14 @@ from .textops import FACTORS, chunks, column_bytes, give_back, spread, utf8, wor
 
 #: Sums of counts that say how frequent a word is at most: 2 to this power, one byte each in a task.
 BUCKET_BITS = 21
-#: Occurrences of a pivot beyond which its fragments are dealt to several groups, whose counts are added up.
+#: Occurrences of a pivot beyond which its fragments are dealt by the word beside it, and beyond which
+#: those groups are dealt out further, so that their counts have to be added up.
 SPLIT = 50_000
-#: Bytes of text, and rows of fragments, that a task handles at a time.
-TEXT_BYTES = 4 << 20
-BLOCK_ROWS = 200_000
+SPLIT_AGAIN = 10_000_000
+#: Bytes of text, and rows of fragments, that a task handles at a time; a group of more rows is counted in parts.
+TEXT_BYTES = 2 << 20
+BLOCK_ROWS = 100_000
+GROUP_ROWS = 500_000
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = np.array([10 if i in _PIECE_ENDS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
@@ -134,15 +138,21 @@ def _fragments(levels, longest: int) -> Callable:
             other = np.flatnonzero(~same)  # equal marks of unequal fragments: counted on their own
             rows = np.concatenate([first, other])
             n = np.concatenate([np.bincount(which[same], minlength=len(first)), np.ones(len(other), np.int64)])
-            place, left, right = at[rows], left[rows], right[rows]
-            groups = np.ceil(np.exp2(level[place] / 4) / SPLIT).astype(np.int64)
-            route = spread(chunk.hashes[place] + mark[rows] % np.maximum(groups, 1).astype(np.uint64))
-            columns = {
-                "lang": chunk.langs.take(pa.array(chunk.lang[place])).cast(pa.string()),
-                "fragment": _spaced(chunk, place - left, place + right).cast(pa.string()),
-                "at": pa.array(left.astype(np.int32)), "n": pa.array(n), "route": pa.array(route.view(np.int64)), "whole": pa.array(groups <= 1),
-            }
-            yield pa.record_batch(list(columns.values()), list(columns))
+            place, left, right, mark = at[rows], left[rows], right[rows], mark[rows]
+            most = np.exp2(level[place] / 4)
+            hot = most > SPLIT
+            salt = mark % np.ceil(most / SPLIT_AGAIN).astype(np.uint64)
+            for beside, some in ((0, ~hot), (-1, hot & (left > 0)), (1, hot & (right > 0))):
+                i = np.flatnonzero(some)
+                p = place[i]
+                own = chunk.hashes[p] + (chunk.hashes[p + beside] * FACTORS[beside + 1] if beside else np.uint64(0))
+                start = p if beside > 0 else p - left[i]
+                columns = {
+                    "lang": chunk.langs.take(pa.array(chunk.lang[p])).cast(pa.string()), "fragment": _spaced(chunk, start, p + right[i]).cast(pa.string()),
+                    "at": pa.array((p - start).astype(np.int32)), "beside": pa.array(np.full(len(i), beside, np.int32)), "n": pa.array(n[i]),
+                    "route": pa.array(spread(own + salt[i]).view(np.int64)), "whole": pa.array(most[i] <= SPLIT_AGAIN),
+                }
+                yield pa.record_batch(list(columns.values()), list(columns))
 
     return run
 
@@ -159,21 +169,26 @@ def _spaced(chunk: _Chunk, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return _slices(packed, offsets[first], offsets[last + 1] - 1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by route, cut between routes; a route dealt to several groups may be cut anywhere."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by route, cut between routes, and whether each row's group is whole; one of over ``GROUP_ROWS`` rows is cut and isn't."""
     held: list[pa.RecordBatch] = []
+    parted = None
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < BLOCK_ROWS:
+        rows = sum(b.num_rows for b in held)
+        if rows < BLOCK_ROWS:
             continue
         table = pa.Table.from_batches(held)
         route = table["route"].to_numpy()
-        cut = int(np.searchsorted(route, route[-1])) if table["whole"][-1].as_py() else len(route)
+        cut = int(np.searchsorted(route, route[-1]))
+        before, parted = parted, route[-1] if rows - cut > GROUP_ROWS else parted
+        cut = rows if rows - cut > GROUP_ROWS else cut
         if cut:
-            yield table.slice(0, cut)
+            yield table.slice(0, cut), table["whole"].to_numpy()[:cut] & (route[:cut] != before) & (route[:cut] != parted)
         held = table.slice(cut).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield table, table["whole"].to_numpy() & (table["route"].to_numpy() != parted)
 
 
 def _mine(least: int, longest: int) -> Callable:
@@ -185,20 +200,23 @@ def _mine(least: int, longest: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        for table in _blocks(batches):
+        for table, whole in _blocks(batches):
             table = table.combine_chunks()
             data, edges = column_bytes(table["fragment"].chunk(0))
             starts, ends, sizes = _bounds(data, edges)
             codes, words = _coded(_slices(data, starts, ends))
             langs, lang_names = _coded(table["lang"].chunk(0))
-            n, whole = table["n"].to_numpy(), table["whole"].to_numpy()
+            n, beside = table["n"].to_numpy(), table["beside"].to_numpy()
             first = np.cumsum(sizes) - sizes
             pivot = first + table["at"].to_numpy()
             row = np.arange(len(sizes))
             start, end = pivot, pivot
             _, gram = np.unique(langs * len(words) + codes[pivot], return_inverse=True)
-            for _ in range(longest - 1):
-                on, back = np.flatnonzero(end + 1 < (first + sizes)[row]), np.flatnonzero((end == pivot[row]) & (start > first[row]))
+            for size in range(2, longest + 1):
+                more, less = end + 1 < (first + sizes)[row], (end == pivot[row]) & (start > first[row])
+                if size == 2:  # a group of two words grows from both
+                    more, less = more & (beside >= 0), less & (beside <= 0)
+                on, back = np.flatnonzero(more), np.flatnonzero(less)
                 grown = np.concatenate([gram[on] * 2 * len(words) + codes[end[on] + 1], (gram[back] * 2 + 1) * len(words) + codes[start[back] - 1]])
                 start, end, row = np.concatenate([start[on], start[back] - 1]), np.concatenate([end[on] + 1, end[back]]), np.concatenate([row[on], row[back]])
                 if not len(grown):
@@ -225,7 +243,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
     counted = read.mapInArrow(_count_words, "lang string, word string, bucket long, n long")
     words = stored(counted.groupBy("lang", "word", "bucket").agg(F.sum("n").alias("n")))
     levels = docs.sparkSession.sparkContext.broadcast(_levels(words.where(F.col("n") >= least)))
-    fragments = read.mapInArrow(_fragments(levels, longest), "lang string, fragment string, at int, n long, route long, whole boolean")
+    fragments = read.mapInArrow(_fragments(levels, longest), "lang string, fragment string, at int, beside int, n long, route long, whole boolean")
     mined = fragments.repartition("route").sortWithinPartitions("route").mapInArrow(_mine(least, longest), "lang string, phrase string, n long")
     return words.drop("bucket"), mined.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import collocations
@@ -73,7 +74,8 @@ def test_counts_and_scores(spark):
 def test_hot_pivots_are_split_and_any_order_of_words_serves(spark, monkeypatch):
     rows = sample()
     monkeypatch.setattr(collocations, "SPLIT", 7)
-    monkeypatch.setattr(collocations, "BLOCK_ROWS", 30)
+    assert got(collocations.collocations(frame(spark, rows), least=4)) == plain(rows, 4)
+    monkeypatch.setattr(collocations, "SPLIT_AGAIN", 20)
     assert got(collocations.collocations(frame(spark, rows), least=4)) == plain(rows, 4)
     monkeypatch.setattr(collocations, "_levels", lambda words: np.full(1 << collocations.BUCKET_BITS, 3, np.uint8))
     assert got(collocations.collocations(frame(spark, rows), least=4)) == plain(rows, 4)
@@ -91,3 +93,15 @@ def test_scores_beyond_64_bits(spark):
 def test_nothing_frequent(spark, empty, docs):
     assert collocations.collocations(empty).count() == 0
     assert collocations.collocations(docs.where("doc_id < 3"), least=10**6).count() == 0
+
+
+def test_blocks_are_cut_between_groups(monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(collocations, "GROUP_ROWS", 6)
+    routes = [1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5]
+    batches = [pa.record_batch([pa.array(routes[i : i + 3]), pa.array([True] * len(routes[i : i + 3]))], ["route", "whole"]) for i in range(0, len(routes), 3)]
+    blocks = [(t["route"].to_pylist(), list(w)) for t, w in collocations._blocks(iter(batches))]
+    assert sum((r for r, _ in blocks), []) == routes
+    assert all(w == (r != 3) for rs, ws in blocks for r, w in zip(rs, ws, strict=True))
+    for route in (1, 2, 4, 5):
+        assert sum(route in r for r, _ in blocks) == 1
