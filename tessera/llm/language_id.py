@@ -21,10 +21,10 @@ from .textops import chunks, utf8
 
 #: The sample that a language's dictionary is made of: so many different texts at most, and code points of each.
 SAMPLE_TEXTS = 300
-SAMPLE_CHARS = 1500
+SAMPLE_CHARS = 4000
 #: Languages at most, so that the dictionaries stay within a bound; more are an error.
 MOST_LANGS = 100
-LEVEL = 3
+LEVEL = 5
 #: Bytes compressed at a time.
 BLOCK = 6000
 #: The share of the second smallest size that the smallest must save to be accepted; there the score is one half.

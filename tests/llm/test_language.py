@@ -44,7 +44,7 @@ def test_odd_rows(spark, rows):
     rng = random.Random(9)
     long = say(rng, "bb", 30_000)
     mixed = say(rng, "aa", 40) + " " + say(rng, "bb", 40)
-    odd = [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !! ــ", "bb"), (1003, long, None), (None, say(rng, "cc", 40), "cc"), (1004, mixed, None), (1004, mixed, None), (1005, "x" * 20_000, None), (1006, say(rng, "aa", 50).upper(), None)]
+    odd = [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !! — …", "bb"), (1003, long, None), (None, say(rng, "cc", 40), "cc"), (1004, mixed, None), (1004, mixed, None), (1005, "x" * 20_000, None), (1006, say(rng, "aa", 50).upper(), None)]
     frame = spark.createDataFrame([*rows, *odd], SCHEMA)
     for name in ("score", "held_out", "lettered", "_lang", "_draw", "place", "passage", "count"):
         frame = frame.withColumn(name, F.lit("x"))
