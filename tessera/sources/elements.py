@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -198,8 +199,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in ROWS.split(", ")])
 
 
-def elements(spark: SparkSession, path: str, level: int = 1, glob: str = "*") -> tuple[DataFrame, DataFrame]:
-    """Rows (path, section, container, start, place, text) of the elements of JSON documents, and rows (path, problem) of broken ones.
+@dataclass(frozen=True)
+class Elements:
+    """Elements (path, section, container, start, place, text), what holds them (path, section, container), broken documents (path, problem), and all files (path)."""
+
+    rows: DataFrame
+    sections: DataFrame
+    broken: DataFrame
+    files: DataFrame
+
+
+def elements(spark: SparkSession, path: str, level: int = 1, glob: str = "*") -> Elements:
+    """The elements of JSON documents.
 
     At ``level`` 1 elements are those of a document that is an array, or the members ``"key": value`` of
     one that is an object. At ``level`` 2 they are what the lists and objects at the top level hold;
@@ -232,7 +243,9 @@ def elements(spark: SparkSession, path: str, level: int = 1, glob: str = "*") ->
     rows = stored(text.mapInArrow(_cut(states, level), ROWS))
     more = rows.where("kind = 'error'").select("path", F.concat(F.lit("has text where none belongs: "), F.substring("text", 1, 40)).alias("problem"))
     broken = stored(broken.unionByName(more).groupBy("path").agg(F.min("problem").alias("problem")))
-    return _put_together(rows.join(F.broadcast(broken.limit(MOST_RANGES)), "path", "left_anti")), broken
+    fine = rows.join(broken.select("path"), "path", "left_anti")
+    sections = fine.where("kind = 'section' or container = ''").select("path", "section", "container").distinct()
+    return Elements(_put_together(fine), sections, broken, listed.select(_named(F.col("path")).alias("path")))
 
 
 def _put_together(rows: DataFrame) -> DataFrame:

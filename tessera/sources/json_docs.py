@@ -9,7 +9,8 @@ from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_per
 from tessera.model import INFO, AnnotationDataset, dataset
 from tessera.storage import exists, paths_like
 
-from .common import annotations_of, attribute, basename, carried, documents, from_raw, lines, per_image, prefixed, register, relative, require, shards_for, stem, with_sizes, write_documents, write_lines
+from .common import annotations_of, attribute, basename, carried, from_raw, per_image, prefixed, register, relative, require, shards_for, stem, with_sizes, write_documents, write_lines
+from .strict import json_documents, json_lines, json_sections
 
 
 def _obj(**fields: Column) -> Column:
@@ -25,9 +26,9 @@ def _ord(*places: str) -> Column:
     return F.struct(*[F.col(p) for p in places]).alias("_ord")
 
 
-def _array_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of documents that are arrays: rows (path, at, d)."""
-    return documents(spark, path, "*").select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d"))
+def _array_docs(spark: SparkSession, path: str, form: str, schema: str) -> DataFrame:
+    """Elements of a format's documents that are arrays: rows (path, at, d)."""
+    return json_documents(spark, path, form).select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d"))
 
 
 def _enveloped(shape: Column, key: str) -> Column:
@@ -40,6 +41,25 @@ def _skipped(key: str, n: int) -> dict:
     return {"attributes": {key: str(n)}} if n else {}
 
 
+def _kinds(schema: str) -> dict[str, str]:
+    """The types of a schema's fields, which stand apart by a comma and a blank."""
+    return dict(x.split(" ", 1) for x in schema.split(", "))
+
+
+def _rows_of(rows: DataFrame, schema: str, section: str) -> DataFrame:
+    """Rows (path, _ord, fields) of one list of a document; ``schema`` has the document's lists."""
+    kind = _kinds(schema)[section].removeprefix("array<").removesuffix(">")
+    own = rows.where((F.col("section") == section) & (F.col("container") == "["))
+    return own.select("path", F.struct("start", "place").alias("_ord"), F.from_json("text", kind).alias("x")).select("path", "_ord", "x.*")
+
+
+def _info_of(rows: DataFrame, schema: str) -> dict:
+    """The known fields of a document's ``info``, of the first file that has one."""
+    own = rows.where("section = 'info' and container = '{'").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "text"))), lambda x: x["text"]), ",").alias("j"))
+    first = own.orderBy("path").limit(1).select(F.from_json(F.concat(F.lit("{"), "j", F.lit("}")), _kinds(schema)["info"]).alias("info")).collect()
+    return {k: v for k, v in (first[0]["info"].asDict() if first and first[0]["info"] else {}).items() if v is not None}
+
+
 def _listed(df: DataFrame, column: str) -> DataFrame:
     return df.select("path", F.posexplode(column).alias("_ord", "x")).select("path", "_ord", "x.*")
 
@@ -54,12 +74,11 @@ class IrJson:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        docs = documents(spark, path, "*").select("path", F.from_json("text", IrJson.SCHEMA).alias("d")).select("path", "d.*")
-        a = _listed(docs, "annotations").select("id", "image_id", "category_id", "bbox.*", "confidence", "attributes", _ord("path", "_ord"))
-        c = _listed(docs, "categories").groupBy("id", "name", "supercategory").agg(F.min("_ord").alias("_ord"))
-        first = docs.select("info").limit(1).collect()
-        info = {k: v for k, v in (first[0]["info"].asDict() if first and first[0]["info"] else {}).items() if v is not None}
-        return dataset(_listed(docs, "images").drop("path"), c, a, _listed(docs, "licenses").drop("path", "_ord").distinct(), info)
+        rows = json_sections(spark, path, "ir-json")
+        images, categories, licenses, annotations = (_rows_of(rows, IrJson.SCHEMA, x) for x in ("images", "categories", "licenses", "annotations"))
+        a = annotations.select("id", "image_id", "category_id", "bbox.*", "confidence", "attributes", _ord("path", "_ord"))
+        c = categories.groupBy("id", "name", "supercategory").agg(F.min(_ord("path", "_ord")).alias("_ord"))
+        return dataset(images.withColumn("_ord", _ord("path", "_ord")).drop("path"), c, a, licenses.drop("path", "_ord").distinct(), _info_of(rows, IrJson.SCHEMA))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -100,17 +119,16 @@ class Coco:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        docs = documents(spark, path, "*").select("path", F.from_json("text", Coco.SCHEMA).alias("d")).select("path", "d.*")
+        rows = json_sections(spark, path, "coco")
+        images, categories, licenses, a = (_rows_of(rows, Coco.SCHEMA, x) for x in ("images", "categories", "licenses", "annotations"))
         b = from_xywh(*[F.get("bbox", i) for i in range(4)])
-        a = _listed(docs, "annotations")
         kept = F.map_filter(F.create_map(F.lit("area"), F.format_string("%.6f", "area"), F.lit("iscrowd"), F.col("iscrowd").cast("string")), lambda k, v: v.isNotNull() & (v != "null"))
         a = a.select("id", "image_id", "category_id", *b.named(), F.col("score").alias("confidence"), kept.alias("attributes"), _ord("path", "_ord"))
-        c = _listed(docs, "categories").groupBy("id", "name", "supercategory").agg(F.min("_ord").alias("_ord"))
-        first = docs.select("info").limit(1).collect()
-        info = {k: v for k, v in (first[0]["info"].asDict() if first and first[0]["info"] else {}).items() if v is not None}
+        c = categories.groupBy("id", "name", "supercategory").agg(F.min(_ord("path", "_ord")).alias("_ord"))
+        info = _info_of(rows, Coco.SCHEMA)
         if str(info.get("year", "")).isdigit():
             info["year"] = int(info["year"])
-        return dataset(_listed(docs, "images").withColumnRenamed("license", "license_id").drop("path"), c, a, _listed(docs, "licenses").drop("path", "_ord").distinct(), info)
+        return dataset(images.withColumnRenamed("license", "license_id").withColumn("_ord", _ord("path", "_ord")).drop("path"), c, a, licenses.drop("path", "_ord").distinct(), info)
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -141,7 +159,7 @@ def _joined(fields: Column, **lists: Column) -> Column:
 class CreateMl:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
-        rows = _array_docs(spark, path, "image:string,annotations:array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>").select("path", "at", F.col("d.image").alias("file_name"), "d.annotations")
+        rows = _array_docs(spark, path, "create-ml", "image:string,annotations:array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>").select("path", "at", F.col("d.image").alias("file_name"), "d.annotations")
         a = rows.select("path", "at", "file_name", F.posexplode("annotations").alias("k", "x")).withColumn("label", require(F.length("x.label") > 0, "a label is empty", F.col("x.label"))).withColumn("_ord", _ord("path", "at", "k"))
         a = annotations_of(a, from_cxcywh(*[F.col(f"x.coordinates.{k}") for k in ("x", "y", "width", "height")]))
         names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"))
@@ -157,7 +175,7 @@ class CreateMl:
 class Bdd100k:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
-        rows = _array_docs(spark, path, "name:string,url:string,width:bigint,height:bigint,labels:array<struct<category:string,score:double,attributes:map<string,string>,box2d:struct<x1:double,y1:double,x2:double,y2:double>>>")
+        rows = _array_docs(spark, path, "bdd100k", "name:string,url:string,width:bigint,height:bigint,labels:array<struct<category:string,score:double,attributes:map<string,string>,box2d:struct<x1:double,y1:double,x2:double,y2:double>>>")
         rows = rows.select("path", "at", F.coalesce("d.name", basename(F.col("d.url")), F.concat(F.lit("image_"), F.col("at").cast("string"))).alias("file_name"), "d.width", "d.height", "d.labels")
         a = rows.select("path", "at", "file_name", F.posexplode("labels").alias("k", "x")).where("x.box2d is not null").withColumns({"label": F.col("x.category"), "confidence": F.col("x.score"), "_ord": _ord("path", "at", "k")})
         a = a.withColumn("attributes", F.coalesce(F.transform_keys("x.attributes", lambda k, v: F.concat(F.lit("bdd100k_attribute_"), k)), F.create_map().cast("map<string,string>")))
@@ -174,7 +192,7 @@ class V7Darwin:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         slot = "array<struct<slot_name:string,width:bigint,height:bigint,source_files:array<struct<file_name:string>>>>"
-        rows = _array_docs(spark, path, f"item:struct<name:string,slots:{slot}>,annotations:array<struct<name:string,bounding_box:struct<x:double,y:double,w:double,h:double>>>")
+        rows = _array_docs(spark, path, "v7-darwin", f"item:struct<name:string,slots:{slot}>,annotations:array<struct<name:string,bounding_box:struct<x:double,y:double,w:double,h:double>>>")
         first = F.get("d.item.slots", F.lit(0))
         rows = rows.select("path", "at", F.coalesce("d.item.name", F.get(first["source_files"], F.lit(0))["file_name"], F.concat(F.lit("image_"), F.col("at").cast("string"))).alias("file_name"), first["width"].alias("width"), first["height"].alias("height"), "d.annotations")
         a = rows.select("path", "at", "file_name", F.posexplode("annotations").alias("k", "x")).where("x.bounding_box is not null").withColumns({"label": F.col("x.name"), "_ord": _ord("path", "at", "k")})
@@ -193,7 +211,7 @@ class LabelStudio:
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         result = "array<struct<type:string,score:double,original_width:bigint,original_height:bigint,value:struct<x:double,y:double,width:double,height:double,rotation:double,rectanglelabels:array<string>>>>"
         one = f"array<struct<score:double,result:{result}>>"
-        rows = _array_docs(spark, path, f"data:struct<image:string,width:bigint,height:bigint>,annotations:{one},completions:{one},predictions:{one}")
+        rows = _array_docs(spark, path, "label-studio", f"data:struct<image:string,width:bigint,height:bigint>,annotations:{one},completions:{one},predictions:{one}")
         human = F.coalesce("d.annotations", "d.completions")
         rows = rows.select(
             "path", "at", basename(F.col("d.data.image")).alias("file_name"), F.col("d.data.width").alias("dw"), F.col("d.data.height").alias("dh"), human.alias("a"), F.col("d.predictions").alias("p")
@@ -235,7 +253,7 @@ class ScaleAi:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         note = "array<struct<label:string,type:string,left:double,top:double,width:double,height:double,vertices:array<struct<x:double,y:double>>>>"
-        rows = _array_docs(spark, path, f"task_id:string,params:struct<attachment:string,metadata:struct<width:bigint,height:bigint,filename:string>>,response:struct<annotations:{note}>")
+        rows = _array_docs(spark, path, "scale-ai", f"task_id:string,params:struct<attachment:string,metadata:struct<width:bigint,height:bigint,filename:string>>,response:struct<annotations:{note}>")
         rows = rows.select("path", "at", F.coalesce("d.params.metadata.filename", basename(F.col("d.params.attachment")), "d.task_id").alias("file_name"), F.col("d.params.metadata.width").alias("width"), F.col("d.params.metadata.height").alias("height"), "d.task_id", "d.params.attachment", F.col("d.response.annotations").alias("notes"))
         a = rows.select("path", "at", "file_name", F.posexplode("notes").alias("k", "x")).withColumns({"label": F.col("x.label"), "_ord": _ord("path", "at", "k")})
         shape = F.size("x.vertices") >= 3
@@ -264,7 +282,7 @@ class Labelbox:
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         obj = "array<struct<name:string,bounding_box:struct<left:double,top:double,width:double,height:double>,polygon:array<struct<x:double,y:double>>>>"
         schema = f"data_row struct<id:string,external_id:string,row_data:string,global_key:string>, media_attributes struct<width:bigint,height:bigint>, projects map<string,struct<labels:array<struct<annotations:struct<objects:{obj}>>>>>"
-        rows = lines(spark, path).where(F.btrim("line") != "").select(F.from_json("line", schema).alias("d"), F.col("_ord").alias("at")).select("d.*", "at")
+        rows = json_lines(spark, path, "labelbox").select(F.from_json("line", schema).alias("d"), F.col("_ord").alias("at")).select("d.*", "at")
         rows = rows.withColumn("file_name", F.coalesce("data_row.external_id", basename(F.col("data_row.row_data")), "data_row.global_key"))
         a = rows.select("file_name", F.explode("projects").alias("project", "p")).select("file_name", "project", F.posexplode("p.labels").alias("n", "l")).select("file_name", "project", "n", F.posexplode("l.annotations.objects").alias("k", "x"))
         shape = F.coalesce(F.size("x.polygon") >= 3, F.lit(False))
@@ -291,7 +309,7 @@ class Labelbox:
 class Sagemaker:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        rows = lines(spark, path).where(F.btrim("line") != "").withColumn("m", F.from_json("line", "map<string,string>"))
+        rows = json_lines(spark, path, "sagemaker").withColumn("m", F.from_json("line", "map<string,string>"))
         keys = F.filter(F.map_keys("m"), lambda k: F.map_contains_key("m", F.concat(k, F.lit("-metadata"))))
         rows = rows.withColumn("key", require(F.size(keys) == 1, "a line has no label attribute or several", F.get(keys, F.lit(0))))
         rows = rows.withColumn("source", F.element_at("m", F.lit("source-ref"))).withColumn("file_name", F.regexp_replace("source", "^s3://[^/]+/", ""))
@@ -378,7 +396,7 @@ class HfImageFolder:
         elif exists(spark, f"{path}/metadata.jsonl"):
             path = f"{path}/metadata.jsonl"
         in_splits = split is None and bool(paths_like(spark, f"{path}/*/metadata.jsonl"))
-        rows = lines(spark, path, "metadata.jsonl" if in_splits else "*").where(F.btrim("line") != "").select(F.from_json("line", HfImageFolder.SCHEMA).alias("d"), "_ord").select("d.*", "_ord")
+        rows = json_lines(spark, path, "hf", "metadata.jsonl" if in_splits else "*").select(F.from_json("line", HfImageFolder.SCHEMA).alias("d"), "_ord").select("d.*", "_ord")
         return HfImageFolder._rows(rows, corners)
 
     @staticmethod
@@ -394,7 +412,7 @@ class HfImageFolder:
 class CloudAnnotations:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
-        docs = documents(spark, path, "*").select("path", F.from_json("text", "type string, labels array<string>, annotations map<string,array<struct<x:double,y:double,x2:double,y2:double,label:string>>>").alias("d")).select("path", "d.*")
+        docs = json_documents(spark, path, "ibm-cloud-annotations").select("path", F.from_json("text", "type string, labels array<string>, annotations map<string,array<struct<x:double,y:double,x2:double,y2:double,label:string>>>").alias("d")).select("path", "d.*")
         docs = docs.withColumn("annotations", require(F.col("type") == "localization", "the document isn't of type localization", F.col("annotations")))
         rows = docs.select("path", F.explode("annotations").alias("file_name", "list"))
         names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height")).distinct()
@@ -422,7 +440,7 @@ class Datumaro:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         schema = "categories struct<label:struct<labels:array<struct<name:string,parent:string>>>>, items array<struct<id:string,image:struct<path:string,size:array<bigint>>,annotations:array<struct<type:string,label_id:int,bbox:array<double>>>>>"
-        docs = documents(spark, path, "*").select("path", F.from_json("text", schema).alias("d")).select("path", F.col("d.categories.label.labels").alias("labels"), "d.items")
+        docs = json_documents(spark, path, "datumaro").select("path", F.from_json("text", schema).alias("d")).select("path", F.col("d.categories.label.labels").alias("labels"), "d.items")
         rows = docs.select("path", "labels", F.posexplode("items").alias("at", "i")).withColumn("file_name", F.coalesce("i.image.path", "i.id"))
         size = lambda k: F.coalesce(F.get("i.image.size", F.lit(k)), F.lit(1))
         a = rows.select("path", "at", "file_name", "labels", F.posexplode("i.annotations").alias("k", "x")).where("x.type = 'bbox'")
@@ -449,7 +467,7 @@ class EdgeImpulse:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         b = "array<struct<label:string,x:double,y:double,width:double,height:double>>"
-        docs = documents(spark, path, "*").select("path", F.from_json("text", f"files array<struct<path:string,boundingBoxes:{b}>>, boundingBoxes map<string,{b}>").alias("d")).select("path", "d.*")
+        docs = json_documents(spark, path, "edge-impulse").select("path", F.from_json("text", f"files array<struct<path:string,boundingBoxes:{b}>>, boundingBoxes map<string,{b}>").alias("d")).select("path", "d.*")
         listed = docs.select(F.inline("files")).select(F.col("path").alias("file_name"), F.col("boundingBoxes").alias("list"))
         rows = listed.union(docs.select(F.explode("boundingBoxes").alias("file_name", "list")))
         whole = " and ".join(f"x.{k} is not null" for k in ("label", "x", "y", "width", "height"))
@@ -470,7 +488,7 @@ class Via:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         region = "struct<shape_attributes:struct<name:string,x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>"
-        docs = documents(spark, path, "*").select("path", F.explode(F.from_json("text", f"map<string,struct<filename:string,size:bigint,regions:array<{region}>,file_attributes:map<string,string>>>")).alias("key", "v"))
+        docs = json_documents(spark, path, "via").select("path", F.explode(F.from_json("text", f"map<string,struct<filename:string,size:bigint,regions:array<{region}>,file_attributes:map<string,string>>>")).alias("key", "v"))
         rows = docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions", "v.file_attributes")
         a = rows.select("key", "file_name", F.posexplode("regions").alias("k", "x")).where("x.shape_attributes.name = 'rect'")
         named = F.map_filter("x.region_attributes", lambda k, v: v.isNotNull() & (F.btrim(v) != ""))
@@ -499,7 +517,7 @@ class VottJson:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         region = "struct<tags:array<string>,boundingBox:struct<left:double,top:double,width:double,height:double>,points:array<struct<x:double,y:double>>>"
-        docs = documents(spark, path, "*").select("path", F.from_json("text", f"tags array<struct<name:string>>, assets map<string,struct<asset:struct<name:string,path:string,size:struct<width:bigint,height:bigint>>,regions:array<{region}>>>").alias("d")).select("path", "d.*")
+        docs = json_documents(spark, path, "vott-json").select("path", F.from_json("text", f"tags array<struct<name:string>>, assets map<string,struct<asset:struct<name:string,path:string,size:struct<width:bigint,height:bigint>>,regions:array<{region}>>>").alias("d")).select("path", "d.*")
         rows = docs.select("path", F.explode("assets").alias("key", "v")).select("key", F.coalesce("v.asset.name", basename(F.col("v.asset.path"))).alias("file_name"), "v.asset.size.width", "v.asset.size.height", "v.regions")
         a = rows.select("file_name", "key", F.posexplode("regions").alias("k", "x")).select("file_name", "key", "k", "x", F.posexplode("x.tags").alias("t", "label")).withColumn("_ord", _ord("file_name", "key", "k", "t"))
         flat, around = from_xywh(*[F.col(f"x.boundingBox.{k}") for k in ("left", "top", "width", "height")]), envelope(F.col("x.points"))
@@ -526,7 +544,7 @@ class OpenLabel:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         frame = "struct<frame_properties:struct<file_name:string,width:bigint,height:bigint>,objects:map<string,struct<object_data:struct<bbox:array<struct<name:string,val:array<double>>>>>>>"
-        docs = documents(spark, path, "*").select("path", F.from_json("text", f"openlabel struct<objects:map<string,struct<name:string,type:string>>,frames:map<string,{frame}>>").alias("d")).select("path", F.col("d.openlabel.objects").alias("types"), F.col("d.openlabel.frames").alias("frames"))
+        docs = json_documents(spark, path, "openlabel").select("path", F.from_json("text", f"openlabel struct<objects:map<string,struct<name:string,type:string>>,frames:map<string,{frame}>>").alias("d")).select("path", F.col("d.openlabel.objects").alias("types"), F.col("d.openlabel.frames").alias("frames"))
         rows = docs.select("path", "types", F.explode("frames").alias("at", "f")).withColumn("file_name", F.coalesce("f.frame_properties.file_name", F.concat(F.lit("frame_"), "at")))
         a = rows.select("path", "at", "file_name", "types", F.explode("f.objects").alias("o", "v")).select("path", "at", "file_name", "types", "o", F.posexplode("v.object_data.bbox").alias("k", "x"))
         a = a.where((F.size("x.val") >= 4) & (F.coalesce(F.get("x.val", F.lit(4)), F.lit(0.0)) == 0.0))
@@ -551,7 +569,7 @@ class UnityPerception:
         value = "struct<instanceId:bigint,labelId:bigint,labelName:string,label_id:bigint,label_name:string,origin:array<double>,dimension:array<double>,x:double,y:double,width:double,height:double>"
         named = "sequence_id:string,sequenceId:string,sequence:string,step:string,frame:string,timestamp:string"
         schema = f"{named.replace(':', ' ')}, captures array<struct<id:string,capture_id:string,captureId:string,sensor_id:string,sensorId:string,{named},filename:string,dimension:array<double>,annotations:array<struct<`@type`:string,values:array<{value}>>>>>"
-        docs = documents(spark, path).select("path", F.from_json("text", schema).alias("d")).select("path", "d", F.posexplode("d.captures").alias("at", "c"))
+        docs = json_documents(spark, path, "unity-perception", "*.json").select("path", F.from_json("text", schema).alias("d")).select("path", "d", F.posexplode("d.captures").alias("at", "c"))
         either = lambda *names: F.coalesce(*[F.col(f"{at}.{n}") for at in ("d", "c") for n in names])
         facts = {"capture_id": F.coalesce("c.id", "c.capture_id", "c.captureId"), "sequence_id": either("sequence_id", "sequenceId"), **{k: either(k) for k in ("sequence", "step", "frame", "timestamp")}, "sensor_id": F.coalesce("c.sensor_id", "c.sensorId", "c.id")}
         kept = prefixed(F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]), "unity_perception_")

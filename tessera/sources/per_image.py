@@ -19,12 +19,13 @@ from tessera.storage import exists
 
 from .common import annotations_of, basename, carried, documents, fixed, from_raw, image_sizes, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, with_sizes, write_documents, write_files, write_lines
 from .json_docs import _joined, _obj, _ord, _xywh
+from .strict import json_documents
 
 _NO_ATTRIBUTES = "map<string,string>"
 
 
-def _parsed(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
-    docs = documents(spark, path, glob)
+def _parsed(spark: SparkSession, path: str, form: str, schema: str, glob: str = "*.json") -> DataFrame:
+    docs = json_documents(spark, path, form, glob)
     return docs.select(relative(F.col("path"), path).alias("rel"), F.from_json("text", schema).alias("d")).select("rel", "d.*")
 
 
@@ -46,7 +47,7 @@ def _around(points: Column) -> Box:
 class Labelme:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        rows = _parsed(spark, path, "shapes array<struct<label:string,points:array<array<double>>,shape_type:string>>, imagePath string, imageHeight bigint, imageWidth bigint")
+        rows = _parsed(spark, path, "labelme", "shapes array<struct<label:string,points:array<array<double>>,shape_type:string>>, imagePath string, imageHeight bigint, imageWidth bigint")
         extension = F.regexp_extract("imagePath", r"(\.[^.]*)$", 1)
         rows = rows.withColumn("file_name", F.concat(F.regexp_replace(F.regexp_replace("rel", r"^annotations/", ""), r"\.json$", ""), extension))
         a = rows.select("file_name", F.posexplode("shapes").alias("k", "x"))
@@ -68,7 +69,7 @@ class SuperAnnotate:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         p = "struct<x1:double,y1:double,x2:double,y2:double>"
-        docs = documents(spark, path).where(~F.col("path").endswith("classes.json"))
+        docs = json_documents(spark, path, "superannotate", "*.json")
         rows = docs.select(F.from_json("text", "metadata struct<name:string,width:bigint,height:bigint>, instances array<struct<type:string,className:string,probability:double,confidence:double,points:string>>").alias("d")).select("d.*")
         rows = rows.withColumn("file_name", F.col("metadata.name"))
         a = rows.select("file_name", F.posexplode("instances").alias("k", "x"))
@@ -93,7 +94,7 @@ class SuperAnnotate:
 class Supervisely:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        docs = documents(spark, path).where(~F.col("path").endswith("meta.json"))
+        docs = json_documents(spark, path, "supervisely", "*.json")
         rows = docs.select(relative(F.col("path"), path).alias("rel"), F.from_json("text", "size struct<height:bigint,width:bigint>, objects array<struct<classTitle:string,geometryType:string,confidence:double,score:double,points:struct<exterior:array<array<double>>>>>").alias("d")).select("rel", "d.*")
         rows = rows.withColumn("file_name", F.regexp_replace(F.regexp_replace("rel", r"(^|/)ann/", ""), r"\.json$", ""))
         rows = rows.withColumn("file_name", F.regexp_replace("file_name", "^dataset", ""))
@@ -127,7 +128,7 @@ _SKIPPED = (
 class Cityscapes:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        rows = _parsed(spark, path, "imgHeight bigint, imgWidth bigint, objects array<struct<label:string,polygon:array<array<double>>,deleted:int>>", "*_gtFine_polygons.json")
+        rows = _parsed(spark, path, "cityscapes", "imgHeight bigint, imgWidth bigint, objects array<struct<label:string,polygon:array<array<double>>,deleted:int>>", "*_gtFine_polygons.json")
         rows = rows.withColumn("file_name", F.concat(F.regexp_replace(F.regexp_replace("rel", r"^gtFine/", ""), r"_gtFine_polygons\.json$", ""), F.lit("_leftImg8bit.png")))
         a = rows.select("file_name", F.posexplode("objects").alias("k", "x")).where(F.coalesce("x.deleted", F.lit(0)) == 0)
         low = F.lower("x.label")

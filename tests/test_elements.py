@@ -29,8 +29,8 @@ def small_ranges(spark):
 
 
 def found(spark, path, level):
-    rows, broken = elements(spark, str(path), level)
-    return rows.orderBy("path", "start", "place").collect(), broken.collect()
+    e = elements(spark, str(path), level)
+    return e.rows.orderBy("path", "start", "place").collect(), e.broken.collect()
 
 
 def test_elements_of_sections(spark, tmp_path, small_ranges):
