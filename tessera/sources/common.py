@@ -15,6 +15,7 @@ from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,9 +232,11 @@ def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: s
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
         if at >= 0:
             yield pa.RecordBatch.from_arrays([pa.array([(middle if split and at == 0 else "") + tail], pa.string())], ["value"])
+        elif TaskContext.get().partitionId() == 0:  # Spark writes a first file in any case
+            yield pa.RecordBatch.from_arrays([pa.array([head + middle + tail], pa.string())], ["value"])
 
     if parts.isEmpty():
-        docs = parts.sparkSession.createDataFrame([(head + middle + tail,)], "value string")
+        docs = parts.sparkSession.createDataFrame([(head + middle + tail,)], "value string").coalesce(1)
     else:
         docs = rows.repartitionById(shards, "shard").sortWithinPartitions(*order).select("section", "part").mapInArrow(run, "value string")
     docs.write.text(path)

@@ -91,9 +91,10 @@ def _fitting(text: Column, found: Column, name: Column) -> Column:
     return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, text).otherwise(error(x))), F.lit(0))
 
 
-def checked(rows: DataFrame, shape, text: str = "text", place: Column | None = None) -> DataFrame:
-    """``rows`` whose ``text`` is an error, with the file and the first problem, where its JSON doesn't fit."""
+def checked(rows: DataFrame, shape, text: str = "text", place: Column | None = None, aside: Column | None = None) -> DataFrame:
+    """``rows`` whose ``text`` is an error, with the file and the first problem, where its JSON doesn't fit; those ``aside`` aren't looked at."""
     found = text_problems(F.col(text), shape, F.lit("$") if place is None else place)
+    found = found if aside is None else F.when(aside, F.array().cast("array<string>")).otherwise(found)
     return rows.withColumn(text, _fitting(F.col(text), found, F.col("path")))
 
 
@@ -134,9 +135,10 @@ ASIDE = {"superannotate": "classes.json", "supervisely": "meta.json"}
 def json_documents(spark: SparkSession, path: str, form: str, glob: str = "*") -> DataFrame:
     """Rows (path, text) of the documents of a format, each with the shape that the format asks for."""
     rows = documents(spark, path, glob)
-    if form in ASIDE:
-        rows = rows.where(~F.col("path").endswith(ASIDE[form]))
-    return checked(rows, DOCUMENTS[form])
+    if form not in ASIDE:
+        return checked(rows, DOCUMENTS[form])
+    aside = F.col("path").endswith(ASIDE[form])
+    return checked(rows.where(~aside), DOCUMENTS[form], aside=aside)
 
 
 def _line() -> Column:
