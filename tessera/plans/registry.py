@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.operators import diff, lossiness, sample, stats, validate
-from tessera.plans import roundtrips
+from tessera.plans import malformed, roundtrips
 from tessera.plans.tables import WITH, WITH_CHANGED, derived
 from tessera.sources.common import from_raw
 
@@ -294,7 +294,7 @@ IDS: dict[str, tuple[Query, str]] = {
 
 
 def _all() -> dict[str, tuple[Query, str]]:
-    return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY | IDS | roundtrips.queries()
+    return STATS | VALIDATE | DIFF | SAMPLE | LOSSINESS | GEOMETRY | IDS | malformed.queries() | roundtrips.queries()
 
 
 def queries() -> dict[str, Query]:
