@@ -28,6 +28,11 @@ class Maybe:
     shape: object
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _get(v: Column, key: str | int) -> Column:
     return F.try_variant_get(v, f"$[{key}]" if isinstance(key, int) else f"$['{key}']", "variant")
 
@@ -41,8 +46,8 @@ def _is(v: Column, kind: str) -> Column:
     if kind == TEXT:
         return name == "STRING"
     if kind == NUMBER:
-        value = F.try_variant_get(v, "$", "double")
-        return F.coalesce(F.rlike(name, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")) & (F.abs(value) < float("inf")), F.lit(False))
+        kinds = _once(name, lambda x: (x == "BIGINT") | (x == "DOUBLE") | F.startswith(x, F.lit("DECIMAL")))
+        return F.coalesce(kinds & (F.abs(F.try_variant_get(v, "$", "double")) < float("inf")), F.lit(False))
     return F.coalesce((name == "BIGINT") & F.try_variant_get(v, "$", "bigint").between(0, _MOST[kind]), F.lit(False))
 
 
@@ -58,28 +63,32 @@ def problems(v: Column, shape, place: Column) -> Column:
     def unless(ok: Column, what: str, rest: Column = none) -> Column:
         return F.when(ok, rest).otherwise(F.array(F.concat(place, F.when(missing, " is missing, not ").otherwise(" isn't "), F.lit(what))))
 
+    def part(inner, name: str):
+        return lambda x: problems(x, inner, F.concat(place, F.lit(name)))
+
     if isinstance(shape, Maybe):
         return F.when(missing, none).otherwise(problems(v, shape.shape, place))
     if isinstance(shape, dict) and "*" in shape:
-        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        return unless(entries.isNotNull(), "an object", F.flatten(F.transform(entries, lambda x: problems(x["value"], shape["*"], F.concat(place, F.lit("."), x["key"])))))
+        each = lambda x: problems(x["value"], shape["*"], F.concat(place, F.lit("."), x["key"]))
+        return _once(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda items: unless(items.isNotNull(), "an object", F.flatten(F.transform(items, each))))
     if isinstance(shape, dict):
-        parts = [problems(_get(v, k), s, F.concat(place, F.lit(f".{k}"))) for k, s in shape.items()]
+        parts = [_once(_get(v, k), part(s, f".{k}")) for k, s in shape.items()]
         return unless(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "an object", F.flatten(F.array(*parts)) if parts else none)
     if isinstance(shape, list):
-        return unless(_items(v).isNotNull(), "a list", F.flatten(F.transform(_items(v), lambda x, i: problems(x, shape[0], F.concat(place, F.lit("["), i.cast("string"), F.lit("]"))))))
+        each = lambda x, i: problems(x, shape[0], F.concat(place, F.lit("["), i.cast("string"), F.lit("]")))
+        return _once(_items(v), lambda items: unless(items.isNotNull(), "a list", F.flatten(F.transform(items, each))))
     if isinstance(shape, tuple):
-        parts = [problems(_get(v, i), s, F.concat(place, F.lit(f"[{i}]"))) for i, s in enumerate(shape)]
-        return unless(F.coalesce(F.size(_items(v)) == len(shape), F.lit(False)), f"a list of {len(shape)}", F.flatten(F.array(*parts)))
+        parts = lambda items: F.flatten(F.array(*[_once(F.get(items, F.lit(i)), part(s, f"[{i}]")) for i, s in enumerate(shape)]))
+        return _once(_items(v), lambda items: unless(F.coalesce(F.size(items) == len(shape), F.lit(False)), f"a list of {len(shape)}", parts(items)))
     return none if shape == ANY else unless(_is(v, shape), shape)
 
 
 def text_problems(text: Column, shape, place: Column) -> Column:
     """The problems of a JSON text that holds one value."""
     # between brackets, so that what goes on after a value is seen
-    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.coalesce(F.size(_items(parsed)) == 1, F.lit(False))
-    return F.when(one, problems(_get(parsed, 0), shape, place)).otherwise(F.array(F.concat(place, F.lit(" isn't a JSON value"))))
+    parsed = _items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    found = lambda items: problems(F.get(items, F.lit(0)), shape, place)
+    return _once(parsed, lambda x: F.when(F.coalesce(F.size(x) == 1, F.lit(False)), found(x)).otherwise(F.array(F.concat(place, F.lit(" isn't a JSON value")))))
 
 
 def _fitting(text: Column, found: Column, name: Column) -> Column:
