@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +29,46 @@ def _crc_table() -> list[int]:
 _TABLE = _crc_table()
 
 
+_TABLE_ARRAY = np.array(_TABLE, np.uint32)
+#: Bytes from which a checksum is computed in lanes.
+_LANES_FROM = 2048
+#: At place k what 2 ** k zero bytes do to a checksum's state, as a table for each of its four bytes.
+_ZEROS: list[np.ndarray] = []
+
+
+def _through(state: np.ndarray, power: int) -> np.ndarray:
+    """States after 2 ** ``power`` zero bytes."""
+    while len(_ZEROS) <= power:
+        bits = np.arange(256, dtype=np.uint32)[None, :] << np.array([[0], [8], [16], [24]], np.uint32)
+        _ZEROS.append(_TABLE_ARRAY[bits & 0xFF] ^ bits >> 8 if not _ZEROS else _through(_ZEROS[-1], len(_ZEROS) - 1))
+    table = _ZEROS[power]
+    return table[0][state & 0xFF] ^ table[1][state >> 8 & 0xFF] ^ table[2][state >> 16 & 0xFF] ^ table[3][state >> 24]
+
+
+def crc32c(data: bytes) -> int:
+    """CRC-32C. Long data is cut into lanes that go through the table side by side and are put together pair by pair."""
+    if len(data) < _LANES_FROM:
+        crc = 0xFFFFFFFF
+        for byte in data:
+            crc = _TABLE[(crc ^ byte) & 0xFF] ^ crc >> 8
+        return crc ^ 0xFFFFFFFF
+    # zero bytes before all others change nothing if the first state is zero; the usual one is put into the first four bytes instead
+    power = max(3, min(8, len(data).bit_length() - 11))
+    lanes = 1 << (len(data) - 1 >> power).bit_length()
+    padded = np.zeros(lanes << power, np.uint8)
+    padded[-len(data) :] = np.frombuffer(data, np.uint8)
+    padded[len(padded) - len(data) :][:4] ^= 0xFF
+    state = np.zeros(lanes, np.uint32)
+    for column in np.ascontiguousarray(padded.reshape(lanes, -1).T):
+        state = _TABLE_ARRAY[(state ^ column) & 0xFF] ^ state >> 8
+    while len(state) > 1:
+        state = _through(state[0::2], power) ^ state[1::2]
+        power += 1
+    return int(state[0]) ^ 0xFFFFFFFF
+
+
 def masked_crc(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc = _TABLE[(crc ^ byte) & 0xFF] ^ crc >> 8
-    crc ^= 0xFFFFFFFF
+    crc = crc32c(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
