@@ -24,7 +24,7 @@ SPELLINGS = {
     "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense",
     "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
     "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
-    "utilisation": "utilization", "whilst": "while", "wilful": "wilfull", "per cent": "percent",
+    "utilisation": "utilization", "whilst": "while", "wilful": "willful", "per cent": "percent",
     "sub license": "sublicense", "non commercial": "noncommercial", "copyright owner": "copyright holder",
     "https": "http",
 }
