@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -242,11 +241,12 @@ def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: s
     docs.write.text(path)
 
 
-def _store(root: str):
+def store_of(root: str):
     """The file system of a folder and the folder's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root)
+    # local paths stand as they are, with blanks and percent signs
+    return (fs.LocalFileSystem(), root[7:]) if root.startswith("file:///") else fs.FileSystem.from_uri(root)
 
 
 def _put(store, at: str, chunks: Iterator[bytes]) -> None:
@@ -269,7 +269,7 @@ def write_files(files: DataFrame, root: str) -> None:
     root = qualified(files.sparkSession, root)
 
     def run(batches):
-        store, base = _store(root)
+        store, base = store_of(root)
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
                 _put(store, f"{base}/{name}", iter([content if isinstance(content, bytes) else content.encode()]))
@@ -285,7 +285,7 @@ def write_partitions(rows: DataFrame, root: str, name: str) -> None:
     def run(batches):
         from pyspark import TaskContext
 
-        store, base = _store(root)
+        store, base = store_of(root)
         at = name % TaskContext.get().partitionId()
         some = (content for b in batches for content in b.column("content").to_pylist())
         first = next(some, None)
@@ -294,57 +294,3 @@ def write_partitions(rows: DataFrame, root: str, name: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.string())], ["name"])
 
     rows.select("content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
-
-
-def size_of(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the first bytes of a PNG, JPEG, GIF, BMP or WebP image."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
-    if data[:2] == b"BM":
-        return int.from_bytes(data[18:22], "little", signed=True), abs(int.from_bytes(data[22:26], "little", signed=True))
-    if data[:4] == b"GIF8":
-        return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-        if data[12:16] == b"VP8X":
-            return 1 + int.from_bytes(data[24:27], "little"), 1 + int.from_bytes(data[27:30], "little")
-        if data[12:16] == b"VP8L":
-            bits = int.from_bytes(data[21:25], "little")
-            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
-        return int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 < len(data) and data[at] == 0xFF:
-            kind, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-            at += 2 + length
-    return None
-
-
-#: Bytes of an image that are looked at first; a size that stands further back takes the whole file.
-_HEAD = 1 << 16
-_PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ("png", "jpg", "jpeg", "bmp", "gif", "webp")) + "}"
-
-
-def image_sizes(spark: SparkSession, root: str, without: str = "^images/") -> DataFrame:
-    """Rows (name, width, height) of the image files below ``root``, by path below it. A file without a readable size is an error."""
-    @F.pandas_udf("width long, height long")
-    def probe(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None if x is None else size_of(x)) or (None, None) for x in data], columns=["width", "height"], dtype="Int64")
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _PICTURES).load(root)
-    got = files.select(relative(F.col("path"), root).alias("name"), "content", probe(F.substring("content", 1, _HEAD)).alias("s"))
-    got = got.select("name", "s", probe(F.when(F.col("s.width").isNull(), F.col("content"))).alias("t"))
-    width = F.coalesce("s.width", "t.width")
-    width = require(width.isNotNull(), F.concat(F.lit("no size found in image "), F.col("name")), width)
-    return got.select(F.regexp_replace("name", without, "").alias("name"), width.alias("width"), F.coalesce("s.height", "t.height").alias("height"))
-
-
-def with_sizes(annotations: DataFrame, images: DataFrame | None, spark: SparkSession, root: str | None) -> DataFrame | None:
-    """``images`` with sizes from files below ``root`` where there are any; null sizes are left to the boxes."""
-    names = annotations.select("file_name").distinct() if images is None else images
-    if root is None:
-        return images
-    sizes = image_sizes(spark, root).select(F.col("name").alias("_n"), F.col("width").alias("_w2"), F.col("height").alias("_h2"))
-    joined = names.drop("width", "height").join(sizes, F.col("file_name") == F.col("_n"), "left")
-    return joined.withColumnsRenamed({"_w2": "width", "_h2": "height"}).drop("_n")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.geometry import Box, box, from_xywh, to_normalized, to_pixel
 from tessera.model import AnnotationDataset
 
-from .common import annotations_of, csv_cell, from_raw, lines, number, per_image, per_row, register, require, with_sizes, write_lines
+from .common import annotations_of, basename, csv_cell, from_raw, lines, number, per_image, per_row, register, require, write_lines
+from .pictures import with_sizes
 
 
 def _cells(spark: SparkSession, path: str, names: str, first: str) -> DataFrame:
@@ -104,7 +105,7 @@ class OpenImages:
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         rows = _cells(spark, path, "image source label confidence x1 x2 y1 y2", "imageid").withColumn("file_name", F.when(F.rlike("image", F.lit(r"\.[A-Za-z0-9]+$")), F.col("image")).otherwise(F.concat("image", F.lit(".jpg"))))
         rows = rows.withColumn("confidence", _f("confidence")).withColumn("attributes", F.create_map(F.lit("openimages_source"), F.coalesce("source", F.lit(""))))
-        sizes = with_sizes(rows, None, spark, images)
+        sizes = with_sizes(rows, None, spark, images, guessed=True)
         if sizes is None:
             raise ValueError("boxes are shares of the image: say where the images are")
         sized = rows.join(sizes.select(F.col("file_name").alias("_f"), "width", "height"), F.col("file_name") == F.col("_f"))
@@ -146,7 +147,7 @@ class AutomlVision:
         rows = rows.withColumn("x2", F.coalesce("x2", F.col("p"))).withColumn("y2", F.coalesce("y2", F.col("q")))
         first = rows.groupBy("file_name").agg(F.min_by(F.struct("ml_use", "uri"), "_ord").alias("m"))
         i = first.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.create_map(F.lit("automl_ml_use"), F.coalesce("m.ml_use", F.lit("UNASSIGNED")), F.lit("automl_uri"), F.col("m.uri")).alias("attributes"))
-        sizes = with_sizes(rows, i, spark, images)
+        sizes = with_sizes(rows, i, spark, images, F.when(F.startswith(F.try_element_at("attributes", F.lit("automl_uri")), F.lit("gs://")), basename(F.col("file_name"))))
         if images is None:
             raise ValueError("boxes are shares of the image: say where the images are")
         sized = rows.join(sizes.select(F.col("file_name").alias("_f"), "width", "height"), F.col("file_name") == F.col("_f")).where("x1 is not null")

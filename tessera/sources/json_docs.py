@@ -9,7 +9,8 @@ from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_per
 from tessera.model import INFO, AnnotationDataset, dataset
 from tessera.storage import exists, paths_like
 
-from .common import annotations_of, attribute, basename, carried, from_raw, per_image, prefixed, register, relative, require, shards_for, stem, with_sizes, write_documents, write_lines
+from .common import annotations_of, attribute, basename, carried, from_raw, per_image, prefixed, register, relative, require, shards_for, stem, write_documents, write_lines
+from .pictures import with_sizes
 from .strict import json_documents, json_lines, json_sections
 
 

@@ -17,8 +17,9 @@ from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_xyw
 from tessera.model import AnnotationDataset
 from tessera.storage import exists
 
-from .common import annotations_of, basename, carried, documents, fixed, from_raw, image_sizes, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, with_sizes, write_documents, write_files, write_lines
+from .common import annotations_of, basename, carried, documents, fixed, from_raw, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, write_documents, write_files, write_lines
 from .json_docs import _joined, _obj, _ord, _xywh
+from .pictures import image_sizes, listing, sized, with_sizes
 from .strict import json_documents
 
 _NO_ATTRIBUTES = "map<string,string>"
@@ -228,8 +229,7 @@ class Marmot:
         c = [_from_hex(F.get("crop", F.lit(i))) for i in range(4)]
         rows = rows.select("file_name", "Contents", F.least(c[0], c[2]).alias("cx0"), F.greatest(c[0], c[2]).alias("cx1"), F.least(c[1], c[3]).alias("cy0"), F.greatest(c[1], c[3]).alias("cy1"))
         if images is not None:
-            sizes = image_sizes(spark, images).select(F.col("name").alias("_n"), "width", "height")
-            rows = rows.join(sizes, F.col("file_name") == F.col("_n"), "left").withColumns({"width": F.coalesce("width", F.round(F.col("cx1") - F.col("cx0")).cast("long")), "height": F.coalesce("height", F.round(F.col("cy1") - F.col("cy0")).cast("long"))})
+            rows = with_sizes(rows, rows, spark, images).withColumns({"width": F.coalesce("width", F.round(F.col("cx1") - F.col("cx0")).cast("long")), "height": F.coalesce("height", F.round(F.col("cy1") - F.col("cy0")).cast("long"))})
         else:
             rows = rows.withColumns({"width": F.round(F.col("cx1") - F.col("cx0")).cast("long"), "height": F.round(F.col("cy1") - F.col("cy0")).cast("long")})
         a = rows.select("*", F.posexplode("Contents.Composites").alias("g", "s")).select("*", F.posexplode("s.Composite").alias("k", "x")).withColumn("b", F.split("x._BBox", r"\s+"))
@@ -378,8 +378,9 @@ def _listed_split(spark: SparkSession, base: str, split: str, at: str) -> tuple[
     bare = F.regexp_replace("at", r"\.[^./]*$", "")
     listed = listed.select(F.concat(F.lit(f"{split}/"), tail).alias("file_name"), relative(whole, base).alias("at"))
     listed = listed.select("file_name", "at", F.concat(F.regexp_replace(bare, r"(?i)^(.*/|)images/", "$1labels/"), F.lit(".txt")).alias("apart"), F.concat(bare, F.lit(".txt")).alias("beside"))
-    found = image_sizes(spark, base, "^$").select(F.col("name").alias("at"), "width", "height")
-    sizes = listed.join(found, "at", "left").select("file_name", F.col("file_name").alias("stem"), require(F.col("width").isNotNull(), F.concat(F.lit("a listed image isn't there: "), F.col("at")), F.col("width")).alias("width"), "height")
+    found = listed.join(listing(spark, base).select(F.col("name").alias("at"), F.lit(True).alias("found")), "at", "left")
+    found = found.withColumn("at", require(F.col("found").isNotNull(), F.concat(F.lit("a listed image isn't there: "), F.col("at")), F.col("at")))
+    sizes = sized(found, base, "at").select("file_name", F.col("file_name").alias("stem"), "width", "height")
     rows = _text_rows(spark, base)
     there = rows.select(F.col("rel").alias("apart")).distinct().withColumn("there", F.lit(True))
     places = listed.join(there, "apart", "left").select(F.col("file_name").alias("stem"), F.when(F.col("there"), F.col("apart")).otherwise(F.col("beside")).alias("rel"))
@@ -492,7 +493,7 @@ class Oidv4:
         rows = rows.withColumns({"label": require(F.size("t") == 5, "a line hasn't five fields", F.get("t", F.lit(0))), "_ord": F.struct("file_name", "_ord")})
         a = annotations_of(rows, Box(_num(1), _num(2), _num(3), _num(4)))
         files = documents(spark, root, "*.txt").select(F.concat(F.regexp_replace(relative(F.col("path"), root), r"\.txt$", ""), F.lit(".jpg")).alias("file_name"), F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"))
-        return from_raw(with_sizes(a, files, spark, images), a)
+        return from_raw(with_sizes(a, files, spark, images, guessed=True), a)
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:

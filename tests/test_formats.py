@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera.model import dataset
 from tessera.operators.lossiness import TARGETS
 from tessera.sources import ALIASES, FORMATS, format_named
-from tessera.sources.common import image_sizes, write_files
+from tessera.sources.common import write_files
+from tessera.sources.pictures import image_sizes
 
 IMAGES = [(1, "b one.jpg", 200, 100), (2, "a.png", 64, 48), (3, "c.jpg", 30, 20), (5, "empty.png", 10, 12)]
 BOXES = [(1, 1, 1, 10.0, 20.0, 110.5, 60.25, None), (2, 1, 2, 0.0, 0.0, 200.0, 100.0, 0.5), (3, 2, 1, 1.0, 2.0, 3.0, 4.0, 0.25), (4, 3, 2, 3.0, 3.0, 27.0, 18.0, None), (7, 2, 3, 8.0, 8.0, 32.0, 24.0, None)]
