@@ -1,19 +1,32 @@
-"""TFRecord files of detection examples: framed, checksummed protocol buffers."""
+"""TFRecord files of detection examples: framed, checksummed protocol buffers.
+
+Files are read in byte ranges, several tasks to a large file. A range begins at the first place whose eight
+bytes, as a record's length, fit the checksum after them and the file's size. Such a place may by chance, or by
+design, lie inside a record. So the ranges of a file are held against each other first: each must begin where the
+records before it end. Where one doesn't, the file is read from its start by one task, which also finds what is
+broken. The rows are the same wherever files are cut.
+"""
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import box, to_normalized, to_pixel
 from tessera.model import AnnotationDataset
+from tessera.storage import qualified, stored
+
+from .common import annotations_of, from_raw, per_image, register, require, shards_for, store_of, write_partitions
+from .elements import _named
 
-from .common import annotations_of, from_raw, per_image, register, require, shards_for, write_partitions
+#: Bytes of a range, of a read, and of records whose checksums are computed together.
+SPLIT_BYTES, READ_BYTES, TOGETHER = 64 << 20, 1 << 20, 4 << 20
 
 
 def _crc_table() -> list[int]:
@@ -67,28 +80,98 @@ def crc32c(data: bytes) -> int:
     return int(state[0]) ^ 0xFFFFFFFF
 
 
-def masked_crc(data: bytes) -> int:
-    crc = crc32c(data)
+def crc32c_each(bodies: list[bytes]) -> list[int]:
+    """CRC-32C of each of several records; short ones of like length go through the table side by side."""
+    out = [0] * len(bodies)
+    alike: dict[int, list[int]] = {}
+    for i, body in enumerate(bodies):
+        if 4 <= len(body) < _LANES_FROM:
+            alike.setdefault(len(body).bit_length(), []).append(i)
+        else:
+            out[i] = crc32c(body)
+    for places in alike.values():
+        width = max(len(bodies[i]) for i in places)
+        padded = np.zeros((len(places), width), np.uint8)
+        for row, i in zip(padded, places, strict=True):
+            row[width - len(bodies[i]) :] = np.frombuffer(bodies[i], np.uint8)
+            row[width - len(bodies[i]) :][:4] ^= 0xFF
+        state = np.zeros(len(places), np.uint32)
+        for column in np.ascontiguousarray(padded.T):
+            state = _TABLE_ARRAY[(state ^ column) & 0xFF] ^ state >> 8
+        for i, crc in zip(places, state.tolist(), strict=True):
+            out[i] = crc ^ 0xFFFFFFFF
+    return out
+
+
+def _masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def masked_crc(data: bytes) -> int:
+    return _masked(crc32c(data))
+
+
 def frame(data: bytes) -> bytes:
     head = struct.pack("<Q", len(data))
     return head + struct.pack("<I", masked_crc(head)) + data + struct.pack("<I", masked_crc(data))
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while at < len(data):
-        head = data[at : at + 8]
-        if len(head) < 8 or struct.unpack_from("<I", data, at + 8)[0] != masked_crc(head):
-            raise ValueError(f"broken record length at byte {at}")
-        n = struct.unpack("<Q", head)[0]
-        body = data[at + 12 : at + 12 + n]
-        if len(body) < n or struct.unpack_from("<I", data, at + 12 + n)[0] != masked_crc(body):
-            raise ValueError(f"broken record at byte {at}")
-        yield body
-        at += 16 + n
+def _length(head: bytes) -> int | None:
+    """A record's length from the twelve bytes before it; None if its checksum doesn't fit."""
+    fits = len(head) == 12 and struct.unpack_from("<I", head, 8)[0] == masked_crc(head[:8])
+    return struct.unpack_from("<Q", head)[0] if fits else None
+
+
+def first_record(read, start: int, end: int, size: int) -> int | None:
+    """The first place in a range that looks like the start of a record; ``read(at, n)`` gives bytes of the file, ``size`` is its length."""
+    for base in range(start, end, READ_BYTES):
+        data = np.frombuffer(read(base, min(READ_BYTES, end - base) + 11), np.uint8)
+        n = len(data) - 11
+        if n <= 0:
+            return None
+        state = np.full(n, 0xFFFFFFFF, np.uint32)
+        for k in range(8):
+            state = _TABLE_ARRAY[(state ^ data[k : k + n]) & 0xFF] ^ state >> 8
+        crc = ~state
+        said = sum(data[8 + k : 8 + k + n].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
+        for at in np.flatnonzero((crc >> 15 | crc << 17) + np.uint32(0xA282EAD8) == said).tolist():
+            if base + at + 16 + int.from_bytes(data[at : at + 8].tobytes(), "little") <= size:
+                return base + at
+    return None
+
+
+def records(f, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """Rows (place, body) of the records that begin in a range, the first at its start, with their checksums held against them."""
+    f.seek(start)
+    stream = io.BufferedReader(f, READ_BYTES)
+
+    def checked() -> Iterator[tuple[int, bytes]]:
+        crcs = crc32c_each([body for _, body, _ in held])
+        for (at, body, said), crc in zip(held, crcs, strict=True):
+            if _masked(crc) != said:
+                raise ValueError(f"broken record at byte {at}")
+            yield at, body
+
+    at, held, weight = start, [], 0
+    while at < end:
+        n = _length(stream.read(12))
+        if n is None or at + 16 + n > size:
+            yield from checked()
+            raise ValueError(f"broken record length at byte {at}" if n is None else f"broken record at byte {at}")
+        held.append((at, stream.read(n), int.from_bytes(stream.read(4), "little")))
+        at, weight = at + 16 + n, weight + n
+        if weight > TOGETHER:
+            yield from checked()
+            held, weight = [], 0
+    yield from checked()
+
+
+def _opened(root: str, path: str):
+    """A file at or below a folder, by their addresses."""
+    store, base = store_of(root)
+    if not path.startswith(root):
+        store, base, root = *store_of(path), path
+    return store.open_input_file(base + path[len(root) :])
 
 
 def _varint(n: int) -> bytes:
@@ -177,25 +260,80 @@ _EDGES = ("xmin", "ymin", "xmax", "ymax")
 _ROW = "path string, at long, file_name string, width long, height long, texts array<string>, labels array<long>, xmin array<double>, ymin array<double>, xmax array<double>, ymax array<double>"
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-            for at, body in enumerate(frames(content)):
-                f = decode_example(body)
-                name = (f.get("image/filename") or f.get("image/source_id") or [b""])[0].decode()
-                one = {
-                    "path": path, "at": at, "file_name": name, "width": (f.get("image/width") or [0])[0], "height": (f.get("image/height") or [0])[0],
-                    "texts": [t.decode() for t in f.get("image/object/class/text", [])], "labels": f.get("image/object/class/label", []), **{e: f.get(f"image/object/bbox/{e}", []) for e in _EDGES},
-                }
-                yield pa.RecordBatch.from_pylist([one], pa.schema([("path", pa.string()), ("at", pa.int64()), ("file_name", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("texts", pa.list_(pa.string())), ("labels", pa.list_(pa.int64())), *[(e, pa.list_(pa.float64())) for e in _EDGES]]))
+_SCHEMA = pa.schema([("path", pa.string()), ("at", pa.int64()), ("file_name", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("texts", pa.list_(pa.string())), ("labels", pa.list_(pa.int64())), *[(e, pa.list_(pa.float64())) for e in _EDGES]])
+#: Examples of a batch.
+_BATCH = 512
+
+
+def ranges(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
+    """Rows (path, start, end, size): ranges of the files at or below ``path``, each beginning with a record."""
+    root = qualified(spark, path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    listed = listed.select(_named(F.col("path")).alias("path"), F.col("length").alias("size"))
+    tasks = max(1, -(-(listed.agg(F.sum("size")).first()[0] or 0) // split_bytes))
+    whole = listed.select("path", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"), "size")
+    cut = listed.where(F.col("size") > split_bytes).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "size")
+    cut = cut.withColumn("end", F.least(F.col("start") + split_bytes, "size"))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first record of each range and the end of its last one, by lengths alone; -1 where one is broken."""
+        for b in batches:
+            firsts, nexts = [], []
+            for r in b.to_pylist():
+                with _opened(root, r["path"]) as f:
+                    first = 0 if r["start"] == 0 else first_record(lambda at, n: f.read_at(n, at), r["start"], r["end"], r["size"])  # noqa: B023
+                    at = first
+                    if first is not None:
+                        f.seek(first)
+                        stream = io.BufferedReader(f, READ_BYTES)
+                        while 0 <= at < r["end"]:
+                            n = _length(stream.read(12))
+                            at = -1 if n is None or at + 16 + n > r["size"] else at + 16 + n
+                            if at >= 0:
+                                stream.seek(n + 4, io.SEEK_CUR)
+                    firsts.append(first), nexts.append(at)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("path", "start", "end", "size")], pa.array(firsts, pa.int64()), pa.array(nexts, pa.int64())], ["path", "start", "end", "size", "first", "next"])
+
+    if not cut.isEmpty():
+        found = stored(cut.repartition(tasks, "path", "start").mapInArrow(bounds, "path string, start long, end long, size long, first long, next long"))
+        before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        due = F.coalesce(F.last("next", ignorenulls=True).over(before), F.lit(0).cast("long"))
+        fits = F.when(F.col("first").isNull(), due >= F.col("end")).otherwise((F.col("first") == due) & (F.col("next") >= 0))
+        found = found.withColumn("fits", fits).withColumn("sure", F.min("fits").over(Window.partitionBy("path")))
+        apart = found.where("sure and first is not null").select("path", F.col("first").alias("start"), "end", "size")
+        unsure = found.where("not sure and start = 0").select("path", "start", F.col("size").alias("end"), "size")
+        whole = whole.where(F.col("size") <= split_bytes).unionByName(apart).unionByName(unsure)
+    # reading and decoding take the time, not these rows: a number of tasks by bytes, which no re-planning merges
+    return whole.repartition(tasks, "path", "start")
+
+
+def _examples(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                rows = []
+                with _opened(root, r["path"]) as f:
+                    for at, body in records(f, r["start"], r["end"], r["size"]):
+                        example = decode_example(body)
+                        name = (example.get("image/filename") or example.get("image/source_id") or [b""])[0].decode()
+                        rows.append({
+                            "path": r["path"], "at": at, "file_name": name, "width": (example.get("image/width") or [0])[0], "height": (example.get("image/height") or [0])[0],
+                            "texts": [t.decode() for t in example.get("image/object/class/text", [])], "labels": example.get("image/object/class/label", []), **{e: example.get(f"image/object/bbox/{e}", []) for e in _EDGES},
+                        })
+                        if len(rows) == _BATCH:
+                            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+    return run
 
 
 @register("tfrecord", "framed examples, boxes as 32-bit shares")
 class TfRecord:
     @staticmethod
-    def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-        rows = files.mapInArrow(_examples, _ROW)
+    def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> AnnotationDataset:
+        rows = ranges(spark, path, split_bytes).mapInArrow(_examples(qualified(spark, path)), _ROW)
         n = F.size("xmin")
         same = (F.size("xmax") == n) & (F.size("ymin") == n) & (F.size("ymax") == n) & ((F.size("texts") == n) | (F.size("labels") == n))
         rows = rows.withColumn("file_name", require(same & (F.col("width") > 0) & (F.col("height") > 0), "an example's lists differ in length or its size is missing", F.col("file_name")))
