@@ -257,10 +257,49 @@ def decode_example(data: bytes) -> dict[str, list]:
 
 
 _EDGES = ("xmin", "ymin", "xmax", "ymax")
-_ROW = "path string, at long, file_name string, width long, height long, texts array<string>, labels array<long>, xmin array<double>, ymin array<double>, xmax array<double>, ymax array<double>"
+#: Attributes of images and of objects, with the features they are carried in; objects' are floats or whole numbers.
+_OF_IMAGE = {"tfrecord_source_id": "image/source_id", "tfrecord_key_sha256": "image/key/sha256", "tfrecord_format": "image/format"}
+_HAD_PICTURE = ("tfrecord_had_encoded_image", "image/encoded")
+_CLASS_LABEL = ("tfrecord_class_label", "image/object/class/label")
+_FLOATS = {"area": "image/object/area", "tfrecord_weight": "image/object/weight"}
+_WHOLES = {"iscrowd": "image/object/is_crowd", "difficult": "image/object/difficult", "tfrecord_group_of": "image/object/group_of"}
+_OTHERS = ("tfrecord_unsupported_feature_count", "tfrecord_unsupported_feature_keys")
+#: All features that are read.
+_KNOWN = {"image/filename", "image/width", "image/height", "image/object/class/text", *_OF_IMAGE.values(), _HAD_PICTURE[1], _CLASS_LABEL[1], *_FLOATS.values(), *_WHOLES.values(), *(f"image/object/bbox/{e}" for e in _EDGES)}
+_MAP = pa.map_(pa.string(), pa.string())
+_SCHEMA = pa.schema([
+    ("path", pa.string()), ("at", pa.int64()), ("file_name", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("texts", pa.list_(pa.string())), ("labels", pa.list_(pa.int64())),
+    *[(e, pa.list_(pa.float64())) for e in _EDGES], ("attributes", _MAP), ("own", pa.list_(_MAP)), ("others", pa.list_(pa.string())),
+])
+_ROW = (
+    "path string, at long, file_name string, width long, height long, texts array<string>, labels array<long>, "
+    "xmin array<double>, ymin array<double>, xmax array<double>, ymax array<double>, attributes map<string,string>, own array<map<string,string>>, others array<string>"
+)
+
+
+def _single(x: float) -> str:
+    """The shortest text of a 32-bit float, without an exponent."""
+    return np.format_float_positional(np.float32(x), unique=True, trim="-")
+
+
+def _row(path: str, at: int, example: dict[str, list]) -> dict:
+    """An example as a row; lists of attributes may be shorter than the boxes."""
+    boxes = {e: example.get(f"image/object/bbox/{e}", []) for e in _EDGES}
+    n = max(map(len, boxes.values()))
+    labels = example.get(_CLASS_LABEL[1], [])
+    own: list[list[tuple[str, str]]] = [[] for _ in range(n)]
+    for key, values, text in [(_CLASS_LABEL[0], labels, str), *((k, example.get(f, []), _single) for k, f in _FLOATS.items()), *((k, example.get(f, []), str) for k, f in _WHOLES.items())]:
+        for entries, value in zip(own, values, strict=False):
+            entries.append((key, text(value)))
+    attributes = [(k, example[f][0].decode()) for k, f in _OF_IMAGE.items() if example.get(f)]
+    if example.get(_HAD_PICTURE[1]):
+        attributes.append((_HAD_PICTURE[0], "true"))
+    return {
+        "path": path, "at": at, "file_name": (example.get("image/filename") or [b""])[0].decode(), "width": (example.get("image/width") or [0])[0], "height": (example.get("image/height") or [0])[0],
+        "texts": [t.decode() for t in example.get("image/object/class/text", [])], "labels": labels, **boxes, "attributes": attributes, "own": own, "others": sorted(example.keys() - _KNOWN),
+    }
 
 
-_SCHEMA = pa.schema([("path", pa.string()), ("at", pa.int64()), ("file_name", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("texts", pa.list_(pa.string())), ("labels", pa.list_(pa.int64())), *[(e, pa.list_(pa.float64())) for e in _EDGES]])
 #: Examples of a batch.
 _BATCH = 512
 
@@ -314,12 +353,7 @@ def _examples(root: str):
                 rows = []
                 with _opened(root, r["path"]) as f:
                     for at, body in records(f, r["start"], r["end"], r["size"]):
-                        example = decode_example(body)
-                        name = (example.get("image/filename") or example.get("image/source_id") or [b""])[0].decode()
-                        rows.append({
-                            "path": r["path"], "at": at, "file_name": name, "width": (example.get("image/width") or [0])[0], "height": (example.get("image/height") or [0])[0],
-                            "texts": [t.decode() for t in example.get("image/object/class/text", [])], "labels": example.get("image/object/class/label", []), **{e: example.get(f"image/object/bbox/{e}", []) for e in _EDGES},
-                        })
+                        rows.append(_row(r["path"], at, decode_example(body)))
                         if len(rows) == _BATCH:
                             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
                             rows = []
@@ -333,30 +367,49 @@ def _examples(root: str):
 class TfRecord:
     @staticmethod
     def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> AnnotationDataset:
+        """Of examples of one image each attribute's first value counts; sizes that differ are an error, as is an example without a name."""
         rows = ranges(spark, path, split_bytes).mapInArrow(_examples(qualified(spark, path)), _ROW)
         n = F.size("xmin")
-        same = (F.size("xmax") == n) & (F.size("ymin") == n) & (F.size("ymax") == n) & ((F.size("texts") == n) | (F.size("labels") == n))
-        rows = rows.withColumn("file_name", require(same & (F.col("width") > 0) & (F.col("height") > 0), "an example's lists differ in length or its size is missing", F.col("file_name")))
-        name = F.coalesce(F.get("texts", F.col("k")), F.concat(F.lit("class_"), F.get("labels", F.col("k")).cast("string")))
-        a = rows.select("*", F.posexplode("xmin").alias("k", "x0")).select("file_name", "width", "height", name.alias("label"), F.col("x0").alias("xmin"), *[F.get(e, F.col("k")).alias(e) for e in _EDGES[1:]], F.struct("file_name", "path", "at", "k").alias("_ord"))
-        return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, to_pixel(box(), F.col("width"), F.col("height"))))
+        same = (F.size("xmax") == n) & (F.size("ymin") == n) & (F.size("ymax") == n) & ((F.size("texts") == n) | ((F.size("texts") == 0) & (F.size("labels") == n)))
+        fine = require(same & (F.col("width") > 0) & (F.col("height") > 0), "an example's lists differ in length or its size is missing", F.col("file_name"))
+        # decoding is most of the work: once, for images, labels and boxes
+        rows = stored(rows.withColumn("file_name", require(F.col("file_name") != "", "an example has no file name", fine)))
+        first = lambda k: F.min_by(F.col("attributes")[k], F.when(F.col("attributes")[k].isNotNull(), F.struct("path", "at"))).alias(k)
+        keys = [*_OF_IMAGE, _HAD_PICTURE[0]]
+        images = rows.groupBy("file_name").agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in ("width", "height")], *map(first, keys))
+        alike = (F.col("width.a") == F.col("width.b")) & (F.col("height.a") == F.col("height.b"))
+        width = require(alike, F.concat(F.lit("examples differ in the size of image "), F.col("file_name")), F.col("width.a"))
+        kept = F.map_filter(F.create_map(*[x for k in keys for x in (F.lit(k), F.col(k))]), lambda k, v: v.isNotNull())
+        images = images.select("file_name", width.alias("width"), F.col("height.a").alias("height"), kept.alias("attributes"))
+        name = F.coalesce(F.get("texts", F.col("k")), F.get("labels", F.col("k")).cast("string"))
+        a = rows.select("*", F.posexplode("xmin").alias("k", "x0")).select("file_name", "width", "height", name.alias("label"), F.col("x0").alias("xmin"), *[F.get(e, F.col("k")).alias(e) for e in _EDGES[1:]], F.get("own", F.col("k")).alias("attributes"), F.struct("file_name", "path", "at", "k").alias("_ord"))
+        # feature names are a schema's, not data's: few
+        others = sorted(r["k"] for r in rows.select(F.explode("others").alias("k")).distinct().collect())
+        info = {"attributes": dict(zip(_OTHERS, (str(len(others)), ",".join(others)), strict=True))} if others else None
+        return from_raw(images, annotations_of(a, to_pixel(box(), F.col("width"), F.col("height"))), info=info)
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
+        """Attributes of objects are written where all objects of an image have them as numbers."""
         n = to_normalized(box(), F.col("width").cast("double"), F.col("height").cast("double"))
-        i: DataFrame = per_image(ds, F.struct("label", F.col("category_id").alias("c"), *n.named()))
+        whole = lambda k: F.expr(f"try_cast(attributes['{k}'] as bigint)").alias(k)
+        real = lambda k: F.expr(f"try_cast(attributes['{k}'] as float)").alias(k)
+        i: DataFrame = per_image(ds, F.struct("label", F.coalesce(whole(_CLASS_LABEL[0]), F.col("category_id")).alias("c"), *n.named(), *map(whole, _WHOLES), *map(real, _FLOATS)))
         i = i.withColumn("file_name", require((F.col("width") > 0) & (F.col("height") > 0), "an image has no size", F.col("file_name")))
+        i = i.withColumns({k: F.col("attributes")[k] for k in _OF_IMAGE})
 
         def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
                 for r in b.to_pylist():
                     items = r["items"] or []
-                    f = {"image/filename": [r["file_name"].encode()], "image/source_id": [str(r["id"]).encode()], "image/width": [r["width"]], "image/height": [r["height"]]}
-                    f |= {"image/object/class/text": [x["label"].encode() for x in items], "image/object/class/label": [x["c"] for x in items]}
+                    f = {"image/filename": [r["file_name"].encode()], "image/width": [r["width"]], "image/height": [r["height"]]}
+                    f |= {feature: [r[k].encode()] for k, feature in _OF_IMAGE.items() if r[k] is not None}
+                    f |= {"image/object/class/text": [x["label"].encode() for x in items], _CLASS_LABEL[1]: [x["c"] for x in items]}
                     f |= {f"image/object/bbox/{e}": [float(x[e]) for x in items] for e in _EDGES}
+                    f |= {feature: [x[k] for x in items] for k, feature in (_WHOLES | _FLOATS).items() if items and all(x[k] is not None for x in items)}
                     out.append(frame(encode_example(f)))
                 yield pa.RecordBatch.from_arrays([b.column("file_name"), pa.array(out, pa.binary())], ["file_name", "content"])
 
-        dealt = i.select("id", "file_name", "width", "height", "items").repartition(shards or shards_for(ds), "file_name").sortWithinPartitions("file_name", "id")
+        dealt = i.select("id", "file_name", "width", "height", "items", *_OF_IMAGE).repartition(shards or shards_for(ds), "file_name").sortWithinPartitions("file_name", "id")
         write_partitions(dealt.mapInArrow(examples, "file_name string, content binary"), path, "data-%05d.tfrecord")

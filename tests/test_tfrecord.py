@@ -61,6 +61,32 @@ def test_broken_files(spark, tmp_path, at, what, split):
         tfrecord.ranges(spark, str(tmp_path), split).mapInArrow(tfrecord._examples(tfrecord.qualified(spark, str(tmp_path))), tfrecord._ROW).collect()
 
 
+def test_attributes_both_ways(spark, tmp_path):
+    boxes = {f"image/object/bbox/{e}": [v, v] for e, v in zip(("xmin", "ymin", "xmax", "ymax"), (0.0, 0.25, 0.5, 1.0), strict=True)}
+    size = {"image/width": [100], "image/height": [80]}
+    more = {"image/object/area": [12.5, 0.1], "image/object/is_crowd": [0, 1], "image/object/weight": [100.0], "image/object/class/label": [7, 8], "image/zoo": [1], "other": [b"x"]}
+    first = {"image/filename": [b"a.png"], "image/source_id": [b"s1"], **size, **boxes, **more, "image/encoded": [b"\x89PNG"]}
+    again = {"image/filename": [b"a.png"], "image/source_id": [b"s2"], "image/format": [b"png"], **size}
+    root = tmp_path / "in"
+    root.mkdir()
+    write(root / "a.tfrecord", [tfrecord.encode_example(x) for x in (first, again)])
+    ds = FORMATS["tfrecord"].read(spark, str(root))
+    assert [dict(r.attributes) for r in ds.images.collect()] == [{"tfrecord_source_id": "s1", "tfrecord_format": "png", "tfrecord_had_encoded_image": "true"}]
+    own = [dict(r.attributes) for r in ds.annotations.orderBy("id").collect()]
+    assert own == [{"tfrecord_class_label": "7", "area": "12.5", "iscrowd": "0", "tfrecord_weight": "100"}, {"tfrecord_class_label": "8", "area": "0.1", "iscrowd": "1"}]
+    assert sorted(r.name for r in ds.categories.collect()) == ["7", "8"]
+    assert ds.info["attributes"] == {"tfrecord_unsupported_feature_count": "2", "tfrecord_unsupported_feature_keys": "image/zoo,other"}
+    FORMATS["tfrecord"].write(ds, str(tmp_path / "out"))
+    back = FORMATS["tfrecord"].read(spark, str(tmp_path / "out"))
+    assert [dict(r.attributes) for r in back.images.collect()] == [{"tfrecord_source_id": "s1", "tfrecord_format": "png"}]
+    # the weight of one box of two isn't written
+    assert [dict(r.attributes) for r in back.annotations.orderBy("id").collect()] == [{k: v for k, v in x.items() if k != "tfrecord_weight"} for x in own]
+    for bad, what in ((again | {"image/width": [9]}, "differ in the size of image a.png"), (size, "no file name")):
+        write(root / "b.tfrecord", [tfrecord.encode_example(bad)])
+        with pytest.raises(Exception, match=what):
+            FORMATS["tfrecord"].read(spark, str(root)).images.collect()
+
+
 def test_first_record_in_a_range():
     data = random.Random(1).randbytes(5_000) + tfrecord.frame(b"x" * 100) + struct.pack("<Q", 1 << 40) * 3
     read = lambda at, n: data[at : at + n]
