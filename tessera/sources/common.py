@@ -176,10 +176,16 @@ def _getter(name: str):
 
 
 def number(c: Column) -> Column:
-    """A number as short text: whole ones without a fraction, no exponents."""
+    """A number as text that gives it back: whole ones without a fraction, no exponents. Infinite ones are an error."""
     c = c.cast("double")
     plain = (F.abs(c) < 1e7) & (F.abs(c) >= 1e-3)
-    return F.when(F.isnan(c), "NaN").when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).when(plain, c.cast("string")).otherwise(F.regexp_replace(c.cast("decimal(38,18)").cast("string"), "0+$", ""))
+    text = require(c.isNull() | (F.abs(c) < float("inf")), "a number isn't finite", c.cast("string"))
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
+    sign, lead, rest, power = part("^(-?)"), part(r"^-?([0-9])"), F.rtrim(part(r"\.([0-9]*)E"), F.lit("0")), part(r"E(-?[0-9]+)$").cast("int")
+    large = F.concat(lead, F.rpad(F.substr(rest, F.lit(1), power), power, F.lit("0")), F.when(F.length(rest) > power, F.concat(F.lit("."), F.substr(rest, power + 1))).otherwise(""))
+    tiny = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), lead, rest)
+    spelt = F.concat(sign, F.when(power > 0, large).otherwise(tiny))
+    return F.when(F.isnan(c), "NaN").when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).when(plain, text).otherwise(spelt)
 
 
 def fixed(c: Column, digits: int) -> Column:
