@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box, iou, near
-from tessera.model import AnnotationDataset, latest
+from tessera.model import AnnotationDataset, latest, numbered
+from tessera.operators import crowded
+from tessera.storage import stored
 
+#: Pairs of boxes of one image and category that are held in one row; beyond, a grid finds the pairs.
+ROW_PAIRS = 1_000_000
 _FIELDS = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -56,13 +60,29 @@ def by_overlap(a: AnnotationDataset, b: AnnotationDataset, threshold: float = 0.
     """Rows (file_name, category, shared, only_in_a, only_in_b): boxes matched greedily in a's order by intersection over union.
 
     Each box of a takes the free box of b with the greatest overlap, the first of equals, if it
-    reaches the threshold. A group is one image and category, so its arrays stay short.
+    reaches the threshold. A group is one image and category: its boxes stand in arrays of one row,
+    but for groups of more than ``ROW_PAIRS`` pairs, whose rows are the same by ``crowded``. There,
+    boxes that aren't finite match nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies within 0 (excluded) and 1")
 
-    def boxes(ds: AnnotationDataset, name: str) -> DataFrame:
-        return _named(ds).groupBy("file_name", "category").agg(F.array_sort(F.collect_list(F.struct("_ord", *_FIELDS))).alias(name))
+    keys = ["file_name", "category"]
+    rows_a, rows_b = _named(a), _named(b)
+    many = stored(rows_a.groupBy(*keys).agg(F.count("*").alias("n_a")).join(rows_b.groupBy(*keys).agg(F.count("*").alias("n_b")), keys).where(F.col("n_a").cast("double") * F.col("n_b") > ROW_PAIRS))
+    if many.isEmpty():
+        return _in_rows(rows_a, rows_b, threshold)
+    names = many.select(*keys)
+    hot = [numbered(rows.join(names, keys, "left_semi"), *keys, "_ord", name="n").select(*keys, "n", *_FIELDS) for rows in (rows_a, rows_b)]
+    found = many.join(crowded.matched(crowded.pairs(*hot, keys, threshold), keys), keys, "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long"))
+    return _in_rows(rows_a.join(names, keys, "left_anti"), rows_b.join(names, keys, "left_anti"), threshold).unionByName(found.select(*keys, "shared", *[(F.col(f"n_{x}") - F.col("shared")).alias(f"only_in_{x}") for x in "ab"]))
+
+
+def _in_rows(rows_a: DataFrame, rows_b: DataFrame, threshold: float) -> DataFrame:
+    """``by_overlap`` with each group's boxes in two arrays of one row."""
+
+    def boxes(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("file_name", "category").agg(F.array_sort(F.collect_list(F.struct("_ord", *_FIELDS))).alias(name))
 
     def of(row) -> Box:
         return Box(*[row[f] for f in _FIELDS])
@@ -72,7 +92,7 @@ def by_overlap(a: AnnotationDataset, b: AnnotationDataset, threshold: float = 0.
         scored = F.transform("b", lambda y, i: F.struct(F.when(F.get(free, i), iou(of(x), of(y))).otherwise(-1.0).alias("s"), (-i).alias("i")))
         return F.aggregate(F.array(F.array_max(scored)), free, lambda was, best: F.when(best["s"] >= threshold, F.transform(was, lambda f, i: f & (i != -best["i"]))).otherwise(was))
 
-    joined = boxes(a, "a").join(boxes(b, "b"), ["file_name", "category"], "full_outer")
+    joined = boxes(rows_a, "a").join(boxes(rows_b, "b"), ["file_name", "category"], "full_outer")
     free = F.aggregate("a", F.transform("b", lambda y: F.lit(True)), take)
     matched = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.size(F.filter(free, lambda f: ~f))).otherwise(0).cast("long")
     sized = joined.select("file_name", "category", matched.alias("shared"), F.when(F.col("a").isNull(), 0).otherwise(F.size("a")).cast("long").alias("n_a"), F.when(F.col("b").isNull(), 0).otherwise(F.size("b")).cast("long").alias("n_b"))
