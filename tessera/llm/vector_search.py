@@ -159,10 +159,12 @@ def _scan(ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.nda
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, every: int, k: int = 20) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest of each row whose id is divisible by ``every``.
 
-    All rows but the query's own id are candidates. Queries are met in passes of
-    ``PASS_QUERIES``, a bounded array sent to the tasks; each pass reads the codes once and keeps
-    at most ``k`` rows for each query and task. Null, zero and non-finite vectors and those of
-    another length take no part; an empty table gives no rows; an id repeated with other vectors keeps its best. Ties go to the smaller id.
+    All rows but the query's own id are candidates. Queries are met in passes of about
+    ``PASS_QUERIES``: one pass's queries are broadcast, it reads the codes once, keeps at most
+    ``k`` rows for each query and task, and stores each query's ``k`` best before the next pass
+    begins. So the driver holds one pass's queries at a time, however many there are. Null, zero and
+    non-finite vectors and those of another length take no part; an empty table gives no rows; an id
+    repeated with other vectors keeps its best. Ties go to the smaller id.
     """
     spark: SparkSession = vectors.sparkSession
     clean = usable(vectors, id_col, vec_col)
@@ -170,16 +172,34 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, every: int, k: int =
     asked = codes.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
     n = asked.count()
     passes = max(1, -(-n // PASS_QUERIES))
+    by_pass = asked.withColumn("p", F.pmod(F.xxhash64("vec_id"), F.lit(passes)))
+    if passes > 1:
+        by_pass = stored(by_pass.repartition(passes, "p"))
     found = None
     for p in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).toArrow()
-        if not part.num_rows:
-            continue
-        scan = _scan(np.asarray(part.column("vec_id").combine_chunks()), _matrix(part.column("v")), centre, rotation(len(centre)), k)
-        got = codes.mapInArrow(scan, "query_id long, vec_id long, score double")
-        found = got if found is None else found.union(got)
+        got = _pass(codes, by_pass.where(F.col("p") == p).select("vec_id", "v"), centre, k)
+        if got is not None:
+            found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.sql("select 0L query_id, 0 rank, 0L vec_id, 0D score where false")
+    return found
+
+
+def _pass(codes: DataFrame, asked: DataFrame, centre: np.ndarray, k: int) -> DataFrame | None:
+    """The ``k`` nearest of one pass's queries, stored; None where the pass has none."""
+    part = asked.toArrow()
+    if not part.num_rows:
+        return None
+    sent = codes.sparkSession.sparkContext.broadcast((np.asarray(part.column("vec_id").combine_chunks()), _matrix(part.column("v"))))
+    del part
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _scan(*sent.value, centre, rotation(len(centre)), k)(batches)
+
+    found = codes.mapInArrow(scan, "query_id long, vec_id long, score double")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     lists = one.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k).alias("top"))
-    return lists.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.i").alias("vec_id"), (-F.col("t.s")).alias("score"))
+    out = lists.select("query_id", F.posexplode("top").alias("at", "t")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.i").alias("vec_id"), (-F.col("t.s")).alias("score"))
+    out = stored(out)
+    sent.destroy()
+    return out

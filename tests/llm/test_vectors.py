@@ -78,3 +78,16 @@ def test_recall_on_whole_tables(spark, sf):
         top = ids[np.lexsort((ids, -s))[:20]]
         hits += len({i for _, i in found[q]} & set(top.tolist()))
     assert set(found) == {i for i in ids.tolist() if i % 20 == 0} and hits >= 0.9 * 20 * len(found)
+
+
+def test_many_passes(spark, monkeypatch):
+    """The rows don't depend on how many passes the queries are met in; each pass is broadcast alone."""
+    v = np.random.default_rng(7).standard_normal((400, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    once = sorted(map(tuple, vector_search.nearest(df, "vec_id", "embedding", 4).collect()))
+    sizes, was = [], vector_search._pass
+    monkeypatch.setattr(vector_search, "PASS_QUERIES", 10)
+    monkeypatch.setattr(vector_search, "_pass", lambda codes, asked, centre, k: (sizes.append(asked.count()), was(codes, asked, centre, k))[1])
+    again = sorted(map(tuple, vector_search.nearest(df, "vec_id", "embedding", 4).collect()))
+    assert len(sizes) == 10 and sum(sizes) == 100 and max(sizes) < 30
+    assert [r[:2] for r in again] == [r[:2] for r in once] and len(set(again) & set(once)) >= 0.95 * len(once)
