@@ -6,6 +6,10 @@ reveals it: the pointwise mutual information of the two as a share of the entity
 and the share of the term's documents that hold the entity (its disclosure). Terms beyond both
 thresholds are marked wherever they stand in the documents that hold the entity, and sanitising
 generalises or removes them with the entities.
+
+Copies and near copies are no evidence: a term needs the entity in two contexts, the terms around it,
+that differ. Two kinds of terms reveal an entity of a single context too, where the corpus has them
+hardly anywhere else: names beside it, and words that an e-mail address spells.
 """
 
 from __future__ import annotations
@@ -31,12 +35,16 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[a-z]+")
 _TERM = re.compile(r"[^\W\d_][\w'-]*[\w]", re.UNICODE)
 
 #: A term reveals an entity if it gives this share of the information that naming the entity would give, and if
 #: this share of its documents hold the entity. The latter counts one document more without the entity, so that
-#: a term and an entity that met once, by chance or not, stay at a half: an entity of one document marks no terms.
+#: a term and an entity that met once by chance stay at a half, but for names beside the entity and words it spells.
 INFORMATION, DISCLOSURE = 0.75, 0.6
+#: Terms on each side of an entity that are its context, those of them in which names stand beside it, and the
+#: fewest letters of a word that an address spells.
+CONTEXT, BESIDE, SPELT = 12, 6, 3
 #: Distinct words that a task counts before it passes the counts on.
 COUNTED = 300_000
 
@@ -93,8 +101,8 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _terms(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]:
-    """The terms of a text outside the spans, in lower case, with the [start, end, ...] of every occurrence."""
+def _outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the terms of a text outside the spans, in order."""
     starts: list[int] = []
     ends: list[int] = []
     for a, b in sorted((a, b) for _, a, b in spans):
@@ -102,17 +110,59 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]
             ends[-1] = max(ends[-1], b)
         else:
             starts.append(a), ends.append(b)
-    found: dict[str, list[int]] = {}
+    out = []
     for m in _TERM.finditer(text):
         i = bisect_left(starts, m.end()) - 1
         if i < 0 or ends[i] <= m.start():
-            found.setdefault(m[0].lower(), []).extend(m.span())
+            out.append(m.span())
+    return out
+
+
+def _terms(text: str, places: list[tuple[int, int]]) -> dict[str, list[int]]:
+    """The terms at the places, in lower case, with the [start, end, ...] of every occurrence."""
+    found: dict[str, list[int]] = {}
+    for a, b in places:
+        found.setdefault(text[a:b].lower(), []).extend((a, b))
     return found
 
 
+def _titled(text: str, a: int, b: int) -> bool:
+    return text[a].isupper() and not text[a:b].isupper()
+
+
+def _is_name(text: str, places: list[tuple[int, int]], i: int) -> bool:
+    """A term written as a name: with a capital that no sentence's start gives it, or before another such term."""
+    a, b = places[i]
+    if not _titled(text, a, b):
+        return False
+    before = a - 1
+    while before >= 0 and text[before] in " \t\"'(":
+        before -= 1
+    if before >= 0 and text[before] not in ".!?\r\n":
+        return True
+    return i + 1 < len(places) and places[i + 1][0] == b + 1 and text[b] == " " and _titled(text, *places[i + 1])
+
+
+def _held(text: str, spans: list[tuple[str, int, int]], places: list[tuple[int, int]], terms: dict[str, list[int]]) -> list[dict]:
+    """The entities of a text by name: the digest of the first one's context, and the terms that it needs no second context for."""
+    starts = [a for a, _ in places]
+    out: dict[str, dict] = {}
+    for kind, a, b in spans:
+        at = bisect_left(starts, a)
+        if (name := _name(kind, text[a:b])) not in out:
+            around = " ".join(text[x:y].lower() for x, y in places[max(0, at - CONTEXT) : at + CONTEXT])
+            out[name] = {"entity": name, "context": hashlib.blake2b(around.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), "named": set()}
+        named = out[name]["named"]
+        named.update(text[slice(*places[i])].lower() for i in range(max(0, at - BESIDE), min(len(places), at + BESIDE)) if _is_name(text, places, i))
+        if kind == "email":
+            named.update(w for w in _LETTERS.findall(text[a:b].split("@")[0].lower()) if len(w) >= SPELT and w in terms)
+    return [e | {"named": sorted(e["named"])} for _, e in sorted(out.items())]
+
+
 _TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+_ENTITIES = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.StringType()), T.StructField("named", T.ArrayType(T.StringType()))]))
 _FOUND = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("base", T.StringType()), T.StructField("entities", T.ArrayType(T.StringType())), T.StructField("terms", _TERMS), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("base", T.StringType()), T.StructField("entities", _ENTITIES), T.StructField("terms", _TERMS), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
 )
 
 
@@ -137,9 +187,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             base.append(_joined(spans))
             if spans:
-                terms = _terms(text, spans)
+                places = _outside(text, spans)
+                terms = _terms(text, places)
                 seen.update(terms.keys())
-                entities.append(sorted({_name(kind, text[x:y]) for kind, x, y in spans}))
+                entities.append(_held(text, spans, places, terms))
                 held.append([{"term": t, "at": at} for t, at in terms.items()])
             else:
                 seen.update({t.lower() for t in set(_TERM.findall(text))})
@@ -156,29 +207,33 @@ def reveal(found: DataFrame) -> DataFrame:
     """Rows (entity, term) beyond the thresholds, from ``_find``'s rows."""
     docs = found.where("part is not null")
     total = docs.count()
-    each = docs.where("entities is not null").select(F.explode("entities").alias("entity"), F.col("terms.term").alias("terms"))
-    # a term meets an entity in no more documents than hold the entity
-    holds = stored(each.groupBy("entity").agg(F.count("*").alias("entity_docs")).where(F.col("entity_docs") / (F.col("entity_docs") + 1) >= DISCLOSURE))
-    pairs = each.join(small(holds.select("entity")), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    strong = together.where(F.col("both") / (F.col("both") + 1) >= DISCLOSURE).join(holds, "entity")
+    each = docs.where("entities is not null").select(F.inline("entities"), F.col("terms.term").alias("terms"))
+    holds = stored(each.groupBy("entity").agg(F.count("*").alias("entity_docs"), (F.min("context") < F.max("context")).alias("differ")))
+    single = each.select("entity", "context", F.explode("named").alias("term"), F.lit(True).alias("named"))
+    # only entities of contexts that differ can be revealed by any term
+    several = each.join(small(holds.where("differ").select("entity")), "entity", "left_semi")
+    pairs = single.unionByName(several.select("entity", "context", F.explode(F.array_except("terms", "named")).alias("term"), F.lit(False).alias("named")))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), (F.min("context") < F.max("context")).alias("differ"), F.bool_or("named").alias("named"))
+    enough = lambda of: F.col("both") / (of + F.when(F.col("named"), 0).otherwise(1)) >= DISCLOSURE
+    # a term meets an entity in no more documents than hold the term
+    strong = together.where(F.col("named") | F.col("differ")).where(enough(F.col("both"))).join(holds.drop("differ"), "entity")
     of_term = found.where("part is null").groupBy("term").agg(F.sum("n").alias("term_docs"))
     weighed = strong.join(of_term, "term")
     own = F.log2(F.lit(float(max(1, total))) / F.col("entity_docs"))
     information = own + F.log2(F.col("both") / F.col("term_docs"))
-    return weighed.where((F.col("both") / (F.col("term_docs") + 1) >= DISCLOSURE) & (own > 0) & (information >= INFORMATION * own)).select("entity", "term")
+    return weighed.where(enough(F.col("term_docs")) & (own > 0) & (information >= INFORMATION * own)).select("entity", "term")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, part, base, extra): the patterns' spans and those of revealing terms, as text.
 
     ``part`` is the MD5 of the text, so rows that share a doc_id keep their own spans. Null texts
-    count as empty. Documents that are copies, and repeated rows, count each in the corpus's statistics;
-    a term at a threshold exactly is marked. An empty table has no spans.
+    count as empty. Documents that are copies, and repeated rows, count each in the corpus's shares, and are
+    one context; a term at a threshold exactly is marked. An empty table has no spans.
     """
     found = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, _FOUND))
     marks = stored(reveal(found))
-    held = found.where("entities is not null").select("doc_id", "part", F.explode("entities").alias("entity"), "terms")
+    held = found.where("entities is not null").select("doc_id", "part", F.explode("entities.entity").alias("entity"), "terms")
     held = held.join(small(marks.select("entity").distinct()), "entity", "left_semi").select("doc_id", "part", "entity", F.inline("terms"))
     spans = held.join(small(marks), ["entity", "term"]).select("doc_id", "part", F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.get("at", i).alias("a"), F.get("at", i + 1).alias("b")))).alias("s"))
     spans = spans.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set("s")).alias("s"))
