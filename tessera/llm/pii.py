@@ -130,14 +130,14 @@ def _titled(text: str, a: int, b: int) -> bool:
     return text[a].isupper() and not text[a:b].isupper()
 
 
-def _is_name(text: str, places: list[tuple[int, int]], i: int) -> bool:
-    """A term written as a name: with a capital that no sentence's start gives it, or before another such term."""
+def _is_name(text: str, places: list[tuple[int, int]], i: int, ends: dict[int, int]) -> bool:
+    """A term written as a name: with a capital that no sentence's start gives it, or before another such term. Entities before it, by their ends, are passed over."""
     a, b = places[i]
     if not _titled(text, a, b):
         return False
     before = a - 1
-    while before >= 0 and text[before] in " \t\"'(":
-        before -= 1
+    while before >= 0 and (text[before] in " \t\"'(" or before + 1 in ends):
+        before = ends.get(before + 1, before) - 1
     if before >= 0 and text[before] not in ".!?\r\n":
         return True
     return i + 1 < len(places) and places[i + 1][0] == b + 1 and text[b] == " " and _titled(text, *places[i + 1])
@@ -146,6 +146,7 @@ def _is_name(text: str, places: list[tuple[int, int]], i: int) -> bool:
 def _held(text: str, spans: list[tuple[str, int, int]], places: list[tuple[int, int]], terms: dict[str, list[int]]) -> list[dict]:
     """The entities of a text by name: the digest of the first one's context, and the terms that it needs no second context for."""
     starts = [a for a, _ in places]
+    ends = {b: a for _, a, b in spans}
     out: dict[str, dict] = {}
     for kind, a, b in spans:
         at = bisect_left(starts, a)
@@ -153,7 +154,7 @@ def _held(text: str, spans: list[tuple[str, int, int]], places: list[tuple[int,
             around = " ".join(text[x:y].lower() for x, y in places[max(0, at - CONTEXT) : at + CONTEXT])
             out[name] = {"entity": name, "context": hashlib.blake2b(around.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), "named": set()}
         named = out[name]["named"]
-        named.update(text[slice(*places[i])].lower() for i in range(max(0, at - BESIDE), min(len(places), at + BESIDE)) if _is_name(text, places, i))
+        named.update(text[slice(*places[i])].lower() for i in range(max(0, at - BESIDE), min(len(places), at + BESIDE)) if _is_name(text, places, i, ends))
         if kind == "email":
             named.update(w for w in _LETTERS.findall(text[a:b].split("@")[0].lower()) if len(w) >= SPELT and w in terms)
     return [e | {"named": sorted(e["named"])} for _, e in sorted(out.items())]

@@ -230,13 +230,17 @@ def revealing(texts):
     held = []
     for t, s, f in zip(texts, spans, free, strict=True):
         mine = {}
+        bare = list(t or "")
+        for _, a, b in s:
+            bare[a:b] = " " * (b - a)
+        bare = "".join(bare)
         for k, a, b in s:
             left, right = [x for x in f if x[0] < a], [x for x in f if x[0] >= a]
             context, named = mine.setdefault((k, t[a:b].lower()), (" ".join(t[x:y].lower() for x, y in left[-12:] + right[:12]), set()))
             for x, y in left[-6:] + right[:6]:
                 capital = lambda x, y: t[x].isupper() and t[x:y] != t[x:y].upper()
                 follows = [z for z in f if z[0] == y + 1 and t[y] == " " and capital(*z)]
-                if capital(x, y) and (re.search(r"[^.!?\r\n \t\"'(][ \t\"'(]*$", t[:x]) or follows):
+                if capital(x, y) and (re.search(r"[^.!?\r\n \t\"'(][ \t\"'(]*$", bare[:x]) or follows):
                     named.add(t[x:y].lower())
             if k == "email":
                 named.update(w for w in re.findall("[a-z]{3,}", t[a:b].split("@")[0].lower()) if w in {t[x:y].lower() for x, y in f})
@@ -259,7 +263,7 @@ def revealing(texts):
 def test_pii_terms_that_reveal(spark, docs, rows):
     rng = random.Random(4)
     more = [(100 + i, words(rng, 12, 30) + f" Holder{i % 6} mail p{i % 6}@x.org from 10.0.0.{i % 4} " + words(rng, 5, 30), "en", "s", 0) for i in range(60)]
-    more += [(200 + i, words(rng, 9, 30) + f". Ann Smit{i} (smit{i}.of.w{i}x@y.org) wrote. Then Ref{i} w3 saw it " + words(rng, 9, 30), "en", "s", 0) for i in range(9)]
+    more += [(200 + i, words(rng, 9, 30) + f". Ann Smit{i} (smit{i}.of.w{i}x@y.org) Wrote. 10.0.9.{i} Then{i} Ref{i} w3 saw it. +1 555 010 00{i} Then{i} so " + words(rng, 9, 30), "en", "s", 0) for i in range(9)]
     table = [*rows, *more]
     frame = docs.unionByName(spark.createDataFrame(more, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), allowMissingColumns=True)
     got = Counter((r.doc_id, r.extra) for r in pii.find_pii(frame).collect())
