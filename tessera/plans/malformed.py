@@ -47,7 +47,7 @@ def _faulty_coco(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     at = new_folder(spark)
     shards = 1 + lines.count() // _A_DOCUMENT
-    write_documents(images.unionByName(boxes), at, shards, '{"info":{"year":2020},"categories":[{"id":1},{"id":2,"name":"x"}],"images":[', "]}", middle='],"annotations":[')
+    write_documents(images.unionByName(boxes), at, shards, '{"info":{"year":2020},"categories":[{"id":1},{"id":2,"name":"x"}],"images":[', "]}", middles=('],"annotations":[',))
     # every document lists the categories
     found = _problems(spark, at, "coco")
     return found.select("problem", F.when(F.col("problem").startswith("categories"), F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box
 from tessera.model import AnnotationDataset, dataset, latest, numbered
-from tessera.storage import qualified
+from tessera.storage import bytes_at, discard, qualified, stored
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -122,7 +122,8 @@ def from_raw(images: DataFrame | None, annotations: DataFrame, categories: DataF
     without annotations.
     """
     none = F.lit(None)
-    a = _filled(annotations, confidence=none.cast("double"), attributes=F.create_map().cast("map<string,string>"))
+    # parsing is most of the work: once, for sizes, labels and numbers
+    raw = a = stored(_filled(annotations, confidence=none.cast("double"), attributes=F.create_map().cast("map<string,string>")))
     seen = a.groupBy("file_name").agg(F.greatest(F.max(F.ceil("xmax")), F.lit(1)).alias("_w"), F.greatest(F.max(F.ceil("ymax")), F.lit(1)).alias("_h"))
     if images is None:
         i = seen.select("file_name", F.col("_w").alias("width"), F.col("_h").alias("height"))
@@ -130,12 +131,14 @@ def from_raw(images: DataFrame | None, annotations: DataFrame, categories: DataF
         i = _filled(images, _ord=F.lit(0), attributes=F.create_map().cast("map<string,string>"))
         i = latest(i, "file_name").drop("_ord").join(seen, "file_name", "full_outer")
         i = i.withColumn("width", F.coalesce(F.col("width").cast("long"), "_w")).withColumn("height", F.coalesce(F.col("height").cast("long"), "_h")).drop("_w", "_h")
-    i = numbered(i, "file_name", name="id")
+    sizes = stored(i)
+    i = numbered(sizes, "file_name", name="id")
     c = a.select(F.col("label").alias("name"), none.cast("string").alias("supercategory"), F.lit(1).alias("_given"))
     if categories is not None:
         c = c.union(_filled(categories, supercategory=none.cast("string")).select("name", "supercategory", F.lit(0).alias("_given")))
     c = numbered(c.where("name is not null").groupBy("name").agg(F.min_by("supercategory", "_given").alias("supercategory")), "name", name="id")
     a = numbered(a, "_ord", name="id")
+    discard(raw, sizes)
     a = a.join(i.select(F.col("file_name").alias("_f"), F.col("id").alias("image_id")), F.col("file_name") == F.col("_f")).join(c.select(F.col("name").alias("_l"), F.col("id").alias("category_id")), F.col("label") == F.col("_l"))
     return dataset(i.withColumn("_ord", F.col("id")), c.withColumn("_ord", F.col("id")), a.withColumn("_ord", F.col("id")), licenses, info)
 
@@ -198,12 +201,15 @@ def csv_cell(c: Column) -> Column:
 
 def write_lines(rows: DataFrame, path: str, *order: str, header: str | None = None) -> None:
     """Write the column ``line``, sorted over all parts; every part begins with the header, if there is one."""
+    # ranges are found by a pass of its own: over what is stored, not over the joins behind it
+    rows = stored(rows.select(*order, "line"))
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("line")
     if header is not None:
         # the low bits of the id count rows within a part
         first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
         sorted_ = sorted_.select(F.when(first, F.concat(F.lit(header + "\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
     sorted_.write.text(path)
+    discard(rows)
 
 
 #: Rows that a document holds where its number is left open.
@@ -215,36 +221,51 @@ def shards_for(ds: AnnotationDataset) -> int:
     return max(1, -(-(ds.images.count() + ds.annotations.count()) // DOCUMENT_ROWS))
 
 
-def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: str, between: str = ",", middle: str = "") -> None:
-    """Write documents from rows (key, part) and perhaps ``section`` (0 or 1), each document's parts in order of section and key.
+def document_of(key: str | Column, shards: int) -> Column:
+    """The document, of so many, that what has this key goes to."""
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def listed_categories(ds: AnnotationDataset, shards: int) -> DataFrame:
+    """Categories with the ``shard`` of each document that lists them: those that its boxes name, and each in one document at least.
+
+    Images belong to the document of their id. So lists grow with boxes and categories, not with categories times documents.
+    """
+    used = ds.annotations.select(document_of("image_id", shards).alias("shard"), F.col("category_id").alias("_c"))
+    keys = used.union(ds.categories.select(document_of("id", shards), "id")).distinct()
+    return keys.join(ds.categories, F.col("_c") == F.col("id")).drop("_c")
+
+
+def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: str, between: str = ",", middles: tuple[str, ...] = ()) -> None:
+    """Write documents from rows (key, part) and perhaps ``section`` (from 0) and ``shard``, each document's parts in order of section and key.
 
     A document is ``head``, its parts with ``between`` before all but the first of a section, and
-    ``tail``; ``middle`` stands before section 1. Documents pass through tasks as streams.
+    ``tail``; the texts of ``middles`` stand before sections 1, 2, ... Documents pass through tasks as streams.
     """
     section = F.col("section") if "section" in parts.columns else F.lit(0)
-    rows = parts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), section.alias("section"), "key", *[c for c in ("place",) if c in parts.columns], "part")
+    shard = F.col("shard") if "shard" in parts.columns else document_of("key", shards)
+    rows = parts.select(shard.alias("shard"), section.alias("section"), "key", *[c for c in ("place",) if c in parts.columns], "part")
     order = [c for c in rows.columns if c not in ("shard", "part")]
-    split = bool(middle)
+    whole = head + "".join(middles) + tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = -1
         for b in batches:
             out = []
             for now, part in zip(b.column("section").to_pylist(), b.column("part").to_pylist(), strict=True):
-                lead = between if at == now else ("" if at >= 0 else head) + (middle if now else "")
+                lead = between if at == now else ("" if at >= 0 else head) + "".join(middles[max(0, at) : now])
                 at = now
                 out.append(lead + part)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
         if at >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([(middle if split and at == 0 else "") + tail], pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(middles[at:]) + tail], pa.string())], ["value"])
         elif TaskContext.get().partitionId() == 0:  # Spark writes a first file in any case
-            yield pa.RecordBatch.from_arrays([pa.array([head + middle + tail], pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.string())], ["value"])
 
-    if parts.isEmpty():
-        docs = parts.sparkSession.createDataFrame([(head + middle + tail,)], "value string").coalesce(1)
-    else:
-        docs = rows.repartitionById(shards, "shard").sortWithinPartitions(*order).select("section", "part").mapInArrow(run, "value string")
-    docs.write.text(path)
+    rows.repartitionById(shards, "shard").sortWithinPartitions(*order).select("section", "part").mapInArrow(run, "value string").write.text(path)
+    spark = parts.sparkSession
+    if not bytes_at(spark, path):  # of no rows at all Spark runs no task
+        spark.createDataFrame([(whole,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def store_of(root: str):
@@ -285,18 +306,18 @@ def write_files(files: DataFrame, root: str) -> None:
 
 
 def write_partitions(rows: DataFrame, root: str, name: str) -> None:
-    """Write each partition's ``content`` bytes, in its order, as one file; ``name`` is a format with the partition's number."""
+    """Write each partition's ``content`` bytes, in its order, as one file; ``name`` is a format with the partition's number, or the name where there is one partition."""
     root = qualified(rows.sparkSession, root)
 
     def run(batches):
         from pyspark import TaskContext
 
         store, base = store_of(root)
-        at = name % TaskContext.get().partitionId()
+        at = name % TaskContext.get().partitionId() if "%" in name else name
         some = (content for b in batches for content in b.column("content").to_pylist())
         first = next(some, None)
-        if first is not None:
-            _put(store, f"{base}/{at}", chain([first], some))
+        if first is not None or at == name:
+            _put(store, f"{base}/{at}", chain([first or b""], some))
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.string())], ["name"])
 
     rows.select("content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_percent, from_xywh, rotated_envelope, to_cxcywh, to_normalized, to_percent, to_pixel
-from tessera.model import INFO, AnnotationDataset, dataset
-from tessera.storage import exists, paths_like
+from tessera.model import INFO, AnnotationDataset, dataset, numbered
+from tessera.storage import exists, paths_like, stored
 
-from .common import annotations_of, attribute, basename, carried, from_raw, per_image, prefixed, register, relative, require, shards_for, stem, write_documents, write_lines
+from .common import annotations_of, attribute, basename, carried, document_of, from_raw, listed_categories, per_image, prefixed, register, relative, require, shards_for, stem, write_documents, write_lines
 from .pictures import with_sizes
 from .strict import json_documents, json_lines, json_sections
 
@@ -18,6 +18,12 @@ def _obj(**fields: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k.rstrip("_")) for k, v in fields.items()]))
 
 
+def _quoted(text: Column) -> Column:
+    """A text as JSON."""
+    listed = F.to_json(F.array(text))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
 def _xywh(b: Box | None = None) -> dict[str, Column]:
     b = b or box()
     return dict(zip(("x", "y", "width", "height"), (b.xmin, b.ymin, b.xmax - b.xmin, b.ymax - b.ymin), strict=True))
@@ -28,8 +34,8 @@ def _ord(*places: str) -> Column:
 
 
 def _array_docs(spark: SparkSession, path: str, form: str, schema: str) -> DataFrame:
-    """Elements of a format's documents that are arrays: rows (path, at, d)."""
-    return json_documents(spark, path, form).select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d"))
+    """Elements of a format's documents that are arrays: rows (path, at, d), parsed once."""
+    return stored(json_documents(spark, path, form).select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d")))
 
 
 def _enveloped(shape: Column, key: str) -> Column:
@@ -99,15 +105,16 @@ def _two_sections(i: DataFrame, first: Column, second: Column) -> DataFrame:
 
 
 def _model_document(ds: AnnotationDataset, images: DataFrame, path: str, shards: int | None, info_of) -> None:
-    """A document of lists of images, categories and annotations; every shard lists all categories and licences."""
-    c = ds.categories.agg(F.array_sort(F.collect_list(F.struct("id", _obj(id=F.col("id"), name=F.col("name"), supercategory=F.col("supercategory")).alias("j")))).alias("c")).first()["c"]
+    """A document of lists of categories, images and annotations. Every shard lists all licences and the categories of its own boxes; each category is in one shard at least."""
+    shards = shards or shards_for(ds)
+    c = listed_categories(ds, shards).select("shard", F.lit(0).alias("section"), F.col("id").alias("key"), F.lit(0).alias("place"), _obj(id=F.col("id"), name=F.col("name"), supercategory=F.col("supercategory")).alias("part"))
     n = ds.licenses.agg(F.array_sort(F.collect_list(F.struct("id", _obj(id=F.col("id"), name=F.col("name"), url=F.col("url")).alias("j")))).alias("c")).first()["c"]
     import json
 
     info = json.dumps(info_of({k: v for k, v in ds.info.items() if v is not None and v != {}}))
-    fixed_part = f'{{"info":{info},"licenses":[{",".join(x["j"] for x in n)}],"categories":[{",".join(x["j"] for x in c)}],'
-    parts = _two_sections(images, F.col("h"), F.col("items"))
-    write_documents(parts, path, shards or shards_for(ds), fixed_part + '"images":[', "]}", middle='],"annotations":[')
+    fixed_part = f'{{"info":{info},"licenses":[{",".join(x["j"] for x in n)}],"categories":['
+    parts = _two_sections(images, F.col("h"), F.col("items")).select(document_of("key", shards).alias("shard"), (F.col("section") + 1).alias("section"), "key", "place", "part")
+    write_documents(c.union(parts), path, shards, fixed_part, "]}", middles=('],"images":[', '],"annotations":['))
 
 
 @register("coco", "one JSON document", "ids", "confidence", "supercategory", "area")
@@ -148,6 +155,13 @@ def _by_image(ds: AnnotationDataset, path: str, item: Column, head, missing: str
     write_documents(i.select(F.struct("file_name", "id").alias("key"), head().alias("part")), path, shards or shards_for(ds), "[", "]")
 
 
+def _with_list(c: DataFrame, entry: Column, i: DataFrame, part: Column, path: str, shards: int, head: str, middle: str, tail: str, order: str = "id") -> None:
+    """Documents that begin with a list of categories, from rows with their ``shard``, and go on with the images."""
+    first = c.select("shard", F.lit(0).alias("section"), F.struct(F.lit("").alias("file_name"), F.col(order).cast("long").alias("id")).alias("key"), entry.alias("part"))
+    then = i.select(document_of("id", shards).alias("shard"), F.lit(1).alias("section"), F.struct("file_name", "id").alias("key"), part.alias("part"))
+    write_documents(first.union(then), path, shards, head, tail, middles=(middle,))
+
+
 def _joined(fields: Column, **lists: Column) -> Column:
     """A JSON object's text with lists of JSON texts put in under their names."""
     out = F.regexp_replace(fields, r"\}$", "")
@@ -306,6 +320,20 @@ class Labelbox:
         write_lines(i.withColumn("line", line), path, "file_name", "id")
 
 
+#: Classes without boxes that a line's class map takes.
+_BARE_CLASSES = 1000
+
+
+def _dealt(images: DataFrame, bare: DataFrame) -> DataFrame:
+    """Rows (_line, members): ``bare`` (_class, member) dealt to few of the images by hash, so no line names many of them."""
+    n = bare.count()
+    lines_of = images.groupBy(F.pmod(F.xxhash64("id"), F.lit(-(-n // _BARE_CLASSES) + 1)).alias("_b")).agg(F.min("id").alias("_line"))
+    lines_of = numbered(lines_of, "_line", name="_at", start=0) if n else lines_of.select("_line", F.lit(0).alias("_at"))
+    found = max(1, lines_of.count()) if n else 1
+    dealt = bare.withColumn("_to", F.pmod(F.xxhash64("_class"), F.lit(found))).join(lines_of, F.col("_to") == F.col("_at"))
+    return dealt.groupBy("_line").agg(F.array_sort(F.collect_list("member")).alias("members"))
+
+
 @register("sagemaker", "JSON lines", "confidence")
 class Sagemaker:
     @staticmethod
@@ -326,22 +354,25 @@ class Sagemaker:
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
-        from pyspark.sql import Window
-
-        c = ds.categories.select(F.col("id").alias("_k"), "name", (F.row_number().over(Window.orderBy("id")) - 1).alias("_class"))
-        names = {str(r["_class"]): r["name"] for r in c.collect()}
-        numbered_ds = ds.changed(annotations=ds.annotations.join(F.broadcast(c.select("_k", "_class")), F.col("category_id") == F.col("_k"), "left").drop("_k"))
+        """A line's class map names the classes of its boxes; classes without boxes are dealt to the maps of some lines."""
+        c = numbered(ds.categories.select(F.col("id").alias("_k"), "name"), "_k", name="_class", start=0)
+        numbered_ds = ds.changed(annotations=ds.annotations.join(c.select("_k", "_class"), F.col("category_id") == F.col("_k"), "left").drop("_k"))
         v = _xywh()
-        item = F.struct("_class", v["x"].alias("left"), v["y"].alias("top"), v["width"].alias("width"), v["height"].alias("height"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+        member = lambda k, name: F.concat(F.lit('"'), k.cast("string"), F.lit('":'), _quoted(name))
+        item = F.struct(
+            "_class", v["x"].alias("left"), v["y"].alias("top"), v["width"].alias("width"), v["height"].alias("height"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+            member(F.col("_class"), F.col("label")).alias("member"),
+        )
         i = per_image(numbered_ds, item)
-        import json
-
+        bare = c.join(ds.annotations.select(F.col("category_id").alias("_c")).distinct(), F.col("_k") == F.col("_c"), "left_anti")
+        i = i.join(_dealt(ds.images, bare.select("_class", member(F.col("_class"), F.col("name")).alias("member"))), F.col("id") == F.col("_line"), "left")
+        members = F.array_distinct(F.concat(F.transform("items", lambda x: x["member"]), F.coalesce("members", F.array().cast("array<string>"))))
         boxes = F.transform("items", lambda x: F.struct(x["_class"].alias("class_id"), x["left"].alias("left"), x["top"].alias("top"), x["width"].alias("width"), x["height"].alias("height")))
         label = F.to_json(F.struct(F.array(F.struct("width", "height", F.lit(3).alias("depth"))).alias("image_size"), boxes.alias("annotations")))
         objects = F.to_json(F.transform("items", lambda x: F.struct(x["confidence"].alias("confidence"))))
-        rest = ',"type":"groundtruth/object-detection","human-annotated":"yes","class-map":' + json.dumps(names) + "}}"
+        rest = F.concat(F.lit(',"type":"groundtruth/object-detection","human-annotated":"yes","class-map":{'), F.array_join(members, ","), F.lit("}}}"))
         ref = F.to_json(F.struct(F.coalesce(F.try_element_at("attributes", F.lit("sagemaker_source_ref")), F.col("file_name")).alias("source-ref")))
-        line = F.concat(F.regexp_replace(ref, r"\}$", ""), F.lit(',"bounding-box":'), label, F.lit(',"bounding-box-metadata":{"objects":'), objects, F.lit(rest))
+        line = F.concat(F.regexp_replace(ref, r"\}$", ""), F.lit(',"bounding-box":'), label, F.lit(',"bounding-box-metadata":{"objects":'), objects, rest)
         write_lines(i.withColumn("line", line), path, "file_name", "id")
 
 
@@ -426,14 +457,12 @@ class CloudAnnotations:
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        import json
-
         n = to_normalized(box(), F.col("width").cast("double"), F.col("height").cast("double"))
         item = _obj(x=n.xmin, y=n.ymin, x2=n.xmax, y2=n.ymax, label=F.col("label"))
         i = per_image(ds, item, "skip")
-        parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(F.to_json(F.array("file_name")).substr(F.lit(2), F.length(F.to_json(F.array("file_name"))) - 2), F.lit(":["), F.array_join("items", ","), F.lit("]")).alias("part"))
-        labels = json.dumps([r["name"] for r in ds.categories.orderBy("id").select("name").collect()])
-        write_documents(parts, path, shards or shards_for(ds), '{"version":"1.0","type":"localization","labels":' + labels + ',"annotations":{', "}}")
+        part = F.concat(_quoted(F.col("file_name")), F.lit(":["), F.array_join("items", ","), F.lit("]"))
+        shards = shards or shards_for(ds)
+        _with_list(listed_categories(ds, shards), _quoted(F.col("name")), i, part, path, shards, '{"version":"1.0","type":"localization","labels":[', '],"annotations":{', "}}")
 
 
 @register("datumaro", "one JSON document")
@@ -441,26 +470,31 @@ class Datumaro:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         schema = "categories struct<label:struct<labels:array<struct<name:string,parent:string>>>>, items array<struct<id:string,image:struct<path:string,size:array<bigint>>,annotations:array<struct<type:string,label_id:int,bbox:array<double>>>>>"
-        docs = json_documents(spark, path, "datumaro").select("path", F.from_json("text", schema).alias("d")).select("path", F.col("d.categories.label.labels").alias("labels"), "d.items")
-        rows = docs.select("path", "labels", F.posexplode("items").alias("at", "i")).withColumn("file_name", F.coalesce("i.image.path", "i.id"))
+        # documents are parsed once; labels are looked up by document and place, so no row carries its document's list
+        docs = json_documents(spark, path, "datumaro").select("path", F.from_json("text", schema).alias("d"))
+        listed = stored(docs.select("path", F.posexplode("d.categories.label.labels").alias("n", "l")).select("path", "n", "l.name", "l.parent"))
+        rows = stored(docs.select("path", F.posexplode("d.items").alias("at", "i"))).withColumn("file_name", F.coalesce("i.image.path", "i.id"))
         size = lambda k: F.coalesce(F.get("i.image.size", F.lit(k)), F.lit(1))
-        a = rows.select("path", "at", "file_name", "labels", F.posexplode("i.annotations").alias("k", "x")).where("x.type = 'bbox'")
-        a = a.withColumns({"label": F.coalesce(F.get("labels", F.col("x.label_id"))["name"], F.concat(F.lit("label_"), F.col("x.label_id").cast("string"))), "_ord": _ord("path", "at", "k")})
-        c = docs.select(F.explode("labels").alias("l")).select(F.col("l.name").alias("name"), F.nullif(F.col("l.parent"), F.lit("")).alias("supercategory"))
+        a = rows.select("path", "at", "file_name", F.posexplode("i.annotations").alias("k", "x")).where("x.type = 'bbox'")
+        a = a.join(listed.select(F.col("path").alias("_p"), "n", "name"), (F.col("path") == F.col("_p")) & (F.col("x.label_id") == F.col("n")), "left")
+        a = a.withColumns({"label": F.coalesce("name", F.concat(F.lit("label_"), F.col("x.label_id").cast("string"))), "_ord": _ord("path", "at", "k")})
+        c = listed.select("name", F.nullif(F.col("parent"), F.lit("")).alias("supercategory"))
         return from_raw(rows.select("file_name", size(1).alias("width"), size(0).alias("height"), F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(*[F.get("x.bbox", F.lit(i)) for i in range(4)])), c)
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        import json
-
-        rows = ds.categories.orderBy("id").collect()
-        at = {r["id"]: n for n, r in enumerate(rows)}
-        place = F.create_map(*[F.lit(x) for kv in at.items() for x in kv]) if at else F.create_map().cast("map<bigint,int>")
-        item = _obj(id=F.col("id"), type=F.lit("bbox"), label_id=F.try_element_at(place, F.col("category_id")), bbox=F.array(*_xywh().values()))
-        i = per_image(ds, item, "object")
+        """A document lists the categories of its own boxes, and each category is in one document at least; ``label_id`` is the place in that list."""
+        n = shards or shards_for(ds)
+        # a document's list is no longer than the document
+        c = listed_categories(ds, n).withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("id", "_ord")) - 1)
+        c = stored(c.select("shard", "id", "place", "name", "supercategory"))
+        place = c.groupBy(F.col("shard").alias("_s"), F.col("id").alias("_k")).agg(F.max("place").alias("_place"))
+        a = ds.annotations.join(place, (document_of("image_id", n) == F.col("_s")) & (F.col("category_id") == F.col("_k")), "left").drop("_s", "_k")
+        item = _obj(id=F.col("id"), type=F.lit("bbox"), label_id=F.col("_place"), bbox=F.array(*_xywh().values()))
+        i = per_image(ds.changed(annotations=a), item, "object")
         head = _joined(_obj(id=stem(F.col("file_name")), image=F.struct(F.col("file_name").alias("path"), F.array("height", "width").alias("size"))), annotations=F.col("items"))
-        labels = json.dumps([{"name": r["name"], "parent": r["supercategory"] or ""} for r in rows])
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), head.alias("part")), path, shards or shards_for(ds), '{"info":{},"categories":{"label":{"labels":' + labels + '}},"items":[', "]}")
+        label = _obj(name=F.col("name"), parent=F.coalesce("supercategory", F.lit("")))
+        _with_list(c, label, i, head, path, n, '{"info":{},"categories":{"label":{"labels":[', ']}},"items":[', "]}", "place")
 
 
 @register("edge-impulse", "one JSON document")
@@ -470,7 +504,7 @@ class EdgeImpulse:
         b = "array<struct<label:string,x:double,y:double,width:double,height:double>>"
         docs = json_documents(spark, path, "edge-impulse").select("path", F.from_json("text", f"files array<struct<path:string,boundingBoxes:{b}>>, boundingBoxes map<string,{b}>").alias("d")).select("path", "d.*")
         listed = docs.select(F.inline("files")).select(F.col("path").alias("file_name"), F.col("boundingBoxes").alias("list"))
-        rows = listed.union(docs.select(F.explode("boundingBoxes").alias("file_name", "list")))
+        rows = stored(listed.union(docs.select(F.explode("boundingBoxes").alias("file_name", "list"))))
         whole = " and ".join(f"x.{k} is not null" for k in ("label", "x", "y", "width", "height"))
         a = rows.select("file_name", F.posexplode("list").alias("k", "x")).where(whole).withColumns({"label": F.col("x.label"), "_ord": _ord("file_name", "k")})
         a = annotations_of(a, from_xywh(*[F.col(f"x.{k}") for k in ("x", "y", "width", "height")]))
@@ -490,7 +524,7 @@ class Via:
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         region = "struct<shape_attributes:struct<name:string,x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>"
         docs = json_documents(spark, path, "via").select("path", F.explode(F.from_json("text", f"map<string,struct<filename:string,size:bigint,regions:array<{region}>,file_attributes:map<string,string>>>")).alias("key", "v"))
-        rows = docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions", "v.file_attributes")
+        rows = stored(docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions", "v.file_attributes"))
         a = rows.select("key", "file_name", F.posexplode("regions").alias("k", "x")).where("x.shape_attributes.name = 'rect'")
         named = F.map_filter("x.region_attributes", lambda k, v: v.isNotNull() & (F.btrim(v) != ""))
         has = lambda k: F.coalesce(F.map_contains_key(named, k), F.lit(False))
@@ -519,7 +553,7 @@ class VottJson:
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         region = "struct<tags:array<string>,boundingBox:struct<left:double,top:double,width:double,height:double>,points:array<struct<x:double,y:double>>>"
         docs = json_documents(spark, path, "vott-json").select("path", F.from_json("text", f"tags array<struct<name:string>>, assets map<string,struct<asset:struct<name:string,path:string,size:struct<width:bigint,height:bigint>>,regions:array<{region}>>>").alias("d")).select("path", "d.*")
-        rows = docs.select("path", F.explode("assets").alias("key", "v")).select("key", F.coalesce("v.asset.name", basename(F.col("v.asset.path"))).alias("file_name"), "v.asset.size.width", "v.asset.size.height", "v.regions")
+        rows = stored(docs.select("path", F.explode("assets").alias("key", "v"))).select("key", F.coalesce("v.asset.name", basename(F.col("v.asset.path"))).alias("file_name"), "v.asset.size.width", "v.asset.size.height", "v.regions")
         a = rows.select("file_name", "key", F.posexplode("regions").alias("k", "x")).select("file_name", "key", "k", "x", F.posexplode("x.tags").alias("t", "label")).withColumn("_ord", _ord("file_name", "key", "k", "t"))
         flat, around = from_xywh(*[F.col(f"x.boundingBox.{k}") for k in ("left", "top", "width", "height")]), envelope(F.col("x.points"))
         found = Box(*[F.when(F.col("x.boundingBox").isNotNull(), p).otherwise(q) for p, q in zip(flat, around, strict=True)])
@@ -527,17 +561,16 @@ class VottJson:
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        import json
-
+        """A document's tags are the categories of its own boxes; each category is in one document at least."""
         b, v = box(), _xywh()
         corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
         points = F.array(corner(b.xmin, b.ymin), corner(b.xmax, b.ymin), corner(b.xmax, b.ymax), corner(b.xmin, b.ymax))
         item = _obj(id=F.concat(F.lit("region-"), F.col("id").cast("string")), type=F.lit("RECTANGLE"), tags=F.array("label"), boundingBox=F.struct(v["x"].alias("left"), v["y"].alias("top"), v["width"].alias("width"), v["height"].alias("height")), points=points)
         i = per_image(ds, item, "skip")
         head = _joined(_obj(asset=F.struct(F.col("id").cast("string").alias("id"), F.col("file_name").alias("name"), F.struct("width", "height").alias("size"))), regions=F.col("items"))
-        parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(F.lit('"asset-'), F.col("id").cast("string"), F.lit('":'), head).alias("part"))
-        tags = json.dumps([{"name": r["name"]} for r in ds.categories.orderBy("id").select("name").collect()])
-        write_documents(parts, path, shards or shards_for(ds), '{"name":"dataset","version":"2.2.0","tags":' + tags + ',"assets":{', "}}")
+        part = F.concat(F.lit('"asset-'), F.col("id").cast("string"), F.lit('":'), head)
+        n = shards or shards_for(ds)
+        _with_list(listed_categories(ds, n), _obj(name=F.col("name")), i, part, path, n, '{"name":"dataset","version":"2.2.0","tags":[', '],"assets":{', "}}")
 
 
 @register("openlabel", "one JSON document, centres in pixels")
@@ -545,11 +578,14 @@ class OpenLabel:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         frame = "struct<frame_properties:struct<file_name:string,width:bigint,height:bigint>,objects:map<string,struct<object_data:struct<bbox:array<struct<name:string,val:array<double>>>>>>>"
-        docs = json_documents(spark, path, "openlabel").select("path", F.from_json("text", f"openlabel struct<objects:map<string,struct<name:string,type:string>>,frames:map<string,{frame}>>").alias("d")).select("path", F.col("d.openlabel.objects").alias("types"), F.col("d.openlabel.frames").alias("frames"))
-        rows = docs.select("path", "types", F.explode("frames").alias("at", "f")).withColumn("file_name", F.coalesce("f.frame_properties.file_name", F.concat(F.lit("frame_"), "at")))
-        a = rows.select("path", "at", "file_name", "types", F.explode("f.objects").alias("o", "v")).select("path", "at", "file_name", "types", "o", F.posexplode("v.object_data.bbox").alias("k", "x"))
+        docs = json_documents(spark, path, "openlabel").select("path", F.from_json("text", f"openlabel struct<objects:map<string,struct<name:string,type:string>>,frames:map<string,{frame}>>").alias("d"))
+        # documents are parsed once; types are looked up by document and key, so no row carries its document's objects
+        types = stored(docs.select("path", F.explode("d.openlabel.objects").alias("o", "t")).select(F.col("path").alias("_p"), F.col("o").alias("_o"), F.col("t.type").alias("type")))
+        rows = stored(docs.select("path", F.explode("d.openlabel.frames").alias("at", "f"))).withColumn("file_name", F.coalesce("f.frame_properties.file_name", F.concat(F.lit("frame_"), "at")))
+        a = rows.select("path", "at", "file_name", F.explode("f.objects").alias("o", "v")).select("path", "at", "file_name", "o", F.posexplode("v.object_data.bbox").alias("k", "x"))
         a = a.where((F.size("x.val") >= 4) & (F.coalesce(F.get("x.val", F.lit(4)), F.lit(0.0)) == 0.0))
-        a = a.withColumns({"label": F.coalesce(F.try_element_at("types", F.col("o"))["type"], "x.name", F.lit("object")), "_ord": _ord("path", "at", "o", "k")})
+        a = a.join(types, (F.col("path") == F.col("_p")) & (F.col("o") == F.col("_o")), "left")
+        a = a.withColumns({"label": F.coalesce("type", "x.name", F.lit("object")), "_ord": _ord("path", "at", "o", "k")})
         return from_raw(rows.select("file_name", "f.frame_properties.width", "f.frame_properties.height", F.struct("path", "at").alias("_ord")), annotations_of(a, from_cxcywh(*[F.get("x.val", F.lit(i)) for i in range(4)])))
 
     @staticmethod
@@ -560,7 +596,7 @@ class OpenLabel:
         keyed = lambda items: F.transform(items, lambda x, n: F.concat(F.lit('"'), F.col("id").cast("string"), F.lit("_"), n.cast("string"), F.lit('":'), x))
         head = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.regexp_replace(_obj(frame_properties=F.struct("file_name", "width", "height")), r"\}$", ""), F.lit(',"objects":{'), F.array_join(keyed("items"), ","), F.lit("}}"))
         parts = _two_sections(i.select(F.col("id").alias("key"), head.alias("f"), keyed("types").alias("types")), F.col("f"), F.col("types"))
-        write_documents(parts, path, shards or shards_for(ds), '{"openlabel":{"metadata":{"schema_version":"1.0.0"},"frames":{', "}}}", middle='},"objects":{')
+        write_documents(parts, path, shards or shards_for(ds), '{"openlabel":{"metadata":{"schema_version":"1.0.0"},"frames":{', "}}}", middles=('},"objects":{',))
 
 
 @register("unity-perception", "JSON documents with captures")
