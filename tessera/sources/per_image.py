@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_xywh, to_cxcywh, to_normalized
-from tessera.model import AnnotationDataset
-from tessera.storage import exists
+from tessera.model import AnnotationDataset, numbered
+from tessera.storage import exists, stored
 
-from .common import annotations_of, basename, carried, documents, fixed, from_raw, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, write_documents, write_files, write_lines
+from .common import annotations_of, basename, carried, document_of, documents, fixed, from_raw, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, write_documents, write_files, write_lines, write_partitions
 from .json_docs import _joined, _obj, _ord, _xywh
 from .pictures import image_sizes, listing, sized, with_sizes
 from .strict import json_documents
@@ -185,7 +185,7 @@ class Cvat:
         b = "array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double,_occluded:string,_z_order:string,_source:string,attribute:array<struct<_name:string,_VALUE:string>>>>"
         schema = f"meta struct<task:struct<labels:struct<label:array<struct<name:string,type:string>>>>>, image array<struct<_id:bigint,_name:string,_width:bigint,_height:bigint,box:{b},polygon:array<string>,points:array<string>>>"
         docs = documents(spark, path, "*").select(F.from_xml("text", schema, {"attributePrefix": "_"}).alias("d")).select("d.*")
-        rows = docs.select(F.posexplode("image").alias("at", "i")).select("at", "i.*").withColumn("file_name", require(F.col("polygon").isNull() & F.col("points").isNull(), "an image has shapes that aren't boxes", F.col("_name")))
+        rows = stored(docs.select(F.posexplode("image").alias("at", "i")).select("at", "i.*")).withColumn("file_name", require(F.col("polygon").isNull() & F.col("points").isNull(), "an image has shapes that aren't boxes", F.col("_name")))
         a = rows.select("file_name", F.posexplode("box").alias("k", "x"))
         kept = F.map_filter(F.create_map(*[x for k in ("occluded", "z_order", "source") for x in (F.lit(k), F.col(f"x._{k}"))]), lambda k, v: v.isNotNull())
         own = last_of_each(F.transform("x.attribute", lambda t: F.struct(F.concat(F.lit("cvat_attr_"), require(F.btrim(t["_name"]) != "", "an attribute has no name", F.btrim(t["_name"]))).alias("key"), F.coalesce(F.btrim(t["_VALUE"]), F.lit("")).alias("value"))))
@@ -201,10 +201,15 @@ class Cvat:
         item = F.concat(F.lit("<box"), attr("label", _xml(F.col("label"))), attr("source", _xml(at("source", "manual"))), attr("occluded", at("occluded", "0")), *[attr(n, number(c)) for n, c in zip(("xtl", "ytl", "xbr", "ybr"), box(), strict=True)], attr("z_order", at("z_order", "0")), F.lit(">"), F.array_join(own, ""), F.lit("</box>"))
         i = per_image(ds, item)
         part = F.concat(F.lit("<image"), attr("id", F.col("id").cast("string")), attr("name", _xml(F.col("file_name"))), attr("width", F.col("width").cast("string")), attr("height", F.col("height").cast("string")), F.lit(">"), F.array_join("items", ""), F.lit("</image>"))
-        used = ds.categories.join(ds.annotations.select(F.col("category_id").alias("_c")).distinct(), F.col("id") == F.col("_c"), "left_semi").select("name").distinct()
-        labels = used.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<label><name>"), _xml(F.col("name")), F.lit("</name><type>bbox</type></label>")))), "").alias("l")).first()["l"]
-        head = f'<?xml version="1.0" encoding="utf-8"?>\n<annotations><version>1.1</version><meta><task><labels>{labels}</labels></task></meta>'
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), part.alias("part")), path, shards or shards_for(ds), head, "</annotations>", between="")
+        # a document lists the labels of its own boxes
+        n = shards or shards_for(ds)
+        used = ds.annotations.select(document_of("image_id", n).alias("shard"), F.col("category_id").alias("_c")).distinct()
+        used = used.join(ds.categories, F.col("_c") == F.col("id")).select("shard", "name").distinct()
+        label = F.concat(F.lit("<label><name>"), _xml(F.col("name")), F.lit("</name><type>bbox</type></label>"))
+        first = used.select("shard", F.lit(0).alias("section"), F.struct(F.col("name").alias("file_name"), F.lit(0).cast("long").alias("id")).alias("key"), label.alias("part"))
+        then = i.select(document_of("id", n).alias("shard"), F.lit(1).alias("section"), F.struct("file_name", "id").alias("key"), part.alias("part"))
+        head = '<?xml version="1.0" encoding="utf-8"?>\n<annotations><version>1.1</version><meta><task><labels>'
+        write_documents(first.union(then), path, n, head, "</annotations>", between="", middles=("</labels></task></meta>",))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -296,16 +301,17 @@ class Yolo:
             rows = _labels(spark, f"{root}/labels")
         n = F.size("t")
         k = require((n == 5) | (n == 6), F.concat(F.lit("a line hasn't five or six fields: "), F.col("line")), F.get("t", F.lit(0)).cast("int"))
-        known = F.array(*[F.lit(x) for x in names]) if names else F.lit(None).cast("array<string>")
-        label = F.coalesce(F.get(known, k), F.concat(F.lit("class_"), k.cast("string"))) if not names else require(k < len(names), "a class isn't in the list of names", F.get(known, k))
+        rows = rows.withColumn("_class", k)
+        listed = _name_table(spark, names) if names else None
+        rows = rows if listed is None else rows.join(listed, F.col("_class") == F.col("_n"), "left")
+        label = F.concat(F.lit("class_"), F.col("_class").cast("string")) if listed is None else require(F.col("name").isNotNull(), "a class isn't in the list of names", F.col("name"))
         # images that differ in their extension only: labels go to the first by name
         by_stem = sizes.groupBy("stem").agg(F.min(F.struct("file_name", "width", "height")).alias("i")).select("stem", "i.*")
         rows = rows.withColumns({"label": label, "confidence": F.when(n == 6, _num(5))}).join(by_stem, "stem", "left")
         rows = rows.withColumn("file_name", require(F.col("file_name").isNotNull(), F.concat(F.lit("labels without an image: "), F.col("stem")), F.col("file_name")))
         w, h = F.col("width"), F.col("height")
         a = annotations_of(rows.withColumn("_ord", F.struct("file_name", "_ord")), from_cxcywh(_num(1) * w, _num(2) * h, _num(3) * w, _num(4) * h))
-        listed = spark.createDataFrame([(x,) for x in names], "name string") if names else None
-        return from_raw(sizes.drop("stem"), a, listed, info)
+        return from_raw(sizes.drop("stem"), a, None if listed is None else listed.select("name"), info)
 
     @staticmethod
     def config(spark: SparkSession, root: str) -> dict[str, str]:
@@ -320,17 +326,44 @@ class Yolo:
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
-        c = ds.categories.orderBy("id").collect()
-        place = F.create_map(*[F.lit(x) for n, r in enumerate(c) for x in (r["id"], n)]) if c else F.create_map().cast("map<bigint,int>")
+        c = numbered(ds.categories.select("id", "name"), "id", start=0)
         w, h = F.col("width").cast("double"), F.col("height").cast("double")
         cx, cy, bw, bh = to_cxcywh(to_normalized(box(), w, h))
-        item = F.concat_ws(" ", F.try_element_at(place, F.col("category_id")).cast("string"), *[fixed(x, 6) for x in (cx, cy, bw, bh)], F.when(F.col("confidence").isNotNull(), fixed(F.col("confidence"), 6)))
-        i = per_image(ds, item)
+        item = F.concat_ws(" ", F.col("_class").cast("string"), *[fixed(x, 6) for x in (cx, cy, bw, bh)], F.when(F.col("confidence").isNotNull(), fixed(F.col("confidence"), 6)))
+        i = per_image(_classed(ds, c), item)
         text = F.concat(F.array_join("items", "\n"), F.when(F.size("items") > 0, "\n").otherwise(""))
         files = i.select(F.concat(F.lit("labels/"), F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(".txt")).alias("name"), text.alias("content"))
-        quoted = "".join(f"  {n}: '" + r["name"].replace("'", "''") + "'\n" for n, r in enumerate(c))
-        yaml = ds.images.sparkSession.range(1).select(F.lit("data.yaml").alias("name"), F.lit(f"nc: {len(c)}\nnames:\n{quoted}").alias("content"))
-        write_files(files.union(yaml), path)
+        write_files(files, path)
+        head = ds.images.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_n"), F.lit(f"nc: {c.count()}\nnames:\n").alias("content"))
+        quoted = F.concat(F.lit("  "), F.col("_n").cast("string"), F.lit(": '"), F.replace(F.col("name"), F.lit("'"), F.lit("''")), F.lit("'\n"))
+        _write_list(head.union(c.select("_n", quoted.alias("content"))), path, "data.yaml")
+
+
+def _classed(ds: AnnotationDataset, c: DataFrame) -> AnnotationDataset:
+    """``ds`` whose annotations have the number ``_class`` of their category, from categories numbered ``_n``; of equal ids the last counts."""
+    place = c.groupBy(F.col("id").alias("_k")).agg(F.max("_n").alias("_class"))
+    return ds.changed(annotations=ds.annotations.join(place, F.col("category_id") == F.col("_k"), "left").drop("_k"))
+
+
+def _write_list(rows: DataFrame, root: str, name: str) -> None:
+    """Rows (_n, content) as one file in order of ``_n``: the format has one list, which passes through a task as a stream."""
+    write_partitions(rows.repartition(1).sortWithinPartitions("_n").select(F.encode("content", "UTF-8").alias("content")), root, name)
+
+
+def _name_table(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Rows (_n, name) of a list."""
+    return spark.createDataFrame(list(enumerate(names)), "_n int, name string")
+
+
+def _class_table(spark: SparkSession, root: str) -> DataFrame | None:
+    """Rows (_n, name) of the classes that data.yaml or classes.txt lists, the latter read as lines; none without a list."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "data.yaml").load(root).select(F.decode("content", "UTF-8").alias("text")).collect()
+    names = _yaml_names(found[0]["text"]) if found else []
+    if names or not exists(spark, f"{root}/classes.txt"):
+        return _name_table(spark, names) if names else None
+    rows = lines(spark, f"{root}/classes.txt").select(F.btrim("line", F.lit(" \t\r\x0b\x0c")).alias("name"), "_ord").where("name <> ''")
+    listed = stored(numbered(rows, "_ord", start=0).select(F.col("_n").cast("int").alias("_n"), "name"))
+    return None if listed.isEmpty() else listed
 
 
 def _labels(spark: SparkSession, root: str) -> DataFrame:
@@ -426,27 +459,26 @@ def _keras(name: str) -> None:
         @staticmethod
         def read(spark: SparkSession, path: str, images: str | None = None, names: list[str] | None = None) -> AnnotationDataset:
             root = path.rstrip("/")
-            names = names or Yolo.names(spark, root)
+            listed = _name_table(spark, names) if names else _class_table(spark, root)
             rows = lines(spark, f"{root}/annotations").where(F.btrim("line") != "").withColumn("t", F.split(F.btrim("line"), r"\s+")).withColumn("file_name", F.get("t", F.lit(0)))
             a = rows.select("file_name", F.col("_ord").alias("at"), F.posexplode(F.slice("t", 2, 1 << 20)).alias("k", "b")).withColumn("v", F.split("b", ","))
             v = [F.get("v", F.lit(i)).cast("double") for i in range(5)]
-            known = F.array(*[F.lit(x) for x in names]) if names else F.lit(None).cast("array<string>")
+            a = a.withColumn("_class", v[4].cast("int"))
+            a = a.withColumn("name", F.lit(None).cast("string")) if listed is None else a.join(listed, F.col("_class") == F.col("_n"), "left")
             fine = (F.size("v") == 5) & (v[0] <= v[2]) & (v[1] <= v[3])
-            a = a.withColumns({"label": F.coalesce(F.get(known, v[4].cast("int")), F.concat(F.lit("class_"), v[4].cast("int").cast("string"))), "_ord": F.struct("file_name", "at", "k")})
+            a = a.withColumns({"label": F.coalesce("name", F.concat(F.lit("class_"), F.col("_class").cast("string"))), "_ord": F.struct("file_name", "at", "k")})
             a = a.withColumn("label", require(fine, "a box isn't five numbers in order", F.col("label")))
             i = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height")).distinct()
-            return from_raw(with_sizes(a, i, spark, images), annotations_of(a, Box(*v[:4])), spark.createDataFrame([(x,) for x in names], "name string") if names else None)
+            return from_raw(with_sizes(a, i, spark, images), annotations_of(a, Box(*v[:4])), None if listed is None else listed.select("name"))
 
         @staticmethod
         def write(ds: AnnotationDataset, path: str) -> None:
             root = path.rstrip("/")
-            c = ds.categories.orderBy("id").collect()
-            place = F.create_map(*[F.lit(x) for n, r in enumerate(c) for x in (r["id"], n)]) if c else F.create_map().cast("map<bigint,int>")
-            i = per_image(ds, F.concat_ws(",", *map(number, box()), F.try_element_at(place, F.col("category_id")).cast("string")))
+            c = numbered(ds.categories.select("id", "name"), "id", start=0)
+            i = per_image(_classed(ds, c), F.concat_ws(",", *map(number, box()), F.col("_class").cast("string")))
             name_ok = require(~F.rlike("file_name", F.lit(r"[\s,]")), "a file name has a blank or comma", F.col("file_name"))
             write_lines(i.withColumn("line", F.concat_ws(" ", name_ok, F.array_join("items", " "))), f"{root}/annotations", "file_name", "id")
-            text = ds.images.sparkSession.range(1).select(F.lit("classes.txt").alias("name"), F.lit("".join(r["name"] + "\n" for r in c)).alias("content"))
-            write_files(text, root)
+            _write_list(c.select("_n", F.concat("name", F.lit("\n")).alias("content")), root, "classes.txt")
 
 
 _keras("yolo-keras")
@@ -521,7 +553,7 @@ class WiderFace:
                         i += 2 + n
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.string()), pa.array(boxes, pa.list_(pa.string()))], ["file_name", "at", "boxes"])
 
-        rows = documents(spark, path, "*").mapInArrow(blocks, "file_name string, at string, boxes array<string>")
+        rows = stored(documents(spark, path, "*").mapInArrow(blocks, "file_name string, at string, boxes array<string>"))
         a = rows.select("file_name", "at", F.posexplode("boxes").alias("k", "line")).withColumn("t", F.split("line", r"\s+"))
         a = a.withColumns({"label": F.lit("face"), "attributes": F.map_filter(F.create_map(*[x for i, k in enumerate(WiderFace.FIELDS) for x in (F.lit(f"wider_face_{k}"), F.get("t", F.lit(4 + i)))]), lambda k, v: v.isNotNull()), "_ord": _ord("at", "k")})
         i = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height")).distinct()
@@ -537,5 +569,5 @@ class WiderFace:
         shard = F.pmod(F.xxhash64(F.struct("file_name", "id")), F.lit(shards)).cast("int")
         rows = i.select(shard.alias("shard"), F.struct("file_name", "id").alias("key"), part.alias("value"))
         # a document begins with its number of images: a row without a key, which sorts first
-        counts = rows.groupBy("shard").agg(F.count("*").cast("string").alias("value")).select("shard", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "value")
+        counts = ds.images.select(shard.alias("shard")).groupBy("shard").agg(F.count("*").cast("string").alias("value")).select("shard", F.lit(None).cast(rows.schema["key"].dataType).alias("key"), "value")
         rows.union(counts).repartitionById(shards, "shard").sortWithinPartitions(F.asc_nulls_first("key")).select("value").write.text(path)
