@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box, box, from_xywh, to_normalized, to_pixel
 from tessera.model import AnnotationDataset
+from tessera.storage import stored
 
 from .common import annotations_of, basename, csv_cell, from_raw, lines, number, per_image, per_row, register, require, write_lines
 from .pictures import with_sizes
@@ -15,8 +16,13 @@ from .pictures import with_sizes
 def _cells(spark: SparkSession, path: str, names: str, first: str) -> DataFrame:
     """Lines split into named text columns; header and blank lines are left out."""
     schema = ", ".join(f"{n} string" for n in names.split())
-    rows = lines(spark, path).where(F.btrim("line") != "").select(F.from_csv("line", schema, {"escape": '"'}).alias("c"), "_ord").select("c.*", "_ord")
-    return rows.where(F.coalesce(F.lower(names.split()[0]), F.lit("")) != first.lower())
+    rows = _parsed(spark, path, schema)
+    return stored(rows.where(F.coalesce(F.lower(names.split()[0]), F.lit("")) != first.lower()))
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines that aren't blank as columns; each is parsed once, however many columns are asked for."""
+    return lines(spark, path).where(F.btrim("line") != "").select("_ord", F.inline(F.array(F.from_csv("line", schema, {"escape": '"'}))))
 
 
 def _line(*cells: Column) -> Column:
@@ -167,7 +173,7 @@ class ViaCsv:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         schema = "file_name string, size string, file_attributes string, n string, i string, shape string, region string"
-        rows = lines(spark, path).where(F.btrim("line") != "").select(F.from_csv("line", schema, {"escape": '"'}).alias("c"), "_ord").select("c.*", "_ord").where("file_name <> 'filename'")
+        rows = stored(_parsed(spark, path, schema).where("file_name <> 'filename'"))
         shape = F.from_json("shape", "name string, x double, y double, width double, height double")
         named = F.from_json("region", "map<string,string>")
         filled = F.map_filter(named, lambda k, v: v.isNotNull() & (v != ""))
