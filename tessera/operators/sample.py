@@ -19,6 +19,24 @@ def wanted_categories(ds: AnnotationDataset, names: list[str]) -> DataFrame:
     return ids
 
 
+#: Rows that a task of a join takes, about.
+ROWS_A_TASK = 500_000
+
+
+def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is among the only column of ``keys``.
+
+    Large tables are dealt to a number of tasks by rows: ids compress so well that a number by bytes
+    gives tasks of many millions. It is an inner join with distinct keys, as semi joins slip below the dealing.
+    """
+    keys = keys.toDF("_among").distinct()
+    n = rows.count() // ROWS_A_TASK
+    if n < 2:
+        return rows.join(keys, F.col(key) == F.col("_among"), "left_semi")
+    tasks = max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, key).join(keys, F.col(key) == F.col("_among")).drop("_among")
+
+
 def filter_categories(ds: AnnotationDataset, names: list[str], mode: str = "images") -> AnnotationDataset:
     """Keep what has to do with some categories.
 
@@ -29,21 +47,18 @@ def filter_categories(ds: AnnotationDataset, names: list[str], mode: str = "imag
         return ds
     ids = wanted_categories(ds, names).select(F.col("id").alias("_cid"))
     hits = ds.annotations.join(ids, F.col("category_id") == F.col("_cid"), "left_semi")
-    images = ds.images.join(hits.select(F.col("image_id").alias("_iid")).distinct(), F.col("id") == F.col("_iid"), "left_semi")
+    images = _among(ds.images, "id", hits.select("image_id"))
     if mode == "annotations":
-        return ds.changed(images=images, annotations=hits.join(images.select(F.col("id").alias("_iid")).distinct(), F.col("image_id") == F.col("_iid"), "left_semi"))
+        return ds.changed(images=images, annotations=_among(hits, "image_id", images.select("id")))
     if mode != "images":
         raise ValueError(f"unknown mode: {mode}")
-    return subset(ds, images.select("id"))
+    return ds.changed(images=images, annotations=_among(ds.annotations, "image_id", images.select("id")))
 
 
 def subset(ds: AnnotationDataset, ids: DataFrame) -> AnnotationDataset:
     """The images with these ids and their annotations; categories and licences stay."""
-    keep = ids.select(F.col("id").alias("_keep")).distinct()
-    return ds.changed(
-        images=ds.images.join(keep, F.col("id") == F.col("_keep"), "left_semi"),
-        annotations=ds.annotations.join(keep, F.col("image_id") == F.col("_keep"), "left_semi"),
-    )
+    keep = ids.select("id")
+    return ds.changed(images=_among(ds.images, "id", keep), annotations=_among(ds.annotations, "image_id", keep))
 
 
 def target(total: int, n: int | None = None, fraction: float | None = None) -> int:
