@@ -26,8 +26,10 @@ from .textops import utf8
 
 #: A score of this or more predicts label 1.
 CUT = 0.3
-#: Good and bad labelled documents used at most, give or take a drawing by hash, and pairs made of each document.
-FIT_ROWS, PAIRS_EACH = 200_000, 4
+#: Pairs made of each document at least, and documents of the rarer label in a slot, about.
+PAIRS_EACH, SLOT_ROWS = 4, 8
+#: Slots that are made in any case where there are documents enough, and documents of the commoner label in a slot beyond them.
+SLOTS, MOST_IN_SLOT = 125, 10_000
 #: Newton steps, and the weight of the squared norm that keeps separable data finite.
 STEPS, RIDGE = 12, 1e-3
 #: Features of a text, each within 0 and 1 or a logarithm.
@@ -121,13 +123,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def preference_pairs(good: DataFrame, bad: DataFrame, few: int) -> DataFrame:
-    """Rows (g, h), the features of a good and of a bad document, from rows (mark, x) of each kind; ``few`` is the smaller count.
+def preference_pairs(good: DataFrame, bad: DataFrame, few: int, many: int = 0) -> DataFrame:
+    """Rows (g, h), the features of a good and of a bad document, from rows (mark, x) of each kind; ``few`` is the smaller count, ``many`` the larger.
 
     Both sides are dealt to the same slots by hash, ``PAIRS_EACH`` times; within a slot, turns pair
-    them up, so each counts alike and no document meets all of the other side.
+    them up, so each counts alike and no document meets all of the other side. Slots grow in number with the
+    commoner side, so they don't grow in size; the rarer side is then dealt often enough to reach them all.
     """
-    slots = max(1, few // 8)
+    slots = max(1, min(few // SLOT_ROWS, SLOTS), PAIRS_EACH * many // MOST_IN_SLOT)
+    often = max(PAIRS_EACH, -(-SLOT_ROWS * slots // max(1, few)))
+    rare = "h" if many and bad.count() <= few else "g"
 
     def dealt(side: DataFrame, name: str, turns: int) -> DataFrame:
         slot = F.explode(F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: F.pmod(F.xxhash64("mark", t), F.lit(slots))))
@@ -135,7 +140,7 @@ def preference_pairs(good: DataFrame, bad: DataFrame, few: int) -> DataFrame:
 
     ranked = {}
     for side, name in ((good, "g"), (bad, "h")):
-        d = dealt(side, name, PAIRS_EACH)
+        d = dealt(side, name, often if name == rare else PAIRS_EACH)
         ranked[name] = d.withColumn("at", F.row_number().over(Window.partitionBy("slot").orderBy(f"m_{name}")))
     sizes = {name: d.groupBy("slot").agg(F.max("at").alias(f"n_{name}")) for name, d in ranked.items()}
     both = sizes["g"].join(sizes["h"], "slot")
@@ -164,24 +169,16 @@ def newton(pairs: DataFrame, k: int) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
-    """Weights, the raw score at the quantile, and a scale, from vectors (doc_id, x) and labels (doc_id, quality).
-
-    Of a label with more than ``FIT_ROWS`` documents as many are drawn by hash, about.
-    """
+    """Weights, the raw score at the quantile, and a scale, from all labelled vectors (doc_id, x) and their labels (doc_id, quality)."""
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = marked.where(~held_out(F.col("doc_id")))
     rows = marked.join(vectors, "doc_id").dropDuplicates(["doc_id"]).select("quality", "x", F.xxhash64("doc_id").alias("mark"))
     rows = stored(rows)
-    counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    sides = []
-    for label in (1, 0):
-        share = FIT_ROWS / max(FIT_ROWS, counts.get(label, 0))
-        sides.append(rows.where((F.col("quality") == label) & (F.pmod("mark", F.lit(1 << 20)) < int(share * (1 << 20)))).select("mark", "x"))
-    good, bad = sides
+    good, bad = (rows.where(F.col("quality") == label).select("mark", "x") for label in (1, 0))
     n_good, n_bad = good.count(), bad.count()
     if not n_good or not n_bad:
         return np.zeros(WIDTH), 0.0, 1.0
-    w = newton(stored(preference_pairs(good, bad, max(1, min(n_good, n_bad, 1000)))), WIDTH)
+    w = newton(stored(preference_pairs(good, bad, min(n_good, n_bad), max(n_good, n_bad))), WIDTH)
     raw = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = good.select(raw.alias("s"), F.lit(1).alias("y")).union(bad.select(raw.alias("s"), F.lit(0).alias("y")))
     share = n_bad / (n_good + n_bad)
