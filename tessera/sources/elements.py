@@ -12,9 +12,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import pairwise
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,10 @@ CHUNK_BYTES = 4 << 20
 MOST_RANGES = 1_000_000
 
 _OPEN, _CLOSE = np.isin(np.arange(256), list(b"[{")), np.isin(np.arange(256), list(b"]}"))
+_BRACKET = _OPEN | _CLOSE
 _STEP = _OPEN.astype(np.int64) - _CLOSE
 _STRUCTURE = _OPEN | _CLOSE | (np.arange(256) == ord(","))
-ROWS = "path string, start long, place long, kind string, section string, container string, comma boolean, text string"
+ROWS = "path string, start long, place long, kind string, section string, container string, comma boolean, text string, sure string"
 
 
 def _text(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -69,20 +74,18 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
     """Runs of equal keys in a batch, with their texts joined."""
     for batch in batches:
-        keys = list(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True))
+        if not batch.num_rows:
+            continue
         value = batch.columns[-1].cast(pa.large_binary())
         _, offsets, data = value.buffers()
-        edges = np.frombuffer(offsets, np.int64)[value.offset : value.offset + len(value) + 1]
-        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            raw = memoryview(data)[edges[a] : edges[b]] if data is not None else b""
-            ends = edges[a + 1 : b + 1] - edges[a] + np.arange(b - a)
-            out = np.empty(len(raw) + b - a, np.uint8)
-            inner = np.ones(len(out), bool)
-            inner[ends] = False
-            out[~inner] = ord("}")
-            out[inner] = np.frombuffer(raw, np.uint8)
-            yield keys[a], out.tobytes()
+        edges = np.frombuffer(offsets, np.int64)[value.offset : value.offset + len(value) + 1].tolist()
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        # keys change where a range ends: few times in a batch
+        turns = [np.flatnonzero(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)) + 1 for c in batch.columns[:-1]]
+        cuts = [0, *np.unique(np.concatenate(turns)).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            ends = edges[a : b + 1]
+            yield tuple(c[a].as_py() for c in batch.columns[:-1]), b"}".join([*[raw[x:y] for x, y in pairwise(ends)], b""])
 
 
 def _quotes(data: np.ndarray) -> np.ndarray:
@@ -97,6 +100,15 @@ def _quotes(data: np.ndarray) -> np.ndarray:
     return quote
 
 
+def bounds(text: bytes) -> tuple[int, int]:
+    """The greatest depth of a JSON text, and the most bytes between two of its brackets, commas and quotes."""
+    data = np.frombuffer(text, np.uint8)
+    quote = _quotes(data)
+    outside = np.cumsum(quote, dtype=np.uint8) % 2 == 0
+    at = np.flatnonzero(_STRUCTURE[data] & outside | quote)
+    return int(np.cumsum(_STEP[data[at]] * outside[at]).max(initial=0)), int(np.diff(at, prepend=0, append=len(data)).max())
+
+
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (path, start, size, bytes, toggles, outside, inside, braces_outside, braces_inside, first): what each range does to quotes and depth."""
     for (path, start, size), texts in _ranges(batches):
@@ -104,18 +116,22 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts:
             data = np.frombuffer(text, np.uint8)
             first = first or text.lstrip(b"\xef\xbb\xbf \t\r\n")[:1].decode("latin-1")
-            inside = (np.cumsum(_quotes(data)) + toggles) % 2
-            step, brace = _STEP[data], (data == ord("{")).astype(np.int64) - (data == ord("}"))
+            quote = _quotes(data)
+            at = np.flatnonzero(_BRACKET[data])
+            # sums of eight bits are right as to odd and even
+            inside = (np.cumsum(quote, dtype=np.uint8)[at] + toggles) % 2
+            mark = data[at]
+            step, brace = _STEP[mark], (mark == ord("{")).astype(np.int64) - (mark == ord("}"))
             for state in (0, 1):
                 depth[state] += int(step[inside == state].sum())
                 braces[state] += int(brace[inside == state].sum())
-            toggles += int(_quotes(data).sum())
+            toggles = (toggles + int(np.count_nonzero(quote))) % 2
             total += len(data)
         values = (path, start, size, total, toggles % 2, depth[0], depth[1], braces[0], braces[1], first)
         yield pa.record_batch([pa.array([v]) for v in values], ["path", "start", "size", "bytes", "toggles", "outside", "inside", "braces_outside", "braces_inside", "first"])
 
 
-def _cut(states, level: int) -> Callable:
+def _cut(states, level: int, sure: Callable | None) -> Callable:
     """Rows of ``ROWS``: the elements at ``level``, and what stands at the ends of ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +144,15 @@ def _cut(states, level: int) -> Callable:
 
             def put(kind: str, text: bytes, comma: bool) -> None:
                 nonlocal place
-                out.append((path, start, place, kind, section, container, comma, text.decode("utf-8", "replace")))
+                said = text.decode("utf-8", "replace")
+                out.append((path, start, place, kind, section, container, comma, said, sure(section, said) if sure and kind == "element" else None))
                 place += 1
 
             for text in texts:
                 data = np.frombuffer(text, np.uint8)
-                within = np.cumsum(_quotes(data)) + inside
-                at = np.flatnonzero(_STRUCTURE[data] & (within % 2 == 0))
-                inside = int(within[-1]) % 2
+                within = (np.cumsum(_quotes(data), dtype=np.uint8) + np.uint8(inside)) & 1
+                at = np.flatnonzero(_STRUCTURE[data] & (within == 0))
+                inside = int(within[-1])
                 step = _STEP[data[at]]
                 after = depth + np.cumsum(step)
                 seen = np.minimum(after, after - step) < level
@@ -195,13 +212,28 @@ def _key(text: bytes) -> str | None:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split(" ")[0] for x in ROWS.split(", ")])
 
 
+#: Folders that elements are kept apart in by their sections.
+_PARTS = 16
+
+
+def part_of(section: Column) -> Column:
+    """The folder of a section; null where the section isn't known when an element is cut."""
+    return F.when(section.isNotNull(), F.pmod(F.xxhash64(section), F.lit(_PARTS)).cast("int"))
+
+
+def in_section(rows: DataFrame, *names: str) -> DataFrame:
+    """The elements of sections; others are skipped without being read where their sections were known when they were cut."""
+    kept = F.col("part").isNull() | reduce(or_, [F.col("part") == part_of(F.lit(n)) for n in names])
+    return rows.where(kept & F.col("section").isin(*names))
+
+
 @dataclass(frozen=True)
 class Elements:
-    """Elements (path, section, container, start, place, text), what holds them (path, section, container), broken documents (path, problem), and all files (path)."""
+    """Elements (path, section, container, start, place, text, sure, part), what holds them (path, section, container), broken documents (path, problem), and all files (path)."""
 
     rows: DataFrame
     sections: DataFrame
@@ -209,14 +241,15 @@ class Elements:
     files: DataFrame
 
 
-def elements(spark: SparkSession, path: str, level: int = 1, glob: str = "*") -> Elements:
+def elements(spark: SparkSession, path: str, level: int = 1, glob: str = "*", sure: Callable[[str | None, str], str | None] | None = None) -> Elements:
     """The elements of JSON documents.
 
     At ``level`` 1 elements are those of a document that is an array, or the members ``"key": value`` of
     one that is an object. At ``level`` 2 they are what the lists and objects at the top level hold;
     ``section`` names them, and values that are neither have an empty ``container``. (start, place)
     orders a file's elements. The text of an element isn't parsed here; blank ones between commas
-    are kept. A document counts as broken if it is empty, ends within a string or brackets, closes
+    are kept. ``sure`` of an element's section, if known yet, and text is asked while it is cut; rows carry
+    its answer, null for what is put together. A document counts as broken if it is empty, ends within a string or brackets, closes
     more than it opens or goes on after its end; its elements aren't given.
     """
     text = _text(spark, path, glob)
@@ -240,7 +273,7 @@ def elements(spark: SparkSession, path: str, level: int = 1, glob: str = "*") ->
     if len(inner) > MOST_RANGES:
         raise ValueError(f"more than {MOST_RANGES} ranges of files: raise spark.sql.files.maxPartitionBytes")
     states = spark.sparkContext.broadcast({(r.path, r.start): (r.within, r.depth) for r in inner})
-    rows = stored(text.mapInArrow(_cut(states, level), ROWS))
+    rows = stored(text.mapInArrow(_cut(states, level, sure), ROWS).withColumn("part", part_of(F.col("section"))), "part")
     more = rows.where("kind = 'error'").select("path", F.concat(F.lit("has text where none belongs: "), F.substring("text", 1, 40)).alias("problem"))
     broken = stored(broken.unionByName(more).groupBy("path").agg(F.min("problem").alias("problem")))
     fine = rows.join(broken.select("path"), "path", "left_anti")
@@ -258,11 +291,11 @@ def _put_together(rows: DataFrame) -> DataFrame:
         F.min(F.struct("start", "place", "section", "container")).alias("at"), F.max("comma").alias("comma"),
         F.array_join(F.transform(F.array_sort(F.collect_list(by)), lambda x: x["text"]), "").alias("text"),
     )
-    joined = joined.where("comma or btrim(text, ' \\t\\r\\n') <> ''").select("path", "at.start", "at.place", "at.section", "at.container", "text")
-    whole = rows.where("kind = 'element'").select("path", "start", "place", "section", "container", "text").unionByName(joined)
+    joined = joined.where("comma or btrim(text, ' \\t\\r\\n') <> ''").select("path", "at.start", "at.place", "at.section", "at.container", "text", F.lit(None).cast("string").alias("sure"), F.lit(None).cast("int").alias("part"))
+    whole = rows.where("kind = 'element'").select("path", "start", "place", "section", "container", "text", "sure", "part").unionByName(joined)
     last = rows.where("kind = 'section'").groupBy("path", "start").agg(F.max_by(F.struct("section", "container"), "place").alias("is"))
     starts = rows.select("path", "start").distinct().join(last, ["path", "start"], "left")
     carried = starts.select(F.col("path").alias("_path"), F.col("start").alias("_start"), F.last("is", True).over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)).alias("was"))
     out = whole.join(F.broadcast(carried.where("was is not null")), (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")), "left")
     known = F.col("container").isNotNull()
-    return out.select("path", F.when(known, F.col("section")).otherwise(F.col("was.section")).alias("section"), F.when(known, F.col("container")).otherwise(F.col("was.container")).alias("container"), "start", "place", "text")
+    return out.select("path", F.when(known, F.col("section")).otherwise(F.col("was.section")).alias("section"), F.when(known, F.col("container")).otherwise(F.col("was.container")).alias("container"), "start", "place", "text", "sure", "part")

@@ -10,6 +10,7 @@ from tessera.model import INFO, AnnotationDataset, dataset, numbered
 from tessera.storage import exists, paths_like, stored
 
 from .common import annotations_of, attribute, basename, carried, document_of, from_raw, listed_categories, per_image, prefixed, register, relative, require, shards_for, stem, write_documents, write_lines
+from .elements import in_section
 from .pictures import with_sizes
 from .strict import json_documents, json_lines, json_sections
 
@@ -56,13 +57,13 @@ def _kinds(schema: str) -> dict[str, str]:
 def _rows_of(rows: DataFrame, schema: str, section: str) -> DataFrame:
     """Rows (path, _ord, fields) of one list of a document; ``schema`` has the document's lists."""
     kind = _kinds(schema)[section].removeprefix("array<").removesuffix(">")
-    own = rows.where((F.col("section") == section) & (F.col("container") == "["))
+    own = in_section(rows, section).where(F.col("container") == "[")
     return own.select("path", F.struct("start", "place").alias("_ord"), F.from_json("text", kind).alias("x")).select("path", "_ord", "x.*")
 
 
 def _info_of(rows: DataFrame, schema: str) -> dict:
     """The known fields of a document's ``info``, of the first file that has one."""
-    own = rows.where("section = 'info' and container = '{'").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "text"))), lambda x: x["text"]), ",").alias("j"))
+    own = in_section(rows, "info").where("container = '{'").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "text"))), lambda x: x["text"]), ",").alias("j"))
     first = own.orderBy("path").limit(1).select(F.from_json(F.concat(F.lit("{"), "j", F.lit("}")), _kinds(schema)["info"]).alias("info")).collect()
     return {k: v for k, v in (first[0]["info"].asDict() if first and first[0]["info"] else {}).items() if v is not None}
 
@@ -97,11 +98,9 @@ class IrJson:
 
 
 def _two_sections(i: DataFrame, first: Column, second: Column) -> DataFrame:
-    """Rows (section, key, place, part): ``first`` of each image in section 0 and the texts of the array ``second`` in section 1."""
-    return i.select("key", F.inline(F.concat(
-        F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("place"), first.alias("part"))),
-        F.transform(second, lambda x, n: F.struct(F.lit(1).alias("section"), n.alias("place"), x.alias("part"))),
-    )))
+    """Rows (section, key, place, part): ``first`` of each image in section 0 and the texts of the array ``second``, joined, in section 1 unless there are none."""
+    parts = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("place"), first.alias("part")), F.when(F.size(second) > 0, F.struct(F.lit(1).alias("section"), F.lit(0).alias("place"), F.array_join(second, ",").alias("part"))))
+    return i.select("key", F.inline(F.array_compact(parts)))
 
 
 def _model_document(ds: AnnotationDataset, images: DataFrame, path: str, shards: int | None, info_of) -> None:
@@ -298,7 +297,8 @@ class Labelbox:
         obj = "array<struct<name:string,bounding_box:struct<left:double,top:double,width:double,height:double>,polygon:array<struct<x:double,y:double>>>>"
         schema = f"data_row struct<id:string,external_id:string,row_data:string,global_key:string>, media_attributes struct<width:bigint,height:bigint>, projects map<string,struct<labels:array<struct<annotations:struct<objects:{obj}>>>>>"
         rows = json_lines(spark, path, "labelbox").select(F.from_json("line", schema).alias("d"), F.col("_ord").alias("at")).select("d.*", "at")
-        rows = rows.withColumn("file_name", F.coalesce("data_row.external_id", basename(F.col("data_row.row_data")), "data_row.global_key"))
+        # lines are checked and parsed once, for counts, boxes and images
+        rows = stored(rows).withColumn("file_name", F.coalesce("data_row.external_id", basename(F.col("data_row.row_data")), "data_row.global_key"))
         a = rows.select("file_name", F.explode("projects").alias("project", "p")).select("file_name", "project", F.posexplode("p.labels").alias("n", "l")).select("file_name", "project", "n", F.posexplode("l.annotations.objects").alias("k", "x"))
         shape = F.coalesce(F.size("x.polygon") >= 3, F.lit(False))
         skipped = a.where(F.col("x.bounding_box").isNull() & ~shape).count()

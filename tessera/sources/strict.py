@@ -7,13 +7,17 @@ and the first problem; ``parse_errors`` lists all problems of all files instead.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, lines
-from .elements import Elements, elements
+from .elements import Elements, bounds, elements
 
 TEXT, COUNT, ID, NUMBER, ANY = "text", "a count", "an id", "a number", "anything"
 POINT = (NUMBER, NUMBER)
@@ -91,6 +95,104 @@ def text_problems(text: Column, shape, place: Column) -> Column:
     return _once(parsed, lambda x: F.when(F.coalesce(F.size(x) == 1, F.lit(False)), found(x)).otherwise(F.array(F.concat(place, F.lit(" isn't a JSON value")))))
 
 
+def _distinct(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a name stands twice")
+    return out
+
+
+def _refused(name: str):
+    raise ValueError(name)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_distinct, parse_constant=_refused)
+#: Lengths of texts, depths and characters between brackets, commas and quotes beyond which nothing is sure; far below the limits of the JVM's parser.
+_SURE_LENGTH, _SURE_DEPTH, _SURE_GAP = 8_000_000, 400, 900
+
+
+def _parsed(text: str) -> object:
+    """A JSON text's value; an error where the JVM's parser might see another one, or none."""
+    if "\\u" in text or len(text) > _SURE_LENGTH:
+        raise ValueError("not sure")
+    if len(text) < _SURE_DEPTH:
+        deep = False
+    elif len(text) < _SURE_GAP:
+        deep = text.count("[") + text.count("{") > _SURE_DEPTH
+    else:
+        depth, gap = bounds(text.encode())
+        deep = depth > _SURE_DEPTH or gap > _SURE_GAP
+    if deep:
+        raise ValueError("not sure")
+    return _DECODER.decode(text)
+
+
+def _fits(shape) -> Callable[[object], bool]:
+    """Whether a parsed value certainly has no ``problems``."""
+    if isinstance(shape, Maybe):
+        inner = _fits(shape.shape)
+        return lambda v: v is None or inner(v)
+    if isinstance(shape, dict) and "*" in shape:
+        each = _fits(shape["*"])
+        return lambda v: type(v) is dict and all(map(each, v.values()))
+    if isinstance(shape, dict):
+        fields = [(k, _fits(s)) for k, s in shape.items()]
+        return lambda v: type(v) is dict and all(f(v.get(k)) for k, f in fields)
+    if isinstance(shape, list):
+        item = _fits(shape[0])
+        return lambda v: type(v) is list and all(map(item, v))
+    if isinstance(shape, tuple):
+        places = [_fits(s) for s in shape]
+        return lambda v: type(v) is list and len(v) == len(places) and all(f(x) for f, x in zip(places, v, strict=True))
+    if shape == ANY:
+        return lambda v: True
+    if shape == TEXT:
+        return lambda v: type(v) is str
+    if shape == NUMBER:
+        return lambda v: (type(v) is int and -(2**63) <= v < 2**63) or (type(v) is float and abs(v) < 1e300)
+    most = _MOST[shape]
+    return lambda v: type(v) is int and 0 <= v <= most
+
+
+def _certain(text: str | None, fits: Callable[[object], bool]) -> bool:
+    try:
+        return text is not None and fits(_parsed(text))
+    except (ValueError, RecursionError):
+        return False
+
+
+def sure(shape) -> Callable[[Column], Column]:
+    """Whether a JSON text certainly fits a shape. Most do, so that few are looked at as VARIANT, which takes ten times as long and names the problems."""
+
+    @F.pandas_udf("boolean")
+    def certain(texts: pd.Series) -> pd.Series:
+        fits = _fits(shape)
+        return pd.Series([_certain(t, fits) for t in texts], dtype=bool)
+
+    return certain
+
+
+def sure_section(form: str) -> Callable[[str | None, str], str | None]:
+    """The list of a format that an element certainly fits in: its own ``section`` or, where that isn't known yet, the first one."""
+    shapes = {k: s.shape if isinstance(s, Maybe) else s for k, s in SECTIONS[form].items()}
+
+    def find(section: str | None, text: str) -> str | None:
+        if section is not None and section not in shapes:
+            return None
+        try:
+            value = _parsed(text)
+        except (ValueError, RecursionError):
+            return None
+        for name in shapes if section is None else (section,):
+            fits = compiled.get(name) or compiled.setdefault(name, _fits(shapes[name]))
+            if fits(value):
+                return name
+        return None
+
+    compiled: dict[str, Callable] = {}
+    return find
+
+
 def _fitting(text: Column, found: Column, name: Column) -> Column:
     """``text``, or an error that names the file and the first of the problems found.
 
@@ -103,8 +205,9 @@ def _fitting(text: Column, found: Column, name: Column) -> Column:
 def checked(rows: DataFrame, shape, text: str = "text", place: Column | None = None, aside: Column | None = None) -> DataFrame:
     """``rows`` whose ``text`` is an error, with the file and the first problem, where its JSON doesn't fit; those ``aside`` aren't looked at."""
     found = text_problems(F.col(text), shape, F.lit("$") if place is None else place)
-    found = found if aside is None else F.when(aside, F.array().cast("array<string>")).otherwise(found)
-    return rows.withColumn(text, _fitting(F.col(text), found, F.col("path")))
+    fine = F.col("_sure") if aside is None else aside | F.col("_sure")
+    found = F.when(fine, F.array().cast("array<string>")).otherwise(found)
+    return rows.withColumn("_sure", sure(shape)(F.col(text))).withColumn(text, _fitting(F.col(text), found, F.col("path"))).drop("_sure")
 
 
 _LIST = [ANY]
@@ -175,35 +278,37 @@ def _element_problems(form: str) -> Column:
     for section, shape in SECTIONS[form].items():
         place = F.concat(F.lit(f"{section} at "), F.col("start").cast("string"), F.lit("+"), F.col("place").cast("string"))
         own = (F.col("section") == section) & (F.col("container") == "[")
-        found = F.when(own, text_problems(F.col("text"), shape.shape if isinstance(shape, Maybe) else shape, place)).otherwise(found)
+        found = F.when(own & (F.col("sure") == section), F.array().cast("array<string>")).when(own, text_problems(F.col("text"), shape.shape if isinstance(shape, Maybe) else shape, place)).otherwise(found)
     return found
 
 
 def json_sections(spark: SparkSession, path: str, form: str) -> DataFrame:
-    """Rows (path, section, container, start, place, text) of a format's documents, all of which have been checked.
+    """Rows (path, section, container, start, place, text, part) of a format's documents, all of which have been checked.
 
     Documents may be of any size: tasks share each file. The error is the first one by path and place.
     """
-    e = elements(spark, path, 2)
+    e = elements(spark, path, 2, sure=sure_section(form))
     bad = _missing(e, form).orderBy("path", "problem").limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0].path}: {bad[0].problem}")
-    found = e.rows.select("path", "start", "place", F.get(_element_problems(form), F.lit(0)).alias("problem")).where("problem is not null")
+    found = e.rows.where("sure is null or sure <> section").select("path", "start", "place", F.get(_element_problems(form), F.lit(0)).alias("problem")).where("problem is not null")
     first = found.orderBy("path", "start", "place").limit(1).collect()
     if first:
         raise ValueError(f"{first[0].path}: {first[0].problem}")
-    return e.rows
+    return e.rows.drop("sure")
 
 
 def parse_errors(spark: SparkSession, path: str, form: str) -> DataFrame:
     """Rows (path, problem): all problems of the JSON documents of a format, none where a reader would read them."""
     if form in SECTIONS:
-        e = elements(spark, path, 2)
-        return _missing(e, form).unionByName(e.rows.select("path", F.explode(_element_problems(form)).alias("problem")))
+        e = elements(spark, path, 2, sure=sure_section(form))
+        return _missing(e, form).unionByName(e.rows.where("sure is null or sure <> section").select("path", F.explode(_element_problems(form)).alias("problem")))
     if form in LINES:
         rows = lines(spark, path).where(F.btrim("line") != "")
+        rows = rows.where(~sure(LINES[form])(F.col("line")))
         return rows.select("path", F.explode(text_problems(F.col("line"), LINES[form], _line())).alias("problem"))
     rows = documents(spark, path, "*")
     if form in ASIDE:
         rows = rows.where(~F.col("path").endswith(ASIDE[form]))
+    rows = rows.where(~sure(DOCUMENTS[form])(F.col("text")))
     return rows.select("path", F.explode(text_problems(F.col("text"), DOCUMENTS[form], F.lit("$"))).alias("problem"))
