@@ -21,13 +21,17 @@ INFO = ("name", "version", "description", "url", "year", "contributor", "date_cr
 
 @dataclass(frozen=True)
 class AnnotationDataset:
-    """One dataset. ``info`` holds the fields of ``INFO`` that are known, and ``attributes``."""
+    """One dataset. ``info`` holds the fields of ``INFO`` that are known, and ``attributes``.
+
+    ``named`` has the annotations' id, file_name, label and box, if a reader knows them without joining the tables.
+    """
 
     images: DataFrame
     categories: DataFrame
     annotations: DataFrame
     licenses: DataFrame
     info: dict = field(default_factory=dict)
+    named: DataFrame | None = None
 
     def with_views(self, prefix: str = "") -> AnnotationDataset:
         """Register the tables as temporary views, for SQL."""
@@ -36,7 +40,7 @@ class AnnotationDataset:
         return self
 
     def changed(self, **tables) -> AnnotationDataset:
-        return replace(self, **tables)
+        return replace(self, **({"named": None} | tables))
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -26,15 +26,17 @@ def clean(ds: AnnotationDataset) -> AnnotationDataset:
     images = ds.images.where("width > 0 and height > 0").withColumn("date_captured", F.lit(None).cast("string"))
     a = ds.annotations.where(ordered(box())).withColumn("attributes", F.create_map().cast("map<string,string>"))
     a = a.join(images.select(F.col("id").alias("_i")), F.col("image_id") == F.col("_i"), "left_semi").join(ds.categories.select(F.col("id").alias("_c")), F.col("category_id") == F.col("_c"), "left_semi")
-    # writers count and read it several times
-    return ds.changed(images=images, annotations=stored(a))
+    # writers count and read it several times; none asks for places in the source
+    return ds.changed(images=images, annotations=stored(a.withColumn("_ord", F.col("id"))))
 
 
 def boxes_of(ds: AnnotationDataset) -> DataFrame:
     """Rows (file_name, label, xmin, ymin, xmax, ymax), rounded."""
     i = ds.images.select(F.col("id").alias("_i"), "file_name")
     c = ds.categories.select(F.col("id").alias("_c"), F.col("name").alias("label"))
-    rows = ds.annotations.join(i, F.col("image_id") == F.col("_i")).join(c, F.col("category_id") == F.col("_c"))
+    rows = ds.named
+    if rows is None:
+        rows = ds.annotations.join(i, F.col("image_id") == F.col("_i")).join(c, F.col("category_id") == F.col("_c"))
     # shares of an image come back with the last digits changed; halves of pixels are far from the rounding
     return rows.select("file_name", "label", *[F.round(x, 2).alias(n) for n, x in zip(box()._fields, box(), strict=True)])
 

@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box
@@ -143,6 +143,57 @@ def from_raw(images: DataFrame | None, annotations: DataFrame, categories: DataF
     return dataset(i.withColumn("_ord", F.col("id")), c.withColumn("_ord", F.col("id")), a.withColumn("_ord", F.col("id")), licenses, info)
 
 
+def ahead(n: Column) -> Column:
+    """The sum of ``n`` over the rows of the task that stand before this one."""
+
+    @F.pandas_udf("long")
+    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        total = 0
+        for own in batches:
+            yield own.cumsum() + (total - own)
+            total += int(own.sum())
+
+    return sums.asNondeterministic()(n)
+
+
+def _starts(totals: DataFrame, key: str, **counts: str) -> DataFrame:
+    """Rows (_key, names of ``counts``): the sums of the counted columns over the smaller keys."""
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(F.col(key).alias("_key"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in counts.items()])
+
+
+def from_lists(rows: DataFrame, by_name: bool = False) -> AnnotationDataset:
+    """``from_raw`` for documents that list boxes by image: rows (path, at, file_name, width, height, boxes), each document's in order in one task.
+
+    ``boxes`` has label, box and perhaps confidence and attributes. Annotations are numbered as they stand, or ``by_name``
+    of their images. Only rows of images are sorted, not boxes: their numbers are sums of the lists' sizes.
+    """
+    size = lambda edge: F.greatest(F.array_max(F.transform(F.col("boxes")[edge], lambda v: F.ceil(v))), F.lit(1))
+    some = F.col("_boxes") > 0
+    lists = stored(rows.withColumn("_boxes", F.size("boxes")).withColumns({"_w": F.when(some, size("xmax")), "_h": F.when(some, size("ymax")), "_first": F.lit(0) if by_name else ahead(F.col("_boxes"))}))
+    placed = lists
+    if not by_name:
+        of_path = lists.groupBy("path").agg(F.sum("_boxes").alias("_n"), F.min("_first").alias("_least"))
+        shift = _starts(of_path, "path", _shift="_n").join(of_path.select("path", "_least"), F.col("_key") == F.col("path")).select("_key", (F.col("_shift") - F.col("_least")).alias("_shift"))
+        placed = lists.join(F.broadcast(shift), F.col("path") == F.col("_key")).withColumn("_first", F.col("_first") + F.col("_shift")).drop("_key", "_shift")
+    name = Window.partitionBy("file_name").orderBy("path", "at")
+    every = name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = placed.repartitionByRange("file_name").withColumns({"_new": (F.row_number().over(name) == 1).cast("int"), "_is": F.lead(F.lit(1)).over(name).isNull(), "_w": F.max("_w").over(every), "_h": F.max("_h").over(every)})
+    own = own.withColumns({"_images": ahead(F.col("_new")) + F.col("_new"), "_p": F.spark_partition_id()} | ({"_first": ahead(F.col("_boxes"))} if by_name else {}))
+    own = stored(own.drop("path", "at"))
+    labels = lists.select(F.explode("boxes.label").alias("name")).where("name is not null").distinct()
+    c = numbered(labels.withColumn("supercategory", F.lit(None).cast("string")), "name", name="id")
+    discard(lists)
+    before = _starts(own.groupBy("_p").agg(F.sum("_new").alias("_i"), F.sum("_boxes").alias("_b")), "_p", _before="_i", _boxes_before="_b")
+    own = own.join(F.broadcast(before), F.col("_p") == F.col("_key")).withColumn("image_id", F.col("_images") + F.col("_before"))
+    i = own.where("_is").select(F.col("image_id").alias("id"), "file_name", F.coalesce(F.col("width").cast("long"), "_w").alias("width"), F.coalesce(F.col("height").cast("long"), "_h").alias("height"), F.create_map().cast("map<string,string>").alias("attributes"))
+    first = F.col("_first") + F.col("_boxes_before") if by_name else F.col("_first")
+    a = own.where("file_name is not null").select("image_id", "file_name", first.alias("_first"), F.posexplode("boxes").alias("_k", "x")).select("image_id", "file_name", (F.col("_first") + F.col("_k") + 1).alias("id"), "x.*")
+    a = _filled(a, confidence=F.lit(None).cast("double"), attributes=F.create_map().cast("map<string,string>"))
+    a = a.join(c.select(F.col("name").alias("_l"), F.col("id").alias("category_id")), F.col("label") == F.col("_l"))
+    return dataset(i.withColumn("_ord", F.col("id")), c.withColumn("_ord", F.col("id")), a.withColumn("_ord", F.col("id"))).changed(named=a.select("id", "file_name", "label", *BOX))
+
+
 def annotations_of(rows: DataFrame, box: Box, *more: Column) -> DataFrame:
     """Raw annotations from rows that have file_name, label and _ord."""
     kept = [c for c in ("confidence", "attributes") if c in rows.columns]
@@ -174,6 +225,26 @@ def per_image(ds: AnnotationDataset, item: Column, missing: str | None = None, *
     return joined.withColumns({n: F.coalesce(F.transform("_all", _getter(n)), F.array()) for n in arrays}).drop("_all")
 
 
+#: Categories up to which they are sent to the tasks that hold boxes; more are joined by rows.
+FEW_CATEGORIES = 500_000
+
+
+def with_items(ds: AnnotationDataset, item: Column, missing: str, *columns: str) -> DataFrame:
+    """Images (id, file_name, ``columns``) with ``items``, their annotations as ``item`` (of box and label) in order of id. An image's annotations are few.
+
+    As ``per_image``, for items that need nothing of the image: images and boxes are brought together by one grouping, without a join.
+    """
+    c = latest(ds.categories.select("id", "name", "_ord")).select(F.col("id").alias("_cid"), F.col("name").alias("_name"))
+    if ds.categories.limit(FEW_CATEGORIES + 1).count() <= FEW_CATEGORIES:
+        c = F.broadcast(c)
+    rows = ds.annotations.join(c, F.col("category_id") == F.col("_cid"), "left").withColumn("label", F.coalesce("_name", F.lit(missing)))
+    boxes = rows.select("image_id", F.struct("id", "_cid", item.alias("item")).alias("x"))
+    images = ds.images.select(F.col("id").alias("image_id"), F.struct("id", "file_name", *columns).alias("i"))
+    grouped = images.unionByName(boxes, allowMissingColumns=True).groupBy("image_id").agg(F.collect_list("i").alias("i"), F.array_sort(F.collect_list("x")).alias("x"))
+    none = F.concat(F.lit("annotation "), F.get("x", F.lit(0))["id"].cast("string"), F.lit(" has no image"))
+    return grouped.withColumn("i", require(F.size("i") > 0, none, F.col("i"))).select(F.inline("i"), F.col("x.item").alias("items"))
+
+
 def _getter(name: str):
     return lambda x: x[name]
 
@@ -246,26 +317,25 @@ def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: s
     shard = F.col("shard") if "shard" in parts.columns else document_of("key", shards)
     rows = parts.select(shard.alias("shard"), section.alias("section"), "key", *[c for c in ("place",) if c in parts.columns], "part")
     order = [c for c in rows.columns if c not in ("shard", "part")]
-    whole = head + "".join(middles) + tail
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = -1
-        for b in batches:
-            out = []
-            for now, part in zip(b.column("section").to_pylist(), b.column("part").to_pylist(), strict=True):
-                lead = between if at == now else ("" if at >= 0 else head) + "".join(middles[max(0, at) : now])
-                at = now
-                out.append(lead + part)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-        if at >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(middles[at:]) + tail], pa.string())], ["value"])
-        elif TaskContext.get().partitionId() == 0:  # Spark writes a first file in any case
-            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.string())], ["value"])
-
-    rows.repartitionById(shards, "shard").sortWithinPartitions(*order).select("section", "part").mapInArrow(run, "value string").write.text(path)
-    spark = parts.sparkSession
-    if not bytes_at(spark, path):  # of no rows at all Spark runs no task
-        spark.createDataFrame([(whole,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    # Spark writes a first file in any case: what begins the first document is a row of its own
+    begin = {"shard": F.lit(0), "section": F.lit(-1), "part": F.lit("")}
+    first = parts.sparkSession.range(0, 1, 1, 1).select(*[begin.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    within = Window.partitionBy("shard").orderBy(*order)
+    rows = rows.union(first).repartitionById(shards, "shard").withColumns({"_was": F.lag("section").over(within), "_next": F.lead("section").over(within)})
+
+    def among(number: Column, texts: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, texts)), number + 1)
+
+    now, was = F.col("section"), F.col("_was")
+    upto = ["".join(middles[:k]) for k in range(len(middles) + 1)]
+    rest = ["".join(middles[k:]) + tail for k in range(len(middles) + 1)]
+    turn = F.lit("")
+    for k in range(len(middles)):
+        turn = F.when(was == k, F.substr(among(now, upto), F.lit(len(upto[k]) + 1))).otherwise(turn)
+    lead = F.when(now < 0, head).when(was.isNull(), F.concat(F.lit(head), among(now, upto))).when(was < 0, among(now, upto)).when(was == now, between).otherwise(turn)
+    end = F.when(F.col("_next").isNull(), F.concat(F.lit("\n"), among(F.greatest(now, F.lit(0)), rest))).otherwise("")
+    part = require(F.col("part").isNotNull(), "a part of a document is null", F.col("part"))
+    rows.select(F.concat(lead, part, end).alias("value")).write.text(path)
 
 
 def store_of(root: str):

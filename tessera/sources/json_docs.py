@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_per
 from tessera.model import INFO, AnnotationDataset, dataset, numbered
 from tessera.storage import exists, paths_like, stored
 
-from .common import annotations_of, attribute, basename, carried, document_of, from_raw, listed_categories, per_image, prefixed, register, relative, require, shards_for, stem, write_documents, write_lines
+from .common import annotations_of, attribute, basename, carried, document_of, from_lists, from_raw, listed_categories, per_image, prefixed, register, relative, require, shards_for, stem, with_items, write_documents, write_lines
 from .elements import in_section
 from .pictures import with_sizes
 from .strict import json_documents, json_lines, json_sections
@@ -36,7 +38,18 @@ def _ord(*places: str) -> Column:
 
 def _array_docs(spark: SparkSession, path: str, form: str, schema: str) -> DataFrame:
     """Elements of a format's documents that are arrays: rows (path, at, d), parsed once."""
-    return stored(json_documents(spark, path, form).select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d")))
+    return stored(_parsed_docs(spark, path, form, schema))
+
+
+def _parsed_docs(spark: SparkSession, path: str, form: str, schema: str) -> DataFrame:
+    """Elements of a format's documents that are arrays: rows (path, at, d), parsed at each use."""
+    return json_documents(spark, path, form).select("path", F.posexplode(F.from_json("text", f"array<struct<{schema}>>")).alias("at", "d"))
+
+
+def _boxes(items: Column, kept, label: str, box: Callable[[Column], Box]) -> Column:
+    """A list of labels and boxes of those ``items`` that are ``kept``."""
+    found = F.transform(F.filter(items, kept), lambda x: F.struct(x[label].alias("label"), *box(x).named()))
+    return F.coalesce(found, F.array().cast("array<struct<label:string,xmin:double,ymin:double,xmax:double,ymax:double>>"))
 
 
 def _enveloped(shape: Column, key: str) -> Column:
@@ -206,17 +219,18 @@ class V7Darwin:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         slot = "array<struct<slot_name:string,width:bigint,height:bigint,source_files:array<struct<file_name:string>>>>"
-        rows = _array_docs(spark, path, "v7-darwin", f"item:struct<name:string,slots:{slot}>,annotations:array<struct<name:string,bounding_box:struct<x:double,y:double,w:double,h:double>>>")
+        rows = _parsed_docs(spark, path, "v7-darwin", f"item:struct<name:string,slots:{slot}>,annotations:array<struct<name:string,bounding_box:struct<x:double,y:double,w:double,h:double>>>")
         first = F.get("d.item.slots", F.lit(0))
-        rows = rows.select("path", "at", F.coalesce("d.item.name", F.get(first["source_files"], F.lit(0))["file_name"], F.concat(F.lit("image_"), F.col("at").cast("string"))).alias("file_name"), first["width"].alias("width"), first["height"].alias("height"), "d.annotations")
-        a = rows.select("path", "at", "file_name", F.posexplode("annotations").alias("k", "x")).where("x.bounding_box is not null").withColumns({"label": F.col("x.name"), "_ord": _ord("path", "at", "k")})
-        return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(*[F.col(f"x.bounding_box.{k}") for k in "xywh"])))
+        boxes = _boxes(F.col("d.annotations"), lambda x: x["bounding_box"].isNotNull(), "name", lambda x: from_xywh(*[x["bounding_box"][k] for k in "xywh"]))
+        name = F.coalesce("d.item.name", F.get(first["source_files"], F.lit(0))["file_name"], F.concat(F.lit("image_"), F.col("at").cast("string")))
+        return from_lists(rows.select("path", "at", name.alias("file_name"), first["width"].alias("width"), first["height"].alias("height"), boxes.alias("boxes")))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        item = _obj(name=F.col("label"), bounding_box=F.struct(*[c.alias(n) for c, n in zip(_xywh().values(), "xywh", strict=True)]))
+        item = F.struct(F.col("label").alias("name"), F.struct(*[c.alias(n) for c, n in zip(_xywh().values(), "xywh", strict=True)]).alias("bounding_box"))
         slot = F.array(F.struct(F.lit("0").alias("slot_name"), "width", "height", F.array(F.struct("file_name")).alias("source_files")))
-        _by_image(ds, path, item, lambda: _joined(_obj(item=F.struct(F.col("file_name").alias("name"), slot.alias("slots"))), annotations=F.col("items")), "object", shards)
+        i = with_items(ds, item, "object", "width", "height").select("id", "file_name", _obj(item=F.struct(F.col("file_name").alias("name"), slot.alias("slots")), annotations=F.col("items")).alias("part"))
+        write_documents(i.select(F.struct("file_name", "id").alias("key"), "part"), path, shards or shards_for(ds), "[", "]")
 
 
 @register("label-studio", "JSON array, boxes in percent", "confidence")
