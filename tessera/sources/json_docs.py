@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -516,20 +518,20 @@ class EdgeImpulse:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         b = "array<struct<label:string,x:double,y:double,width:double,height:double>>"
-        docs = json_documents(spark, path, "edge-impulse").select("path", F.from_json("text", f"files array<struct<path:string,boundingBoxes:{b}>>, boundingBoxes map<string,{b}>").alias("d")).select("path", "d.*")
-        listed = docs.select(F.inline("files")).select(F.col("path").alias("file_name"), F.col("boundingBoxes").alias("list"))
-        rows = stored(listed.union(docs.select(F.explode("boundingBoxes").alias("file_name", "list"))))
-        whole = " and ".join(f"x.{k} is not null" for k in ("label", "x", "y", "width", "height"))
-        a = rows.select("file_name", F.posexplode("list").alias("k", "x")).where(whole).withColumns({"label": F.col("x.label"), "_ord": _ord("file_name", "k")})
-        a = annotations_of(a, from_xywh(*[F.col(f"x.{k}") for k in ("x", "y", "width", "height")]))
-        names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height")).distinct()
-        return from_raw(with_sizes(a, names, spark, images), a)
+        docs = json_documents(spark, path, "edge-impulse").select("path", F.from_json("text", f"files array<struct<path:string,boundingBoxes:{b}>>, boundingBoxes map<string,{b}>").alias("d"))
+        entries = F.transform(F.map_entries("d.boundingBoxes"), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("boundingBoxes")))
+        none = F.array().cast(f"array<struct<path:string,boundingBoxes:{b}>>")
+        rows = docs.select("path", F.posexplode(F.concat(F.coalesce("d.files", none), F.coalesce(entries, none))).alias("at", "d"))
+        whole = lambda x: reduce(and_, [x[k].isNotNull() for k in ("label", "x", "y", "width", "height")])
+        boxes = _boxes(F.col("d.boundingBoxes"), whole, "label", lambda x: from_xywh(*[x[k] for k in ("x", "y", "width", "height")]))
+        rows = rows.select("path", "at", F.col("d.path").alias("file_name"), F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), boxes.alias("boxes"))
+        return from_lists(with_sizes(rows, rows, spark, images), by_name=True)
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        i = per_image(ds, _obj(label=F.col("label"), **_xywh()), "object")
-        head = _joined(_obj(path=F.col("file_name"), category=F.lit("training")), boundingBoxes=F.col("items"))
-        write_documents(i.select(F.struct("file_name", "id").alias("key"), head.alias("part")), path, shards or shards_for(ds), '{"version":1,"files":[', "]}")
+        i = with_items(ds, F.struct("label", *[c.alias(n) for n, c in _xywh().items()]), "object")
+        part = _obj(path=F.col("file_name"), category=F.lit("training"), boundingBoxes=F.col("items"))
+        write_documents(i.select(F.struct("file_name", "id").alias("key"), part.alias("part")), path, shards or shards_for(ds), '{"version":1,"files":[', "]}")
 
 
 @register("via", "one JSON document")
