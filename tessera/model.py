@@ -70,16 +70,18 @@ def latest(df: DataFrame, key: str = "id") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*names), "_ord").alias("_last")).select(key, *[F.col("_last." + c).alias(c) for c in names])
 
 
-def numbered(df: DataFrame, *order, name: str = "_n", start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, *order, name: str = "_n", start: int = 1, kept: list[str] | None = None) -> DataFrame:
     """Number rows ``start``, ``start`` + 1, ... in order, without gathering them in one task.
 
     Rows are range-partitioned, sorted and stored with their partition and their place in it, so
-    that every later use sees the same partitions; only the partitions' sizes meet.
+    that every later use sees the same partitions; only the partitions' sizes meet. The result has
+    all columns, or those ``kept``.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     # the low bits of the id count rows within a partition
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_own": place}))
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_own": place})
+    parts = stored(parts if kept is None else parts.select(*kept, "_p", "_own"))
     sizes = parts.groupBy("_p").agg(F.max("_own").alias("_last"))
     before = sizes.select(F.col("_p").alias("_q"), (F.sum(F.col("_last") + 1).over(Window.orderBy("_p")) - F.col("_last") - 1).alias("_before"))
     return parts.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, F.col("_own") + F.col("_before") + start).drop("_p", "_q", "_own", "_before")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box
 from tessera.model import AnnotationDataset, dataset, latest, numbered
-from tessera.storage import bytes_at, discard, qualified, stored
+from tessera.storage import bytes_at, discard, passing, qualified, stored
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -114,12 +114,15 @@ def _filled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({k: v for k, v in columns.items() if k not in df.columns})
 
 
-def from_raw(images: DataFrame | None, annotations: DataFrame, categories: DataFrame | None = None, info: dict | None = None, licenses: DataFrame | None = None) -> AnnotationDataset:
+def from_raw(
+    images: DataFrame | None, annotations: DataFrame, categories: DataFrame | None = None, info: dict | None = None, licenses: DataFrame | None = None, parsed: tuple[DataFrame, ...] = ()
+) -> AnnotationDataset:
     """Ids by rule: images by file name, categories by label, annotations in order.
 
     Images that only annotations name get the smallest whole size around their boxes; of images
     defined twice the last counts. ``categories`` (name, supercategory, _ord) may list labels
-    without annotations.
+    without annotations. The result reads nothing that was given: stored tables in ``parsed``, from
+    which that comes, are discarded.
     """
     none = F.lit(None)
     # parsing is most of the work: once, for sizes, labels and numbers
@@ -137,10 +140,12 @@ def from_raw(images: DataFrame | None, annotations: DataFrame, categories: DataF
     if categories is not None:
         c = c.union(_filled(categories, supercategory=none.cast("string")).select("name", "supercategory", F.lit(0).alias("_given")))
     c = numbered(c.where("name is not null").groupBy("name").agg(F.min_by("supercategory", "_given").alias("supercategory")), "name", name="id")
-    a = numbered(a, "_ord", name="id")
-    discard(raw, sizes)
+    discard(sizes, *parsed)
+    a = numbered(a, "_ord", name="id", kept=[x for x in a.columns if x != "_ord"])
+    discard(raw)
+    named = a.where("file_name is not null and label is not null").select("id", "file_name", "label", *BOX)
     a = a.join(i.select(F.col("file_name").alias("_f"), F.col("id").alias("image_id")), F.col("file_name") == F.col("_f")).join(c.select(F.col("name").alias("_l"), F.col("id").alias("category_id")), F.col("label") == F.col("_l"))
-    return dataset(i.withColumn("_ord", F.col("id")), c.withColumn("_ord", F.col("id")), a.withColumn("_ord", F.col("id")), licenses, info)
+    return dataset(i.withColumn("_ord", F.col("id")), c.withColumn("_ord", F.col("id")), a.withColumn("_ord", F.col("id")), licenses, info).changed(named=named)
 
 
 def ahead(n: Column) -> Column:
@@ -200,33 +205,71 @@ def annotations_of(rows: DataFrame, box: Box, *more: Column) -> DataFrame:
     return rows.select("file_name", "label", *[c.cast("double").alias(n) for c, n in zip(box, BOX, strict=True)], *kept, *more, "_ord")
 
 
+#: Categories up to which they are sent to the tasks that hold boxes; more are joined by rows.
+FEW_CATEGORIES = 500_000
+
+
+def looked_up(ds: AnnotationDataset, *columns: str) -> DataFrame:
+    """Categories by id (_cid, ``columns``), to be joined to boxes; of equal ids the last counts."""
+    c = latest(ds.categories.select("id", *columns, "_ord")).withColumnRenamed("id", "_cid").drop("_ord")
+    return F.broadcast(c) if ds.categories.limit(FEW_CATEGORIES + 1).count() <= FEW_CATEGORIES else c
+
+
+def _labelled(ds: AnnotationDataset, missing: str | None, *columns: str) -> DataFrame:
+    """Annotations with their category's ``_cid``, ``columns`` and a label. One without its category is an error, or gets the label ``missing``, or is left out if that is 'skip'."""
+    rows = ds.annotations.join(looked_up(ds, "name", *columns), F.col("category_id") == F.col("_cid"), "left")
+    if missing == "skip":
+        return rows.where("_cid is not null").withColumnRenamed("name", "label")
+    none = F.lit(missing) if missing else F.raise_error(F.concat(F.lit("annotation "), F.col("id").cast("string"), F.lit(" has no category")))
+    return rows.withColumn("label", F.coalesce("name", none)).drop("name")
+
+
+def _no_image(n: Column) -> Column:
+    return F.concat(F.lit("annotation "), n.cast("string"), F.lit(" has no image"))
+
+
 def per_row(ds: AnnotationDataset, missing: str | None = None) -> DataFrame:
     """Annotations with file_name, width, height, image_attributes and label.
 
     An annotation without its image is an error. One without its category is an error too, or gets
     the label ``missing``, or is left out if that is 'skip'.
     """
-    i = latest(ds.images.select("id", "file_name", "width", "height", F.col("attributes").alias("image_attributes"), "_ord")).withColumnRenamed("id", "_iid")
-    c = latest(ds.categories.select("id", "name", "_ord")).select(F.col("id").alias("_cid"), F.col("name").alias("_name"))
-    rows = ds.annotations.join(i, F.col("image_id") == F.col("_iid"), "left").join(c, F.col("category_id") == F.col("_cid"), "left")
-    if missing == "skip":
-        rows = rows.where("_cid is not null")
-    label = F.col("_name") if missing == "skip" else F.coalesce("_name", F.lit(missing) if missing else F.raise_error(F.concat(F.lit("annotation "), F.col("id").cast("string"), F.lit(" has no category"))))
-    name = require(F.col("_iid").isNotNull(), F.concat(F.lit("annotation "), F.col("id").cast("string"), F.lit(" has no image")), F.col("file_name"))
-    return rows.withColumn("file_name", name).withColumn("label", label).drop("_name")
+    i = latest(ds.images.select("id", "file_name", "width", "height", F.col("attributes").alias("image_attributes"), "_ord")).withColumnRenamed("id", "_iid").drop("_ord")
+    rows = _labelled(ds, missing).join(i, F.col("image_id") == F.col("_iid"), "left")
+    return rows.withColumn("file_name", require(F.col("_iid").isNotNull(), _no_image(F.col("id")), F.col("file_name")))
 
 
-def per_image(ds: AnnotationDataset, item: Column, missing: str | None = None, **more: Column) -> DataFrame:
-    """Images with ``items``, their annotations as ``item`` in order of id; more arrays by name. An image's annotations are few."""
-    rows = per_row(ds, missing)
-    arrays = {"items": item, **more}
-    grouped = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", F.col("_cid"), *[c.alias(n) for n, c in arrays.items()]))).alias("_all"))
-    joined = ds.images.join(grouped, F.col("id") == F.col("image_id"), "left").drop("image_id")
-    return joined.withColumns({n: F.coalesce(F.transform("_all", _getter(n)), F.array()) for n in arrays}).drop("_all")
+def per_image(
+    ds: AnnotationDataset, item: Column, missing: str | None = None, shards: int | None = None, beside: DataFrame | None = None, columns: tuple[str, ...] = (), **more: Column,
+) -> DataFrame:
+    """Images with ``items``, their annotations as ``item`` in order of id; more arrays by name. An image's annotations are few.
 
-
-#: Categories up to which they are sent to the tasks that hold boxes; more are joined by rows.
-FEW_CATEGORIES = 500_000
+    Images and boxes are brought together by one shuffle: by image or, with ``shards``, by document. Then rows have their ``shard``,
+    and ``beside``: rows (shard, beside) that stand in documents beside images are gathered, for each document in one row without an image.
+    With ``columns`` of categories, annotations have ``_place``: that of their category among those that their document's boxes name, by ``columns``.
+    """
+    arrays, by = {"items": item, **more}, [*([] if shards is None else ["shard"]), "image_id", *([] if beside is None else ["_aside"])]
+    boxes = _labelled(ds, missing, *columns).drop("_ord").withColumn("_box", F.lit(True))
+    if columns:  # a category is missing, or is alike where all columns are
+        boxes = boxes.withColumn("_names", F.when(F.col("_cid").isNotNull(), F.struct(F.col("label").alias("name"), *columns))).drop(*columns)
+    images = ds.images.select(F.col("id").alias("image_id"), F.struct(*ds.images.columns).alias("_image"))
+    rows = boxes.unionByName(images, allowMissingColumns=True)
+    if shards is not None:
+        rows = rows.withColumn("shard", document_of("image_id", shards))
+        if beside is not None:
+            rows = rows.unionByName(beside, allowMissingColumns=True).withColumn("_aside", F.col("beside").isNotNull())
+        rows = rows.repartitionById(shards, "shard")
+        if columns:
+            place = F.dense_rank().over(Window.partitionBy("shard").orderBy(F.col("_names").isNull(), "_names")) - 1
+            rows = rows.withColumn("_place", F.when(F.col("_names").isNotNull(), place))
+    own = F.max_by("_image", "_image._ord").over(Window.partitionBy(*by))
+    rows = rows.withColumn("_own", own).withColumns({c: F.col("_own")[c] for c in ("file_name", "width", "height")} | {"image_attributes": F.col("_own.attributes")})
+    each = F.when(F.col("_box"), F.struct("id", "_cid", *[c.alias(n) for n, c in arrays.items()]))
+    gathered = [F.collect_list("_image").alias("_images"), F.array_sort(F.collect_list(each)).alias("_all"), *([F.collect_list("beside").alias("beside")] if beside is not None else [])]
+    grouped = rows.groupBy(*by).agg(*gathered)
+    known = require((F.size("_images") > 0) | (F.size("_all") == 0), _no_image(F.get("_all", F.lit(0))["id"]), F.col("_images"))
+    kept = [*([] if shards is None else ["shard"]), *([] if beside is None else ["beside"]), *[F.transform("_all", _getter(n)).alias(n) for n in arrays]]
+    return grouped.select(F.inline_outer(known) if beside is not None else F.inline(known), *kept)
 
 
 def with_items(ds: AnnotationDataset, item: Column, missing: str, *columns: str) -> DataFrame:
@@ -234,15 +277,11 @@ def with_items(ds: AnnotationDataset, item: Column, missing: str, *columns: str)
 
     As ``per_image``, for items that need nothing of the image: images and boxes are brought together by one grouping, without a join.
     """
-    c = latest(ds.categories.select("id", "name", "_ord")).select(F.col("id").alias("_cid"), F.col("name").alias("_name"))
-    if ds.categories.limit(FEW_CATEGORIES + 1).count() <= FEW_CATEGORIES:
-        c = F.broadcast(c)
-    rows = ds.annotations.join(c, F.col("category_id") == F.col("_cid"), "left").withColumn("label", F.coalesce("_name", F.lit(missing)))
+    rows = _labelled(ds, missing)
     boxes = rows.select("image_id", F.struct("id", "_cid", item.alias("item")).alias("x"))
     images = ds.images.select(F.col("id").alias("image_id"), F.struct("id", "file_name", *columns).alias("i"))
     grouped = images.unionByName(boxes, allowMissingColumns=True).groupBy("image_id").agg(F.collect_list("i").alias("i"), F.array_sort(F.collect_list("x")).alias("x"))
-    none = F.concat(F.lit("annotation "), F.get("x", F.lit(0))["id"].cast("string"), F.lit(" has no image"))
-    return grouped.withColumn("i", require(F.size("i") > 0, none, F.col("i"))).select(F.inline("i"), F.col("x.item").alias("items"))
+    return grouped.withColumn("i", require(F.size("i") > 0, _no_image(F.get("x", F.lit(0))["id"]), F.col("i"))).select(F.inline("i"), F.col("x.item").alias("items"))
 
 
 def _getter(name: str):
@@ -279,7 +318,8 @@ def write_lines(rows: DataFrame, path: str, *order: str, header: str | None = No
         # the low bits of the id count rows within a part
         first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
         sorted_ = sorted_.select(F.when(first, F.concat(F.lit(header + "\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
-    sorted_.write.text(path)
+    with passing(rows.sparkSession):
+        sorted_.write.text(path)
     discard(rows)
 
 
@@ -307,6 +347,17 @@ def listed_categories(ds: AnnotationDataset, shards: int) -> DataFrame:
     return keys.join(ds.categories, F.col("_c") == F.col("id")).drop("_c")
 
 
+def listed_names(ds: AnnotationDataset, shards: int, *columns: str) -> DataFrame:
+    """Rows (shard, id, ``columns``): what each document lists where categories are known by ``columns``, not by id: those of its boxes, and each in one document at least.
+
+    ``id`` is the smallest of the document's categories that are alike. So a list is no longer than there are different names.
+    ``bare`` is 0 for those of its boxes, else 1.
+    """
+    used = ds.annotations.select(document_of("image_id", shards).alias("shard"), "category_id").join(looked_up(ds, *columns), F.col("category_id") == F.col("_cid")).select("shard", *columns, F.col("_cid").alias("id"), F.lit(0).alias("bare"))
+    every = ds.categories.groupBy(*columns).agg(F.min("id").alias("id")).select(document_of("id", shards).alias("shard"), *columns, "id", F.lit(1).alias("bare"))
+    return used.union(every).groupBy("shard", *columns).agg(F.min("id").alias("id"), F.min("bare").alias("bare")).select("shard", "id", *columns, "bare")
+
+
 def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: str, between: str = ",", middles: tuple[str, ...] = ()) -> None:
     """Write documents from rows (key, part) and perhaps ``section`` (from 0) and ``shard``, each document's parts in order of section and key.
 
@@ -316,12 +367,39 @@ def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: s
     section = F.col("section") if "section" in parts.columns else F.lit(0)
     shard = F.col("shard") if "shard" in parts.columns else document_of("key", shards)
     rows = parts.select(shard.alias("shard"), section.alias("section"), "key", *[c for c in ("place",) if c in parts.columns], "part")
-    order = [c for c in rows.columns if c not in ("shard", "part")]
     # Spark writes a first file in any case: what begins the first document is a row of its own
     begin = {"shard": F.lit(0), "section": F.lit(-1), "part": F.lit("")}
     first = parts.sparkSession.range(0, 1, 1, 1).select(*[begin.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    _write_parts(rows.union(first).repartitionById(shards, "shard"), path, head, tail, between, middles)
+
+
+def write_images(
+    ds: AnnotationDataset, path: str, shards: int, item: Column, parts: list[tuple[Column | None, Column, Column]], head: str, tail: str,
+    between: str = ",", middles: tuple[str, ...] = (), missing: str | None = None, beside: DataFrame | None = None, columns: tuple[str, ...] = (), **more: Column,
+) -> None:
+    """Write documents as ``write_documents`` does, each image in the document of its id: boxes are shuffled once, as numbers, and become text where their document is written.
+
+    ``parts`` (condition or None, key, part), one for each section, are of an image's columns and its arrays as ``per_image`` gives them.
+    What stands ``beside`` images are rows (shard, key, part) of a section before theirs.
+    """
+    lead = 0 if beside is None else 1
+    entry = lambda section, key, part: F.struct(section.alias("section"), key.alias("key"), part.alias("part"))
+    own = [entry(F.lit(n + lead), key, part) for n, (_, key, part) in enumerate(parts)]
+    own = F.array_compact(F.array(*[x if some is None else F.when(some, x) for x, (some, _, _) in zip(own, parts, strict=True)]))
+    key = ds.images.limit(0).select(parts[0][1].alias("key")).schema["key"].dataType
+    # Spark writes a first file in any case: what begins the first document is a row of its own
+    others = ds.images.sparkSession.range(0, 1, 1, 1).select(F.lit(0).alias("shard"), entry(F.lit(-1), F.lit(None).cast(key), F.lit("")).alias("beside"))
+    if beside is not None:
+        others = others.union(beside.select("shard", entry(F.lit(0), F.col("key").cast(key), F.col("part")).alias("beside")))
+    i = per_image(ds, item, missing, shards, others, columns, **more)
+    _write_parts(i.select("shard", F.inline(F.when(F.size("beside") > 0, F.col("beside")).otherwise(own))), path, head, tail, between, middles)
+
+
+def _write_parts(rows: DataFrame, path: str, head: str, tail: str, between: str, middles: tuple[str, ...]) -> None:
+    """Write rows (shard, section, key, perhaps place, part), each document's in a partition of its own."""
+    order = [c for c in rows.columns if c not in ("shard", "part")]
     within = Window.partitionBy("shard").orderBy(*order)
-    rows = rows.union(first).repartitionById(shards, "shard").withColumns({"_was": F.lag("section").over(within), "_next": F.lead("section").over(within)})
+    rows = rows.withColumns({"_was": F.lag("section").over(within), "_next": F.lead("section").over(within)})
 
     def among(number: Column, texts: list[str]) -> Column:
         return F.element_at(F.array(*map(F.lit, texts)), number + 1)
@@ -335,7 +413,8 @@ def write_documents(parts: DataFrame, path: str, shards: int, head: str, tail: s
     lead = F.when(now < 0, head).when(was.isNull(), F.concat(F.lit(head), among(now, upto))).when(was < 0, among(now, upto)).when(was == now, between).otherwise(turn)
     end = F.when(F.col("_next").isNull(), F.concat(F.lit("\n"), among(F.greatest(now, F.lit(0)), rest))).otherwise("")
     part = require(F.col("part").isNotNull(), "a part of a document is null", F.col("part"))
-    rows.select(F.concat(lead, part, end).alias("value")).write.text(path)
+    with passing(rows.sparkSession):
+        rows.select(F.concat(lead, part, end).alias("value")).write.text(path)
 
 
 def store_of(root: str):
@@ -372,7 +451,8 @@ def write_files(files: DataFrame, root: str) -> None:
                 _put(store, f"{base}/{name}", iter([content if isinstance(content, bytes) else content.encode()]))
             yield b.select(["name"])
 
-    files.select(safe(F.col("name")).alias("name"), "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    with passing(files.sparkSession):
+        files.select(safe(F.col("name")).alias("name"), "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def write_partitions(rows: DataFrame, root: str, name: str) -> None:
@@ -390,4 +470,5 @@ def write_partitions(rows: DataFrame, root: str, name: str) -> None:
             _put(store, f"{base}/{at}", chain([first or b""], some))
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.string())], ["name"])
 
-    rows.select("content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    with passing(rows.sparkSession):
+        rows.select("content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()

@@ -13,7 +13,10 @@ from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_per
 from tessera.model import INFO, AnnotationDataset, dataset, numbered
 from tessera.storage import exists, paths_like, stored
 
-from .common import annotations_of, attribute, basename, carried, document_of, from_lists, from_raw, listed_categories, per_image, prefixed, register, relative, require, shards_for, stem, with_items, write_documents, write_lines
+from .common import (
+    annotations_of, attribute, basename, carried, document_of, from_lists, from_raw, listed_categories, listed_names, per_image, prefixed, register, relative, require, shards_for, stem, with_items,
+    write_documents, write_images, write_lines,
+)
 from .elements import in_section
 from .pictures import with_sizes
 from .strict import json_documents, json_lines, json_sections
@@ -107,28 +110,25 @@ class IrJson:
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         none = lambda m: F.when(F.size(m) > 0, m)
         item = _obj(id=F.col("id"), image_id=F.col("image_id"), category_id=F.col("category_id"), bbox=F.struct(*box().named()), confidence=F.col("confidence"), attributes=none(F.col("attributes")))
-        i = per_image(ds, item, "unknown")
         head = _obj(**{c: F.col(c) for c in ("id", "file_name", "width", "height", "license_id", "date_captured")}, attributes=none(F.col("attributes")))
-        _model_document(ds, i.select(F.col("id").alias("key"), head.alias("h"), "items"), path, shards, lambda d: d)
+        _model_document(ds, item, head, path, shards, lambda d: d)
 
 
-def _two_sections(i: DataFrame, first: Column, second: Column) -> DataFrame:
-    """Rows (section, key, place, part): ``first`` of each image in section 0 and the texts of the array ``second``, joined, in section 1 unless there are none."""
-    parts = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("place"), first.alias("part")), F.when(F.size(second) > 0, F.struct(F.lit(1).alias("section"), F.lit(0).alias("place"), F.array_join(second, ",").alias("part"))))
-    return i.select("key", F.inline(F.array_compact(parts)))
+def _two_sections(key: Column, first: Column, second: Column) -> list[tuple]:
+    """Parts of an image: ``first`` in one section and the texts of the array ``second``, joined, in the next unless there are none."""
+    return [(None, key, first), (F.size(second) > 0, key, F.array_join(second, ","))]
 
 
-def _model_document(ds: AnnotationDataset, images: DataFrame, path: str, shards: int | None, info_of) -> None:
+def _model_document(ds: AnnotationDataset, item: Column, image: Column, path: str, shards: int | None, info_of) -> None:
     """A document of lists of categories, images and annotations. Every shard lists all licences and the categories of its own boxes; each category is in one shard at least."""
     shards = shards or shards_for(ds)
-    c = listed_categories(ds, shards).select("shard", F.lit(0).alias("section"), F.col("id").alias("key"), F.lit(0).alias("place"), _obj(id=F.col("id"), name=F.col("name"), supercategory=F.col("supercategory")).alias("part"))
+    c = listed_categories(ds, shards).select("shard", F.col("id").alias("key"), _obj(id=F.col("id"), name=F.col("name"), supercategory=F.col("supercategory")).alias("part"))
     n = ds.licenses.agg(F.array_sort(F.collect_list(F.struct("id", _obj(id=F.col("id"), name=F.col("name"), url=F.col("url")).alias("j")))).alias("c")).first()["c"]
     import json
 
     info = json.dumps(info_of({k: v for k, v in ds.info.items() if v is not None and v != {}}))
     fixed_part = f'{{"info":{info},"licenses":[{",".join(x["j"] for x in n)}],"categories":['
-    parts = _two_sections(images, F.col("h"), F.col("items")).select(document_of("key", shards).alias("shard"), (F.col("section") + 1).alias("section"), "key", "place", "part")
-    write_documents(c.union(parts), path, shards, fixed_part, "]}", middles=('],"images":[', '],"annotations":['))
+    write_images(ds, path, shards, item, _two_sections(F.col("id"), image, F.col("items")), fixed_part, "]}", middles=('],"images":[', '],"annotations":['), missing="unknown", beside=c)
 
 
 @register("coco", "one JSON document", "ids", "confidence", "supercategory", "area")
@@ -158,22 +158,19 @@ class Coco:
         at = lambda k: F.try_element_at("attributes", F.lit(k))
         area = F.coalesce(at("area").cast("double"), (b.xmax - b.xmin) * (b.ymax - b.ymin))
         item = _obj(id=F.col("id"), image_id=F.col("image_id"), category_id=F.col("category_id"), bbox=F.array(*_xywh().values()), area=area, iscrowd=F.coalesce(at("iscrowd").cast("int"), F.lit(0)), segmentation=F.array(), score=F.col("confidence"))
-        i = per_image(ds, item, "unknown")
         head = _obj(id=F.col("id"), width=F.col("width"), height=F.col("height"), file_name=F.col("file_name"), license=F.col("license_id"), date_captured=F.col("date_captured"))
-        _model_document(ds, i.select(F.col("id").alias("key"), head.alias("h"), "items"), path, shards, lambda d: {k: v for k, v in d.items() if k in INFO and k != "name"})
+        _model_document(ds, item, head, path, shards, lambda d: {k: v for k, v in d.items() if k in INFO and k != "name"})
 
 
-def _by_image(ds: AnnotationDataset, path: str, item: Column, head, missing: str | None = None, shards: int | None = None, **more: Column) -> None:
-    """An array of one object for each image; ``head`` builds it from the image's columns and ``items`` (JSON texts)."""
-    i = per_image(ds, item, missing, **more)
-    write_documents(i.select(F.struct("file_name", "id").alias("key"), head().alias("part")), path, shards or shards_for(ds), "[", "]")
+def _by_image(ds: AnnotationDataset, path: str, item: Column, head, missing: str | None = None, shards: int | None = None, bounds: str = "[]") -> None:
+    """An array, or what else stands in ``bounds``, of one text for each image; ``head`` builds it from the image's columns and ``items``."""
+    write_images(ds, path, shards or shards_for(ds), item, [(None, F.struct("file_name", "id"), head())], bounds[0], bounds[1], missing=missing)
 
 
-def _with_list(c: DataFrame, entry: Column, i: DataFrame, part: Column, path: str, shards: int, head: str, middle: str, tail: str, order: str = "id") -> None:
+def _with_list(ds: AnnotationDataset, c: DataFrame, entry: Column, item: Column, part: Column, path: str, shards: int, head: str, middle: str, tail: str, missing: str, order: str = "id", columns: tuple[str, ...] = ()) -> None:
     """Documents that begin with a list of categories, from rows with their ``shard``, and go on with the images."""
-    first = c.select("shard", F.lit(0).alias("section"), F.struct(F.lit("").alias("file_name"), F.col(order).cast("long").alias("id")).alias("key"), entry.alias("part"))
-    then = i.select(document_of("id", shards).alias("shard"), F.lit(1).alias("section"), F.struct("file_name", "id").alias("key"), part.alias("part"))
-    write_documents(first.union(then), path, shards, head, tail, middles=(middle,))
+    first = c.select("shard", F.struct(F.lit("").alias("file_name"), F.col(order).cast("long").alias("id")).alias("key"), entry.alias("part"))
+    write_images(ds, path, shards, item, [(None, F.struct("file_name", "id"), part)], head, tail, middles=(middle,), missing=missing, beside=first, columns=columns)
 
 
 def _joined(fields: Column, **lists: Column) -> Column:
@@ -188,11 +185,12 @@ def _joined(fields: Column, **lists: Column) -> Column:
 class CreateMl:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
-        rows = _array_docs(spark, path, "create-ml", "image:string,annotations:array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>").select("path", "at", F.col("d.image").alias("file_name"), "d.annotations")
+        parsed = _array_docs(spark, path, "create-ml", "image:string,annotations:array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>")
+        rows = parsed.select("path", "at", F.col("d.image").alias("file_name"), "d.annotations")
         a = rows.select("path", "at", "file_name", F.posexplode("annotations").alias("k", "x")).withColumn("label", require(F.length("x.label") > 0, "a label is empty", F.col("x.label"))).withColumn("_ord", _ord("path", "at", "k"))
         a = annotations_of(a, from_cxcywh(*[F.col(f"x.coordinates.{k}") for k in ("x", "y", "width", "height")]))
         names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"))
-        return from_raw(with_sizes(a, names, spark, images), a)
+        return from_raw(with_sizes(a, names, spark, images), a, parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -204,11 +202,11 @@ class CreateMl:
 class Bdd100k:
     @staticmethod
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
-        rows = _array_docs(spark, path, "bdd100k", "name:string,url:string,width:bigint,height:bigint,labels:array<struct<category:string,score:double,attributes:map<string,string>,box2d:struct<x1:double,y1:double,x2:double,y2:double>>>")
-        rows = rows.select("path", "at", F.coalesce("d.name", basename(F.col("d.url")), F.concat(F.lit("image_"), F.col("at").cast("string"))).alias("file_name"), "d.width", "d.height", "d.labels")
+        parsed = _array_docs(spark, path, "bdd100k", "name:string,url:string,width:bigint,height:bigint,labels:array<struct<category:string,score:double,attributes:map<string,string>,box2d:struct<x1:double,y1:double,x2:double,y2:double>>>")
+        rows = parsed.select("path", "at", F.coalesce("d.name", basename(F.col("d.url")), F.concat(F.lit("image_"), F.col("at").cast("string"))).alias("file_name"), "d.width", "d.height", "d.labels")
         a = rows.select("path", "at", "file_name", F.posexplode("labels").alias("k", "x")).where("x.box2d is not null").withColumns({"label": F.col("x.category"), "confidence": F.col("x.score"), "_ord": _ord("path", "at", "k")})
         a = a.withColumn("attributes", F.coalesce(F.transform_keys("x.attributes", lambda k, v: F.concat(F.lit("bdd100k_attribute_"), k)), F.create_map().cast("map<string,string>")))
-        return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x.box2d.{k}") for k in ("x1", "y1", "x2", "y2")])))
+        return from_raw(rows.select("file_name", "width", "height", F.struct("path", "at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x.box2d.{k}") for k in ("x1", "y1", "x2", "y2")])), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -241,9 +239,9 @@ class LabelStudio:
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         result = "array<struct<type:string,score:double,original_width:bigint,original_height:bigint,value:struct<x:double,y:double,width:double,height:double,rotation:double,rectanglelabels:array<string>>>>"
         one = f"array<struct<score:double,result:{result}>>"
-        rows = _array_docs(spark, path, "label-studio", f"data:struct<image:string,width:bigint,height:bigint>,annotations:{one},completions:{one},predictions:{one}")
+        parsed = _array_docs(spark, path, "label-studio", f"data:struct<image:string,width:bigint,height:bigint>,annotations:{one},completions:{one},predictions:{one}")
         human = F.coalesce("d.annotations", "d.completions")
-        rows = rows.select(
+        rows = parsed.select(
             "path", "at", basename(F.col("d.data.image")).alias("file_name"), F.col("d.data.width").alias("dw"), F.col("d.data.height").alias("dh"), human.alias("a"), F.col("d.predictions").alias("p")
         )
         rows = rows.withColumn("file_name", require((F.coalesce(F.size("a"), F.lit(0)) <= 1) & (F.coalesce(F.size("p"), F.lit(0)) <= 1), "a task has more than one set", F.col("file_name")))
@@ -261,7 +259,7 @@ class LabelStudio:
         found = Box(*[F.when(turn == 0, p).otherwise(q) for p, q in zip(flat_box, around, strict=True)])
         sizes = flat.groupBy("file_name").agg(F.max("w").alias("w"), F.max("h").alias("h"))
         i = rows.join(sizes, "file_name", "left").select("file_name", F.coalesce("w", "dw").alias("width"), F.coalesce("h", "dh").alias("height"))
-        return from_raw(i, annotations_of(flat, found))
+        return from_raw(i, annotations_of(flat, found), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -283,15 +281,15 @@ class ScaleAi:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         note = "array<struct<label:string,type:string,left:double,top:double,width:double,height:double,vertices:array<struct<x:double,y:double>>>>"
-        rows = _array_docs(spark, path, "scale-ai", f"task_id:string,params:struct<attachment:string,metadata:struct<width:bigint,height:bigint,filename:string>>,response:struct<annotations:{note}>")
-        rows = rows.select("path", "at", F.coalesce("d.params.metadata.filename", basename(F.col("d.params.attachment")), "d.task_id").alias("file_name"), F.col("d.params.metadata.width").alias("width"), F.col("d.params.metadata.height").alias("height"), "d.task_id", "d.params.attachment", F.col("d.response.annotations").alias("notes"))
+        parsed = _array_docs(spark, path, "scale-ai", f"task_id:string,params:struct<attachment:string,metadata:struct<width:bigint,height:bigint,filename:string>>,response:struct<annotations:{note}>")
+        rows = parsed.select("path", "at", F.coalesce("d.params.metadata.filename", basename(F.col("d.params.attachment")), "d.task_id").alias("file_name"), F.col("d.params.metadata.width").alias("width"), F.col("d.params.metadata.height").alias("height"), "d.task_id", "d.params.attachment", F.col("d.response.annotations").alias("notes"))
         a = rows.select("path", "at", "file_name", F.posexplode("notes").alias("k", "x")).withColumns({"label": F.col("x.label"), "_ord": _ord("path", "at", "k")})
         shape = F.size("x.vertices") >= 3
         a = a.withColumn("attributes", _enveloped(shape, "scale_ai_enveloped"))
         a = a.where(require(F.coalesce(shape, F.lit(False)) | F.col("x.left").isNotNull(), "a geometry is neither a box nor a polygon", F.lit(True)))
         flat, around = from_xywh(F.col("x.left"), F.col("x.top"), F.col("x.width"), F.col("x.height")), envelope(F.col("x.vertices"))
         i = rows.select("file_name", "width", "height", F.map_filter(F.create_map(F.lit("scale_ai_task_id"), "task_id", F.lit("scale_ai_attachment"), "attachment"), lambda k, v: v.isNotNull()).alias("attributes"), F.struct("path", "at").alias("_ord"))
-        return from_raw(i, annotations_of(a, Box(*[F.when(shape, q).otherwise(p) for p, q in zip(flat, around, strict=True)])))
+        return from_raw(i, annotations_of(a, Box(*[F.when(shape, q).otherwise(p) for p, q in zip(flat, around, strict=True)])), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -314,7 +312,8 @@ class Labelbox:
         schema = f"data_row struct<id:string,external_id:string,row_data:string,global_key:string>, media_attributes struct<width:bigint,height:bigint>, projects map<string,struct<labels:array<struct<annotations:struct<objects:{obj}>>>>>"
         rows = json_lines(spark, path, "labelbox").select(F.from_json("line", schema).alias("d"), F.col("_ord").alias("at")).select("d.*", "at")
         # lines are checked and parsed once, for counts, boxes and images
-        rows = stored(rows).withColumn("file_name", F.coalesce("data_row.external_id", basename(F.col("data_row.row_data")), "data_row.global_key"))
+        parsed = stored(rows)
+        rows = parsed.withColumn("file_name", F.coalesce("data_row.external_id", basename(F.col("data_row.row_data")), "data_row.global_key"))
         a = rows.select("file_name", F.explode("projects").alias("project", "p")).select("file_name", "project", F.posexplode("p.labels").alias("n", "l")).select("file_name", "project", "n", F.posexplode("l.annotations.objects").alias("k", "x"))
         shape = F.coalesce(F.size("x.polygon") >= 3, F.lit(False))
         skipped = a.where(F.col("x.bounding_box").isNull() & ~shape).count()
@@ -323,7 +322,7 @@ class Labelbox:
         flat, around = from_xywh(*[F.col(f"x.bounding_box.{k}") for k in ("left", "top", "width", "height")]), envelope(F.col("x.polygon"))
         kept = F.create_map(F.lit("labelbox_data_row_id"), "data_row.id", F.lit("labelbox_row_data"), "data_row.row_data", F.lit("labelbox_global_key"), "data_row.global_key")
         i = rows.select("file_name", "media_attributes.width", "media_attributes.height", F.map_filter(kept, lambda k, v: v.isNotNull()).alias("attributes"), F.col("at").alias("_ord"))
-        return from_raw(i, annotations_of(a, Box(*[F.when(F.col("x.bounding_box").isNotNull(), p).otherwise(q) for p, q in zip(flat, around, strict=True)])), info=_skipped("labelbox_skipped_objects", skipped))
+        return from_raw(i, annotations_of(a, Box(*[F.when(F.col("x.bounding_box").isNotNull(), p).otherwise(q) for p, q in zip(flat, around, strict=True)])), info=_skipped("labelbox_skipped_objects", skipped), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
@@ -360,13 +359,14 @@ class Sagemaker:
         rows = rows.withColumn("source", F.element_at("m", F.lit("source-ref"))).withColumn("file_name", F.regexp_replace("source", "^s3://[^/]+/", ""))
         note = F.from_json(F.element_at("m", F.col("key")), "annotations array<struct<class_id:bigint,left:double,top:double,width:double,height:double>>, image_size array<struct<width:bigint,height:bigint,depth:bigint>>")
         meta = F.from_json(F.element_at("m", F.concat("key", F.lit("-metadata"))), "objects array<struct<confidence:double>>, `class-map` map<string,string>")
-        rows = rows.withColumns({"n": note, "t": meta})
+        # lines are checked and parsed once, for sizes and boxes
+        rows = parsed = stored(rows.select("file_name", "source", note.alias("n"), meta.alias("t"), "_ord"))
         size = F.get("n.image_size", F.lit(0))
         i = rows.select("file_name", size["width"].alias("width"), size["height"].alias("height"), F.create_map(F.lit("sagemaker_source_ref"), "source").alias("attributes"), "_ord")
         a = rows.select("file_name", F.col("t.class-map").alias("names"), F.col("t.objects").alias("o"), F.posexplode("n.annotations").alias("k", "x"))
         a = a.withColumns({"label": F.coalesce(F.try_element_at("names", F.col("x.class_id").cast("string")), F.concat(F.lit("class_"), F.col("x.class_id").cast("string"))), "confidence": F.get("o", F.col("k"))["confidence"], "_ord": _ord("file_name", "k")})
         a = a.withColumn("label", require((F.col("x.width") >= 0) & (F.col("x.height") >= 0), "a box has a negative side", F.col("label")))
-        return from_raw(i, annotations_of(a, from_xywh(F.col("x.left"), F.col("x.top"), F.col("x.width"), F.col("x.height"))))
+        return from_raw(i, annotations_of(a, from_xywh(F.col("x.left"), F.col("x.top"), F.col("x.width"), F.col("x.height"))), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
@@ -475,10 +475,9 @@ class CloudAnnotations:
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         n = to_normalized(box(), F.col("width").cast("double"), F.col("height").cast("double"))
         item = _obj(x=n.xmin, y=n.ymin, x2=n.xmax, y2=n.ymax, label=F.col("label"))
-        i = per_image(ds, item, "skip")
         part = F.concat(_quoted(F.col("file_name")), F.lit(":["), F.array_join("items", ","), F.lit("]"))
         shards = shards or shards_for(ds)
-        _with_list(listed_categories(ds, shards), _quoted(F.col("name")), i, part, path, shards, '{"version":"1.0","type":"localization","labels":[', '],"annotations":{', "}}")
+        _with_list(ds, listed_names(ds, shards, "name"), _quoted(F.col("name")), item, part, path, shards, '{"version":"1.0","type":"localization","labels":[', '],"annotations":{', "}}", "skip")
 
 
 @register("datumaro", "one JSON document")
@@ -489,28 +488,26 @@ class Datumaro:
         # documents are parsed once; labels are looked up by document and place, so no row carries its document's list
         docs = json_documents(spark, path, "datumaro").select("path", F.from_json("text", schema).alias("d"))
         listed = stored(docs.select("path", F.posexplode("d.categories.label.labels").alias("n", "l")).select("path", "n", "l.name", "l.parent"))
-        rows = stored(docs.select("path", F.posexplode("d.items").alias("at", "i"))).withColumn("file_name", F.coalesce("i.image.path", "i.id"))
+        found = stored(docs.select("path", F.posexplode("d.items").alias("at", "i")))
+        rows = found.withColumn("file_name", F.coalesce("i.image.path", "i.id"))
         size = lambda k: F.coalesce(F.get("i.image.size", F.lit(k)), F.lit(1))
         a = rows.select("path", "at", "file_name", F.posexplode("i.annotations").alias("k", "x")).where("x.type = 'bbox'")
-        a = a.join(listed.select(F.col("path").alias("_p"), "n", "name"), (F.col("path") == F.col("_p")) & (F.col("x.label_id") == F.col("n")), "left")
+        a = a.join(listed.select(F.col("path").alias("_p"), "n", "name").hint("merge"), (F.col("path") == F.col("_p")) & (F.col("x.label_id") == F.col("n")), "left")
         a = a.withColumns({"label": F.coalesce("name", F.concat(F.lit("label_"), F.col("x.label_id").cast("string"))), "_ord": _ord("path", "at", "k")})
         c = listed.select("name", F.nullif(F.col("parent"), F.lit("")).alias("supercategory"))
-        return from_raw(rows.select("file_name", size(1).alias("width"), size(0).alias("height"), F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(*[F.get("x.bbox", F.lit(i)) for i in range(4)])), c)
+        return from_raw(rows.select("file_name", size(1).alias("width"), size(0).alias("height"), F.struct("path", "at").alias("_ord")), annotations_of(a, from_xywh(*[F.get("x.bbox", F.lit(i)) for i in range(4)])), c, parsed=(listed, found))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        """A document lists the categories of its own boxes, and each category is in one document at least; ``label_id`` is the place in that list."""
+        """A document lists the different categories of its own boxes, and each category is in one document at least; ``label_id`` is the place in that list."""
         n = shards or shards_for(ds)
-        # a document's list is no longer than the document
-        c = listed_categories(ds, n).withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("id", "_ord")) - 1)
-        c = stored(c.select("shard", "id", "place", "name", "supercategory"))
-        place = c.groupBy(F.col("shard").alias("_s"), F.col("id").alias("_k")).agg(F.max("place").alias("_place"))
-        a = ds.annotations.join(place, (document_of("image_id", n) == F.col("_s")) & (F.col("category_id") == F.col("_k")), "left").drop("_s", "_k")
+        names = ("name", "supercategory")
+        # a document's list is no longer than the document; what its boxes name comes first, in the order of their places
+        c = listed_names(ds, n, *names).withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("bare", *names)) - 1)
         item = _obj(id=F.col("id"), type=F.lit("bbox"), label_id=F.col("_place"), bbox=F.array(*_xywh().values()))
-        i = per_image(ds.changed(annotations=a), item, "object")
         head = _joined(_obj(id=stem(F.col("file_name")), image=F.struct(F.col("file_name").alias("path"), F.array("height", "width").alias("size"))), annotations=F.col("items"))
         label = _obj(name=F.col("name"), parent=F.coalesce("supercategory", F.lit("")))
-        _with_list(c, label, i, head, path, n, '{"info":{},"categories":{"label":{"labels":[', ']}},"items":[', "]}", "place")
+        _with_list(ds, c, label, item, head, path, n, '{"info":{},"categories":{"label":{"labels":[', ']}},"items":[', "]}", "object", "place", names[1:])
 
 
 @register("edge-impulse", "one JSON document")
@@ -540,7 +537,7 @@ class Via:
     def read(spark: SparkSession, path: str, images: str | None = None) -> AnnotationDataset:
         region = "struct<shape_attributes:struct<name:string,x:double,y:double,width:double,height:double>,region_attributes:map<string,string>>"
         docs = json_documents(spark, path, "via").select("path", F.explode(F.from_json("text", f"map<string,struct<filename:string,size:bigint,regions:array<{region}>,file_attributes:map<string,string>>>")).alias("key", "v"))
-        rows = stored(docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions", "v.file_attributes"))
+        rows = parsed = stored(docs.select("path", "key", F.col("v.filename").alias("file_name"), "v.size", "v.regions", "v.file_attributes"))
         a = rows.select("key", "file_name", F.posexplode("regions").alias("k", "x")).where("x.shape_attributes.name = 'rect'")
         named = F.map_filter("x.region_attributes", lambda k, v: v.isNotNull() & (F.btrim(v) != ""))
         has = lambda k: F.coalesce(F.map_contains_key(named, k), F.lit(False))
@@ -550,17 +547,15 @@ class Via:
         a = a.withColumns({"label": F.try_element_at(named, F.col("said")), "attributes": others, "_ord": _ord("file_name", "key", "k")})
         a = annotations_of(a, from_xywh(*[F.col(f"x.shape_attributes.{k}") for k in ("x", "y", "width", "height")]))
         names = rows.select("file_name", F.lit(None).cast("long").alias("width"), F.lit(None).cast("long").alias("height"), F.map_concat(prefixed(F.create_map(F.lit("size_bytes"), F.col("size").cast("string")), "via_"), prefixed(F.col("file_attributes"), "via_file_attr_")).alias("attributes"))
-        return from_raw(with_sizes(a, names, spark, images), a)
+        return from_raw(with_sizes(a, names, spark, images), a, parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         item = _obj(shape_attributes=F.struct(F.lit("rect").alias("name"), *[c.alias(n) for n, c in _xywh().items()]), region_attributes=F.map_concat(F.create_map(F.lit("label"), F.col("label")), F.map_filter(carried("via_region_attr_"), lambda k, v: k != "label")))
-        i = per_image(ds, item, "unknown")
         size = F.coalesce(F.try_element_at("attributes", F.lit("via_size_bytes")).cast("long"), F.lit(0))
         head = _joined(_obj(filename=F.col("file_name"), size=size, file_attributes=carried("via_file_attr_")), regions=F.col("items"))
         key = F.to_json(F.array(F.concat("file_name", size.cast("string"))))
-        parts = i.select(F.struct("file_name", "id").alias("key"), F.concat(key.substr(F.lit(2), F.length(key) - 2), F.lit(":"), head).alias("part"))
-        write_documents(parts, path, shards or shards_for(ds), "{", "}")
+        _by_image(ds, path, item, lambda: F.concat(key.substr(F.lit(2), F.length(key) - 2), F.lit(":"), head), "unknown", shards, "{}")
 
 
 @register("vott-json", "one JSON document")
@@ -569,24 +564,24 @@ class VottJson:
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
         region = "struct<tags:array<string>,boundingBox:struct<left:double,top:double,width:double,height:double>,points:array<struct<x:double,y:double>>>"
         docs = json_documents(spark, path, "vott-json").select("path", F.from_json("text", f"tags array<struct<name:string>>, assets map<string,struct<asset:struct<name:string,path:string,size:struct<width:bigint,height:bigint>>,regions:array<{region}>>>").alias("d")).select("path", "d.*")
-        rows = stored(docs.select("path", F.explode("assets").alias("key", "v"))).select("key", F.coalesce("v.asset.name", basename(F.col("v.asset.path"))).alias("file_name"), "v.asset.size.width", "v.asset.size.height", "v.regions")
+        parsed = stored(docs.select("path", F.explode("assets").alias("key", "v")))
+        rows = parsed.select("key", F.coalesce("v.asset.name", basename(F.col("v.asset.path"))).alias("file_name"), "v.asset.size.width", "v.asset.size.height", "v.regions")
         a = rows.select("file_name", "key", F.posexplode("regions").alias("k", "x")).select("file_name", "key", "k", "x", F.posexplode("x.tags").alias("t", "label")).withColumn("_ord", _ord("file_name", "key", "k", "t"))
         flat, around = from_xywh(*[F.col(f"x.boundingBox.{k}") for k in ("left", "top", "width", "height")]), envelope(F.col("x.points"))
         found = Box(*[F.when(F.col("x.boundingBox").isNotNull(), p).otherwise(q) for p, q in zip(flat, around, strict=True)])
-        return from_raw(rows.select("file_name", "width", "height", F.col("key").alias("_ord")), annotations_of(a, found), docs.select(F.explode("tags").alias("t")).select(F.col("t.name").alias("name")))
+        return from_raw(rows.select("file_name", "width", "height", F.col("key").alias("_ord")), annotations_of(a, found), docs.select(F.explode("tags").alias("t")).select(F.col("t.name").alias("name")), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
-        """A document's tags are the categories of its own boxes; each category is in one document at least."""
+        """A document's tags are the names of its own boxes' categories; each name is in one document at least."""
         b, v = box(), _xywh()
         corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
         points = F.array(corner(b.xmin, b.ymin), corner(b.xmax, b.ymin), corner(b.xmax, b.ymax), corner(b.xmin, b.ymax))
         item = _obj(id=F.concat(F.lit("region-"), F.col("id").cast("string")), type=F.lit("RECTANGLE"), tags=F.array("label"), boundingBox=F.struct(v["x"].alias("left"), v["y"].alias("top"), v["width"].alias("width"), v["height"].alias("height")), points=points)
-        i = per_image(ds, item, "skip")
         head = _joined(_obj(asset=F.struct(F.col("id").cast("string").alias("id"), F.col("file_name").alias("name"), F.struct("width", "height").alias("size"))), regions=F.col("items"))
         part = F.concat(F.lit('"asset-'), F.col("id").cast("string"), F.lit('":'), head)
         n = shards or shards_for(ds)
-        _with_list(listed_categories(ds, n), _obj(name=F.col("name")), i, part, path, n, '{"name":"dataset","version":"2.2.0","tags":[', '],"assets":{', "}}")
+        _with_list(ds, listed_names(ds, n, "name"), _obj(name=F.col("name")), item, part, path, n, '{"name":"dataset","version":"2.2.0","tags":[', '],"assets":{', "}}", "skip")
 
 
 @register("openlabel", "one JSON document, centres in pixels")
@@ -597,22 +592,24 @@ class OpenLabel:
         docs = json_documents(spark, path, "openlabel").select("path", F.from_json("text", f"openlabel struct<objects:map<string,struct<name:string,type:string>>,frames:map<string,{frame}>>").alias("d"))
         # documents are parsed once; types are looked up by document and key, so no row carries its document's objects
         types = stored(docs.select("path", F.explode("d.openlabel.objects").alias("o", "t")).select(F.col("path").alias("_p"), F.col("o").alias("_o"), F.col("t.type").alias("type")))
-        rows = stored(docs.select("path", F.explode("d.openlabel.frames").alias("at", "f"))).withColumn("file_name", F.coalesce("f.frame_properties.file_name", F.concat(F.lit("frame_"), "at")))
+        found = stored(docs.select("path", F.explode("d.openlabel.frames").alias("at", "f")))
+        rows = found.withColumn("file_name", F.coalesce("f.frame_properties.file_name", F.concat(F.lit("frame_"), "at")))
         a = rows.select("path", "at", "file_name", F.explode("f.objects").alias("o", "v")).select("path", "at", "file_name", "o", F.posexplode("v.object_data.bbox").alias("k", "x"))
         a = a.where((F.size("x.val") >= 4) & (F.coalesce(F.get("x.val", F.lit(4)), F.lit(0.0)) == 0.0))
-        a = a.join(types, (F.col("path") == F.col("_p")) & (F.col("o") == F.col("_o")), "left")
+        # as many as boxes, though their files are small: never broadcast
+        a = a.join(types.hint("merge"), (F.col("path") == F.col("_p")) & (F.col("o") == F.col("_o")), "left")
         a = a.withColumns({"label": F.coalesce("type", "x.name", F.lit("object")), "_ord": _ord("path", "at", "o", "k")})
-        return from_raw(rows.select("file_name", "f.frame_properties.width", "f.frame_properties.height", F.struct("path", "at").alias("_ord")), annotations_of(a, from_cxcywh(*[F.get("x.val", F.lit(i)) for i in range(4)])))
+        return from_raw(rows.select("file_name", "f.frame_properties.width", "f.frame_properties.height", F.struct("path", "at").alias("_ord")), annotations_of(a, from_cxcywh(*[F.get("x.val", F.lit(i)) for i in range(4)])), parsed=(types, found))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
         # objects are named by image and place: annotation ids may repeat, and equal names would hide one another
         shape = _obj(object_data=F.struct(F.array(F.struct(F.lit("shape").alias("name"), F.array(*to_cxcywh(box())).alias("val"))).alias("bbox")))
-        i = per_image(ds, shape, "object", types=_obj(name=F.concat(F.lit("object-"), F.col("id").cast("string")), type=F.col("label")))
+        types = _obj(name=F.concat(F.lit("object-"), F.col("id").cast("string")), type=F.col("label"))
         keyed = lambda items: F.transform(items, lambda x, n: F.concat(F.lit('"'), F.col("id").cast("string"), F.lit("_"), n.cast("string"), F.lit('":'), x))
         head = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('":'), F.regexp_replace(_obj(frame_properties=F.struct("file_name", "width", "height")), r"\}$", ""), F.lit(',"objects":{'), F.array_join(keyed("items"), ","), F.lit("}}"))
-        parts = _two_sections(i.select(F.col("id").alias("key"), head.alias("f"), keyed("types").alias("types")), F.col("f"), F.col("types"))
-        write_documents(parts, path, shards or shards_for(ds), '{"openlabel":{"metadata":{"schema_version":"1.0.0"},"frames":{', "}}}", middles=('},"objects":{',))
+        parts = _two_sections(F.col("id"), head, keyed("types"))
+        write_images(ds, path, shards or shards_for(ds), shape, parts, '{"openlabel":{"metadata":{"schema_version":"1.0.0"},"frames":{', "}}}", middles=('},"objects":{',), missing="object", types=types)
 
 
 @register("unity-perception", "JSON documents with captures")

@@ -17,7 +17,7 @@ from tessera.functions.geometry import Box, box, envelope, from_cxcywh, from_xyw
 from tessera.model import AnnotationDataset, numbered
 from tessera.storage import exists, stored
 
-from .common import annotations_of, basename, carried, document_of, documents, fixed, from_raw, last_of_each, lines, number, per_image, register, relative, require, shards_for, stem, write_documents, write_files, write_lines, write_partitions
+from .common import annotations_of, basename, carried, document_of, documents, fixed, from_raw, last_of_each, lines, looked_up, number, per_image, register, relative, require, shards_for, stem, write_files, write_images, write_lines, write_partitions
 from .json_docs import _joined, _obj, _ord, _xywh
 from .pictures import image_sizes, listing, sized, with_sizes
 from .strict import json_documents
@@ -185,13 +185,14 @@ class Cvat:
         b = "array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double,_occluded:string,_z_order:string,_source:string,attribute:array<struct<_name:string,_VALUE:string>>>>"
         schema = f"meta struct<task:struct<labels:struct<label:array<struct<name:string,type:string>>>>>, image array<struct<_id:bigint,_name:string,_width:bigint,_height:bigint,box:{b},polygon:array<string>,points:array<string>>>"
         docs = documents(spark, path, "*").select(F.from_xml("text", schema, {"attributePrefix": "_"}).alias("d")).select("d.*")
-        rows = stored(docs.select(F.posexplode("image").alias("at", "i")).select("at", "i.*")).withColumn("file_name", require(F.col("polygon").isNull() & F.col("points").isNull(), "an image has shapes that aren't boxes", F.col("_name")))
+        parsed = stored(docs.select(F.posexplode("image").alias("at", "i")).select("at", "i.*"))
+        rows = parsed.withColumn("file_name", require(F.col("polygon").isNull() & F.col("points").isNull(), "an image has shapes that aren't boxes", F.col("_name")))
         a = rows.select("file_name", F.posexplode("box").alias("k", "x"))
         kept = F.map_filter(F.create_map(*[x for k in ("occluded", "z_order", "source") for x in (F.lit(k), F.col(f"x._{k}"))]), lambda k, v: v.isNotNull())
         own = last_of_each(F.transform("x.attribute", lambda t: F.struct(F.concat(F.lit("cvat_attr_"), require(F.btrim(t["_name"]) != "", "an attribute has no name", F.btrim(t["_name"]))).alias("key"), F.coalesce(F.btrim(t["_VALUE"]), F.lit("")).alias("value"))))
         a = a.withColumns({"label": F.col("x._label"), "attributes": F.map_concat(kept, own), "_ord": _ord("file_name", "k")})
         c = docs.select(F.explode("meta.task.labels.label").alias("l")).where("l.type is null or l.type in ('bbox', 'rectangle', 'any')").select(F.col("l.name").alias("name"))
-        return from_raw(rows.select("file_name", F.col("_width").alias("width"), F.col("_height").alias("height"), F.col("at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x._{k}") for k in ("xtl", "ytl", "xbr", "ybr")])), c)
+        return from_raw(rows.select("file_name", F.col("_width").alias("width"), F.col("_height").alias("height"), F.col("at").alias("_ord")), annotations_of(a, Box(*[F.col(f"x._{k}") for k in ("xtl", "ytl", "xbr", "ybr")])), c, parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
@@ -199,17 +200,14 @@ class Cvat:
         attr = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
         own = F.transform(F.array_sort(F.map_entries(carried("cvat_attr_"))), lambda e: F.concat(F.lit("<attribute"), attr("name", _xml(F.btrim(e["key"]))), F.lit(">"), _xml(e["value"]), F.lit("</attribute>")))
         item = F.concat(F.lit("<box"), attr("label", _xml(F.col("label"))), attr("source", _xml(at("source", "manual"))), attr("occluded", at("occluded", "0")), *[attr(n, number(c)) for n, c in zip(("xtl", "ytl", "xbr", "ybr"), box(), strict=True)], attr("z_order", at("z_order", "0")), F.lit(">"), F.array_join(own, ""), F.lit("</box>"))
-        i = per_image(ds, item)
         part = F.concat(F.lit("<image"), attr("id", F.col("id").cast("string")), attr("name", _xml(F.col("file_name"))), attr("width", F.col("width").cast("string")), attr("height", F.col("height").cast("string")), F.lit(">"), F.array_join("items", ""), F.lit("</image>"))
         # a document lists the labels of its own boxes
         n = shards or shards_for(ds)
-        used = ds.annotations.select(document_of("image_id", n).alias("shard"), F.col("category_id").alias("_c")).distinct()
-        used = used.join(ds.categories, F.col("_c") == F.col("id")).select("shard", "name").distinct()
+        used = ds.annotations.select(document_of("image_id", n).alias("shard"), "category_id").join(looked_up(ds, "name"), F.col("category_id") == F.col("_cid")).select("shard", "name").distinct()
         label = F.concat(F.lit("<label><name>"), _xml(F.col("name")), F.lit("</name><type>bbox</type></label>"))
-        first = used.select("shard", F.lit(0).alias("section"), F.struct(F.col("name").alias("file_name"), F.lit(0).cast("long").alias("id")).alias("key"), label.alias("part"))
-        then = i.select(document_of("id", n).alias("shard"), F.lit(1).alias("section"), F.struct("file_name", "id").alias("key"), part.alias("part"))
+        first = used.select("shard", F.struct(F.col("name").alias("file_name"), F.lit(0).cast("long").alias("id")).alias("key"), label.alias("part"))
         head = '<?xml version="1.0" encoding="utf-8"?>\n<annotations><version>1.1</version><meta><task><labels>'
-        write_documents(first.union(then), path, n, head, "</annotations>", between="", middles=("</labels></task></meta>",))
+        write_images(ds, path, n, item, [(None, F.struct("file_name", "id"), part)], head, "</annotations>", between="", middles=("</labels></task></meta>",), beside=first)
 
 
 @F.pandas_udf(T.DoubleType())

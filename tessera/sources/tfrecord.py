@@ -544,7 +544,7 @@ class TfRecord:
         same = (F.size("xmax") == n) & (F.size("ymin") == n) & (F.size("ymax") == n) & ((F.size("texts") == n) | ((F.size("texts") == 0) & (F.size("labels") == n)))
         fine = require(same & (F.col("width") > 0) & (F.col("height") > 0), "an example's lists differ in length or its size is missing", F.col("file_name"))
         # decoding is most of the work: once, for images, labels and boxes
-        rows = stored(rows.withColumn("file_name", require(F.col("file_name") != "", "an example has no file name", fine)))
+        rows = parsed = stored(rows.withColumn("file_name", require(F.col("file_name") != "", "an example has no file name", fine)))
         first = lambda k: F.min_by(F.col("attributes")[k], F.when(F.col("attributes")[k].isNotNull(), F.struct("path", "at"))).alias(k)
         keys = [*_OF_IMAGE, _HAD_PICTURE[0]]
         images = rows.groupBy("file_name").agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(c) for c in ("width", "height")], *map(first, keys))
@@ -557,7 +557,7 @@ class TfRecord:
         # feature names are a schema's, not data's: few
         others = sorted(r["k"] for r in rows.select(F.explode("others").alias("k")).distinct().collect())
         info = {"attributes": dict(zip(_OTHERS, (str(len(others)), ",".join(others)), strict=True))} if others else None
-        return from_raw(images, annotations_of(a, to_pixel(box(), F.col("width"), F.col("height"))), info=info)
+        return from_raw(images, annotations_of(a, to_pixel(box(), F.col("width"), F.col("height"))), info=info, parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str, shards: int | None = None) -> None:
