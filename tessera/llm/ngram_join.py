@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, stored
+from .common import components, discard, small, stored
 from .textops import Tally, chunks, column_bytes, spread, windows_of, word_hashes
 
 #: Groups that shingles are hashed into: the dimensions of a point.
@@ -104,6 +104,7 @@ def rarities(docs: DataFrame) -> Rarity:
         least *= 2
     got = often.where(F.col("n") >= least).toArrow()
     words, n = np.asarray(got.column("word").combine_chunks()).astype(np.int64).view(np.uint64), np.asarray(got.column("n").combine_chunks())
+    discard(often)
     order = np.argsort(words)
     return Rarity(words[order], n[order])
 
@@ -393,6 +394,10 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     tokens = full.select(F.explode("prefix").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
     blocks = stored(tokens.mapInArrow(_blocks, "block long, node long").distinct().join(classes.select("node", "rep", "n", "point"), "node").select("block", "rep", "n", "point"))
+    # points and prefixes have served: from here on a document is its set's name
+    names = stored(sketch.select("doc_id", "n", "node", "check"))
+    discard(sketch)
+    full = names.where("n > 0 and doc_id is not null")
 
     # a large block is dealt by size first: linked sets are in the same or in neighbouring bands
     large = small(blocks.groupBy("block").count().where(F.col("count") > PIECE).select("block", F.lit(True).alias("large")))
@@ -406,6 +411,7 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # then in pieces
     pieces = dealt.groupBy("block", "band").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
     dealt = stored(dealt.join(pieces, ["block", "band"]).select(F.xxhash64("block", "band").alias("block"), F.pmod(F.xxhash64("rep"), F.col("pieces")).alias("piece"), "pieces", "rep", "n", "point"))
+    discard(blocks)
     parts = dealt.select(F.xxhash64("block", "piece").alias("deal"), "rep", "n", "point")
     pairs = in_groups(parts).mapInArrow(_leaders(percent), "a long, b long").where("a <> b")
     same = stored(classes.groupBy("node").count().where("count > 1").select("node"))
@@ -417,41 +423,47 @@ def ngram_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
     first = stored(both.mapInArrow(_verify(percent), "a long, b long"))
+    discard(pairs, sets, same)
     found = components(first).select(F.col("node").alias("rep"), "component")
 
     # every two members of different components meet once more; most blocks are one component by now
     again = dealt.join(found, "rep", "left").select("block", "rep", "n", "point", F.coalesce("component", "rep").alias("component"))
-    touched = stored(in_groups(_meeting(again, "block", lambda side: F.ceil(F.count_if(side) / PIECE))).mapInArrow(_touched(percent), "a long, b long").distinct())
+    met, *kept = _meeting(again, "block", lambda side: F.ceil(F.count_if(side) / PIECE))
+    touched = stored(in_groups(met).mapInArrow(_touched(percent), "a long, b long").distinct())
+    discard(dealt, *kept)
 
     # what may still link, in whichever blocks, comes together once: a set is sent for a cluster, not for each block
     cluster = stored(components(touched).select(F.col("node").alias("rep"), F.col("component").alias("cluster")))
     sized = cluster.join(classes.select("rep", "node", "check", "n", "point"), "rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sets = whole_sets(read, cluster.select("rep"), k, shared).withColumnRenamed("doc_id", "rep")
     size = lambda side: F.greatest(F.ceil(F.count_if(side) / (2 * PIECE)), F.ceil(F.sum(F.when(side, F.col("n"))) / PIECE_SHINGLES))
-    met = _meeting(sized.join(sets, ["rep", "node", "check"]).select("cluster", "rep", "n", "point", "component", "shingles"), "cluster", size)
+    met, *kept = _meeting(sized, "cluster", size, lambda rows: rows.join(sets, ["rep", "node", "check"]).drop("node", "check"))
     second = stored(in_groups(met).mapInArrow(_joined_up(percent), "a long, b long").distinct())
+    discard(touched, cluster, *kept)
     found = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
     of_node = classes.join(found, "rep", "left").select("node", "check", F.coalesce("component", "rep").alias("component_id"))
     linked = full.select("doc_id", "n", "node", "check").join(of_node, ["node", "check"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    alone = names.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = stored(linked.union(alone))
+    discard(names, classes, first, second)
+    return out
 
 
-def _meeting(rows: DataFrame, group: str, pieces: Callable[[Column], Column]) -> DataFrame:
-    """Rows (``group``, rep, component, ...) with the deals in which any two of a group that differ in component meet.
+def _meeting(rows: DataFrame, group: str, pieces: Callable[[Column], Column], whole: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, ...]:
+    """Rows (``group``, rep, component, ...) with the deals in which any two of a group that differ in component meet; then the stored tables that they read.
 
     The members of a group's largest component, its lead, needn't meet each other. They and the
     others are cut into pieces of their own, as many as ``pieces`` says for a side, so a piece of the lead meets each piece of the
     others, and those meet each other: where nearly all belong to the lead, nearly all are sent
-    once. Groups of one component have no deals.
+    once. Groups of one component have no deals: they are neither made ``whole`` nor stored.
     """
-    rows = stored(rows)
     tally = rows.groupBy(group, "component").count()
-    lead = tally.groupBy(group).agg(F.max_by("component", F.struct("count", "component")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").select(group, "lead")
-    rows = rows.join(small(lead), group).withColumn("led", F.col("component") == F.col("lead")).drop("lead")
+    lead = stored(tally.groupBy(group).agg(F.max_by("component", F.struct("count", "component")).alias("lead"), F.count("*").alias("kinds")).where("kinds > 1").select(group, "lead"))
+    rows = held = stored(whole(rows.join(small(lead), group).withColumn("led", F.col("component") == F.col("lead")).drop("lead")))
     sides = rows.groupBy(F.col(group).alias("_group")).agg(pieces(F.col("led")).alias("leads"), pieces(~F.col("led")).alias("others"))
-    sides = small(stored(sides))
+    sized = stored(sides)
+    sides = small(sized)
     rows = rows.join(sides, F.col(group) == F.col("_group"))
     piece = F.pmod(F.xxhash64("rep"), F.when(F.col("led"), F.col("leads")).otherwise(F.col("others")))
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -463,4 +475,4 @@ def _meeting(rows: DataFrame, group: str, pieces: Callable[[Column], Column]) ->
     )
     dealt = F.when(F.col("led"), F.transform(each("others"), lambda q: deal(F.col("piece"), q))).otherwise(F.concat(with_lead, among))
     out = rows.withColumn("piece", piece).withColumn("d", F.explode(dealt))
-    return out.withColumn("deal", F.xxhash64(group, "d.p", "d.q")).drop("d", "piece", "led", "leads", "others", "_group", group)
+    return out.withColumn("deal", F.xxhash64(group, "d.p", "d.q")).drop("d", "piece", "led", "leads", "others", "_group", group), lead, held, sized
