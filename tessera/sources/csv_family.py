@@ -39,9 +39,10 @@ def _same_size(rows: DataFrame) -> DataFrame:
     return i.select("file_name", require(F.col("lo") == F.col("hi"), F.concat(F.lit("different sizes for "), F.col("file_name")), F.col("lo.w")).cast("long").alias("width"), F.col("lo.h").cast("long").alias("height"))
 
 
-def _detection_rows(spark: SparkSession, path: str) -> DataFrame:
-    rows = _cells(spark, path, "filename w h label xmin ymin xmax ymax", "filename")
-    return rows.withColumnRenamed("filename", "file_name").withColumns({c: _f(c) for c in ("w", "h", "xmin", "ymin", "xmax", "ymax")})
+def _detection_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Cells as they are stored, and rows that read them."""
+    cells = _cells(spark, path, "filename w h label xmin ymin xmax ymax", "filename")
+    return cells, cells.withColumnRenamed("filename", "file_name").withColumns({c: _f(c) for c in ("w", "h", "xmin", "ymin", "xmax", "ymax")})
 
 
 _HEADER = "filename,width,height,class,xmin,ymin,xmax,ymax"
@@ -51,8 +52,8 @@ _HEADER = "filename,width,height,class,xmin,ymin,xmax,ymax"
 class Tfod:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        rows = _detection_rows(spark, path)
-        return from_raw(_same_size(rows), annotations_of(rows, to_pixel(box(), F.col("w"), F.col("h"))))
+        parsed, rows = _detection_rows(spark, path)
+        return from_raw(_same_size(rows), annotations_of(rows, to_pixel(box(), F.col("w"), F.col("h"))), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
@@ -64,8 +65,8 @@ class Tfod:
 class Udacity:
     @staticmethod
     def read(spark: SparkSession, path: str) -> AnnotationDataset:
-        rows = _detection_rows(spark, path)
-        return from_raw(_same_size(rows), annotations_of(rows, box()))
+        parsed, rows = _detection_rows(spark, path)
+        return from_raw(_same_size(rows), annotations_of(rows, box()), parsed=(parsed,))
 
     @staticmethod
     def write(ds: AnnotationDataset, path: str) -> None:
